@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from corpusspark.llm import dedup_exact
+from corpusspark.llm import chat, dedup_exact, url_rules
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": dedup_exact.op2_exact_dedup,
+        "op3_chat_format": chat.op3_chat_format,
+        "op5_url_rules": url_rules.op5_url_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": dedup_exact.SQL,
+        "op3_chat_format": chat.SQL,
+        "op5_url_rules": url_rules.SQL,
     }
