@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusspark.llm import chat, dedup_exact, url_rules
+from corpusspark.llm import chat, dedup_exact, html_text, pii, url_rules
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_exact_dedup": dedup_exact.op2_exact_dedup,
         "op3_chat_format": chat.op3_chat_format,
         "op5_url_rules": url_rules.op5_url_rules,
+        "op8_pii_spans": pii.op8_pii_spans,
+        "op10_main_text": html_text.op10_main_text,
     }
 
 
