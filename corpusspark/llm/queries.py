@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from corpusspark.llm import chat, dedup_exact, html_text, pii, url_rules
+from corpusspark.llm import chat, dedup_exact, html_text, language, pii, quality, url_rules
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": dedup_exact.op2_exact_dedup,
         "op3_chat_format": chat.op3_chat_format,
+        "op4_language_id": language.op4_language_id,
         "op5_url_rules": url_rules.op5_url_rules,
+        "op7_quality_rules": quality.op7_quality_rules,
         "op8_pii_spans": pii.op8_pii_spans,
         "op10_main_text": html_text.op10_main_text,
     }
