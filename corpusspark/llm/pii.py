@@ -379,5 +379,6 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(table(spark, sf_dir, "documents"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))

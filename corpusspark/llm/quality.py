@@ -25,7 +25,7 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 WINDOW = 3
 #: Distance from the median to the band's ends, in distances from median to quartile.
-LOWER, UPPER = 12.0, 12.0
+LOWER, UPPER = 10.0, 10.0
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
