@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusspark.llm import chat, dedup_exact, html_text, language, pii, quality, url_rules
+from corpusspark.llm import chat, dedup_exact, html_text, language, pieces, pii, quality, url_rules
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_url_rules": url_rules.op5_url_rules,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_pii_spans": pii.op8_pii_spans,
+        "op9_pieces": pieces.op9_pieces,
         "op10_main_text": html_text.op10_main_text,
     }
 
