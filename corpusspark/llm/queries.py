@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusspark.llm import chat, dedup_exact, html_text, language, pieces, pii, quality, url_rules
+from corpusspark.llm import chat, dedup_exact, html_text, jaccard_join, language, pieces, pii, quality, url_rules
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_chat_format": chat.op3_chat_format,
         "op4_language_id": language.op4_language_id,
         "op5_url_rules": url_rules.op5_url_rules,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_pii_spans": pii.op8_pii_spans,
         "op9_pieces": pieces.op9_pieces,

@@ -88,7 +88,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool =
 def shingles(word_hash: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every run of k words; a row with 1 to k - 1 words has its whole sequence."""
     n = len(row)
-    odd = [U64(2 * j + 1) * U64(0xD6E8FEB86659FD93) for j in range(k)]
+    odd = [U64((2 * j + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1)) for j in range(k)]
     whole = np.zeros(n, dtype=U64)
     if n >= k:
         run = np.zeros(n - k + 1, dtype=U64)
@@ -103,6 +103,6 @@ def shingles(word_hash: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray
     heads = np.flatnonzero(first)
     lengths = np.diff(np.append(heads, n))
     for at, length in zip(heads[lengths < k], lengths[lengths < k], strict=True):
-        whole[at] = sum((int(word_hash[at + j]) * int(odd[j]) for j in range(length)), length << 7) & (2**64 - 1)
+        whole[at] = U64(sum((int(word_hash[at + j]) * int(odd[j]) for j in range(length)), int(length) << 7) & (2**64 - 1))
         full[at] = True
     return mix(whole[full]), row[full]
