@@ -6,7 +6,8 @@ are continuation counts of the order above. Probabilities are made by joins and
 count tables. The finished model is kept in arrays sorted by a 64-bit hash of the n-gram (a bijection,
 so no two n-grams share one), in which whole texts are looked up at once. While the model has at most
 MODEL_ENTRIES n-grams it is sent to every executor; a larger one stays a table that the documents'
-n-grams are joined to.
+n-grams are joined to. N-grams of highest order that occur once have no entry: their whole count goes to
+the order below, from which their probability comes.
 """
 
 from __future__ import annotations
@@ -14,17 +15,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusspark.llm.common import materialise
+from corpusspark.llm.common import materialise, union_all
 from corpusspark.llm.textops import U64, mix
 
 ORDER = 5
 BITS = 12
 #: N-grams of all languages and orders that are sent to executors (about 12 bytes each).
-MODEL_ENTRIES = 20_000_000
+MODEL_ENTRIES = 16_000_000
+#: Occurrences from which an n-gram of highest order has an entry.
+LEAST = 2
 #: Distinct n-grams that a task holds before it hands on what it has counted.
 HELD = 1_500_000
 CHUNK = 400_000
@@ -118,9 +122,11 @@ def _discounts(types: DataFrame) -> DataFrame:
     return n.select("lang", *[F.when(fine, F.least(F.lit(0.95 * k), F.greatest(F.lit(0.05), x))).otherwise(0.5 * k).alias(f"d{k}") for k, x in enumerate(raw, 1)])
 
 
-def fit(docs: DataFrame) -> DataFrame:
-    """The model as a table: lang, k (order), gram, logp of its last character given the others, and, for
-    use as a context, logb: the log weight that falls to the order below when its next character is new."""
+def fit(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The model as a table: lang, k (order), kind, gram, value. Of kind p, the value is the log probability
+    of the n-gram's last character given the others; of kind b, it is the log weight that falls to the order
+    below when the next character after the n-gram is new. Second, lang, gram and logp of all n-grams of
+    highest order, with those that the first table has no entry for."""
     types = materialise(count_grams(docs), "grams")
     orders = {ORDER: types}
     for k in range(ORDER - 1, 0, -1):
@@ -128,7 +134,7 @@ def fit(docs: DataFrame) -> DataFrame:
     below, levels = None, []
     for k in range(1, ORDER + 1):
         context = Window.partitionBy("lang", "context")  # at most 2**BITS rows: the characters that can follow
-        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        d = F.when(F.col("n") < (LEAST if k == ORDER else 1), F.col("n")).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = orders[k].join(F.broadcast(_discounts(orders[k])), "lang").withColumn("context", F.shiftright("gram", BITS))
         rows = rows.withColumns({"d": d, "total": F.sum("n").over(context), "kinds": F.count(F.lit(1)).over(context)})
         rows = rows.withColumn("b", F.sum("d").over(context) / F.col("total"))
@@ -137,14 +143,16 @@ def fit(docs: DataFrame) -> DataFrame:
         else:
             lower = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
             rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(lower.hint("merge"), ["lang", "suffix"])
-        below = materialise(rows.select("lang", F.lit(k).alias("k"), "gram", "context", "b", ((F.col("n") - F.col("d")) / F.col("total") + F.col("b") * F.col("lower")).alias("p")), f"order{k}")
+        below = materialise(rows.select("lang", "gram", "context", "n", "b", ((F.col("n") - F.col("d")) / F.col("total") + F.col("b") * F.col("lower")).alias("p")), f"order{k}")
         levels.append(below)
-    out = None
+    parts = []
     for k, level in enumerate(levels, 1):
-        own = level.select("lang", "k", "gram", F.log("p").cast("float").alias("logp"), F.lit(None).cast("float").alias("logb"))
-        contexts = level.groupBy("lang", "context").agg(F.max("b").alias("b")).select("lang", F.lit(k).alias("k"), F.col("context").alias("gram"), F.lit(None).cast("float").alias("logp"), F.log("b").cast("float").alias("logb"))
-        out = own.unionByName(contexts) if out is None else out.unionByName(own).unionByName(contexts)
-    return materialise(out, "model")
+        own = level.filter(F.col("n") >= (LEAST if k == ORDER else 1))
+        parts.append(own.select("lang", F.lit(k).alias("k"), F.lit("p").alias("kind"), "gram", F.log("p").cast("float").alias("value")))
+        # A context under which nothing has an entry hands everything on, as one that isn't there does.
+        contexts = own.groupBy("lang", "context").agg(F.max("b").alias("b"))
+        parts.append(contexts.select("lang", F.lit(k).alias("k"), F.lit("b").alias("kind"), F.col("context").alias("gram"), F.log("b").cast("float").alias("value")))
+    return materialise(union_all(parts), "model"), levels[-1].select("lang", "gram", F.log("p").alias("logp"))
 
 
 class Arrays:
@@ -179,23 +187,36 @@ class Arrays:
         return out
 
 
-def load(model: DataFrame) -> dict[str, Arrays]:
-    """The model table as sorted arrays; its size must have been checked."""
-    pdf = model.toPandas()
-    out = {}
-    for lang, rows in pdf.groupby("lang"):
-        levels = []
-        for k in range(1, ORDER + 1):
-            own = rows[rows["k"] == k]
-            level = []
-            for c in ("logp", "logb"):
-                some = own[own[c].notna()]
-                keys = mix(some["gram"].to_numpy().astype(U64))
-                order = np.argsort(keys)
-                level += [keys[order], some[c].to_numpy(dtype=np.float32)[order]]
-            levels.append(tuple(level))
-        out[str(lang)] = Arrays(levels)
-    return out
+PACKED = "lang string, k int, kind string, keys binary, vals binary"
+
+
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    keys = mix(pdf["gram"].to_numpy().astype(U64))
+    order = np.argsort(keys)
+    return pd.DataFrame({
+        "lang": [pdf["lang"].iloc[0]], "k": [pdf["k"].iloc[0]], "kind": [pdf["kind"].iloc[0]],
+        "keys": [keys[order].tobytes()], "vals": [pdf["value"].to_numpy(dtype=np.float32)[order].tobytes()],
+    })
+
+
+def packed(model: DataFrame) -> list[tuple[str, int, str, bytes, bytes]]:
+    """The model's sorted arrays as bytes, made by executors: one row a language, order and kind. The model's
+    size must have been checked."""
+    return [tuple(map(_plain, r)) for r in model.groupBy("lang", "k", "kind").applyInPandas(_pack, PACKED).collect()]
+
+
+def _plain(x):
+    return bytes(x) if isinstance(x, bytearray) else x
+
+
+def load(rows: list[tuple[str, int, str, bytes, bytes]]) -> dict[str, Arrays]:
+    """The arrays of ``packed``, by language."""
+    found = {(lang, k, kind): (np.frombuffer(keys, dtype=U64), np.frombuffer(vals, dtype=np.float32)) for lang, k, kind, keys, vals in rows}
+    none = (np.zeros(0, dtype=U64), np.zeros(0, dtype=np.float32))
+    return {
+        lang: Arrays([(*found.get((lang, k, "p"), none), *found.get((lang, k, "b"), none)) for k in range(1, ORDER + 1)])
+        for lang in {x[0] for x in found}
+    }
 
 
 def perplexities(texts: list[str], langs: list[str], arrays: dict[str, Arrays]) -> np.ndarray:

@@ -86,29 +86,30 @@ def base_counts(column: pa.Array) -> np.ndarray:
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the hash of the text, the base counts and the perplexity of every row."""
     rows = docs.select("doc_id", F.coalesce("lang", F.lit(lm.NO_LANG)).alias("lang"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    model = lm.fit(docs)
+    model, top = lm.fit(docs)
     fits = model.count() <= lm.MODEL_ENTRIES
-    state = docs.sparkSession.sparkContext.broadcast(lm.load(model) if fits else {})
+    state = docs.sparkSession.sparkContext.broadcast(lm.packed(model) if fits else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = lm.load(state.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 counts = base_counts(batch.column("text"))
-                ppl = lm.perplexities(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), state.value)
+                ppl = lm.perplexities(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), arrays)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in ("doc_id", "lang", "text_hash")] + [pa.array(counts[:, k]) for k in range(len(BASE))] + [pa.array(ppl, from_pandas=True)],
                     ["doc_id", "lang", "text_hash", *BASE, "ppl"],
                 )
 
     scored = rows.mapInArrow(run, SCORES)
-    return scored if fits else score_by_join(scored, rows, model)
+    return scored if fits else score_by_join(scored, rows, top)
 
 
-def score_by_join(scored: DataFrame, rows: DataFrame, model: DataFrame) -> DataFrame:
+def score_by_join(scored: DataFrame, rows: DataFrame, top: DataFrame) -> DataFrame:
     """Perplexities where the model is too large to send around: the texts' counted n-grams meet it in a join.
 
-    The model must have been fitted on these rows, so that every n-gram of highest order is in it."""
+    The model must have been fitted on these rows, so that all their n-grams of highest order are in ``top``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +120,6 @@ def score_by_join(scored: DataFrame, rows: DataFrame, model: DataFrame) -> DataF
 
     own = rows.filter("text != ''").dropDuplicates(["lang", "text_hash"]).select("lang", "text_hash", "text")
     own = own.mapInArrow(run, "lang string, text_hash long, gram long, n long")
-    top = model.filter((F.col("k") == lm.ORDER) & F.col("logp").isNotNull()).select("lang", "gram", "logp")
     total = own.join(top.hint("merge"), ["lang", "gram"]).groupBy("lang", "text_hash").agg(F.exp(-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("ppl"))
     return scored.drop("ppl").join(total.hint("merge"), ["lang", "text_hash"], "left")
 
