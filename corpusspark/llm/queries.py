@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusspark.llm import chat, dedup_exact, html_text, jaccard_join, language, pieces, pii, quality, url_rules
+from corpusspark.llm import chat, dedup_exact, html_text, jaccard_join, language, mixing, pieces, pii, quality, url_rules
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_exact_dedup": dedup_exact.op2_exact_dedup,
         "op3_chat_format": chat.op3_chat_format,
         "op4_language_id": language.op4_language_id,
