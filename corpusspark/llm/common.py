@@ -30,14 +30,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, sizes are known,
-    and a lost executor costs no recomputation of what came before. Removed when Spark ends."""
+    and a lost executor costs no recomputation of what came before. Removed when Spark ends.
+    ``free`` lets Spark drop the shuffle files behind it now: it does so when the driver collects garbage."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.parquet(path)
 
 

@@ -13,9 +13,11 @@ of frequent tokens are indexed. Sub-classes depend on a size band; a set indexes
 band in which a partner of its can lie. No link is lost, whichever tokens are called frequent.
 
 Equal sets are one representative from the start. Buckets of the index are not expanded into pairs:
-each member first meets its bucket's smallest member only, links found are contracted to components,
-and members of different components that still share a bucket are compared last. All comparisons are
-exact. Every stage is a table in the shared folder.
+each set first meets the one smallest member that it shares most buckets with, sets with frequent tokens
+also the other smallest members; links found are contracted to components, and members of different
+components that still share a bucket are compared last. Two sets indexed by rare tokens alone whose
+prefixes share c tokens can have c and what lies beyond a prefix in common at most; where that is too
+little they aren't compared. All comparisons are exact. Every stage is a table in the shared folder.
 
 Edge cases: a null or empty text has no shingles and is alone; fewer than k words are one shingle; rows
 with the same doc_id are one document of possibly several sets; a null doc_id is linked with nothing and
@@ -59,6 +61,12 @@ class Threshold:
     def pool(self, n):
         return np.minimum(n, np.ceil(POOL * (self.missing(n) + 2)).astype(np.int64) + POOL_MORE)
 
+    def possible(self, shared: str, n: str, m: str) -> str:
+        """SQL: whether sets of n and m tokens whose prefixes of rare tokens share so many may be linked."""
+        beyond = lambda x: f"(({x} * {self.num} + {self.den - 1}) div {self.den} - 1)"
+        most = f"({shared} + greatest({beyond(n)}, {beyond(m)}))"
+        return f"({self.den} * {most} >= {self.num} * ({n} + {m} - {most}))"
+
     def linked(self, common, a, b):
         return self.den * common >= self.num * (a + b - common)
 
@@ -148,16 +156,17 @@ def signatures(token: np.ndarray, frequent: np.ndarray, t: Threshold) -> np.ndar
 
 
 def index(docs: DataFrame, reps: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """sig, id: the signatures of all representatives that may share one."""
+    """sig, id, short: the signatures of all representatives that may share one, and whether the set needs
+    frequent tokens."""
     tokens = reps.select("id", "n", F.size("pool").alias("m"), F.posexplode("pool").alias("pos", "token"))
-    shared = materialise(tokens.groupBy("token").count().filter("count > 1"), "shared")
+    shared = materialise(tokens.groupBy("token").count().filter("count > 1"), "shared", free=True)
     few = shared.count() <= BROADCAST_ROWS
     met = tokens.join(F.broadcast(shared) if few else shared.hint("merge"), "token").withColumn("often", (F.col("count") >= FREQUENT).cast("int"))
     own = Window.partitionBy("id")  # at most the index tokens of one set
     met = met.withColumns({"before": F.sum("often").over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), "all_often": F.sum("often").over(own)})
     need = F.expr(f"n - (n * {t.num} + {t.den - 1}) div {t.den} + 1")
-    met = materialise(met.withColumn("short", F.col("m") - F.col("all_often") < need).withColumn("rank", F.col("pos") - F.coalesce("before", F.lit(0))).select("id", "token", "short", "rank", "often", need.alias("need")), "met")
-    single = met.filter("not short and often = 0 and rank < need").select(F.col("token").alias("sig"), "id")
+    met = materialise(met.withColumn("short", F.col("m") - F.col("all_often") < need).withColumn("rank", F.col("pos") - F.coalesce("before", F.lit(0))).select("id", "token", "short", "rank", "often", need.alias("need")), "met", free=True)
+    single = met.filter("not short and often = 0 and rank < need").select(F.col("token").alias("sig"), "id", F.lit(False).alias("short"))
     short = materialise(met.filter("short").select(F.col("id").alias("doc_id")).distinct(), "short")
     if not short.head(1):
         return single
@@ -195,11 +204,31 @@ def index(docs: DataFrame, reps: DataFrame, k: int, t: Threshold) -> DataFrame:
         rows = rows.join(often.withColumn("often", F.lit(True)).hint("merge"), "token", "left").withColumn("often", F.coalesce("often", F.lit(False)))
         rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token", "often"))).alias("flagged"))  # one set
         pairs = rows.mapInPandas(run_joined, "sig long, id long")
-    return single.unionByName(pairs)
+    return single.unionByName(pairs.withColumn("short", F.lit(True)))
+
+
+class Sets:
+    """The full sets of the documents compared so far."""
+
+    def __init__(self, docs: DataFrame, k: int):
+        self.docs, self.k, self.known = docs, k, None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        if self.known is not None:
+            ids = ids.join(self.known.select("doc_id").hint("merge"), "doc_id", "left_anti")
+        ids = materialise(ids, "compared")
+        if self.known is None or ids.head(1):
+            new = materialise(full_sets(self.docs, ids, self.k), "full_sets")
+            self.known = new if self.known is None else self.known.unionByName(new)
+        return self.known
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs a, b that are linked."""
+def verified(pairs: DataFrame, known: Sets, t: Threshold) -> DataFrame:
+    """The pairs a, b of a written table that are linked."""
+    if not pairs.head(1):
+        return pairs
+    sets = known.of(pairs)
     a = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
 
@@ -215,7 +244,7 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
             yield pdf.loc[keep, ["a", "b"]]
 
     joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a")
-    return joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    return materialise(joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "linked", free=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -258,30 +287,34 @@ def link(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     every = materialise(index_tokens(docs, k, t), "sets")
     some = every.filter("n > 0 and doc_id is not null")
     classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "pool")).alias("r"), F.count(F.lit(1)).alias("w"))
-    classes = materialise(classes.select("d1", "d2", "w", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.pool").alias("pool")), "classes")
-    sigs = materialise(index(docs, classes.select("id", "n", "pool"), k, t).join(classes.select("id", "n").hint("merge"), "id"), "signatures")
-    buckets = materialise(sigs.groupBy("sig").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
-    members = materialise(join_per_key(sigs, buckets, ["sig"], "c"), "members")
-    sets = materialise(full_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), k), "full_sets")
-    sizes = materialise(classes.select("id", "n"), "sizes")
-    fits = F.col("n") * t.den >= F.col("na") * t.num
-    fits = fits & (F.col("na") * t.den >= F.col("n") * t.num)
-
-    # One comparison for each document: with the smallest of its buckets' smallest members.
-    first = members.filter("pivot != id").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a"))
-    label = components(verified(materialise(first.select("a", "b"), "pairs"), sets, t))
-    # Then with the smallest member of each bucket that is still in another component.
-    pivots = members.filter("pivot != id").select("id", "n", "pivot").distinct().join(sizes.select(F.col("id").alias("pivot"), F.col("n").alias("na")).hint("merge"), "pivot").filter(fits)
-    apart = _label_of(_label_of(pivots, label, "id", "lb"), label, "pivot", "la").filter("la != lb")
-    label = _merge(label, verified(materialise(apart.select(F.col("pivot").alias("a"), F.col("id").alias("b")), "pairs"), sets, t))
+    classes = materialise(classes.select("d1", "d2", "w", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.pool").alias("pool")), "classes", free=True)
+    sigs = index(docs, classes.select("id", "n", "pool"), k, t)
+    sigs = materialise(sigs.join(classes.select("id", "n").hint("merge"), "id"), "signatures", free=True)
+    me = F.struct("id", "n", "short")
+    buckets = materialise(sigs.groupBy("sig").agg(F.min(me).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
+    members = materialise(join_per_key(sigs, buckets, ["sig"], "c"), "members", free=True)
+    fits = lambda n, m: f"{n} * {t.den} >= {m} * {t.num} and {m} * {t.den} >= {n} * {t.num}"
+    sets = Sets(docs, k)
+
+    # The smallest members that a set meets, and in how many buckets.
+    met = members.filter("p.id != id").groupBy("id", "n", "short", "p").agg(F.count(F.lit(1)).alias("shared"))
+    met = met.filter(fits("n", "p.n")).filter(f"short or p.short or {t.possible('shared', 'n', 'p.n')}")
+    met = materialise(met.select("id", "short", F.col("p.id").alias("a"), F.col("p.short").alias("a_short"), "shared"), "met", free=True)
+    # One comparison for each set; then, for sets with frequent tokens, with the others in other components.
+    best = met.groupBy("id").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), F.col("id").alias("b"))
+    label = components(verified(materialise(best, "pairs"), sets, t))
+    apart = met.filter("short or a_short").select("a", F.col("id").alias("b"))
+    apart = _label_of(_label_of(apart, label, "a", "la"), label, "b", "lb").filter("la != lb").select("a", "b")
+    label = _merge(label, verified(materialise(apart, "pairs", free=True), sets, t))
     # Last, all that share a bucket and are in different components.
-    named = _label_of(members.select("sig", "id", "n"), label, "id", "l")
-    named = materialise(named, "named")
+    named = materialise(_label_of(members.select("sig", "id", "n", "short"), label, "id", "l"), "named", free=True)
     mixed = named.groupBy("sig").agg(F.min("l").alias("l0"), F.max("l").alias("l1"), F.count(F.lit(1)).alias("c")).filter("l0 != l1")
-    mixed = materialise(join_per_key(named, materialise(mixed.select("sig", "c"), "mixed"), ["sig"], "c").select("sig", "id", "n", "l"), "mixed_members")
-    other = mixed.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"))
-    rest = mixed.join(other.hint("merge"), "sig").filter((F.col("a") < F.col("id")) & (F.col("la") != F.col("l")) & fits).select("a", F.col("id").alias("b")).distinct()
-    label = _merge(label, verified(materialise(rest, "pairs"), sets, t))
+    mixed = materialise(join_per_key(named, materialise(mixed.select("sig", "c"), "mixed"), ["sig"], "c").select("sig", "id", "n", "short", "l"), "mixed_members", free=True)
+    other = mixed.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("short").alias("a_short"), F.col("l").alias("la"))
+    rest = mixed.join(other.hint("merge"), "sig").filter(f"a < id and la != l and {fits('n', 'na')}")
+    rest = rest.groupBy("a", F.col("id").alias("b"), "n", "na", (F.col("short") | F.col("a_short")).alias("short")).agg(F.count(F.lit(1)).alias("shared"))
+    rest = materialise(rest.filter(f"short or {t.possible('shared', 'n', 'na')}").select("a", "b"), "pairs", free=True)
+    label = _merge(label, verified(rest, sets, t))
 
     named = _label_of(classes.select("d1", "d2", "w", "id"), label, "id", "component_id").select("d1", "d2", "w", "component_id")
     known = join_per_key(every.filter("n > 0 and doc_id is not null"), materialise(named, "component"), ["d1", "d2"], "w")
