@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusspark.llm.common import table
-from corpusspark.llm.textops import U64, mix
+from corpusspark.llm.textops import U64, mix, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 ESCAPED = "▁"
 UNITS = re.compile(" +[^ ]*")
-#: Units whose segmentation a worker remembers before it starts anew, and characters of text it takes at once.
-REMEMBERED = 1_000_000
-CHUNK = 3_000_000
+#: Units whose segmentation a worker remembers before it starts anew, and bytes of text it takes at once.
+REMEMBERED = 300_000
+CHUNK = 1_000_000
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float, bool]]:
@@ -269,8 +269,8 @@ def encode_texts(lattice: Lattice, texts: list[str], n: int) -> list[tuple[np.nd
     split = [split_units(t) for t in texts]
     every = [u for units in split for u in units]
     new = list(dict.fromkeys(u for u, k in zip(every, map(lattice.known.get, every), strict=True) if k is None))
-    for at in range(0, len(new), 50_000):
-        lattice.learn(new[at:at + 50_000])
+    for at in range(0, len(new), 15_000):
+        lattice.learn(new[at:at + 15_000])
     known = np.fromiter(map(lattice.known.__getitem__, every), dtype=np.int64, count=len(every))
     ids, at = lattice.paths(known)
     out, first = [], 0
@@ -299,19 +299,16 @@ def encode(docs: DataFrame, carry: list[str], text: str = "text", n: int = N_BES
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = shared_lattice(state.value)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            offsets = utf8(batch.column(batch.num_columns - 1))[1]
             at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= CHUNK):
-                    size += len(texts[stop])
-                    stop += 1
-                done = encode_texts(lattice, texts[at:stop], n)
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+                part = batch.slice(at, stop - at)
+                done = encode_texts(lattice, part.column(part.num_columns - 1).to_pylist(), n)
                 sizes = np.concatenate(([0], np.cumsum([len(x[0]) for x in done]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([x[0] for x in done]).astype(np.int32)))
                 edit = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ids", pa.list_(pa.int32()))])
                 others = pa.array([x[2] for x in done], pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(edit))])))
-                part = batch.slice(at, stop - at)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array([x[1] for x in done]), others], names=[f.name for f in schema.fields])
                 at = stop
 
@@ -340,12 +337,14 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's best segmentation as count, score and digest, whether it decodes to the text, and the
     losses and edits of its next best ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return report(decode(encode(docs, ["doc_id", "text"])))
+    # The model reads its escape character as a space, so a text with one decodes to a text with spaces.
+    docs = docs.withColumn("text_sha256", F.sha2(F.translate("text", ESCAPED, " "), 256))
+    return report(decode(encode(docs, ["doc_id", "text_sha256"])))
 
 
 def report(done: DataFrame) -> DataFrame:
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        (F.col("decoded") == F.translate("text", ESCAPED, " ")).alias("round_trip"),
+        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"),
         F.transform("alternatives", lambda a: F.col("score") - a["score"]).alias("losses"), F.to_json("alternatives.edits").alias("edits"),
     )
