@@ -1,0 +1,351 @@
+"""Queries of sources, sinks and scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from corpusspark.functions import text as fn
+from corpusspark.plans.registry import Tables, query
+from corpusspark.sources import ingest as op
+
+PROVIDERS = ["slack", "github", "linear", "zendesk", "email", "database", "direct_teach"]
+
+
+def _payloads(t: Tables):
+    """Deliveries assembled from events: seven providers by turns, every eleventh without a workspace."""
+    e, s = t.events, lambda c: F.col(c).cast("string")
+    provider = F.element_at(F.array(*map(F.lit, PROVIDERS)), (F.col("event_id") % 7 + 1).cast("int"))
+    ws = F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("w"), s("user_id"))).alias("workspace_id")
+    tid, text = F.concat(F.lit("x"), s("event_id")).alias("external_thread_id"), F.col("event_type")
+    forms = {
+        "slack": F.struct(ws, tid, F.array(F.struct(F.lit("").alias("user"), text.alias("text"), s("value").alias("ts"))).alias("messages")),
+        "github": F.struct(ws, F.struct(s("event_id").alias("number"), text.alias("title"), F.col("props").alias("body"), F.struct(F.lit("ann").alias("login")).alias("user")).alias("issue"), F.struct(F.lit("o/r").alias("full_name")).alias("repository")),
+        "linear": F.struct(ws, F.struct(s("event_id").alias("id"), text.alias("description")).alias("data"), F.array(F.struct(F.lit("c").alias("userName"), F.col("props").alias("body"))).alias("comments")),
+        "zendesk": F.struct(ws, F.struct(s("event_id").alias("id"), text.alias("subject"), F.array(F.struct(F.col("props").alias("body"), F.lit(False).alias("public"))).alias("comments")).alias("ticket")),
+        "email": F.struct(ws, tid, text.alias("subject"), F.col("props").alias("body"), F.lit("me").alias("from")),
+        "database": F.struct(ws, tid, text.alias("notes")),
+        "direct_teach": F.struct(ws, tid, text.alias("title"), F.col("props").alias("description"), F.array(F.lit("a"), F.lit("b")).alias("steps")),
+    }
+    payload = F.coalesce(*[F.when(provider == k, F.to_json(v)) for k, v in forms.items()])
+    return e.select("event_id", provider.alias("provider"), F.col("ts").alias("received_at"), payload.alias("payload"))
+
+
+@query("normalize_threads", r"""
+WITH e AS (SELECT *, (event_id % 7)::INT AS p, ['slack','github','linear','zendesk','email','database','direct_teach'][(event_id % 7)::INT + 1] AS source FROM events WHERE event_id % 11 <> 0)
+SELECT 'w' || user_id AS workspace_id, source,
+  CASE p WHEN 1 THEN 'gh-o/r-' || event_id WHEN 2 THEN 'lin-' || event_id WHEN 3 THEN 'zen-ticket-' || event_id ELSE 'x' || event_id END AS external_thread_id,
+  CASE p WHEN 0 THEN 'general' WHEN 1 THEN 'o/r' WHEN 2 THEN 'unknown-team' WHEN 3 THEN 'support' WHEN 4 THEN event_type WHEN 5 THEN 'postgres' ELSE 'Tacit Knowledge' END AS channel_or_project,
+  CASE WHEN p IN (2, 3) THEN 2 ELSE 1 END AS n_messages,
+  CASE p WHEN 0 THEN 'Unknown' WHEN 1 THEN 'ann' WHEN 2 THEN 'author/c' WHEN 3 THEN 'Customer/Support Agent' WHEN 4 THEN 'me' WHEN 5 THEN 'Database Engineer' ELSE 'Senior Domain Expert' END AS users,
+  sha256(CASE p WHEN 0 THEN event_type WHEN 1 THEN event_type || chr(10) || props WHEN 2 THEN event_type || '/' || props
+    WHEN 3 THEN 'Subject: ' || event_type || chr(10) || '/' || props WHEN 4 THEN 'Subject: ' || event_type || chr(10) || props
+    WHEN 5 THEN 'Runbook: Operational Query Procedure' || chr(10) || 'Notes: ' || event_type || chr(10) || 'Queries: []'
+    ELSE 'EXPLICIT OPERATIONAL SOP DECREE: ' || event_type || chr(10) || 'Category: Operations' || chr(10) || 'Scenario: ' || props || chr(10) || chr(10) || 'Confirmed Steps:' || chr(10) || 'Step 1: a' || chr(10) || 'Step 2: b' END) AS text_hash
+FROM e""")
+def _(t):
+    good, _ = op.normalize_threads(_payloads(t))
+    m = F.col("messages")
+    return good.select("workspace_id", "source", "external_thread_id", "channel_or_project", F.size(m).alias("n_messages"), F.array_join(m["user"], "/").alias("users"), F.sha2(F.array_join(m["text"], "/"), 256).alias("text_hash"))
+
+
+@query("normalize_slack_event", r"""
+SELECT 'w' || user_id AS workspace_id, 'slack' AS source, 'slack:' || event_type || ':' || CASE WHEN event_id % 3 = 0 THEN 't' || user_id ELSE event_id::VARCHAR END AS external_thread_id,
+  event_type AS channel_or_project, 'u' || user_id AS "user", props AS text, event_id::VARCHAR AS "timestamp" FROM events WHERE event_id % 5 <> 0""")
+def _(t):
+    s = lambda c: F.col(c).cast("string")
+    event = F.struct(s("event_id").alias("ts"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("t"), s("user_id"))).alias("thread_ts"), F.col("event_type").alias("channel"), F.concat(F.lit("u"), s("user_id")).alias("user"), F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("text"))
+    return op.normalize_slack_event(t.events.select(F.concat(F.lit("w"), s("user_id")).alias("workspace_id"), F.to_json(F.struct(event.alias("event"))).alias("payload")))
+
+
+@query("event_timestamp", r"""
+SELECT event_id, CASE event_type WHEN 'click' THEN event_id::VARCHAR WHEN 'view' THEN 'i' || user_id WHEN 'error' THEN 'c' || event_id END AS event_ts FROM events""")
+def _(t):
+    s = lambda c: F.col(c).cast("string")
+    kind = F.col("event_type")
+    payload = F.when(kind == "click", F.to_json(F.struct(F.struct(s("event_id").alias("ts")).alias("event")))).when(kind == "view", F.to_json(F.struct(F.struct(F.concat(F.lit("i"), s("user_id")).alias("created_at")).alias("issue")))).otherwise(F.to_json(F.struct(F.concat(F.lit("c"), s("event_id")).alias("createdAt"))))
+    provider = F.when(kind == "click", "slack").when(kind == "view", "github").when(kind == "error", "linear").otherwise("email")
+    return t.events.select("event_id", op.event_timestamp(provider, payload).alias("event_ts"))
+
+
+@query("event_action", r"""
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_type = 'click' THEN 'sync_repository' WHEN event_type = 'view' THEN 'unmap_installation'
+  WHEN event_type = 'error' THEN 'sync_installation' WHEN event_type = 'purchase' THEN 'map_installation' END AS action,
+  CASE WHEN event_id % 10 <> 0 AND event_type = 'click' THEN 'b' || user_id END AS branch FROM events""")
+def _(t):
+    kind, s = F.col("event_type"), lambda c: F.col(c).cast("string")
+    name = F.when(kind == "click", "push").when(kind == "view", "repository").when(kind == "error", "installation_repositories").when(kind == "purchase", "installation").otherwise("star")
+    payload = F.to_json(F.struct(F.struct(F.when(F.col("event_id") % 10 != 0, s("user_id")).alias("id")).alias("installation"), F.struct(F.lit("o/r").alias("full_name")).alias("repository"), F.when(kind == "view", "deleted").when(kind == "purchase", "suspend").alias("action"), F.concat(F.lit("refs/heads/b"), s("user_id")).alias("ref")))
+    action, branch = op.event_action(name, payload)
+    return t.events.select("event_id", action.alias("action"), branch.alias("branch"))
+
+
+@query("repo_objects_to_documents", r"""
+WITH o AS (SELECT source AS repo, 'file' AS type, doc_id AS key, lang AS title, text AS body, NULL AS url FROM documents
+  UNION ALL SELECT 'web', 'wiki', page_id, '', NULL, url FROM pages UNION ALL SELECT 'bench', 'issue', item_id, 'Item ' || item_id, text, NULL FROM benchmark)
+SELECT 'github' AS source, repo || '/' || type || '/' || key AS external_id, type AS document_type, coalesce(title, '') AS title,
+  sha256(CASE WHEN coalesce(body, '') = '' THEN coalesce(title, '') ELSE coalesce(title, '') || chr(10) || chr(10) || body END) AS text_hash, url FROM o""")
+def _(t):
+    none = F.lit(None).cast("string")
+    rows = op.union_sources([
+        t.documents.select(F.col("source").alias("repo"), F.lit("file").alias("type"), F.col("doc_id").alias("key"), F.col("lang").alias("title"), F.col("text").alias("body"), none.alias("url")),
+        t.pages.select(F.lit("web").alias("repo"), F.lit("wiki").alias("type"), F.col("page_id").alias("key"), F.lit("").alias("title"), none.alias("body"), "url"),
+        t.benchmark.select(F.lit("bench").alias("repo"), F.lit("issue").alias("type"), F.col("item_id").alias("key"), F.concat(F.lit("Item "), F.col("item_id")).alias("title"), F.col("text").alias("body"), none.alias("url")),
+    ])
+    return op.repo_objects_to_documents(rows).withColumn("text_hash", F.sha2("text", 256)).drop("text")
+
+
+@query("indexable_paths", r"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]+://[^/]+/([^?#]*)', 1) AS raw FROM pages),
+ q AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN raw WHEN 1 THEN 'node_modules/' || raw || '.js' WHEN 2 THEN 'src/' || raw || '.py' WHEN 3 THEN raw || '.png' WHEN 4 THEN 'public/vendor/a.js' ELSE 'docs/package-lock.json' END AS path FROM p)
+SELECT page_id, path, ((page_id % 6 = 2 AND NOT ends_with(path, '/.py')) OR (page_id % 6 = 0 AND ends_with(path, '.html'))) AS indexable FROM q""")
+def _(t):
+    raw, k = F.regexp_extract("url", r"^[^:]+://[^/]+/([^?#]*)", 1), F.col("page_id") % 6
+    path = F.when(k == 0, raw).when(k == 1, F.concat(F.lit("node_modules/"), raw, F.lit(".js"))).when(k == 2, F.concat(F.lit("src/"), raw, F.lit(".py"))).when(k == 3, F.concat(raw, F.lit(".png"))).when(k == 4, "public/vendor/a.js").otherwise("docs/package-lock.json")
+    return t.pages.select("page_id", path.alias("path")).withColumn("indexable", op.indexable_path(F.col("path")))
+
+
+@query("content_addressed_objects", r"""
+SELECT 'raw/' || source || '/' || sha256(coalesce(text, '')) || CASE WHEN lang = 'en' THEN '.md' ELSE '.bin' END AS object_path, min(doc_id) AS owner, count(*) AS uploads FROM documents GROUP BY 1""")
+def _(t):
+    rows = t.documents.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("lang") == "en", "text/markdown").otherwise("x").alias("mime"))
+    return op.content_owners(rows, "source", "text", "mime", "doc_id")
+
+
+def _deliveries(t: Tables):
+    e = t.events.select(F.col("user_id").alias("ws"), "event_type", (F.col("event_id") % 3000).alias("ext"), F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH")).alias("at"), "props", "event_id")
+    return op.with_dedupe_key(e, "ws", "event_type", "ext", "at", "props")
+
+
+_KEYED = "SELECT *, sha256(user_id || ':' || event_type || ':' || (event_id % 3000) || ':' || CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d %H') ELSE sha256(props) END) AS dedupe_key FROM events"
+
+
+@query("dedupe_key", f"SELECT event_id, dedupe_key FROM ({_KEYED})")
+def _(t):
+    return _deliveries(t).select("event_id", "dedupe_key")
+
+
+@query("event_ledger_append", f"""
+WITH k AS ({_KEYED}), old AS (SELECT DISTINCT dedupe_key FROM k WHERE event_id % 4 = 0)
+SELECT dedupe_key, min(event_id) AS event_id FROM k WHERE event_id % 4 <> 0 AND dedupe_key NOT IN (SELECT dedupe_key FROM old) GROUP BY 1""")
+def _(t):
+    d = _deliveries(t)
+    old = d.filter("event_id % 4 = 0").select("dedupe_key").distinct()
+    return op.event_ledger_append(old, d.filter("event_id % 4 != 0"), "event_id").select("dedupe_key", "event_id")
+
+
+@query("idempotency_key", "SELECT event_id, sha256(user_id || ':' || CASE WHEN event_id % 2 = 0 THEN '' ELSE event_type END || ':' || props) AS key FROM events")
+def _(t):
+    return t.events.select("event_id", fn.idempotency_key(F.col("user_id"), F.when(F.col("event_id") % 2 != 0, F.col("event_type")), F.col("props")).alias("key"))
+
+
+@query("upsert_by_key", """
+WITH a AS (SELECT user_id, event_type, event_id, value, 0 AS n FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT user_id, event_type, event_id, value * 2, 1 FROM events WHERE event_id % 3 <> 1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC, n DESC) AS k FROM a)
+SELECT user_id, event_type, event_id, round(value, 6) AS value FROM r WHERE k = 1""")
+def _(t):
+    e = t.events.select("user_id", "event_type", "event_id", "value")
+    out = op.upsert_by_key(e.filter("event_id % 3 != 0"), e.filter("event_id % 3 != 1").withColumn("value", F.col("value") * 2), ["user_id", "event_type"], "event_id")
+    return out.withColumn("value", F.round("value", 6))
+
+
+@query("update_delete_by_key", """
+SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE NOT coalesce(o_totalprice < 20000, false)""")
+def _(t):
+    o = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    return op.update_delete_by_key(o, {"o_orderstatus": (F.col("o_orderpriority") == "1-URGENT", F.lit("X"))}, F.col("o_totalprice") < 20000).select("o_orderkey", "o_orderstatus")
+
+
+@query("quarantine_split", """
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'empty;' ELSE '' END || CASE WHEN n_chars < 200 THEN 'short;' ELSE '' END || CASE WHEN lang <> 'en' THEN 'lang;' ELSE '' END AS reasons
+FROM documents WHERE coalesce(text, '') = '' OR n_chars < 200 OR lang <> 'en'""")
+def _(t):
+    _, bad = op.quarantine_split(t.documents, {"empty": F.coalesce("text", F.lit("")) == "", "short": F.col("n_chars") < 200, "lang": F.col("lang") != "en"})
+    return bad.select("doc_id", F.concat(F.array_join("reasons", ";"), F.lit(";")).alias("reasons"))
+
+
+@query("acl_rows", """
+SELECT doc_id, unnest(CASE WHEN toxic = 1 THEN ['admin'] WHEN quality = 0 THEN ['admin', 'manager'] ELSE ['admin', 'member'] END) AS principal_id, 'role' AS principal_type, 'read' AS permission FROM labels""")
+def _(t):
+    roles = F.when(F.col("toxic") == 1, F.array(F.lit("admin"))).when(F.col("quality") == 0, F.array(F.lit("admin"), F.lit("manager"))).otherwise(F.array().cast("array<string>"))
+    return op.acl_rows(t.labels.withColumn("roles", roles), "doc_id", "roles")
+
+
+@query("thread_candidates", """
+SELECT conv_id, count(*) AS replies FROM conversations GROUP BY 1 HAVING count(*) >= 4 AND bool_or(regexp_matches(coalesce(text, ''), '(?i)rollback:|the|sop:'))""")
+def _(t):
+    return op.thread_candidates(t.conversations, "conv_id", ["turn"], "text", signals="(?i)rollback:|the|sop:")
+
+
+@query("execution_log_append", """
+SELECT 'u' || user_id AS actor, event_type AS action, 't' || (event_id % 10) AS target, CASE WHEN value > 50 THEN 'ok' ELSE 'failed' END AS status, '{"event_id":' || event_id || ',"props":"' || replace(props, '"', '\\"') || '"}' AS payload FROM events""")
+def _(t):
+    s = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    runs = t.events.select(s("u", F.col("user_id")).alias("actor"), F.col("event_type").alias("action"), s("t", F.col("event_id") % 10).alias("target"), F.when(F.col("value") > 50, "ok").otherwise("failed").alias("status"), "event_id", "props")
+    return op.execution_log(runs, "actor", "action", "target", "status", ["event_id", "props"])
+
+
+@query("tenant_lookup", "SELECT c_custkey, n_name AS workspace_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 4 <> 0")
+def _(t):
+    inst = t.nation.filter("n_nationkey % 4 != 0").select(F.lit("crm").alias("provider"), F.col("n_nationkey").alias("org"), F.col("n_name").alias("workspace_id"))
+    got, _ = op.tenant_lookup(t.customer.select("c_custkey", F.lit("crm").alias("provider"), F.col("c_nationkey").alias("org")), inst, ["provider", "org"])
+    return got.select("c_custkey", "workspace_id")
+
+
+@query("union_sources", """
+SELECT doc_id AS id, 'doc' AS kind, length(text) AS chars FROM documents UNION ALL SELECT page_id, 'page', length(html) FROM pages UNION ALL SELECT item_id, 'item', length(text) FROM benchmark""")
+def _(t):
+    return op.union_sources([df.select(F.col(k).alias("id"), F.lit(name).alias("kind"), F.length(c).cast("long").alias("chars")) for df, k, name, c in ((t.documents, "doc_id", "doc", "text"), (t.pages, "page_id", "page", "html"), (t.benchmark, "item_id", "item", "text"))])
+
+
+# ---- scalars ----
+
+
+@query("content_hash", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def _(t):
+    return t.documents.select("doc_id", fn.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("token_estimate", "SELECT doc_id, greatest(1, ceil(length(text) / 4.0))::BIGINT AS tokens FROM documents")
+def _(t):
+    return t.documents.select("doc_id", fn.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("fallback_id", """SELECT event_id, 'email-' || substr(sha256('{"subject":"' || event_type || '","n":' || event_id || '}'), 1, 24) AS id FROM events""")
+def _(t):
+    return t.events.select("event_id", fn.fallback_id("email", F.col("event_type").alias("subject"), F.col("event_id").alias("n")).alias("id"))
+
+
+@query("source_key", "SELECT doc_id, lang || ':' || source || ':' || doc_id AS key FROM documents")
+def _(t):
+    return t.documents.select("doc_id", fn.source_key(F.col("lang"), F.col("source"), F.col("doc_id").cast("string")).alias("key"))
+
+
+_ALIAS_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in fn.ALIASES.items()) + "}"
+_NAMES_SQL = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ' PG ' WHEN 1 THEN 'K8s  Cluster!' WHEN 2 THEN '???' ELSE p_name || ' #' || p_brand END AS name FROM part"
+_SLUG_SQL = r"regexp_replace(regexp_replace(lower(trim(name)), '[^a-z0-9\s_-]', '', 'g'), '\s+', '_', 'g')"
+_CANON_SQL = f"coalesce(({_ALIAS_SQL})[{_SLUG_SQL}], ({_ALIAS_SQL})[replace({_SLUG_SQL}, '_', ' ')], nullif({_SLUG_SQL}, ''), 'unnamed_entity')"
+
+
+def _names(t: Tables):
+    k = F.col("p_partkey") % 5
+    return t.part.select("p_partkey", F.when(k == 0, " PG ").when(k == 1, "K8s  Cluster!").when(k == 2, "???").otherwise(F.concat("p_name", F.lit(" #"), "p_brand")).alias("name"))
+
+
+@query("canonical_entity", f"SELECT p_partkey, {_CANON_SQL} AS canonical FROM ({_NAMES_SQL})")
+def _(t):
+    return _names(t).select("p_partkey", fn.canonical_entity(F.col("name")).alias("canonical"))
+
+
+@query("cosine", """
+SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS similarity
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def _(t):
+    e = t.embeddings
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(other, "vec_id").select("vec_id", F.round(fn.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
+@query("parse_vector", """
+SELECT vec_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings""")
+def _(t):
+    text = F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<double>").cast("array<string>"), ", "), F.lit(", x]"))
+    v = fn.parse_vector(text)
+    return t.embeddings.select("vec_id", F.size(v).cast("long").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@query("vector_valid", "SELECT vec_id, vec_id % 3 <> 0 AND len(embedding) = 64 AS valid FROM embeddings")
+def _(t):
+    v = F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    return t.embeddings.select("vec_id", fn.vector_valid(v, 64).alias("valid"))
+
+
+@query("time_decay", "SELECT o_orderkey, round(greatest(0.01, least(1.0, exp(-ln(2) / 30 * (epoch_us(TIMESTAMP '2001-08-02') - epoch_us(o_orderdate)) / 86400000000.0))), 6) AS decay FROM orders")
+def _(t):
+    return t.orders.select("o_orderkey", F.round(fn.time_decay(F.col("o_orderdate"), F.lit("2001-08-02").cast("timestamp")), 6).alias("decay"))
+
+
+@query("llm_cost", """
+WITH m AS (SELECT *, ['gpt-4o-mini', 'gemini-pro', 'llama-3', 'own', 'gpt-4'][(event_id % 5)::INT + 1] AS model, (value * 10000)::BIGINT AS p FROM events)
+SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 0 ELSE floor((p * [250, 125, 20, 50, 3000][(event_id % 5)::INT + 1] + event_id * [1000, 500, 80, 150, 6000][(event_id % 5)::INT + 1]) / 1000000.0 + 0.5) END::BIGINT AS cents FROM m""")
+def _(t):
+    model = F.element_at(F.array(*map(F.lit, ["gpt-4o-mini", "gemini-pro", "llama-3", "own", "gpt-4"])), (F.col("event_id") % 5 + 1).cast("int"))
+    return t.events.select("event_id", fn.llm_cost(F.when(F.col("user_id") % 10 == 0, "ollama").otherwise("x"), model, F.round(F.col("value") * 10000).cast("long"), F.col("event_id")).alias("cents"))
+
+
+def _redact_sql(expr: str) -> str:
+    for p in fn.SECRET_PATTERNS:
+        expr = f"regexp_replace({expr}, '" + p.replace("'", "''") + "', '[REDACTED]', 'g')"
+    return expr
+
+
+@query("redact_text", "SELECT doc_id, sha256(" + _redact_sql("text || ' Bearer abcdefghijk' || doc_id") + ") AS redacted FROM documents")
+def _(t):
+    return t.documents.select("doc_id", F.sha2(fn.redact_text(F.concat("text", F.lit(" Bearer abcdefghijk"), F.col("doc_id"))), 256).alias("redacted"))
+
+
+@query("redact_map", "SELECT event_id, '[REDACTED]' AS a, CASE WHEN event_id % 2 = 0 THEN '[REDACTED]' ELSE event_type END AS b FROM events")
+def _(t):
+    b = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("token=abcdef"), F.col("event_id"))).otherwise(F.col("event_type"))
+    m = fn.redact_map(F.create_map(F.lit("X-Api-Key"), F.col("props"), F.lit("note"), b))
+    return t.events.select("event_id", m["X-Api-Key"].alias("a"), m["note"].alias("b"))
+
+
+@query("transcript", "SELECT conv_id, sha256(string_agg('[' || role || ']: ' || coalesce(text, ''), chr(10) ORDER BY turn)) AS hash FROM conversations GROUP BY 1")
+def _(t):
+    from corpusspark.operators.documents import transcript
+
+    return transcript(t.conversations, "conv_id", ["turn"], "role", "text").select("conv_id", F.sha2("transcript", 256).alias("hash"))
+
+
+@query("strip_json_fence", "SELECT event_id, props AS json FROM events")
+def _(t):
+    fenced = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```  "))
+    return t.events.select("event_id", fn.strip_json_fence(F.when(F.col("event_id") % 2 == 0, fenced).otherwise(F.col("props"))).alias("json"))
+
+
+@query("keyword_vector", """
+SELECT p_partkey, list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_name || ' of ' || p_type || ' ' || p_brand), '([a-z0-9]+)', 1), lambda x: x NOT IN ('a','an','and','the','of','to','in','is','or','for')))) AS keywords FROM part""")
+def _(t):
+    return t.part.select("p_partkey", fn.keyword_vector(F.concat("p_name", F.lit(" of ")), F.col("p_type"), F.col("p_brand")).alias("keywords"))
+
+
+def _ip(e):
+    b = lambda d: (F.floor(F.col("event_id") / d) % 256).cast("string")
+    return F.when(F.col("event_id") % 97 == 0, "bad").otherwise(F.concat_ws(".", F.when(F.col("user_id") % 2 == 0, "192").otherwise("8"), F.when(F.col("user_id") % 3 == 0, "168").otherwise("9"), b(256), b(1)))
+
+
+_IP_SQL = "SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'bad' ELSE CASE WHEN user_id % 2 = 0 THEN '192' ELSE '8' END || '.' || CASE WHEN user_id % 3 = 0 THEN '168' ELSE '9' END || '.' || (event_id // 256) % 256 || '.' || event_id % 256 END AS ip FROM events"
+
+
+@query("cidr_allow", f"SELECT event_id, ip <> 'bad' AND ((starts_with(ip, '192.168.') AND split_part(ip, '.', 3)::INT BETWEEN 0 AND 7) OR starts_with(ip, '8.9.')) AS allowed FROM (SELECT event_id, ip FROM ({_IP_SQL}) WHERE ip <> 'bad' UNION ALL SELECT event_id, '0.0.0.0' FROM ({_IP_SQL}) WHERE ip = 'bad')")
+def _(t):
+    return t.events.select("event_id", fn.cidr_allow(_ip(t.events), ["192.168.0.0/21", "8.9.0.0/16", "nonsense/8"]).alias("allowed"))
+
+
+@query("blocked_ip", f"SELECT event_id, ip = 'bad' OR starts_with(ip, '192.168.') AS blocked FROM ({_IP_SQL})")
+def _(t):
+    return t.events.select("event_id", fn.blocked_ip(_ip(t.events)).alias("blocked"))
+
+
+@query("disambiguate_triple", f"SELECT p_partkey, {_CANON_SQL} AS subject, p_brand AS raw_object, lower(regexp_replace(p_brand, '#', '')) AS object FROM (SELECT n.p_partkey, n.name, part.p_brand FROM ({_NAMES_SQL}) n JOIN part USING (p_partkey))")
+def _(t):
+    from corpusspark.operators.graph import disambiguate_triple
+
+    rows = _names(t).join(t.part.select("p_partkey", F.col("p_brand").alias("object")), "p_partkey").withColumnRenamed("name", "subject")
+    return disambiguate_triple(rows).select("p_partkey", "subject", F.col("metadata")["raw_object"].alias("raw_object"), "object")
+
+
+@query("rows_to_text", "SELECT p_partkey, 'row ' || p_partkey || ': name: ' || p_name || ' | col_2: ' || p_brand || ' | size: ' || p_size AS line FROM part")
+def _(t):
+    from corpusspark.operators.documents import rows_to_text
+
+    return t.part.select("p_partkey", rows_to_text(F.array(F.lit("name"), F.lit(" "), F.lit("type"), F.lit("size")), F.array(F.col("p_name"), F.col("p_brand"), F.lit(""), F.col("p_size").cast("string")), F.col("p_partkey")).alias("line"))
+
+
+@query("tabular_to_markdown", """
+SELECT p_partkey, 'Parts' || chr(10) || '| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | ' || p_size || ' |' || chr(10) || 'end' AS markdown, 1 AS tables FROM part""")
+def _(t):
+    from corpusspark.operators.documents import tabular_to_markdown
+
+    md, n = tabular_to_markdown(F.concat(F.lit("Parts \nname\tsize\n"), F.col("p_name"), F.lit("   "), F.col("p_size"), F.lit("\nend")))
+    return t.part.select("p_partkey", md.alias("markdown"), n.alias("tables"))
