@@ -57,7 +57,7 @@ def sparse_leg(rows: DataFrame, phrase: str, limit: int, fields: list[str], ids:
 
 def rerank(fused: DataFrame, query: str, top: int = 5, key: str = "id", order: list[Column] | None = None) -> DataFrame:
     """The top rows of a limited fused list (key, title, trigger_condition, category, score) by term overlap."""
-    order = order or [F.desc("score"), F.asc("dense_rank"), F.asc("sparse_rank"), F.asc(key)]
+    order = order or [F.desc("score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("sparse_rank"), F.asc(key)]
     from pyspark.sql.window import Window
 
     one = Window.partitionBy(F.lit(0))
