@@ -1,0 +1,81 @@
+"""Patterns against plain regular expressions, and the field."""
+
+import re
+import time
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from corpusspark.llm import pii as op
+
+
+@pytest.fixture(scope="module")
+def field():
+    return op.train()
+
+
+def plain(text):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m)) <= 19 and op.luhn(digits(m))]
+    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15]
+    return out
+
+
+PARTS = ["a.b", "@", ".", "c-d", "1", "25", "256", "10.0.0.1", "4111111111111111", "4111 1111-1111 1111", "+1", " (555) ", "-", " ", "x@y.z", "+44 20 7946 0958", "ü", "\n", "_%"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=14).map("".join))
+def test_patterns(text):
+    assert op.pattern_spans(text) == plain(text)
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 100_000, "+1" * 100_000, "+1" + " " * 200_000, "1 " * 150_000])
+def test_patterns_take_linear_time(text):
+    began = time.time()
+    op.pattern_spans(text)
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize(("text", "kind", "span"), [
+    ("my ssn is 123-45-6789 ok", "ssn", "123-45-6789"), ("call (555) 123-4567 now", "phone", "(555) 123-4567"), ("IBAN DE89 3704 0044 0532 0130 00 end", "iban", "DE89 3704 0044 0532 0130 00"),
+    ("x password=5567e50916673c4235 im", "secret", "password=5567e50916673c4235"),
+])
+def test_field_adds(field, text, kind, span):
+    at = text.index(span)
+    assert (kind, at, at + len(span)) in op.find_spans(text, field)[1]
+
+
+@pytest.mark.parametrize("text", ["in 1999 the 12 men paid $300.00 on 2024-01-05", "version 1.2.3 page 45", "no digits at all", "", "@", "chapter 12, verse 3"])
+def test_field_leaves_others(field, text):
+    assert op.find_spans(text, field)[1] == []
+
+
+def test_best_segments_by_brute_force(field):
+    import numpy as np
+
+    for text in ["tel (555) 123-4567 x", "ssn 123-45-6789", "a1 b2"]:
+        tokens = op.TOKEN.findall(text)
+        starts, ends, rows = op.lattice(tokens, field.features)
+        top = [float(np.max(field.weights[r].sum(axis=0))) - op.MARGIN for r in rows]
+
+        def best(at, starts=starts, ends=ends, top=top, n=len(tokens)):
+            if at == n:
+                return 0.0
+            return max([best(at + 1), *(top[k] + best(int(ends[k])) for k in range(len(top)) if starts[k] == at and top[k] > 0)])
+
+        got = field.decode(text)
+        at = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).tolist()
+        score = sum(top[next(k for k in range(len(top)) if at[starts[k]] == s and at[ends[k]] == e)] for _, s, e in got)
+        assert abs(score - best(0)) < 1e-9
+
+
+def test_rows(spark):
+    rows = [(1, "a@b.co and a@b.co", "x"), (1, "a@b.co and a@b.co", "x"), (2, None, "x"), (3, "", "x"), (None, "10.0.0.1", "x")]
+    got = [(r.doc_id, [tuple(s) for s in r.spans]) for r in op.detect(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()]
+    mail = [("email", 0, 6), ("email", 11, 17)]
+    assert got == [(1, mail), (1, mail), (2, []), (3, []), (None, [("ip", 0, 8)])]
+    assert op.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
