@@ -1,16 +1,23 @@
 """Similarity join of documents on word shingles, by token-combination prefixes.
 
-A document is the set of hashes of its k-word shingles. Tokens have one order everywhere: rare ones
-first, then frequent ones (FREQUENT or more sets have them among their index tokens), each by hash.
-With Jaccard similarity t, at most e = n - ceil(t n) of a set's n tokens are missing in a partner. A
-prefix of e + 1 rare tokens therefore shares a single token with the partner's. Where frequent tokens
-are needed, they fall into sub-classes, the prefix is extended until
+A document is the set of hashes of its k-word shingles. With Jaccard similarity t, at most
+e = n - ceil(t n) of a set's n tokens are missing in a partner. The first tokens of a set by hash are
+its index tokens; a token that FREQUENT or more sets have among theirs is frequent, others are rare.
 
-    rare tokens + sum over sub-classes of (tokens in it - 1) > e,
+- A set with e + 1 rare tokens among its first index tokens has these as its prefix, and any partner
+  has one of them: it is indexed by single rare tokens. Index tokens reach far enough down that a
+  partner, which may be somewhat larger, has that token among its own index tokens.
+- The other sets, which consist of frequent tokens for the most part, are joined with each other by
+  extended prefixes. Their tokens are counted among them; the u tokens of a set that no other has
+  are missing in any partner. The others are ordered by count, and the prefix is extended until
 
-and partners must then share a rare token or two tokens of one sub-class: single rare tokens and pairs
-of frequent tokens are indexed. Sub-classes depend on a size band; a set indexes its pairs for every
-band in which a partner of its can lie. No link is lost, whichever tokens are called frequent.
+      rare tokens + sum over sub-classes of frequent tokens of (tokens in it - 1) > e - u,
+
+  so that partners must share a rare token or two tokens of one sub-class: single rare tokens and
+  pairs of frequent tokens are indexed. Sub-classes depend on a size band; a set indexes its pairs for
+  every band in which a partner of its can lie. Of two such sets, at most min(n - u) tokens are common.
+
+No link is lost, whichever tokens are called frequent.
 
 Equal sets are one representative from the start. Buckets of the index are not expanded into pairs:
 each set first meets the one smallest member that it shares most buckets with, sets with frequent tokens
@@ -35,13 +42,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusspark.llm.common import BROADCAST_ROWS, join_per_key, materialise, table, union_all
+from corpusspark.llm.common import BROADCAST_ROWS, batches_of, join_per_key, materialise, table, union_all
 from corpusspark.llm.textops import U64, chunks, hashes, mix, shingles, utf8, words
 
 #: Sets that have a token among their index tokens, from which it counts as frequent.
 FREQUENT = 12
-#: Index tokens of a set: so many times its prefix, and so many more.
-POOL, POOL_MORE = 1.3, 8
+#: The first index tokens of a set: on average so many times its prefix, so many deviations, and so many more.
+POOL, POOL_DEVIATIONS, POOL_MORE = 1.2, 2.5, 6
 #: Tokens of a size band for each sub-class of frequent tokens.
 PER_CLASS = 12
 
@@ -58,8 +65,16 @@ class Threshold:
         """Tokens of a set of n that a partner may lack."""
         return n - -(-self.num * n // self.den)
 
-    def pool(self, n):
-        return np.minimum(n, np.ceil(POOL * (self.missing(n) + 2)).astype(np.int64) + POOL_MORE)
+    def bound(self, n: np.ndarray) -> np.ndarray:
+        """The hash below which the first index tokens of a set of n tokens lie; it falls as n grows."""
+        prefix = (1 - self.num / self.den) * n + 2
+        share = np.minimum(1.0, (POOL * prefix + POOL_DEVIATIONS * np.sqrt(prefix) + POOL_MORE) / np.maximum(n, 1))
+        return np.where(share >= 1, 2.0**63, (share - 0.5) * 2.0**64)
+
+    def room(self, n: str, m: str, a: str, b: str) -> str:
+        """SQL: whether sets of n and m tokens of which a and b may be common can be linked."""
+        least = f"least({a}, {b})"
+        return f"({self.den} * {least} >= {self.num} * ({n} + {m} - {least}))"
 
     def possible(self, shared: str, n: str, m: str) -> str:
         """SQL: whether sets of n and m tokens whose prefixes of rare tokens share so many may be linked."""
@@ -92,7 +107,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.n
 
 
 def index_tokens(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """doc_id, n, two halves of the set's digest, and its index tokens: the smallest hashes in order."""
+    """doc_id, n, two halves of the set's digest, its index tokens in order, and how many of them are the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,14 +118,18 @@ def index_tokens(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
                 for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
                     sums = np.concatenate((np.zeros(1, dtype=U64), np.cumsum(mix(u ^ U64(salt)), dtype=U64)))
                     halves.append((sums[begin[1:]] - sums[begin[:-1]]).view(np.int64))
-                size = t.pool(n)
+                # Tokens below each set's bounds: its first index tokens, and all that a partner's first may be.
+                row = np.repeat(np.arange(len(n)), n)
+                low = token.astype(np.float64)
+                own = np.bincount(row, low < t.bound(n)[row], len(n)).astype(np.int64)
+                size = np.bincount(row, low < t.bound(n * t.num // t.den)[row], len(n)).astype(np.int64)
                 at = np.concatenate(([0], np.cumsum(size)))
                 pick = np.repeat(begin[:-1] - at[:-1], size) + np.arange(at[-1])
                 pool = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(token[pick]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), pa.array(n), *map(pa.array, halves), pool], ["doc_id", "n", "d1", "d2", "pool"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), pa.array(n), *map(pa.array, halves), pool, pa.array(own)], ["doc_id", "n", "d1", "d2", "pool", "own"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, pool array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, pool array<long>, own long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -128,10 +147,14 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, tokens binary")
 
 
-def signatures(token: np.ndarray, frequent: np.ndarray, t: Threshold) -> np.ndarray:
-    """All signatures of one set, given its sorted tokens and which of them are frequent."""
-    n = len(token)
-    need = t.missing(n) + 1
+def signatures(token: np.ndarray, count: np.ndarray, n: int, t: Threshold) -> np.ndarray:
+    """All signatures of a set of n tokens, given those that other sets of the join have too, and in how many
+    sets each is. Empty if too many of the set's tokens are its own for it to have a partner."""
+    need = t.missing(n) - (n - len(token)) + 1
+    if need < 1:
+        return np.zeros(0, dtype=np.int64)
+    order = np.lexsort((token, count))
+    token, frequent = token[order], count[order] >= FREQUENT
     rare = token[~frequent]
     if len(rare) >= need:
         return rare[:need]
@@ -150,61 +173,52 @@ def signatures(token: np.ndarray, frequent: np.ndarray, t: Threshold) -> np.ndar
             same = np.flatnonzero(sorted_class[gap:] == sorted_class[:-gap]) if gap < stop else np.zeros(0, dtype=int)
             if not len(same):
                 break
-            out.append(mix(sorted_token[same] * U64(3) + sorted_token[same + gap] * U64(0x9E3779B97F4A7C15) + U64(band + 1)).view(np.int64))
+            a, b = sorted_token[same], sorted_token[same + gap]
+            out.append(mix(np.minimum(a, b) * U64(3) + np.maximum(a, b) * U64(0x9E3779B97F4A7C15) + U64(band + 1)).view(np.int64))
             gap += 1
     return np.concatenate(out)
 
 
 def index(docs: DataFrame, reps: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """sig, id, short: the signatures of all representatives that may share one, and whether the set needs
-    frequent tokens."""
-    tokens = reps.select("id", "n", F.size("pool").alias("m"), F.posexplode("pool").alias("pos", "token"))
+    """sig, id, short, most: the signatures that representatives (id, n, own, pool) may share, whether a set
+    needs frequent tokens, and how many of its tokens another such set may have."""
+    tokens = reps.select("id", "n", "own", F.posexplode("pool").alias("pos", "token"))
     shared = materialise(tokens.groupBy("token").count().filter("count > 1"), "shared", free=True)
-    few = shared.count() <= BROADCAST_ROWS
-    met = tokens.join(F.broadcast(shared) if few else shared.hint("merge"), "token").withColumn("often", (F.col("count") >= FREQUENT).cast("int"))
+    met = tokens.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared.hint("merge"), "token").withColumn("often", (F.col("count") >= FREQUENT).cast("int"))
     own = Window.partitionBy("id")  # at most the index tokens of one set
-    met = met.withColumns({"before": F.sum("often").over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), "all_often": F.sum("often").over(own)})
     need = F.expr(f"n - (n * {t.num} + {t.den - 1}) div {t.den} + 1")
-    met = materialise(met.withColumn("short", F.col("m") - F.col("all_often") < need).withColumn("rank", F.col("pos") - F.coalesce("before", F.lit(0))).select("id", "token", "short", "rank", "often", need.alias("need")), "met", free=True)
-    single = met.filter("not short and often = 0 and rank < need").select(F.col("token").alias("sig"), "id", F.lit(False).alias("short"))
-    short = materialise(met.filter("short").select(F.col("id").alias("doc_id")).distinct(), "short")
-    if not short.head(1):
-        return single
-    often = shared.filter(F.col("count") >= FREQUENT).select("token")
-    sets = full_sets(docs, short, k)
-    if often.count() <= BROADCAST_ROWS:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.collect()], dtype=np.int64)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            keys = known.value
-            for pdf in batches:
-                for doc_id, raw in zip(pdf["doc_id"], pdf["tokens"], strict=True):
-                    token = np.frombuffer(raw, dtype=np.int64)
-                    if len(token):
-                        mask = keys[np.minimum(np.searchsorted(keys, token), len(keys) - 1)] == token if len(keys) else np.zeros(len(token), dtype=bool)
-                        sig = np.unique(signatures(token, mask, t))
-                        yield pd.DataFrame({"sig": sig, "id": np.full(len(sig), doc_id)})
-
-        pairs = sets.mapInPandas(run, "sig long, id long")
-    else:
-        def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for doc_id, flagged in zip(pdf["doc_id"], pdf["flagged"], strict=True):
-                    token = np.array([x["token"] for x in flagged], dtype=np.int64)
-                    sig = np.unique(signatures(token, np.array([x["often"] for x in flagged], dtype=bool), t))
-                    yield pd.DataFrame({"sig": sig, "id": np.full(len(sig), doc_id)})
-
-        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for doc_id, raw in zip(pdf["doc_id"], pdf["tokens"], strict=True):
-                    token = np.frombuffer(raw, dtype=np.int64)
-                    yield pd.DataFrame({"doc_id": np.full(len(token), doc_id), "token": token})
-
-        rows = sets.mapInPandas(spread, "doc_id long, token long")
-        rows = rows.join(often.withColumn("often", F.lit(True)).hint("merge"), "token", "left").withColumn("often", F.coalesce("often", F.lit(False)))
-        rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("token", "often"))).alias("flagged"))  # one set
-        pairs = rows.mapInPandas(run_joined, "sig long, id long")
-    return single.unionByName(pairs.withColumn("short", F.lit(True)))
+    met = met.withColumns({
+        "before": F.coalesce(F.sum("often").over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "all_often": F.sum(F.when(F.col("pos") < F.col("own"), F.col("often")).otherwise(0)).over(own), "need": need,
+    }).withColumn("short", F.col("own") - F.col("all_often") < F.col("need"))
+    met = materialise(met.filter("short or often = 0").select("id", "n", "token", "short", (F.col("pos") - F.col("before")).alias("rank"), "often", "need", (F.col("pos") < F.col("own")).alias("first")), "met", free=True)
+    few = reps.filter(F.col("own") < need).select(F.col("id").alias("doc_id"))
+    short = materialise(met.filter("short").select(F.col("id").alias("doc_id")).union(few).distinct(), "short")
+    # Rare tokens: of other sets their prefix, of short sets all that may be in another's prefix.
+    single = met.filter("often = 0 and (short or (first and rank < need))").select(F.col("token").alias("sig"), "id", "short", F.col("n").alias("most"))
+    sets = materialise(full_sets(docs, short, k), "short_sets")
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc_id, raw in zip(pdf["doc_id"], pdf["tokens"], strict=True):
+                token = np.frombuffer(raw, dtype=np.int64)
+                yield pd.DataFrame({"doc_id": np.full(len(token), doc_id), "n": len(token), "token": token})
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc_id, n, token, count in zip(pdf["doc_id"], pdf["n"], pdf["token"], pdf["count"], strict=True):
+                sig = np.unique(signatures(np.asarray(token, dtype=np.int64), np.asarray(count, dtype=np.int64), int(n), t))
+                yield pd.DataFrame({"sig": sig, "id": np.full(len(sig), doc_id), "most": np.full(len(sig), len(token))})
+
+    rows = sets.mapInPandas(spread, "doc_id long, n long, token long")
+    common = materialise(rows.groupBy("token").count().filter("count > 1"), "common", free=True)
+    rows = rows.join(F.broadcast(common) if common.count() <= BROADCAST_ROWS else common.hint("merge"), "token")
+    rows = rows.groupBy("doc_id", "n").agg(F.collect_list(F.struct("token", "count")).alias("c")).select("doc_id", "n", "c.token", "c.count")  # one set
+    pairs = materialise(rows.mapInPandas(sign, "sig long, id long, most long"), "combinations", free=True)
+    most = pairs.groupBy("id").agg(F.max("most").alias("m"))
+    # A set with too many tokens of its own has no partner among the short ones, but may have one among the others.
+    single = single.join(most.hint("merge"), "id", "left").withColumn("most", F.when(F.col("short"), F.coalesce("m", F.lit(0))).otherwise(F.col("most"))).drop("m")
+    return single.unionByName(pairs.withColumn("short", F.lit(True)).select("sig", "id", "short", "most"))
 
 
 class Sets:
@@ -224,27 +238,48 @@ class Sets:
         return self.known
 
 
+#: Sets in one block: each set meets a block's others in one task.
+BLOCK = 256
+#: Sets that cross to a Python worker at once.
+BATCH = 500
+
+
 def verified(pairs: DataFrame, known: Sets, t: Threshold) -> DataFrame:
-    """The pairs a, b of a written table that are linked."""
+    """The pairs a, b of a written table that are linked.
+
+    Sets are dealt to blocks; a set travels once to each pair of blocks in which it has pairs, not once a pair."""
     if not pairs.head(1):
         return pairs
     sets = known.of(pairs)
-    a = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
+    blocks = max(1, known.known.count() // BLOCK)
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    pairs = pairs.withColumn("g", F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b")))
+    wanted = pairs.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    rows = wanted.join(sets.select("doc_id", "tokens").hint("merge"), "doc_id").select("g", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
+    rows = rows.unionByName(pairs.select("g", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens")))
+    rows = rows.repartition("g").sortWithinPartitions("g", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, {}
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["ta"], pdf["tb"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
+            found = []
+            for g, kind, a, b, tokens in zip(pdf["g"].array, pdf["kind"].array, pdf["a"].array, pdf["b"].array, pdf["tokens"].array, strict=True):
+                if g != at:
+                    at, held = g, {}
+                if kind == 0:
+                    held[int(a)] = np.frombuffer(tokens, dtype=np.int64)
+                    continue
+                x, y = held[int(a)], held[int(b)]
                 if len(x) > len(y):
                     x, y = y, x
                 common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(t.linked(common, len(x), len(y)))
-            yield pdf.loc[keep, ["a", "b"]]
+                if t.linked(common, len(x), len(y)):
+                    found.append((int(a), int(b)))
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
 
-    joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a")
-    return materialise(joined.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "linked", free=True)
+    with batches_of(pairs.sparkSession, BATCH):
+        return materialise(rows.mapInPandas(run, "a long, b long"), "linked", free=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -286,19 +321,24 @@ def link(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of doc_id and text."""
     every = materialise(index_tokens(docs, k, t), "sets")
     some = every.filter("n > 0 and doc_id is not null")
-    classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "pool")).alias("r"), F.count(F.lit(1)).alias("w"))
-    classes = materialise(classes.select("d1", "d2", "w", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.pool").alias("pool")), "classes", free=True)
-    sigs = index(docs, classes.select("id", "n", "pool"), k, t)
+    classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "own", "pool")).alias("r"), F.count(F.lit(1)).alias("w"))
+    classes = materialise(classes.select("d1", "d2", "w", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.own").alias("own"), F.col("r.pool").alias("pool")), "classes", free=True)
+    sigs = index(docs, classes.select("id", "n", "own", "pool"), k, t)
     sigs = materialise(sigs.join(classes.select("id", "n").hint("merge"), "id"), "signatures", free=True)
-    me = F.struct("id", "n", "short")
+    me = F.struct("id", "n", "short", "most")
     buckets = materialise(sigs.groupBy("sig").agg(F.min(me).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
     members = materialise(join_per_key(sigs, buckets, ["sig"], "c"), "members", free=True)
-    fits = lambda n, m: f"{n} * {t.den} >= {m} * {t.num} and {m} * {t.den} >= {n} * {t.num}"
     sets = Sets(docs, k)
 
+    def may(n: str, short: str, most: str, m: str, m_short: str, m_most: str, shared: str | None = None) -> str:
+        """SQL: whether two sets may be linked, by their sizes, their common tokens at most, and their shared buckets."""
+        fits = f"{n} * {t.den} >= {m} * {t.num} and {m} * {t.den} >= {n} * {t.num}"
+        both = f"(not ({short} and {m_short}) or {t.room(n, m, most, m_most)})"
+        return f"{fits} and {both}" + (f" and ({short} or {m_short} or {t.possible(shared, n, m)})" if shared else "")
+
     # The smallest members that a set meets, and in how many buckets.
-    met = members.filter("p.id != id").groupBy("id", "n", "short", "p").agg(F.count(F.lit(1)).alias("shared"))
-    met = met.filter(fits("n", "p.n")).filter(f"short or p.short or {t.possible('shared', 'n', 'p.n')}")
+    met = members.filter("p.id != id").groupBy("id", "n", "short", "most", "p").agg(F.count(F.lit(1)).alias("shared"))
+    met = met.filter(may("n", "short", "most", "p.n", "p.short", "p.most", "shared"))
     met = materialise(met.select("id", "short", F.col("p.id").alias("a"), F.col("p.short").alias("a_short"), "shared"), "met", free=True)
     # One comparison for each set; then, for sets with frequent tokens, with the others in other components.
     best = met.groupBy("id").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), F.col("id").alias("b"))
@@ -307,13 +347,13 @@ def link(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     apart = _label_of(_label_of(apart, label, "a", "la"), label, "b", "lb").filter("la != lb").select("a", "b")
     label = _merge(label, verified(materialise(apart, "pairs", free=True), sets, t))
     # Last, all that share a bucket and are in different components.
-    named = materialise(_label_of(members.select("sig", "id", "n", "short"), label, "id", "l"), "named", free=True)
+    named = materialise(_label_of(members.select("sig", "id", "n", "short", "most"), label, "id", "l"), "named", free=True)
     mixed = named.groupBy("sig").agg(F.min("l").alias("l0"), F.max("l").alias("l1"), F.count(F.lit(1)).alias("c")).filter("l0 != l1")
-    mixed = materialise(join_per_key(named, materialise(mixed.select("sig", "c"), "mixed"), ["sig"], "c").select("sig", "id", "n", "short", "l"), "mixed_members", free=True)
-    other = mixed.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("short").alias("a_short"), F.col("l").alias("la"))
-    rest = mixed.join(other.hint("merge"), "sig").filter(f"a < id and la != l and {fits('n', 'na')}")
-    rest = rest.groupBy("a", F.col("id").alias("b"), "n", "na", (F.col("short") | F.col("a_short")).alias("short")).agg(F.count(F.lit(1)).alias("shared"))
-    rest = materialise(rest.filter(f"short or {t.possible('shared', 'n', 'na')}").select("a", "b"), "pairs", free=True)
+    mixed = materialise(join_per_key(named, materialise(mixed.select("sig", "c"), "mixed"), ["sig"], "c").drop("c"), "mixed_members", free=True)
+    other = mixed.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("short").alias("sa"), F.col("most").alias("ma"), F.col("l").alias("la"))
+    rest = mixed.alias("x").join(other.hint("merge").alias("y"), F.expr(f"x.sig = y.sig and a < id and la != l and {may('n', 'short', 'most', 'na', 'sa', 'ma')}"))
+    rest = rest.groupBy("a", F.col("id").alias("b"), "n", "na", (F.col("short") | F.col("sa")).alias("either")).agg(F.count(F.lit(1)).alias("shared"))
+    rest = materialise(rest.filter(f"either or {t.possible('shared', 'n', 'na')}").select("a", "b"), "pairs", free=True)
     label = _merge(label, verified(rest, sets, t))
 
     named = _label_of(classes.select("d1", "d2", "w", "id"), label, "id", "component_id").select("d1", "d2", "w", "component_id")
