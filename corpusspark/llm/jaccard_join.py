@@ -24,7 +24,8 @@ each set first meets the one smallest member that it shares most buckets with, s
 also the other smallest members; links found are contracted to components, and members of different
 components that still share a bucket are compared last. Two sets indexed by rare tokens alone whose
 prefixes share c tokens can have c and what lies beyond a prefix in common at most; where that is too
-little they aren't compared. All comparisons are exact. Every stage is a table in the shared folder.
+little they aren't compared. Nor are sets whose parity bitmaps differ in too many bits: tokens flip one of
+64 WORDS bits, so at least as many tokens as bits are in one set alone. All comparisons are exact. Every stage is a table in the shared folder.
 
 Edge cases: a null or empty text has no shingles and is alone; fewer than k words are one shingle; rows
 with the same doc_id are one document of possibly several sets; a null doc_id is linked with nothing and
@@ -49,6 +50,8 @@ from corpusspark.llm.textops import U64, chunks, hashes, mix, shingles, utf8, wo
 FREQUENT = 12
 #: The first index tokens of a set: on average so many times its prefix, so many deviations, and so many more.
 POOL, POOL_DEVIATIONS, POOL_MORE = 1.2, 2.5, 6
+#: Words of 64 bits of a set's parity bitmap.
+WORDS = 8
 #: Tokens of a size band for each sub-class of frequent tokens.
 PER_CLASS = 12
 
@@ -82,6 +85,12 @@ class Threshold:
         most = f"({shared} + greatest({beyond(n)}, {beyond(m)}))"
         return f"({self.den} * {most} >= {self.num} * ({n} + {m} - {most}))"
 
+    def alike(self, n: str, m: str, x: str, y: str) -> str:
+        """SQL: whether sets of n and m tokens with the parity bitmaps x and y may be linked."""
+        apart = " + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(WORDS))
+        most = f"(({n} + {m} - ({apart})) div 2)"
+        return f"({self.den} * {most} >= {self.num} * ({n} + {m} - {most}))"
+
     def linked(self, common, a, b):
         return self.den * common >= self.num * (a + b - common)
 
@@ -107,7 +116,8 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.n
 
 
 def index_tokens(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """doc_id, n, two halves of the set's digest, its index tokens in order, and how many of them are the first."""
+    """doc_id, n, two halves of the set's digest, its index tokens in order, how many of them
+    are the first, and its parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,15 +131,19 @@ def index_tokens(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
                 # Tokens below each set's bounds: its first index tokens, and all that a partner's first may be.
                 row = np.repeat(np.arange(len(n)), n)
                 low = token.astype(np.float64)
+                flips = np.zeros(len(n) * WORDS, dtype=U64)
+                bit = mix(u ^ U64(0xA0761D6478BD642F))
+                np.bitwise_xor.at(flips, row * WORDS + (bit >> U64(6) & U64(WORDS - 1)).astype(np.int64), U64(1) << (bit & U64(63)))
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flips) + 1, WORDS, dtype=np.int32)), pa.array(flips.view(np.int64)))
                 own = np.bincount(row, low < t.bound(n)[row], len(n)).astype(np.int64)
                 size = np.bincount(row, low < t.bound(n * t.num // t.den)[row], len(n)).astype(np.int64)
                 at = np.concatenate(([0], np.cumsum(size)))
                 pick = np.repeat(begin[:-1] - at[:-1], size) + np.arange(at[-1])
                 pool = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(token[pick]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), pa.array(n), *map(pa.array, halves), pool, pa.array(own)], ["doc_id", "n", "d1", "d2", "pool", "own"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), pa.array(n), *map(pa.array, halves), pool, pa.array(own), bits], ["doc_id", "n", "d1", "d2", "pool", "own", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, pool array<long>, own long")
+    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, pool array<long>, own long, bits array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -321,8 +335,8 @@ def link(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of doc_id and text."""
     every = materialise(index_tokens(docs, k, t), "sets")
     some = every.filter("n > 0 and doc_id is not null")
-    classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "own", "pool")).alias("r"), F.count(F.lit(1)).alias("w"))
-    classes = materialise(classes.select("d1", "d2", "w", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.own").alias("own"), F.col("r.pool").alias("pool")), "classes", free=True)
+    classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "own", "pool", "bits")).alias("r"), F.count(F.lit(1)).alias("w"))
+    classes = materialise(classes.select("d1", "d2", "w", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.own").alias("own"), F.col("r.pool").alias("pool"), F.col("r.bits").alias("bits")), "classes", free=True)
     sigs = index(docs, classes.select("id", "n", "own", "pool"), k, t)
     sigs = materialise(sigs.join(classes.select("id", "n").hint("merge"), "id"), "signatures", free=True)
     me = F.struct("id", "n", "short", "most")
@@ -349,10 +363,10 @@ def link(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     # Last, all that share a bucket and are in different components.
     named = materialise(_label_of(members.select("sig", "id", "n", "short", "most"), label, "id", "l"), "named", free=True)
     mixed = named.groupBy("sig").agg(F.min("l").alias("l0"), F.max("l").alias("l1"), F.count(F.lit(1)).alias("c")).filter("l0 != l1")
-    mixed = materialise(join_per_key(named, materialise(mixed.select("sig", "c"), "mixed"), ["sig"], "c").drop("c"), "mixed_members", free=True)
-    other = mixed.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("short").alias("sa"), F.col("most").alias("ma"), F.col("l").alias("la"))
-    rest = mixed.alias("x").join(other.hint("merge").alias("y"), F.expr(f"x.sig = y.sig and a < id and la != l and {may('n', 'short', 'most', 'na', 'sa', 'ma')}"))
-    rest = rest.groupBy("a", F.col("id").alias("b"), "n", "na", (F.col("short") | F.col("sa")).alias("either")).agg(F.count(F.lit(1)).alias("shared"))
+    mixed = materialise(join_per_key(named, materialise(mixed.select("sig", "c"), "mixed"), ["sig"], "c").drop("c").join(classes.select("id", "bits").hint("merge"), "id"), "mixed_members", free=True)
+    other = mixed.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("short").alias("sa"), F.col("most").alias("ma"), F.col("l").alias("la"), F.col("bits").alias("b"))
+    rest = mixed.alias("x").join(other.hint("merge").alias("y"), F.expr(f"x.sig = y.sig and a < id and la != l and {may('n', 'short', 'most', 'na', 'sa', 'ma')} and {t.alike('n', 'na', 'bits', 'y.b')}"))
+    rest = rest.select("a", "id", "n", "na", "short", "sa").groupBy("a", F.col("id").alias("b"), "n", "na", (F.col("short") | F.col("sa")).alias("either")).agg(F.count(F.lit(1)).alias("shared"))
     rest = materialise(rest.filter(f"either or {t.possible('shared', 'n', 'na')}").select("a", "b"), "pairs", free=True)
     label = _merge(label, verified(rest, sets, t))
 
