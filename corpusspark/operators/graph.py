@@ -9,7 +9,6 @@ import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusspark.functions.text import canonical_entity, cosine, time_decay
 from corpusspark.operators.relational import EDGE_TYPES, confidence, edge_valid_at, role_visible

@@ -108,7 +108,7 @@ def _(t):
 SELECT 'raw/' || source || '/' || sha256(coalesce(text, '')) || CASE WHEN lang = 'en' THEN '.md' ELSE '.bin' END AS object_path, min(doc_id) AS owner, count(*) AS uploads FROM documents GROUP BY 1""")
 def _(t):
     rows = t.documents.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), F.when(F.col("lang") == "en", "text/markdown").otherwise("x").alias("mime"))
-    return op.content_owners(rows, "source", "text", "mime", "doc_id")
+    return op.content_addressed_objects(rows, "source", "text", "mime", "doc_id")
 
 
 def _deliveries(t: Tables):

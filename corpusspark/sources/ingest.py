@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from corpusspark.functions.text import blank, dedupe_key, fallback_id
 
@@ -183,14 +182,8 @@ MIME_EXTENSIONS = {"application/pdf": ".pdf", "text/plain": ".txt", "text/markdo
 
 
 def content_addressed_objects(objects: DataFrame, workspace: str, content: str, mime: str, order: str) -> DataFrame:
-    """Each row's object path by content; the first upload of a content owns it, later ones map to it."""
-    ext = F.coalesce(F.create_map(*[F.lit(x) for kv in MIME_EXTENSIONS.items() for x in kv])[F.col(mime)], F.lit(".bin"))
-    keyed = objects.withColumn("object_path", F.concat(F.lit("raw/"), F.col(workspace).cast("string"), F.lit("/"), F.sha2(content, 256), ext))
-    return keyed.withColumn("owner", F.min(order).over(Window.partitionBy("object_path")))
-
-
-def content_owners(objects: DataFrame, workspace: str, content: str, mime: str, order: str) -> DataFrame:
-    """object_path, owner, uploads: as content_addressed_objects, without a row for each upload."""
+    """object_path, owner, uploads: an object's path follows from its content; the first upload owns it and the
+    later ones map to it."""
     ext = F.coalesce(F.create_map(*[F.lit(x) for kv in MIME_EXTENSIONS.items() for x in kv])[F.col(mime)], F.lit(".bin"))
     path = F.concat(F.lit("raw/"), F.col(workspace).cast("string"), F.lit("/"), F.sha2(content, 256), ext)
     return objects.groupBy(path.alias("object_path")).agg(F.min(order).alias("owner"), F.count(F.lit(1)).alias("uploads"))
