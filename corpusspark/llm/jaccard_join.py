@@ -198,7 +198,7 @@ def index(docs: DataFrame, reps: DataFrame, k: int, t: Threshold) -> DataFrame:
     needs frequent tokens, and how many of its tokens another such set may have."""
     tokens = reps.select("id", "n", "own", F.posexplode("pool").alias("pos", "token"))
     shared = materialise(tokens.groupBy("token").count().filter("count > 1"), "shared", free=True)
-    met = tokens.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared.hint("merge"), "token").withColumn("often", (F.col("count") >= FREQUENT).cast("int"))
+    met = tokens.join(shared.hint("merge"), "token").withColumn("often", (F.col("count") >= FREQUENT).cast("int"))
     own = Window.partitionBy("id")  # at most the index tokens of one set
     need = F.expr(f"n - (n * {t.num} + {t.den - 1}) div {t.den} + 1")
     met = met.withColumns({
@@ -226,7 +226,7 @@ def index(docs: DataFrame, reps: DataFrame, k: int, t: Threshold) -> DataFrame:
 
     rows = sets.mapInPandas(spread, "doc_id long, n long, token long")
     common = materialise(rows.groupBy("token").count().filter("count > 1"), "common", free=True)
-    rows = rows.join(F.broadcast(common) if common.count() <= BROADCAST_ROWS else common.hint("merge"), "token")
+    rows = rows.join(common.hint("merge"), "token")
     rows = rows.groupBy("doc_id", "n").agg(F.collect_list(F.struct("token", "count")).alias("c")).select("doc_id", "n", "c.token", "c.count")  # one set
     pairs = materialise(rows.mapInPandas(sign, "sig long, id long, most long"), "combinations", free=True)
     most = pairs.groupBy("id").agg(F.max("most").alias("m"))
