@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose expected tokens meet the targets for source, language and topic."""
+    """A sample whose expected tokens meet the targets for source, language and topic, as far as each value has tokens for it."""
     return mixing.mix(docs, mixing.topics_of(spark, sf_dir))
 
 

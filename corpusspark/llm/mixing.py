@@ -4,8 +4,10 @@ Documents are counted into cells of source, language and topic. Raking finds a f
 language and topic so that the weighted tokens have the target share in every margin. Sources may be
 many: their factors stay in Spark, one row a source, and a sweep is one aggregation over these rows;
 languages and topics are few (checked), and their factors are values in the plan. A document's
-inclusion probability is min(1, kappa times its cell's weight), with kappa such that the expected
-tokens are ``keep`` of all. Documents are drawn by a hash of their id, text and a seed, so a task that
+inclusion probability is kappa times its cell's weight, with kappa such that the expected tokens are
+``keep`` of all; where that is over 1, the cells under 1 are raked again until the expected tokens drawn
+have the target margins. A value with fewer tokens than its target is drawn whole and the others share
+what it lacks; ``margins`` lists targets and expected shares. Documents are drawn by a hash of their id, text and a seed, so a task that
 runs again draws the same.
 
 Edge cases: null source and language count as ''; a document without topic has topic ``none``; texts
@@ -16,18 +18,25 @@ margins that cannot all be met are approached for SWEEPS sweeps. An empty table
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusspark.llm.common import BROADCAST_ROWS, SPACE, fresh, join_per_key, materialise, small_or_hinted, table
+from corpusspark.llm.common import BROADCAST_ROWS, SPACE, batches_of, fresh, join_per_key, materialise, small_or_hinted, table, union_all
 
 #: Target shares are proportional to tokens to these powers: below 1 lifts what is rare.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 #: Expected share of the tokens that is kept.
 KEEP = 0.7
 SWEEPS, TOLERANCE = 40, 1e-6
+#: Sweeps when cells are cut at probability 1.
+BOUNDED_SWEEPS = 60
+#: Up to so many cells (28 bytes each) the driver makes these sweeps itself; more stay in Spark.
+DRIVER_CELLS = 100_000
 #: Pairs of language and topic that the driver's factors may cover.
 MOST_PAIRS = 20_000
 SEED = 17
@@ -110,19 +119,145 @@ def rake(cells: DataFrame, powers: dict[str, float] | None = None, given: dict[s
     return cells.join(own.hint("merge"), "source", "left").withColumn("weight", F.coalesce(weight, F.lit(1.0))).drop("a")
 
 
-def calibrate(cells: DataFrame, keep: float = KEEP) -> DataFrame:
-    """``cells`` with probability min(1, kappa weight); their expected tokens are ``keep`` of all."""
-    some = cells.filter("tokens > 0")
-    total, low, high = some.agg(F.sum("tokens"), F.min("weight"), F.max("weight")).first()
-    if not total:
-        return cells.withColumn("probability", F.lit(float(keep)))
+def kappa(rows: DataFrame, keep: float) -> float:
+    """The factor with which min(1, factor times weight) draws ``keep`` of the tokens; rows have tokens above 0."""
+    total, low, high, n = rows.agg(F.sum("tokens"), F.min("weight"), F.max("weight"), F.count(F.lit(1))).first()
+    if n <= DRIVER_CELLS and keep < 1:
+        near = rows.select(F.col("tokens").cast("double"), "weight").toArrow()
+        x, w = (near.column(k).to_numpy() for k in range(2))
+        return float(_own(np.array([keep * x.sum()]), np.zeros(len(x), dtype=np.int64), x, w)[0])
     a, b = math.log(keep / high) - 1e-9, math.log(1 / low) + 1e-9
     for _ in range(4):
         grid = np.linspace(a, b, 64)
-        sums = some.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.lit(float(math.exp(g))))).alias(f"g{k}") for k, g in enumerate(grid)]).first()
+        sums = rows.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * F.lit(float(math.exp(g))))).alias(f"g{k}") for k, g in enumerate(grid)]).first()
         over = next((k for k in range(64) if sums[k] >= keep * total), 63)
         a, b = grid[max(0, over - 1)], grid[over]
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(float(math.exp(b)))))
+    return float(math.exp(b))
+
+
+def attainable(cells: DataFrame, axis: str, power: float, keep: float) -> DataFrame:
+    """value, share, goal: the axis's target shares, and the shares of all tokens to draw. A value that has fewer
+    tokens than its target is drawn whole, and what it lacks is spread over the others by their targets."""
+    sums = cells.groupBy(F.col(axis).alias("value")).agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
+    total, parts = sums.agg(F.sum("tokens"), F.sum(F.pow("tokens", F.lit(power)))).first()
+    sums = sums.withColumn("share", F.pow("tokens", F.lit(power)) / F.lit(float(parts)))
+    sums = materialise(sums.withColumn("weight", F.col("share") * F.lit(float(total)) / F.col("tokens")), "sums")
+    most = F.lit(kappa(sums, keep)) * F.col("weight")
+    return sums.select("value", "share", (F.least(F.lit(1.0), most) * F.col("tokens") / F.lit(float(total))).alias("goal"))
+
+
+def _own(goal: np.ndarray, row: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each row the factor with which its cells' x times min(1, factor w) add up to its goal; Newton's steps go
+    up from below, as the sum is concave, and end when no further cell is cut at 1."""
+    n = len(goal)
+    a, cut = goal / np.bincount(row, x * w, n), np.zeros(len(row), dtype=bool)
+    while True:
+        now = cut | (a[row] * w >= 1)
+        if (now == cut).all():
+            return a
+        cut = now
+        left, free = goal - np.bincount(row, x * cut, n), np.bincount(row, x * w * ~cut, n)
+        a = np.maximum(a, np.where(free > 0, left / np.where(free > 0, free, 1), 0))
+
+
+def rake_bounded(cells: DataFrame, keep: float, powers: dict[str, float]) -> DataFrame:
+    """``cells`` (tokens above 0, weight) with probability min(1, weight times a factor for each source, language
+    and topic), so that the expected tokens of every margin are its goal: cells at 1 are counted as they are, and
+    the factors of the others meet what remains. The set of cells at 1 is found anew in each sweep."""
+    total = float(cells.agg(F.sum("tokens")).first()[0])
+    goal = {x: attainable(cells, x, powers[x], keep) for x in AXES}
+    few = {x: {r["value"]: r["goal"] for r in goal[x].collect()} for x in ("lang", "topic")}  # checked by rake
+    names = {"l": sorted(few["lang"]), "t": sorted(few["topic"])}
+    aims = {"l": np.array([few["lang"][x] for x in names["l"]]), "t": np.array([few["topic"][x] for x in names["t"]])}
+    place = lambda k, c: F.create_map(*[y for j, n in enumerate(names[k]) for y in (F.lit(n), F.lit(j))])[F.col(c)]
+    cell = F.struct(place("l", "lang").alias("l"), place("t", "topic").alias("t"), (F.col("tokens") / F.lit(total)).alias("x"), F.col("weight").alias("w"))
+    parts = cells.groupBy("source").agg(F.collect_list(cell).alias("cell"))  # at most MOST_PAIRS for a source
+    parts = parts.join(small_or_hinted(goal["source"], BROADCAST_ROWS + 1).select(F.col("value").alias("source"), "goal"), "source")
+    parts = materialise(parts.select("source", "goal", *[F.col(f"cell.{x}").alias(x) for x in "ltxw"]), "parts")
+    near = parts.toArrow().to_batches() if cells.count() <= DRIVER_CELLS else None
+    factor = {"l": np.ones(len(names["l"])), "t": np.ones(len(names["t"]))}
+    shape = (len(names["l"]), len(names["t"]))
+
+    def solved(batch: pa.RecordBatch, b: np.ndarray, c: np.ndarray):
+        l, t, x, w = (batch.column(y).flatten().to_numpy(zero_copy_only=False) for y in "ltxw")
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("x")).to_numpy(zero_copy_only=False))
+        a = _own(batch.column("goal").to_numpy(zero_copy_only=False), row, x, w * b[l] * c[t])
+        return a, l, t, x, w * a[row]
+
+    def sweep(b: np.ndarray, c: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            free, full = np.zeros(shape), np.zeros(shape)
+            for batch in batches:
+                _, l, t, x, w = solved(batch, b, c)
+                cut = w * b[l] * c[t] >= 1
+                np.add.at(free, (l, t), x * w * ~cut)
+                np.add.at(full, (l, t), x * cut)
+            l, t = np.nonzero(free + full)
+            yield pa.RecordBatch.from_arrays([pa.array(l), pa.array(t), pa.array(free[l, t]), pa.array(full[l, t])], ["l", "t", "free", "full"])
+
+        free, full = np.zeros(shape), np.zeros(shape)
+        if near is not None:
+            rows = [r for batch in run(iter(near)) for r in batch.to_pylist()]
+        else:
+            rows = parts.mapInArrow(run, "l long, t long, free double, full double").groupBy("l", "t").agg(F.sum("free").alias("free"), F.sum("full").alias("full")).collect()
+        for r in rows:
+            free[r["l"], r["t"]], full[r["l"], r["t"]] = r["free"], r["full"]
+        return free, full
+
+    def turned(f: np.ndarray, aim: np.ndarray, free: np.ndarray, full: np.ndarray) -> np.ndarray:
+        """The factors that meet the aims beside full cells; where these are too much, all are scaled down."""
+        left = aim - full
+        new = np.where(left > 0, left / np.where(free > 0, free, 1), f * aim / np.maximum(full + free * f, 1e-300))
+        return np.clip(np.where((free > 0) | (left <= 0), new, f), 1e-12, 1e12)
+
+    with batches_of(cells.sparkSession, 200):
+        for _ in range(BOUNDED_SWEEPS):
+            free, full = sweep(factor["l"], factor["t"])
+            before = {x: factor[x].copy() for x in factor}
+            for _ in range(50):  # the two small margins, on the table of their pairs alone
+                factor["l"] = turned(factor["l"], aims["l"], free @ factor["t"], full.sum(1))
+                factor["t"] = turned(factor["t"], aims["t"], factor["l"] @ free, full.sum(0))
+            if all(np.abs(np.log(factor[x] / before[x])).max() < TOLERANCE for x in factor):
+                break
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("source"), pa.array(solved(batch, factor["l"], factor["t"])[0])], ["source", "a"])
+
+        own = materialise(parts.mapInArrow(run, "source string, a double"), "factors")
+    b, c = (F.create_map(*[y for n, v in zip(names[x], factor[x], strict=True) for y in (F.lit(n), F.lit(float(v)))]) for x in "lt")
+    weight = F.col("weight") * F.col("a") * b[F.col("lang")] * c[F.col("topic")]
+    return cells.join(own.hint("merge"), "source").withColumn("probability", F.least(F.lit(1.0), weight)).drop("a")
+
+
+def calibrate(cells: DataFrame, keep: float = KEEP, powers: dict[str, float] | None = None) -> DataFrame:
+    """``cells`` with a probability; their expected tokens are ``keep`` of all. While kappa times weight is at most
+    1 everywhere it is that; else the cells below 1 are raked again, see ``rake_bounded``."""
+    some = cells.filter("tokens > 0")
+    if not some.head(1):
+        return cells.withColumn("probability", F.lit(float(keep)))
+    factor = kappa(some, keep)
+    plain = cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(factor)))
+    if keep >= 1 or some.agg(F.max("weight")).first()[0] * factor <= 1:
+        return plain
+    start = materialise(some.withColumn("weight", F.col("weight") * F.lit(factor)), "start")
+    drawn = materialise(rake_bounded(start, keep, POWERS | (powers or {})), "bounded").select(*AXES, F.col("probability").alias("weight"), "tokens")
+    rest = F.lit(kappa(drawn, keep))  # 1 unless the goals could not all be met
+    drawn = drawn.select(*AXES, F.least(F.lit(1.0), F.col("weight") * rest).alias("_p"))
+    return plain.join(drawn.hint("merge"), AXES, "left").withColumn("probability", F.coalesce("_p", "probability")).drop("_p")
+
+
+def margins(cells: DataFrame, keep: float = KEEP, powers: dict[str, float] | None = None) -> DataFrame:
+    """axis, value, target, goal, drawn for calibrated cells: of the tokens drawn, the target share, the share that
+    the tokens there are allow, and the expected one."""
+    powers = POWERS | (powers or {})
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    out = []
+    for x in AXES:
+        goal = attainable(cells.filter("tokens > 0"), x, powers[x], keep) if total else cells.limit(0).select(F.col(x).alias("value"), F.lit(0.0).alias("share"), F.lit(0.0).alias("goal"))
+        drawn = cells.filter("tokens > 0").groupBy(F.col(x).alias("value")).agg((F.sum(F.col("tokens") * F.col("probability")) / F.lit(keep * total or 1.0)).alias("drawn"))
+        out.append(goal.join(drawn, "value").select(F.lit(x).alias("axis"), "value", F.col("share").alias("target"), (F.col("goal") / F.lit(keep)).alias("goal"), "drawn"))
+    return union_all(out)
 
 
 def plan(docs: DataFrame, topics: DataFrame, keep: float = KEEP, seed: int = SEED, powers: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, str]]:
@@ -130,7 +265,7 @@ def plan(docs: DataFrame, topics: DataFrame, keep: float = KEEP, seed: int = SEE
     rows, name = with_axes(docs, topics)
     cells = rows.groupBy(*[F.col(name[x]).alias(x) for x in AXES]).agg(F.sum(name["tokens"]).alias("tokens"), F.count(F.lit(1)).alias("docs"))
     cells = materialise(cells, "cells")
-    cells = materialise(calibrate(materialise(rake(cells, powers), "raked"), keep), "calibrated")
+    cells = materialise(calibrate(materialise(rake(cells, powers), "raked"), keep, powers), "calibrated")
     for x in ("weight", "probability", "drawn", "docs"):
         name[x] = fresh(rows.columns, f"_{x}")
     own = cells.select(*[F.col(x).alias(name[x]) for x in AXES], *[F.col(x).alias(name[x]) for x in ("weight", "probability", "docs")])

@@ -72,3 +72,23 @@ def test_edges(spark, monkeypatch):
     monkeypatch.setattr(op, "MOST_PAIRS", 1)
     with pytest.raises(ValueError):
         op.mix(df, topics)
+
+
+def test_margins_are_met_where_cells_are_cut_at_one(spark):
+    df, _ = table(spark, 3)
+    cells = op.materialise(op.calibrate(op.materialise(op.rake(df), "raked"), 0.8), "cells")
+    assert cells.filter("probability > 0.999").count() > 0
+    rows = op.margins(cells, 0.8).collect()
+    assert {r.axis for r in rows} == set(op.AXES)
+    assert all(abs(r.drawn - r.goal) < 1e-4 for r in rows)
+
+
+def test_value_with_too_few_tokens_is_drawn_whole(spark):
+    rows = [(s, l, t, n * m * k, 1) for s, n in (("a", 1000), ("b", 10), ("c", 1000)) for l, m in (("en", 3), ("de", 2)) for t, k in (("t0", 2), ("t1", 3))]
+    df = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, docs long")
+    cells = op.materialise(op.calibrate(op.materialise(op.rake(df), "raked"), 0.7), "cells")
+    rows = {(r.axis, r.value): r for r in op.margins(cells, 0.7).collect()}
+    small = rows["source", "b"]
+    assert small.target > small.goal and abs(small.goal - 10 / 2010 / 0.7) < 1e-4
+    assert all(abs(r.drawn - r.goal) < 1e-4 for r in rows.values())
+    assert cells.filter("source = 'b' and probability < 0.999").count() == 0
