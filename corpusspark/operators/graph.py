@@ -141,16 +141,14 @@ def node_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
         seen, frontier = cut(seen.unionByName(nxt)), nxt
 
 
-def shortest_path(edges: DataFrame, start, end, most: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, start, end) -> DataFrame:
     """path: an array from start to end with the fewest edges, of these the first by edge order (seq); one empty
     array if there is none, [start] if start is end. edges: src, dst, seq."""
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
     seen = cut(spark.range(1).select(F.lit(start).cast(kind).alias("id"), F.array(F.lit(start).cast(kind)).alias("path"), F.array().cast("array<long>").alias("via")))
     frontier = seen
-    for _ in range(most):
-        if seen.filter(F.col("id") == end).head(1):
-            break
+    while not seen.filter(F.col("id") == end).head(1):
         step = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("via", F.col("seq").cast("long")).alias("via"))
         first = step.groupBy("id").agg(F.min_by("path", "via").alias("path"), F.min("via").alias("via"))
         frontier = cut(first.join(seen.select("id"), "id", "left_anti"))

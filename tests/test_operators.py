@@ -130,3 +130,9 @@ def test_rejects_say_why(spark):
 @pytest.mark.parametrize(("path", "want"), [("README.md", True), ("a/README", True), ("src/x.py", True), ("node_modules/x.js", False), ("yarn.lock", False), ("x.png", False), ("", False), (".env", False), ("public/vendor/a.js", False), ("public/a.js", True), ("Dockerfile", True)])
 def test_paths(spark, path, want):
     assert spark.range(1).select(ingest.indexable_path(F.lit(path))).first()[0] is want
+
+
+def test_shortest_path_has_no_bound(spark):
+    chain = spark.createDataFrame([(k, k + 1, k) for k in range(66)], "src long, dst long, seq long").coalesce(1).cache()
+    assert chain.count() == 66
+    assert g.shortest_path(chain, 0, 66).first()[0] == list(range(67))
