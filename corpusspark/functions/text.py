@@ -10,6 +10,7 @@ REDACTED = "[REDACTED]"
 WS = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 # Patterns of secrets, applied in this order, case-insensitively but for the last.
+# SECRET_OPENINGS has, in the same order, lower-case literals of which a match of the pattern has one.
 SECRET_PATTERNS = [
     r"(?i)bearer\s+[a-z0-9._~+/=-]{8,}",
     r"(?i)basic\s+[a-z0-9+/=]{8,}",
@@ -26,6 +27,10 @@ SECRET_PATTERNS = [
     r"""(?i)(?:password|passwd|pwd|api[_-]?key|secret|token|client[_-]?secret)\s*[:=]\s*["']?[^\s"',}\\]{6,}""",
     r"//[^:\s/]+:[^@\s/]+@",
 ]
+SECRET_OPENINGS = [
+    ["bearer"], ["basic"], ["sk-"], ["aiza"], ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], ["github_pat_"], ["xox"], ["xapp-"], ["hooks.slack.com/services/"], ["eyj"],
+    ["akia", "asia"], ["-----begin "], ["password", "passwd", "pwd", "api", "secret", "token"], ["//"],
+]
 # Normalised names of keys whose values are secret.
 SECRET_KEYS = (
     "authorization auth apikey xapikey xapi password passwd pwd passphrase userpassword temporarypassword secret secrets secretkey "
@@ -88,11 +93,12 @@ def source_key(workspace: Column, source: Column, external_id: Column) -> Column
 
 
 def canonical_entity(name: Column) -> Column:
-    """The alias's target by slug, else by the slug with spaces, else the slug."""
+    """The alias's target by slug, else by the name with a space for every mark, else the slug."""
     kept = F.regexp_replace(F.lower(clean(name)), r"[^a-z0-9\s_-]", "")
     slug = F.regexp_replace(kept, r"\s+", "_")
     table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    return F.coalesce(table[slug], table[F.regexp_replace(slug, "_", " ")], blank(slug), F.lit("unnamed_entity"))
+    spaced = F.regexp_replace(F.lower(clean(name)), "[^a-z0-9]", " ")
+    return F.coalesce(table[slug], table[spaced], blank(slug), F.lit("unnamed_entity"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -130,9 +136,23 @@ def llm_cost(provider: Column, model: Column, prompt: Column, completion: Column
 
 
 def redact_text(text: Column) -> Column:
-    for pattern in SECRET_PATTERNS:
-        text = F.regexp_replace(text, pattern, REDACTED)
-    return text
+    """Secrets masked. A pattern runs only over a text that has one of its literals, which a plain search finds;
+    masking adds none. Each step is a function of one variable, so that no step's text is worked out twice."""
+
+    def step(has: Column, pattern: str):
+        return lambda t: F.when(has, F.regexp_replace(t, pattern, REDACTED)).otherwise(t)
+
+    def masked(s: Column) -> Column:
+        out = s["text"]
+        for pattern, literals in zip(SECRET_PATTERNS, SECRET_OPENINGS, strict=True):
+            has = F.lit(False)
+            for x in literals:
+                has = has | F.contains(s["low"], F.lit(x))
+            out = F.get(F.transform(F.array(out), step(has, pattern)), F.lit(0))
+        return out
+
+    # Lower case keeps the letters that (?i) takes for ASCII ones.
+    return F.get(F.transform(F.array(F.struct(F.lower(text).alias("low"), text.alias("text"))), masked), F.lit(0))
 
 
 def redact_map(m: Column) -> Column:

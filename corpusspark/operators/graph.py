@@ -5,30 +5,24 @@ count; no vertex, edge or component is collected."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusspark.functions.text import canonical_entity, cosine, time_decay
+from corpusspark.operators.lineage import cut
 from corpusspark.operators.relational import EDGE_TYPES, confidence, edge_valid_at, role_visible
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder; a temporary one only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def entity_rollup(mentions: DataFrame) -> DataFrame:
-    """mentions: workspace_id, name, type, seen_at -> one row per workspace and canonical entity."""
-    keyed = mentions.withColumn("canonical_id", canonical_entity(F.col("name")))
-    order = F.struct("seen_at", "name")
-    out = keyed.groupBy("workspace_id", "canonical_id").agg(
-        F.max_by("name", order).alias("name"), F.max_by("type", order).alias("type"), F.count(F.lit(1)).alias("times_seen"),
-        F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.array_sort(F.collect_set("name")).alias("aliases"),
+    """mentions: workspace_id, name, type, seen_at -> one row per workspace and canonical entity. Mentions are
+    counted by name first, so that each name is resolved once."""
+    order = F.struct("last", "name")
+    names = mentions.groupBy("workspace_id", "name").agg(
+        F.max_by("type", "seen_at").alias("type"), F.count(F.lit(1)).alias("n"), F.min("seen_at").alias("first"), F.max("seen_at").alias("last")
+    )
+    out = names.withColumn("canonical_id", canonical_entity(F.col("name"))).groupBy("workspace_id", "canonical_id").agg(
+        F.max_by("name", order).alias("name"), F.max_by("type", order).alias("type"), F.sum("n").alias("times_seen"),
+        F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), F.array_sort(F.collect_list("name")).alias("aliases"),  # one entity's names
     )
     return out.withColumn("confidence", confidence(F.col("times_seen")))
 
@@ -90,6 +84,10 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> dict[
     return {"nodes": nodes.join(m.select(F.col("duplicate").alias("id")), "id", "left_anti"), "edges": moved}
 
 
+#: Parts that a workspace's entities of one type are dealt to; each mention meets every part.
+PARTS = 16
+
+
 def entity_duplicates(mentions: DataFrame, registry: DataFrame, candidate: float = 0.85, accept: float = 0.92) -> DataFrame:
     """mention_id, entity_id, similarity, accepted: the same lower-cased name (1.0), else the most similar entity
     of the mention's workspace and type. mentions: mention_id, name, type, workspace_id, embedding; registry
@@ -97,7 +95,9 @@ def entity_duplicates(mentions: DataFrame, registry: DataFrame, candidate: float
     named = mentions.join(registry.select("entity_id", F.lower("name").alias("low"), "workspace_id"), (F.lower(mentions["name"]) == F.col("low")) & (mentions["workspace_id"] == registry["workspace_id"]))
     exact = named.groupBy("mention_id").agg(F.min("entity_id").alias("entity_id")).withColumn("similarity", F.lit(1.0))
     other = registry.select("entity_id", F.col("embedding").alias("e"), F.col("workspace_id").alias("w"), F.col("type").alias("t"))
-    near = mentions.join(exact, "mention_id", "left_anti").join(other, (F.col("workspace_id") == F.col("w")) & (F.col("type") == F.col("t")))
+    other = other.withColumn("part", F.pmod(F.xxhash64("entity_id"), F.lit(PARTS)).cast("int"))
+    asked = mentions.join(exact.hint("merge"), "mention_id", "left_anti").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    near = asked.join(other.hint("merge"), (F.col("workspace_id") == F.col("w")) & (F.col("type") == F.col("t")) & (F.col("p") == F.col("part")))
     near = near.select("mention_id", "entity_id", F.round(cosine(F.col("embedding"), F.col("e")), 6).alias("similarity")).filter(F.col("similarity") >= candidate)
     return exact.unionByName(best_entity_match(near)).withColumn("accepted", F.col("similarity") >= accept)
 
@@ -130,6 +130,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
 
 def node_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """id, depth: the fewest edges (src to dst) from a root."""
+    edges = cut(edges.select("src", "dst").distinct())
     seen = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = seen, 0
     while True:
@@ -144,7 +145,7 @@ def node_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, start, end) -> DataFrame:
     """path: an array from start to end with the fewest edges, of these the first by edge order (seq); one empty
     array if there is none, [start] if start is end. edges: src, dst, seq."""
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, cut(edges.select("src", "dst", "seq"))
     kind = dict(edges.dtypes)["src"]
     seen = cut(spark.range(1).select(F.lit(start).cast(kind).alias("id"), F.array(F.lit(start).cast(kind)).alias("path"), F.array().cast("array<long>").alias("via")))
     frontier = seen
@@ -189,14 +190,19 @@ def is_acyclic(edges: DataFrame) -> DataFrame:
 
 
 def graph_context(queries: DataFrame, nodes: DataFrame, edges: DataFrame, at, role: str | None = None, entities: int = 3, per: int = 25, most: int = 25) -> DataFrame:
-    """query_id, tuple_rank, tuple, weight: what the graph says about the entities a query names."""
-    from corpusspark.operators.retrieval import name_match
+    """query_id, tuple_rank, tuple, weight: what the graph says about the entities a query names: the first few by
+    id, the first of what is near each by depth and id, and of the different tuples the first. nodes: id, name,
+    created_at (may be null: new). A tuple's weight is the decay of the node that it leads to."""
     from corpusspark.operators.relational import top_per_group
+    from corpusspark.operators.retrieval import name_match
 
-    hits = top_per_group(name_match(queries, nodes), ["query_id"], [F.asc("node_id")], entities)
+    hits = top_per_group(name_match(queries, nodes), ["query_id"], [F.asc("node_id")], entities).withColumnRenamed("rank", "hit")
     reach = two_hop(edges, hits.select(F.col("node_id").alias("start")).distinct(), at, role)
-    reach = top_per_group(reach, ["start"], [F.asc("depth"), F.asc("node")], per).drop("rank")
-    aged = reach.join(edges.select("source_id", "target_id", "edge_type", "created_at"), ["source_id", "target_id", "edge_type"])
-    facts = hits.select("query_id", F.col("node_id").alias("start")).join(aged, "start").select("query_id", F.concat_ws(" ", "source_id", "edge_type", "target_id").alias("tuple"), time_decay(F.col("created_at"), at).alias("weight"))
-    facts = facts.groupBy("query_id", "tuple").agg(F.max("weight").alias("weight"))
-    return top_per_group(facts, ["query_id"], [F.asc("tuple")], most).withColumnRenamed("rank", "tuple_rank")
+    reach = top_per_group(reach, ["start"], [F.asc("depth"), F.asc("node")], per).withColumnRenamed("rank", "place")
+    about = nodes.select(F.col("id").alias("node"), "name", "created_at")
+    weight = F.coalesce(time_decay(F.col("created_at"), at), F.lit(1.0))
+    reach = reach.join(about.hint("merge"), "node", "left").withColumn("weight", weight)
+    text = F.format_string("(%s) -> [%s] -> (%s) (decayScore: %.2f)", "start", "edge_type", F.coalesce("name", "node"), "weight")
+    facts = hits.select("query_id", "hit", F.col("node_id").alias("start")).join(reach.select("start", "place", text.alias("tuple"), "weight").hint("merge"), "start")
+    facts = facts.groupBy("query_id", "tuple").agg(F.min(F.struct("hit", "place")).alias("first"), F.max("weight").alias("weight"))
+    return top_per_group(facts, ["query_id"], [F.asc("first"), F.asc("tuple")], most).select("query_id", F.col("rank").alias("tuple_rank"), "tuple", "weight")

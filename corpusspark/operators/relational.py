@@ -43,6 +43,36 @@ def allowed(column: Column, ids: list | None) -> Column:
     return F.lit(True) if ids is None else column.isin(ids) if ids else F.lit(False)
 
 
+def predicate_set(rows: DataFrame, any_of: list[dict[str, tuple]]) -> DataFrame:
+    """Rows that fit one of several sets of conditions, column to (operator, value), all of which must hold. A
+    comparison with null is false; null and not_null ask for it."""
+    ops = {
+        "eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "lt": lambda c, v: c < v, "le": lambda c, v: c <= v, "gt": lambda c, v: c > v, "ge": lambda c, v: c >= v,
+        "in": lambda c, v: c.isin(list(v)), "like": lambda c, v: c.like(v), "ilike": lambda c, v: c.ilike(v), "null": lambda c, v: c.isNull(), "not_null": lambda c, v: c.isNotNull(),
+        "between": lambda c, v: (c >= v[0]) & (c < v[1]), "multiple_of": lambda c, v: c % v == 0,
+    }
+    keep = F.lit(False)
+    for group in any_of:
+        own = F.lit(True)
+        for column, (name, value) in group.items():
+            own = own & F.coalesce(ops[name](F.col(column), value), F.lit(False))
+        keep = keep | own
+    return rows.filter(keep)
+
+
+def listed(rows: DataFrame, fixed: dict, newest: str, key: str) -> DataFrame:
+    """Rows with the given values, the largest of ``newest`` first."""
+    return predicate_set(rows, [{c: ("eq", v) for c, v in fixed.items()}]).orderBy(F.desc(newest), key)
+
+
+def keyword_search(rows: DataFrame, word: str, fields: list[str]) -> DataFrame:
+    """Rows one of whose fields has the word, in any case."""
+    hit = F.lit(False)
+    for f in fields:
+        hit = hit | F.coalesce(F.contains(F.lower(f), F.lit(word.lower())), F.lit(False))
+    return rows.filter(hit)
+
+
 def edge_valid_at(start: Column, end: Column, at: Column) -> Column:
     return (start.isNull() | (at >= start)) & (end.isNull() | (at <= end))
 
@@ -189,6 +219,21 @@ def sha_delta(tree: DataFrame, indexed: DataFrame, key: str = "path", sha: str =
     return t.join(i, key, "full").select(key, change.alias("change"))
 
 
+def pending_approvals(approvals: DataFrame, owners: DataFrame, owner: str, at: str, key: str, status: str = "status", pending: str = "pending") -> DataFrame:
+    """Approvals that wait, with their owner's columns, the newest first."""
+    return approvals.filter(F.col(status) == pending).join(owners, owner).orderBy(F.desc(at), key)
+
+
+def unseen_items(incoming: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Incoming rows whose keys were not seen. A null key was never seen."""
+    return incoming.join(seen.select(*keys).hint("merge"), keys, "left_anti")
+
+
+def reconcile_deletions(indexed: DataFrame, tree: DataFrame, key: str = "path") -> DataFrame:
+    """What is indexed but no longer in the source's tree."""
+    return indexed.join(tree.select(key).hint("merge"), key, "left_anti")
+
+
 def unchanged_skip(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming documents but for those that are stored, complete, with the same content hash."""
     return incoming.join(stored.filter("extraction_stage = 'completed'").select(*keys, "content_hash"), [*keys, "content_hash"], "left_anti")
@@ -263,3 +308,71 @@ def rollup_sets(rows: DataFrame, by: list[str], sets: list[list[str]], **aggs: C
 
 def confidence(n: Column) -> Column:
     return F.least(F.lit(0.95), F.lit(0.7) + 0.05 * (n - 1))
+
+
+def period_cost(usage: DataFrame, at: str, cost: str, by: list[str], units: tuple[str, ...] = ("hour", "day", "month")) -> DataFrame:
+    """unit, period (epoch seconds of its start), the columns of ``by`` and the cost, for each unit of time. Rows are
+    counted by the shortest unit first; longer ones add these up."""
+    out, level = None, usage
+    for u in units:
+        level = level.groupBy(F.date_trunc(u, at).alias(at), *by).agg(F.sum(cost).alias(cost))
+        part = level.select(F.lit(u).alias("unit"), F.unix_timestamp(at).alias("period"), *by, cost)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def quota_check(usage: DataFrame, quotas: DataFrame, key: str, amount: str) -> DataFrame:
+    """key, usage, allowed, reason: under a quota (key, quota) that is above 0; no quota or 0 has no limit."""
+    used = usage.groupBy(key).agg(F.sum(amount).alias("usage")).join(quotas.select(key, "quota").hint("merge"), key, "left")
+    ok = F.coalesce(F.col("quota") <= 0, F.lit(True)) | (F.coalesce("usage", F.lit(0.0)) < F.col("quota"))
+    return used.select(key, "usage", ok.alias("allowed"), F.when(~ok, "quota_exceeded").alias("reason"))
+
+
+def metric_rollup(samples: DataFrame, labels: list[str], value: str) -> DataFrame:
+    """metric (labels joined by colons), n, total, mean."""
+    return samples.groupBy(F.concat_ws(":", *[F.col(c).cast("string") for c in labels]).alias("metric")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+
+
+def sync_stats(items: DataFrame, phase: str, outcome: str, outcomes: tuple[str, ...] = ("indexed", "skipped", "failed")) -> DataFrame:
+    """For each phase how many items had each outcome."""
+    return items.groupBy(F.col(phase).alias("phase")).agg(*[F.count_if(F.col(outcome) == o).alias(o) for o in outcomes])
+
+
+def distinct_values(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns).distinct()
+
+
+def graph_page(nodes: DataFrame, edges: DataFrame, n_nodes: int = 50, n_edges: int = 100) -> DataFrame:
+    """kind, id: the first nodes and the first edges (id) of a graph."""
+    first = lambda df, kind, n: df.select(F.lit(kind).alias("kind"), "id").orderBy("id").limit(n)
+    return first(nodes, "node", n_nodes).unionByName(first(edges, "edge", n_edges))
+
+
+def distinct_tuples(edges: DataFrame, most: int = 25, source: str = "source_id", kind: str = "edge_type", target: str = "target_id") -> DataFrame:
+    """tuple: the first of the different edges as texts."""
+    text = F.concat_ws(" ", *[F.col(c).cast("string") for c in (source, kind, target)])
+    return edges.select(text.alias("tuple")).distinct().orderBy("tuple").limit(most)
+
+
+def sync_since(state: DataFrame, requests: DataFrame, at: Column, look_back: str = "24 hours") -> DataFrame:
+    """workspace_id, repository, since, phase, completed_phases for each request (workspace_id, repository,
+    incremental). ``since``: where the last run ended, else the look-back; null for a first sync. A run that
+    was left in the middle (status running) goes on with its resume token, others begin anew. state:
+    workspace_id, repository, kind, status, updated_at, phase, completed_phases."""
+    keys = ["workspace_id", "repository", "kind"]
+    asked = requests.withColumn("kind", F.when(F.col("incremental"), "incremental").otherwise("initial"))
+    met = asked.join(state.select(*keys, "status", "updated_at", F.col("phase").alias("p"), F.col("completed_phases").alias("c")).hint("merge"), keys, "left")
+    going = F.coalesce(F.col("status") == "running", F.lit(False))
+    since = F.when(F.col("incremental"), F.coalesce("updated_at", at - F.expr(f"interval {look_back}")))
+    done = F.coalesce(F.when(going, F.col("c")), F.array().cast("array<string>"))
+    return met.select("workspace_id", "repository", since.alias("since"), F.when(going, F.col("p")).alias("phase"), done.alias("completed_phases"))
+
+
+def sync_state(state: DataFrame, runs: DataFrame) -> DataFrame:
+    """The state after runs (workspace_id, repository, kind, status, updated_at, phase, completed_phases): the last
+    one of each key stands, and a completed one has no resume token."""
+    keys = ["workspace_id", "repository", "kind"]
+    rest = ["status", "updated_at", "phase", "completed_phases"]
+    last = state.select(*keys, *rest).unionByName(runs.select(*keys, *rest)).groupBy(*keys).agg(F.max_by(F.struct(*rest), "updated_at").alias("r")).select(*keys, "r.*")
+    over = F.col("status") == "completed"
+    return last.withColumns({"phase": F.when(~over, F.col("phase")), "completed_phases": F.when(over, F.array().cast("array<string>")).otherwise(F.col("completed_phases"))})

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusspark.functions.text import cosine
+from corpusspark.operators.lineage import cut
 from corpusspark.operators.relational import allowed, rank_fusion, role_visible, top_per_group
 
 
@@ -17,15 +23,63 @@ def vector_topk(rows: DataFrame, query: list[float], k: int, threshold: float =
     return scored.filter(keep).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def vector_topk_many(rows: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, key: str = "id", most: int = 10_000) -> DataFrame:
-    """query_id, id, similarity, rank for a stated set of at most ``most`` queries (checked), which all rows meet;
-    each task hands on its k best a query."""
-    if queries.count() > most:
-        raise ValueError(f"more than {most} queries; split them into blocks")
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    met = rows.filter("embedding is not null").join(F.broadcast(q))
-    scored = met.select("query_id", key, F.round(cosine(F.col("embedding"), F.col("_q")), 6).alias("similarity")).filter(F.col("similarity") > threshold)
-    return top_per_group(scored, ["query_id"], [F.desc("similarity"), F.asc(key)], k)
+#: Queries that are sent to all executors at once.
+BLOCK = 2000
+
+
+def query_blocks(queries: DataFrame, most: int = BLOCK) -> Iterator[DataFrame]:
+    """The queries (query_id) dealt by hash to blocks of about ``most``; together they are all of them."""
+    blocks = -(-queries.count() // most)
+    for k in range(blocks):
+        yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+
+
+def _block_topk(rows: DataFrame, queries: DataFrame, k: int, threshold: float, key: str, others: bool) -> DataFrame:
+    """Each task's best k rows for each of one block's queries, by matrix products of batches."""
+    block = queries.toArrow()
+    asked = block.column("query_id").combine_chunks()
+    vectors = block.column("embedding").to_pylist()
+    kinds = dict(rows.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+    state = rows.sparkSession.sparkContext.broadcast((asked, vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, vectors = state.value
+        by_size = {n: [j for j, v in enumerate(vectors) if len(v) == n] for n in {len(v) for v in vectors} - {0}}
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
+            for n, own in by_size.items():
+                q = np.array([vectors[j] for j in own], dtype=np.float64)
+                q_norm = np.sqrt((q * q).sum(axis=1))
+                place = np.flatnonzero(sizes == n)
+                for at in range(0, len(place), 500):
+                    here = place[at:at + 500]
+                    part = batch.take(pa.array(here))
+                    x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(here), n)
+                    norms = np.sqrt((x * x).sum(axis=1))[:, None] * q_norm[None, :]
+                    score = np.round(np.where(norms > 0, x @ q.T / np.where(norms > 0, norms, 1), 0.0), 6)
+                    r, c = np.nonzero(score > threshold)
+                    found = pa.table({"query_id": asked.take(pa.array(np.array(own, dtype=np.int64)[c])), key: part.column(key).take(pa.array(r)), "similarity": score[r, c]})
+                    if others:
+                        found = found.filter(pc.not_equal(found.column(key), found.column("query_id")))
+                    found = found.to_pandas().sort_values(["query_id", "similarity", key], ascending=[True, False, True])
+                    found = found[found.groupby("query_id").cumcount() < k]
+                    yield from pa.Table.from_pandas(found, schema=pa.schema([("query_id", asked.type), (key, batch.schema.field(key).type), ("similarity", pa.float64())]), preserve_index=False).to_batches()
+
+    whole = rows.filter(F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull())).select(key, "embedding")
+    return whole.mapInArrow(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, similarity double")
+
+
+def vector_topk_many(rows: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, key: str = "id", others: bool = False) -> DataFrame:
+    """query_id, id, similarity, rank for any number of queries (query_id, embedding): all rows meet one block of
+    queries after another, and each batch hands on its k best a query. ``others``: not the row that has the query's
+    own id. Only similarities over the threshold count, which must not be negative."""
+    found = None
+    for block in query_blocks(queries.filter("embedding is not null").filter(F.forall("embedding", lambda v: v.isNotNull())).select("query_id", "embedding")):
+        part = _block_topk(rows, block, k, threshold, key, others)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = rows.join(queries.select("query_id").limit(0).hint("broadcast"), F.lit(False)).select("query_id", key, F.lit(0.0).alias("similarity"))
+    return top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc(key)], k)
 
 
 def similar_sops(rows: DataFrame, query: list[float], workspace, k: int = 5, threshold: float = 0.75, key: str = "id") -> DataFrame:
@@ -85,21 +139,22 @@ def hybrid_search(rows: DataFrame, vector: list[float], phrase: str, limit: int
     return rerank(shown, phrase, limit, key)
 
 
-def name_match(queries: DataFrame, nodes: DataFrame, most: int = 10_000) -> DataFrame:
-    """query_id, node_id where a query has a node's name or id, or a name has the query. A stated set of at most
-    ``most`` queries (checked) meets all nodes."""
-    if queries.count() > most:
-        raise ValueError(f"more than {most} queries; split them into blocks")
-    q = queries.select("query_id", F.lower("query").alias("_q")).filter("_q != ''")
-    name = F.lower(F.col("name"))
+def name_match(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query_id, node_id where a query has a node's name or id, or a name has the query. All nodes meet one block of
+    queries after another."""
+    name, out = F.lower(F.col("name")), None
     hit = ((name != "") & (F.contains(F.col("_q"), name) | F.contains(name, F.col("_q")))) | ((F.col("id") != "") & F.contains(F.col("_q"), F.lower("id")))
-    return nodes.join(F.broadcast(q), hit).select("query_id", F.col("id").alias("node_id"))
+    for block in query_blocks(queries.select("query_id", F.lower("query").alias("_q")).filter("_q != ''")):
+        part = nodes.join(F.broadcast(block), hit).select("query_id", F.col("id").alias("node_id"))
+        out = part if out is None else out.unionByName(part)
+    return queries.limit(0).select("query_id", F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("node_id")) if out is None else out
 
 
 def conflict_candidates(rows: DataFrame, queries: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
-    """query_id, id, origin: the most similar rows, or the newest of the workspace for queries without one.
-    rows: id, workspace_id, created_at, embedding; queries: query_id, workspace_id, embedding."""
-    near = vector_topk_many(rows, queries, k, threshold).select("query_id", "id", F.lit("vector").alias("origin"))
-    rest = queries.join(near.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "workspace_id")
-    newest = top_per_group(rows.select("id", "workspace_id", "created_at"), ["workspace_id"], [F.desc("created_at"), F.asc("id")], k)
-    return near.unionByName(rest.join(newest, "workspace_id").select("query_id", "id", F.lit("newest").alias("origin")))
+    """query_id, id, origin: the most similar other rows, or the newest others of the workspace for queries without
+    one. rows: id, workspace_id, created_at, embedding; queries: query_id, workspace_id, embedding."""
+    near = cut(vector_topk_many(rows, queries, k, threshold, others=True).select("query_id", "id", F.lit("vector").alias("origin")))
+    rest = queries.join(near.select("query_id").distinct().hint("merge"), "query_id", "left_anti").select("query_id", "workspace_id")
+    newest = top_per_group(rows.select("id", "workspace_id", "created_at"), ["workspace_id"], [F.desc("created_at"), F.asc("id")], k + 1)
+    picked = rest.join(newest.drop("rank").hint("merge"), "workspace_id").filter("id != query_id")  # k + 1 rows a workspace
+    return near.unionByName(top_per_group(picked, ["query_id"], [F.desc("created_at"), F.asc("id")], k).select("query_id", "id", F.lit("newest").alias("origin")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusspark.operators import documents as doc
 from corpusspark.operators import graph as g
 from corpusspark.operators import retrieval as ret
+from corpusspark.operators.lineage import shared_dir
 from corpusspark.plans.registry import Tables, query
 from corpusspark.streaming import streams as st
 
@@ -57,15 +60,22 @@ def _incoming(t: Tables):
     return t.documents.select(F.lit("w").alias("workspace_id"), "source", F.col("doc_id").cast("string").alias("external_id"), "text", F.array(F.lit("member")).alias("roles"))
 
 
-@query("persist_corpus")
+@query("persist_corpus", _CHUNKS + """
+, n AS (SELECT doc_id, source FROM documents WHERE doc_id % 3 <> 0),
+ k AS (SELECT n.doc_id, source, sha256('w:' || source || ':' || n.doc_id) AS id FROM n)
+SELECT 'chunk' AS kind, id AS doc_id, x.k::INT AS place, sha256(regexp_replace(substr(t, start::INT + 1, (stop - start)::INT), '^\\s+|\\s+$', '', 'g')) AS what FROM x JOIN k USING (doc_id)
+UNION ALL SELECT 'document', id, (SELECT count(*) FROM x WHERE x.doc_id = k.doc_id)::INT, 'completed' FROM k UNION ALL SELECT 'acl', id, NULL, 'member' FROM k""")
 def _(t):
     rows = _incoming(t)
     stored = rows.filter("cast(external_id as long) % 3 = 0").select("workspace_id", "source", "external_id", F.sha2("text", 256).alias("content_hash"), F.lit("completed").alias("extraction_stage"))
     out = doc.persist_corpus(rows, stored, doc.hashing_embedder())
-    return out["chunks"].select("doc_id", "chunk_index", "content_hash", "embedding_model", F.size("embedding").alias("dims"))
+    chunks = out["chunks"].filter(F.size("embedding") == 32).select(F.lit("chunk").alias("kind"), "doc_id", F.col("chunk_index").alias("place"), F.col("content_hash").alias("what"))
+    docs = out["documents"].select(F.lit("document").alias("kind"), "doc_id", F.col("n_chunks").cast("int").alias("place"), F.col("extraction_stage").alias("what"))
+    return chunks.unionByName(docs).unionByName(out["acl"].select(F.lit("acl").alias("kind"), "doc_id", F.lit(None).cast("int").alias("place"), F.col("principal_id").alias("what")))
 
 
-@query("reembed_stale")
+@query("reembed_stale", """
+SELECT doc_id AS chunk_id, 'missing_embedding' AS reason, CASE WHEN regexp_replace(coalesce(text, ''), '\\s', '', 'g') = '' THEN 'invalid' WHEN doc_id % 10 = 0 THEN 'raced' ELSE 'embedded' END AS outcome FROM documents""")
 def _(t):
     k = F.col("doc_id")
     chunks = t.documents.select(k.alias("chunk_id"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.lit(None).cast("array<float>").alias("embedding"), F.lit("m").alias("embedding_model"), F.lit("1").alias("embedding_version"))
@@ -90,29 +100,39 @@ def _edges(t: Tables):
 
 
 def _two_hop(t: Tables):
-    ed = _edges(t).filter("type != 'SUPPLIED_BY'")
+    ed = _edges(t)
     none = F.lit(None)
     return ed.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.col("type").alias("edge_type"), none.cast("timestamp").alias("valid_from"), F.when(F.col("src") == "n3", F.lit("1990-01-01").cast("timestamp")).alias("valid_until"), F.when(F.substring("src", 1, 1) == "c", F.array(F.lit("admin"))).alias("allowed_roles"))
 
 
-_HOP = f"""WITH e AS (SELECT * FROM ({_EDGES}) WHERE type <> 'SUPPLIED_BY' AND src <> 'n3' AND src NOT LIKE 'c%'), q AS (SELECT 's' || s_suppkey AS start FROM supplier WHERE s_suppkey < 20 UNION ALL SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey < 5),
+_HOP = """WITH e AS (SELECT * FROM ({edges}) WHERE src <> 'n3' AND src NOT LIKE 'c%'), q AS ({starts}),
  o AS (SELECT start, dst AS node, type, src, dst FROM q JOIN e ON start = src UNION ALL SELECT start, src, type, src, dst FROM q JOIN e ON start = dst),
  w AS (SELECT DISTINCT o.start, e.dst AS node, e.type, e.src, e.dst FROM o JOIN e ON o.node = e.src WHERE e.dst <> o.start),
  b AS (SELECT 1 AS depth, * FROM o UNION ALL SELECT 2, * FROM w)"""
 
 
-@query("two_hop", _HOP + " SELECT start, node, depth, type AS edge_type FROM (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY depth, type, src, dst) AS k FROM b) WHERE k = 1")
+@query("two_hop", _HOP.format(edges=_EDGES, starts="SELECT 's' || s_suppkey AS start FROM supplier UNION ALL SELECT 'n' || n_nationkey FROM nation") + " SELECT start, node, depth, type AS edge_type FROM (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY depth, type, src, dst) AS k FROM b) WHERE k = 1")
 def _(t):
-    starts = t.supplier.filter("s_suppkey < 20").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("start")).union(t.nation.filter("n_nationkey < 5").select(F.concat(F.lit("n"), F.col("n_nationkey"))))
+    starts = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("start")).union(t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey"))))
     return g.two_hop(_two_hop(t), starts, F.lit("2000-01-01").cast("timestamp"), "member").select("start", "node", "depth", "edge_type")
 
 
-@query("graph_context")
-def _(t):
-    nodes = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"))
+@query("graph_context", _HOP.format(edges=_EDGES, starts="SELECT DISTINCT id AS start FROM h").replace("WITH e AS", """
+WITH nodes AS (SELECT 'n' || n_nationkey AS id, n_name AS name, TIMESTAMP '1999-12-01' AS at FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, TIMESTAMP '1999-11-11' FROM supplier),
+ bq AS (SELECT item_id, 'what of nation_' || item_id % 25 || ' today' AS q FROM benchmark),
+ h AS (SELECT item_id AS query_id, id, row_number() OVER (PARTITION BY item_id ORDER BY id) AS hit FROM bq JOIN nodes ON contains(q, lower(name)) OR contains(lower(name), q) OR contains(q, id) QUALIFY hit <= 3),
+ e AS""", 1) + """,
+ u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY depth, type, src, dst) AS k FROM b WHERE node <> start) WHERE k = 1),
+ p AS (SELECT u.*, row_number() OVER (PARTITION BY start ORDER BY depth, node) AS place FROM u QUALIFY place <= 25),
+ f AS (SELECT query_id, hit, place, start, type, coalesce(n.name, node) AS name, coalesce(exp(-ln(2.0) / 30 * date_diff('day', n.at, TIMESTAMP '2000-01-01')), 1.0) AS weight FROM h JOIN p ON h.id = p.start LEFT JOIN nodes n ON n.id = p.node),
+ g AS (SELECT query_id, printf('(%s) -> [%s] -> (%s) (decayScore: %.2f)', start, type, name, weight) AS tuple, min((hit, place)) AS first, max(weight) AS weight FROM f GROUP BY 1, 2)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY first, tuple))::INT AS tuple_rank, tuple, round(weight, 6) AS weight FROM g QUALIFY tuple_rank <= 25""")
+def _(t):
+    nodes = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), F.lit("1999-12-01").cast("timestamp").alias("created_at")).unionByName(
+        t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.lit("1999-11-11").cast("timestamp").alias("created_at"))
+    )
     qs = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.lit("what of "), F.lit("NATION_"), F.col("item_id") % 25, F.lit(" today")).alias("query"))
-    edges = _two_hop(t).withColumn("created_at", F.lit("1999-12-01").cast("timestamp"))
-    return g.graph_context(qs, nodes, edges, F.lit("2000-01-01").cast("timestamp"), "member").withColumn("weight", F.round("weight", 6))
+    return g.graph_context(qs, nodes, _two_hop(t), F.lit("2000-01-01").cast("timestamp"), "member").withColumn("weight", F.round("weight", 6))
 
 
 @query("merge_nodes", f"""
@@ -125,18 +145,18 @@ def _(t):
 
 
 @query("connected_components", f"""
-WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES}) WHERE type IN ('IN', 'OF')), b AS (SELECT * FROM e UNION SELECT dst, src FROM e),
+WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES})), b AS (SELECT * FROM e UNION SELECT dst, src FROM e),
  r(id, c) AS (SELECT DISTINCT dst, dst FROM e WHERE dst LIKE 'r%' UNION SELECT b.dst, r.c FROM r JOIN b ON r.id = b.src)
-SELECT id, min(id) OVER (PARTITION BY c) AS component FROM r""")
+SELECT DISTINCT id, min(id) OVER (PARTITION BY c) AS component FROM r""")
 def _(t):
-    return g.connected_components(_edges(t).filter("type in ('IN', 'OF')"))
+    return g.connected_components(_edges(t))
 
 
 @query("node_depth", f"""
-WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES})), r(id, d) AS (SELECT 'p' || p_partkey, 0 FROM part WHERE p_partkey < 5 UNION SELECT dst, d + 1 FROM r JOIN e ON id = src)
+WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES})), r(id, d) AS (SELECT 'p' || p_partkey, 0 FROM part UNION SELECT dst, d + 1 FROM r JOIN e ON id = src)
 SELECT id, min(d) AS depth FROM r GROUP BY 1""")
 def _(t):
-    return g.node_depth(_edges(t), t.part.filter("p_partkey < 5").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id")))
+    return g.node_depth(_edges(t), t.part.select(F.concat(F.lit("p"), F.col("p_partkey")).alias("id")))
 
 
 @query("shortest_path", f"""
@@ -155,17 +175,24 @@ def _(t):
     return g.topological_order(_edges(t))
 
 
-@query("is_acyclic", "SELECT true AS acyclic")
+# A graph has a cycle where a vertex reaches itself; the second one also has an edge back from each region to a nation.
+@query("is_acyclic", f"""
+WITH RECURSIVE e AS (SELECT 'as is' AS graph, src, dst FROM ({_EDGES}) UNION SELECT 'with edges back', src, dst FROM ({_EDGES}) UNION SELECT 'with edges back', 'r' || n_regionkey, 'n' || min(n_nationkey) FROM nation GROUP BY n_regionkey),
+ r(graph, a, b) AS (SELECT graph, src, dst FROM e UNION SELECT r.graph, a, dst FROM r JOIN e ON b = src AND r.graph = e.graph)
+SELECT graph, NOT bool_or(a = b) AS acyclic FROM r GROUP BY 1""")
 def _(t):
-    return g.is_acyclic(_edges(t))
+    e = _edges(t).select("src", "dst")
+    back = t.nation.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n")).select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n").alias("dst"))
+    named = lambda df, name: df.select(F.lit(name).alias("graph"), "acyclic")
+    return named(g.is_acyclic(e), "as is").unionByName(named(g.is_acyclic(e.unionByName(back)), "with edges back"))
 
 
 @query("entity_rollup", """
-WITH m AS (SELECT l_suppkey % 5 AS workspace_id, 'part ' || l_partkey % 40 AS name, l_returnflag AS type, epoch(l_shipdate)::BIGINT AS seen_at FROM lineitem)
-SELECT workspace_id, 'part_' || regexp_extract(name, '[0-9]+') AS canonical_id, count(*) AS times_seen, min(seen_at) AS first_seen, max(seen_at) AS last_seen, round(least(0.95, 0.7 + 0.05 * (count(*) - 1)), 6) AS confidence FROM m GROUP BY 1, 2""")
+WITH m AS (SELECT l_suppkey % 5 AS workspace_id, CASE WHEN l_linenumber % 2 = 0 AND l_orderkey % 3 = 0 THEN 'Part ' ELSE 'part ' END || l_partkey % 40 AS name, l_returnflag AS type, epoch(l_shipdate)::BIGINT AS seen_at FROM lineitem)
+SELECT workspace_id, 'part_' || regexp_extract(name, '[0-9]+') AS canonical_id, max(name) AS name, array_to_string(list_sort(list_distinct(list(name))), ',') AS aliases, count(*) AS times_seen, min(seen_at) AS first_seen, max(seen_at) AS last_seen, round(least(0.95, 0.7 + 0.05 * (count(*) - 1)), 6) AS confidence FROM m GROUP BY 1, 2""".replace("max(name)", "arg_max(name, (seen_at, name))"))
 def _(t):
-    m = t.lineitem.select((F.col("l_suppkey") % 5).alias("workspace_id"), F.concat(F.lit("part "), F.col("l_partkey") % 40).alias("name"), F.col("l_returnflag").alias("type"), F.unix_timestamp("l_shipdate").alias("seen_at"))
-    return g.entity_rollup(m).select("workspace_id", "canonical_id", "times_seen", "first_seen", "last_seen", F.round("confidence", 6).alias("confidence"))
+    m = t.lineitem.select((F.col("l_suppkey") % 5).alias("workspace_id"), F.concat(F.when((F.col("l_linenumber") % 2 == 0) & (F.col("l_orderkey") % 3 == 0), "Part ").otherwise("part "), F.col("l_partkey") % 40).alias("name"), F.col("l_returnflag").alias("type"), F.unix_timestamp("l_shipdate").alias("seen_at"))
+    return g.entity_rollup(m).select("workspace_id", "canonical_id", "name", F.array_join("aliases", ",").alias("aliases"), "times_seen", "first_seen", "last_seen", F.round("confidence", 6).alias("confidence"))
 
 
 _RELS = """SELECT l_suppkey % 5 AS workspace_id, 'part_' || l_partkey % 20 AS source_id, CASE WHEN l_suppkey % 7 = 0 THEN 'part_' || l_partkey % 20 ELSE 'supp_' || l_suppkey % 10 END AS target_id, CASE WHEN l_returnflag = 'A' THEN 'OWNS' ELSE 'LIKES' END AS type FROM lineitem"""
@@ -176,14 +203,18 @@ def _rels(t: Tables):
     return g.relationship_rollup(r)
 
 
-@query("relationship_rollup", f"SELECT workspace_id, source_id, target_id, type, count(*) AS times_seen, type = 'OWNS' AS projectable FROM ({_RELS}) WHERE source_id <> target_id GROUP BY 1, 2, 3, 4")
+@query("relationship_rollup", f"SELECT workspace_id, source_id, target_id, type, count(*) AS times_seen, round(least(0.95, 0.7 + 0.05 * (count(*) - 1)), 6) AS confidence, type = 'OWNS' AS projectable FROM ({_RELS}) WHERE source_id <> target_id GROUP BY 1, 2, 3, 4")
 def _(t):
-    return _rels(t).drop("confidence")
+    return _rels(t).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("project_graph", f"SELECT DISTINCT workspace_id || ':' || source_id AS source_id, workspace_id || ':' || target_id AS target_id, type AS edge_type FROM ({_RELS}) WHERE source_id <> target_id AND type = 'OWNS'")
+@query("project_graph", f"""
+WITH e AS (SELECT workspace_id || ':' || source_id AS source_id, workspace_id || ':' || target_id AS target_id, type AS edge_type, round(least(0.95, 0.7 + 0.05 * (count(*) - 1)), 6) AS confidence FROM ({_RELS}) WHERE source_id <> target_id AND type = 'OWNS' GROUP BY 1, 2, 3)
+SELECT * FROM e UNION ALL SELECT source_id, NULL, NULL, NULL FROM (SELECT source_id FROM e UNION SELECT target_id FROM e)""")
 def _(t):
-    return g.project_graph(_rels(t))["edges"].drop("confidence")
+    out, none = g.project_graph(_rels(t)), F.lit(None)
+    nodes = out["nodes"].select(F.col("id").alias("source_id"), none.cast("string").alias("target_id"), none.cast("string").alias("edge_type"), none.cast("double").alias("confidence"))
+    return out["edges"].withColumn("confidence", F.round("confidence", 6)).unionByName(nodes)
 
 
 _COS = "round(list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[]))), 6)"
@@ -191,16 +222,16 @@ _COS_AB = _COS.format(a="a.embedding", b="b.embedding")
 
 
 @query("entity_duplicates", f"""
-WITH m AS (SELECT vec_id, label, embedding, 'E' || vec_id % 300 AS name FROM embeddings WHERE vec_id % 2 = 1), r AS (SELECT vec_id AS entity_id, label, embedding, 'e' || vec_id AS name FROM embeddings WHERE vec_id % 2 = 0 OR vec_id < 20),
+WITH m AS (SELECT vec_id, label, list_reverse(embedding) AS embedding, 'E' || vec_id % 300 || CASE WHEN vec_id % 300 = 200 THEN 'x' ELSE '' END AS name FROM embeddings WHERE vec_id % 100 = 0), r AS (SELECT vec_id AS entity_id, label, embedding, 'e' || vec_id AS name FROM embeddings),
  x AS (SELECT vec_id AS mention_id, min(entity_id) AS entity_id, 1.0 AS similarity FROM m JOIN r ON lower(m.name) = r.name GROUP BY 1),
  n AS (SELECT a.vec_id AS mention_id, b.entity_id, {_COS_AB} AS similarity FROM m a JOIN r b ON a.label = b.label WHERE a.vec_id NOT IN (SELECT mention_id FROM x)),
- k AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY similarity DESC, entity_id) AS rn FROM n WHERE similarity >= 0.3)
-SELECT mention_id, entity_id, similarity, similarity >= 0.5 AS accepted FROM (SELECT * FROM x UNION ALL SELECT mention_id, entity_id, similarity FROM k WHERE rn = 1)""")
+ k AS (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY similarity DESC, entity_id) AS rn FROM n WHERE similarity >= 0.2)
+SELECT mention_id, entity_id, similarity, similarity >= 0.3 AS accepted FROM (SELECT * FROM x UNION ALL SELECT mention_id, entity_id, similarity FROM k WHERE rn = 1)""")
 def _(t):
     e = t.embeddings.select("vec_id", F.col("label").alias("type"), F.lit("w").alias("workspace_id"), "embedding")
-    m = e.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("mention_id"), F.concat(F.lit("E"), F.col("vec_id") % 300).alias("name"), "type", "workspace_id", "embedding")
-    r = e.filter("vec_id % 2 = 0 or vec_id < 20").select(F.col("vec_id").alias("entity_id"), F.concat(F.lit("e"), F.col("vec_id")).alias("name"), "type", "workspace_id", "embedding")
-    return g.entity_duplicates(m, r, 0.3, 0.5)
+    m = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("mention_id"), F.concat(F.lit("E"), F.col("vec_id") % 300, F.when(F.col("vec_id") % 300 == 200, "x").otherwise("")).alias("name"), "type", "workspace_id", F.reverse("embedding").alias("embedding"))
+    r = e.select(F.col("vec_id").alias("entity_id"), F.concat(F.lit("e"), F.col("vec_id")).alias("name"), "type", "workspace_id", "embedding")
+    return g.entity_duplicates(m, r, 0.2, 0.3)
 
 
 @query("best_entity_match", f"""
@@ -223,13 +254,14 @@ def _vector(t: Tables, k: int) -> list[float]:
 
 
 def _items(t: Tables):
-    d = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 120).alias("trigger_condition"), F.col("lang").alias("category"))
+    """Documents with an embedding; what is searched is the whole text."""
+    d = t.documents.select(F.col("doc_id").alias("id"), F.concat_ws(" ", F.lit("from the"), "source").alias("title"), F.col("text").alias("trigger_condition"), F.col("lang").alias("category"))
     return d.join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label"), "id")
 
 
-@query("vector_topk", f"SELECT a.vec_id AS id, {_COS_AB} AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = 7 WHERE a.vec_id % 3 <> 0 AND {_COS_AB} > 0.1 ORDER BY similarity DESC, id LIMIT 20")
+@query("vector_topk", f"SELECT a.vec_id AS id, {_COS_AB} AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = 7 WHERE {_COS_AB} > 0.1 ORDER BY similarity DESC, id LIMIT 20")
 def _(t):
-    return ret.vector_topk(t.embeddings.filter("vec_id % 3 != 0").select(F.col("vec_id").alias("id"), "embedding"), _vector(t, 7), 20, 0.1)
+    return ret.vector_topk(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), _vector(t, 7), 20, 0.1)
 
 
 @query("similar_sops", f"SELECT a.vec_id AS id, {_COS_AB} AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = 7 WHERE (a.label = 1 OR a.vec_id % 9 = 0) AND {_COS_AB} >= 0.1 ORDER BY similarity DESC, id LIMIT 5")
@@ -250,7 +282,7 @@ def _(t):
 
 
 _HYBRID = f"""
-WITH i AS (SELECT doc_id AS id, substr(text, 1, 80) AS title, substr(text, 81, 120) AS trg, lang, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+WITH i AS (SELECT doc_id AS id, 'from the ' || source AS title, text AS trg, lang, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
  v AS (SELECT embedding FROM embeddings WHERE vec_id = 3),
  dl AS (SELECT a.id, {_COS_AB} AS s FROM i a, v b WHERE {_COS_AB} > 0.05 ORDER BY s DESC, id LIMIT 30), d AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM dl),
  sl AS (SELECT id FROM i WHERE contains(lower(title), 'the') OR contains(lower(trg), 'the') OR contains(lower(lang), 'the') ORDER BY id LIMIT 10), s AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM sl),
@@ -266,10 +298,10 @@ def _(t):
 
 
 @query("rerank", """
-WITH f AS (SELECT doc_id AS id, substr(text, 1, 80) AS title, lang, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents QUALIFY k <= 100)
+WITH f AS (SELECT doc_id AS id, text AS title, lang, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents QUALIFY k <= 100)
 SELECT id, round(CASE WHEN contains(lower(title), 'the') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(title), 'and') THEN 3.0 ELSE 0 END + CASE WHEN contains(lower(title), 'the and') THEN 5.0 ELSE 0 END + (101 - k) * 0.01, 6) AS relevance FROM f ORDER BY relevance DESC, id LIMIT 20""")
 def _(t):
-    d = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 80).alias("title"), F.lit(None).cast("string").alias("trigger_condition"), F.col("lang").alias("category"), F.col("n_chars").alias("score"))
+    d = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("title"), F.lit(None).cast("string").alias("trigger_condition"), F.col("lang").alias("category"), F.col("n_chars").alias("score"))
     top = d.orderBy(F.desc("score"), "id").limit(100)
     return ret.rerank(top, "the and", 20, order=[F.desc("score"), F.asc("id")]).select("id", "relevance")
 
@@ -285,13 +317,13 @@ def _(t):
 
 
 @query("conflict_candidates", f"""
-WITH q AS (SELECT vec_id AS query_id, label, embedding FROM embeddings WHERE vec_id % 50 = 0), n AS (SELECT q.query_id, a.vec_id AS id, {_COS.format(a="a.embedding", b="q.embedding")} AS s FROM q JOIN embeddings a ON a.vec_id % 50 <> 0),
+WITH q AS (SELECT vec_id AS query_id, label, embedding FROM embeddings WHERE vec_id % 100 = 0), n AS (SELECT q.query_id, a.vec_id AS id, {_COS.format(a="a.embedding", b="q.embedding")} AS s FROM q JOIN embeddings a ON a.vec_id <> q.query_id),
  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM n WHERE s > 0.5), v AS (SELECT query_id, id, 'vector' AS origin FROM k WHERE r <= 5),
- w AS (SELECT label, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS r FROM embeddings WHERE vec_id % 50 <> 0)
-SELECT * FROM v UNION ALL SELECT q.query_id, w.id, 'newest' FROM q JOIN w ON q.label = w.label AND w.r <= 5 WHERE q.query_id NOT IN (SELECT query_id FROM v)""")
+ w AS (SELECT q.query_id, a.vec_id AS id, row_number() OVER (PARTITION BY q.query_id ORDER BY a.vec_id DESC) AS r FROM q JOIN embeddings a ON q.label = a.label AND a.vec_id <> q.query_id)
+SELECT * FROM v UNION ALL SELECT query_id, id, 'newest' FROM w WHERE r <= 5 AND query_id NOT IN (SELECT query_id FROM v)""")
 def _(t):
-    rows = t.embeddings.filter("vec_id % 50 != 0").select(F.col("vec_id").alias("id"), F.col("label").alias("workspace_id"), F.col("vec_id").alias("created_at"), "embedding")
-    qs = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("workspace_id"), "embedding")
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("workspace_id"), F.col("vec_id").alias("created_at"), "embedding")
+    qs = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("workspace_id"), "embedding")
     return ret.conflict_candidates(rows, qs, 0.5)
 
 
@@ -330,8 +362,24 @@ def _(t):
     return st.rate_quota(t.events, "event_type", "ts", "event_id", 3, "1 hour").select("event_id", "over_limit")
 
 
-@query("stream_incremental_sync", "SELECT event_type, count(*) AS n, count(*) FILTER (ts >= TIMESTAMP '2024-01-29' ) AS recent FROM events GROUP BY 1")
+@query("lease_ledger", """
+WITH RECURSIVE o AS (SELECT event_id, user_id, ts, ['acquire', 'acquire', 'acquire', 'complete', 'fail', 'release'][(event_id % 6)::INT + 1] AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+ r(user_id, k, event_id, decision, status, until) AS (SELECT user_id, k, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::TIMESTAMP FROM (SELECT DISTINCT user_id, 0::BIGINT AS k FROM o)
+  UNION ALL SELECT user_id, k, event_id, CASE WHEN kind = 'acquire' THEN CASE WHEN was IS NULL THEN 'acquired' WHEN was = 'pending' AND ts >= until THEN 'reacquired' ELSE 'replay' END WHEN was IS NULL THEN 'unknown' ELSE final END,
+    CASE WHEN kind = 'acquire' THEN coalesce(was, 'pending') WHEN was IS NULL THEN NULL ELSE state END,
+    CASE WHEN kind = 'acquire' AND (was IS NULL OR was = 'pending' AND ts >= until) OR kind = 'release' AND was IS NOT NULL THEN ts + INTERVAL 6 HOUR ELSE until END
+   FROM (SELECT o.user_id, o.k, o.event_id, o.ts, o.kind, r.status AS was, r.until, CASE o.kind WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' ELSE 'released' END AS final, CASE o.kind WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' ELSE 'pending' END AS state FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1))
+SELECT user_id, event_id, decision FROM r WHERE event_id IS NOT NULL""")
+def _(t):
+    kind = F.element_at(F.array(*map(F.lit, ["acquire", "acquire", "acquire", "complete", "fail", "release"])), (F.col("event_id") % 6 + 1).cast("int"))
+    return st.lease_decisions(t.events.withColumn("kind", kind), "user_id", "ts", "event_id", 6 * 3600, "kind")
+
+
+@query("stream_incremental_sync", "SELECT event_type, 2 - event_id % 2 AS run, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1, 2")
 def _(t):
-    """The batch view of what incremental runs have landed: all rows, and those since a look-back of a day."""
-    since = F.lit("2024-01-30").cast("timestamp") - F.expr("interval 24 hours")
-    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts") >= since).alias("recent"))
+    """Events land in two parts in the shared folder; a run after each takes what is new."""
+    base = f"{shared_dir(t.spark)}/sync-{uuid.uuid4().hex}"
+    for run in (1, 2):
+        t.events.filter(F.col("event_id") % 2 == 2 - run).write.mode("append").parquet(f"{base}/in")
+        st.incremental_sync(t.spark, f"{base}/in", t.events.schema, f"{base}/cursor", lambda df, _, run=run: df.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{base}/out"))
+    return t.spark.read.parquet(f"{base}/out").groupBy("event_type", F.col("run").cast("long").alias("run")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))

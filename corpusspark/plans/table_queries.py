@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from corpusspark.operators import documents as doc
 from corpusspark.operators import relational as op
 from corpusspark.plans.registry import Tables, query
-from corpusspark.sources.ingest import union_sources
 
 AT_SQL = "TIMESTAMP '2001-08-01'"
 
@@ -20,9 +19,9 @@ def _at():
 SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_totalprice >= 1000 AND o_totalprice < 300000 AND o_custkey IS NOT NULL)
   OR (o_orderpriority ILIKE '%low%' AND o_custkey % 7 = 0)""")
 def _(t):
-    c = F.col
-    a = (c("o_orderstatus") == "F") & c("o_orderpriority").isin("1-URGENT", "2-HIGH") & (c("o_totalprice") >= 1000) & (c("o_totalprice") < 300000) & c("o_custkey").isNotNull()
-    return t.orders.filter(a | (c("o_orderpriority").ilike("%low%") & (c("o_custkey") % 7 == 0))).select("o_orderkey")
+    one = {"o_orderstatus": ("eq", "F"), "o_orderpriority": ("in", ["1-URGENT", "2-HIGH"]), "o_totalprice": ("between", (1000, 300000)), "o_custkey": ("not_null", None)}
+    two = {"o_orderpriority": ("ilike", "%low%"), "o_custkey": ("multiple_of", 7)}
+    return op.predicate_set(t.orders, [one, two]).select("o_orderkey")
 
 
 @query("tenant_scope", "SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE user_id END AS ws FROM events) WHERE ws = 8 OR ws IS NULL")
@@ -39,13 +38,12 @@ def _(t):
 
 @query("sop_list", "SELECT p_partkey, p_retailprice FROM part WHERE p_brand = 'Brand#2' AND p_type = 'ECONOMY' ORDER BY p_retailprice DESC, p_partkey")
 def _(t):
-    return t.part.filter("p_brand = 'Brand#2' and p_type = 'ECONOMY'").select("p_partkey", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey")
+    return op.listed(t.part, {"p_brand": "Brand#2", "p_type": "ECONOMY"}, "p_retailprice", "p_partkey").select("p_partkey", "p_retailprice")
 
 
 @query("sop_keyword_search", "SELECT p_partkey, p_name FROM part WHERE p_size > 10 AND (contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring'))")
 def _(t):
-    hit = lambda c: F.contains(F.lower(c), F.lit("RING".lower()))
-    return t.part.filter((F.col("p_size") > 10) & (hit("p_name") | hit("p_type"))).select("p_partkey", "p_name")
+    return op.keyword_search(t.part.filter("p_size > 10"), "RING", ["p_name", "p_type"]).select("p_partkey", "p_name")
 
 
 @query("edge_valid_at", f"""
@@ -101,14 +99,14 @@ def _(t):
 
 @query("execution_gate", """
 SELECT o_orderkey, (hi AND low AND NOT good) AS gated, CASE WHEN hi AND low AND NOT good THEN CASE WHEN a.id IS NULL THEN 'unrequested' WHEN a.used THEN 'already_consumed' ELSE a.status END END AS approval_status
-FROM (SELECT o.*, o_orderpriority IN ('1-URGENT', '2-HIGH') AS hi, o_orderkey % 4 <> 0 AS low, o_orderkey % 200 AS aid FROM orders o) o
-LEFT JOIN (SELECT c_custkey AS id, c_custkey % 10 AS sop, CASE WHEN c_custkey % 3 = 0 THEN 'pending' ELSE 'approved' END AS status, c_custkey % 4 = 0 AS used FROM customer WHERE c_custkey < 100) a ON a.id = aid
+FROM (SELECT o.*, o_orderpriority IN ('1-URGENT', '2-HIGH') AS hi, o_orderkey % 4 <> 0 AS low, o_orderkey % 2000 AS aid FROM orders o) o
+LEFT JOIN (SELECT c_custkey AS id, c_custkey % 10 AS sop, CASE WHEN c_custkey % 3 = 0 THEN 'pending' ELSE 'approved' END AS status, c_custkey % 4 = 0 AS used FROM customer) a ON a.id = aid
 CROSS JOIN LATERAL (SELECT coalesce(a.sop = o_custkey % 10 AND a.status = 'approved' AND NOT a.used, false) AS good)""")
 def _(t):
     k = F.col("c_custkey")
-    ap = t.customer.filter("c_custkey < 100").select(k.alias("id"), (k % 10).alias("sop_id"), F.when(k % 3 == 0, "pending").otherwise("approved").alias("status"), F.when(k % 4 == 0, _at()).alias("consumed_at"))
+    ap = t.customer.select(k.alias("id"), (k % 10).alias("sop_id"), F.when(k % 3 == 0, "pending").otherwise("approved").alias("status"), F.when(k % 4 == 0, _at()).alias("consumed_at"))
     pr = F.col("o_orderpriority")
-    calls = t.orders.select("o_orderkey", (F.col("o_custkey") % 10).alias("sop_id"), F.when(pr == "1-URGENT", "Critical").otherwise("Low").alias("risk_level"), (pr == "2-HIGH").alias("human_gate"), F.when(F.col("o_orderkey") % 4 != 0, "low_trust").otherwise("admin").alias("trust_role"), (F.col("o_orderkey") % 200).alias("approval_id"))
+    calls = t.orders.select("o_orderkey", (F.col("o_custkey") % 10).alias("sop_id"), F.when(pr == "1-URGENT", "Critical").otherwise("Low").alias("risk_level"), (pr == "2-HIGH").alias("human_gate"), F.when(F.col("o_orderkey") % 4 != 0, "low_trust").otherwise("admin").alias("trust_role"), (F.col("o_orderkey") % 2000).alias("approval_id"))
     return op.execution_gate(calls, ap).select("o_orderkey", "gated", "approval_status")
 
 
@@ -136,10 +134,10 @@ def _(t):
 def _triples(t: Tables):
     k = F.col("l_partkey")
     pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
-    return t.lineitem.filter("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_partkey", F.when(k % 20 != 0, F.concat(F.lit("part "), k % 50)).otherwise(" ").alias("subject"), pick(["System", "Thing", "Team"], k % 3).alias("subject_type"), pick(["owns", " Requires", "likes", "DEPENDS_ON"], F.col("l_suppkey") % 4).alias("predicate"), F.concat(F.lit("supp "), F.col("l_suppkey") % 30).alias("object"), F.lit("Role").alias("object_type"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.when(k % 20 != 0, F.concat(F.lit("part "), k % 50)).otherwise(" ").alias("subject"), pick(["System", "Thing", "Team"], k % 3).alias("subject_type"), pick(["owns", " Requires", "likes", "DEPENDS_ON"], F.col("l_suppkey") % 4).alias("predicate"), F.concat(F.lit("supp "), F.col("l_suppkey") % 30).alias("object"), F.lit("Role").alias("object_type"))
 
 
-_TRIPLES = """SELECT l_orderkey, l_linenumber, l_partkey % 20 = 0 AS e, l_partkey % 3 AS st, ['OWNS', 'REQUIRES', 'LIKES', 'DEPENDS_ON'][(l_suppkey % 4)::INT + 1] AS predicate, 'part_' || l_partkey % 50 AS s, 'supp_' || l_suppkey % 30 AS o FROM lineitem WHERE l_linenumber <= 2"""
+_TRIPLES = """SELECT l_orderkey, l_linenumber, l_partkey % 20 = 0 AS e, l_partkey % 3 AS st, ['OWNS', 'REQUIRES', 'LIKES', 'DEPENDS_ON'][(l_suppkey % 4)::INT + 1] AS predicate, 'part_' || l_partkey % 50 AS s, 'supp_' || l_suppkey % 30 AS o FROM lineitem"""
 
 
 @query("triple_validate", f"SELECT predicate, CASE WHEN e THEN 'empty_subject' WHEN st = 1 THEN 'bad_subject_type' WHEN predicate = 'LIKES' THEN 'bad_predicate' ELSE 'valid' END AS reason, count(*) AS n FROM ({_TRIPLES}) GROUP BY 1, 2")
@@ -150,13 +148,18 @@ def _(t):
 
 
 @query("persist_triples", f"""
-WITH v AS (SELECT * FROM ({_TRIPLES}) WHERE NOT e AND st <> 1 AND predicate <> 'LIKES')
-SELECT s AS source_id, o AS target_id, predicate AS edge_type, count(*) FILTER (false) + 1 AS one FROM v GROUP BY 1, 2, 3""")
+WITH t AS (SELECT CASE WHEN e THEN 'unnamed_entity' ELSE s END AS s, o, predicate, CASE WHEN st = 1 THEN 'bad_subject_type' WHEN predicate = 'LIKES' THEN 'bad_predicate' END AS reason FROM ({_TRIPLES}))
+SELECT 'edge' AS kind, s AS source_id, o AS target_id, predicate AS what, 1 AS n FROM t WHERE reason IS NULL GROUP BY 2, 3, 4
+UNION ALL SELECT 'rejected', NULL, NULL, reason, count(*) FROM t WHERE reason IS NOT NULL GROUP BY 4
+UNION ALL SELECT DISTINCT 'node', x, NULL, NULL, 1 FROM (SELECT s AS x FROM t WHERE reason IS NULL UNION SELECT o FROM t WHERE reason IS NULL)""")
 def _(t):
     from corpusspark.operators.graph import persist_triples
 
-    rows = _triples(t).filter("subject != ' '")
-    return persist_triples(rows)["edges"].withColumn("one", F.lit(1).cast("long"))
+    out, none = persist_triples(_triples(t)), F.lit(None).cast("string")
+    one = F.lit(1).cast("long").alias("n")
+    edges = out["edges"].select(F.lit("edge").alias("kind"), "source_id", "target_id", F.col("edge_type").alias("what"), one)
+    bad = out["rejected"].groupBy(F.col("reason").alias("what")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected").alias("kind"), none.alias("source_id"), none.alias("target_id"), "what", "n")
+    return edges.unionByName(bad).unionByName(out["nodes"].select(F.lit("node").alias("kind"), F.col("id").alias("source_id"), none.alias("target_id"), none.alias("what"), one))
 
 
 @query("claim_validate", """
@@ -215,7 +218,8 @@ def _(t):
 
 @query("pending_approvals", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND c_nationkey = 3")
 def _(t):
-    return t.orders.filter("o_orderstatus = 'P'").join(t.customer.filter("c_nationkey = 3"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").drop("o_orderdate")
+    owners = t.customer.filter("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return op.pending_approvals(t.orders, owners, "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", "P").select("o_orderkey", "c_name")
 
 
 def _claims(t: Tables):
@@ -296,7 +300,7 @@ def _(t):
 @query("unseen_items", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
 def _(t):
     seen = t.documents.filter("doc_id % 3 = 0").select("doc_id", "source")
-    return t.documents.join(seen, ["doc_id", "source"], "left_anti").select("doc_id")
+    return op.unseen_items(t.documents, seen, ["doc_id", "source"]).select("doc_id")
 
 
 def _snapshots(t: Tables):
@@ -321,7 +325,7 @@ def _(t):
 @query("reconcile_deletions", "SELECT doc_id AS path FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 = 0")
 def _(t):
     tree, indexed = _snapshots(t)
-    return indexed.join(tree.select("path"), "path", "left_anti").select("path")
+    return op.reconcile_deletions(indexed, tree).select("path")
 
 
 @query("unchanged_skip", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
@@ -346,11 +350,28 @@ def _(t):
     return op.stale_events(*_stale(t))
 
 
-@query("stream_stale_sweep", _STALE)
+# Three sweeps an hour apart: what one has requeued or skipped the next finds again.
+@query("stream_stale_sweep", " UNION ALL ".join(f"SELECT {k} AS sweep, * FROM ({_STALE})".replace("2024-01-20'", f"2024-01-20' + INTERVAL {k} HOUR").replace("user_id % 3 = 0 THEN", f"user_id % 3 = 0 AND {k} = 0 THEN") for k in range(3)))
 def _(t):
     from corpusspark.streaming.streams import stale_sweep
 
-    return stale_sweep(*_stale(t))
+    e, leases, at = _stale(t)
+    sweeps = [stale_sweep(e, leases, at + F.expr(f"interval {k} hours")).select(F.lit(k).alias("sweep"), "event_id", "outcome") for k in range(3)]
+    return sweeps[0].unionByName(sweeps[1]).unionByName(sweeps[2])
+
+
+# A run for each repository (user): every third was left in the middle, every fifth was never run.
+@query("sync_since", """
+SELECT 'w' AS workspace_id, user_id AS repository, CASE WHEN user_id % 2 = 0 THEN epoch(CASE WHEN user_id % 5 <> 0 THEN date_trunc('second', max(ts)) ELSE TIMESTAMP '2024-02-01' - INTERVAL 24 HOUR END)::BIGINT END AS since,
+ CASE WHEN user_id % 3 = 0 AND user_id % 5 <> 0 THEN 'issues' END AS phase, CASE WHEN user_id % 3 = 0 AND user_id % 5 <> 0 THEN 'tree' ELSE '' END AS completed FROM events GROUP BY user_id""")
+def _(t):
+    u = F.col("user_id")
+    w = F.lit("w").alias("workspace_id")
+    runs = t.events.filter(u % 5 != 0).select(w, u.alias("repository"), F.when(u % 2 == 0, "incremental").otherwise("initial").alias("kind"), F.when(u % 3 == 0, "running").otherwise("completed").alias("status"), F.col("ts").alias("updated_at"), F.lit("issues").alias("phase"), F.array(F.lit("tree")).alias("completed_phases"))
+    state = op.sync_state(runs.limit(0), runs)
+    asked = t.events.select(w, u.alias("repository"), (u % 2 == 0).alias("incremental")).distinct()
+    out = op.sync_since(state, asked, F.lit("2024-02-01").cast("timestamp"))
+    return out.select("workspace_id", "repository", F.unix_timestamp("since").alias("since"), "phase", F.array_join("completed_phases", ",").alias("completed"))
 
 
 # ---- aggregates ----
@@ -385,32 +406,32 @@ def _(t):
 SELECT unit, epoch(CASE unit WHEN 'hour' THEN date_trunc('hour', ts) WHEN 'day' THEN date_trunc('day', ts) ELSE date_trunc('month', ts) END)::BIGINT AS period, event_type AS resource, round(sum(value), 4) AS cost
 FROM events CROSS JOIN (VALUES ('hour'), ('day'), ('month')) AS u(unit) GROUP BY ALL""")
 def _(t):
-    parts = [t.events.groupBy(F.date_trunc(u, "ts").alias("p"), F.col("event_type").alias("resource")).agg(F.round(F.sum("value"), 4).alias("cost")).select(F.lit(u).alias("unit"), F.unix_timestamp("p").alias("period"), "resource", "cost") for u in ("hour", "day", "month")]
-    return union_sources(parts)
+    usage = t.events.select("ts", F.col("event_type").alias("resource"), F.col("value").alias("cost"))
+    return op.period_cost(usage, "ts", "cost", ["resource"]).withColumn("cost", F.round("cost", 4))
 
 
 @query("quota_check", """
 SELECT user_id, round(sum(value), 4) AS usage, user_id % 4 = 0 OR sum(value) < 2500 AS allowed, CASE WHEN user_id % 4 <> 0 AND sum(value) >= 2500 THEN 'quota_exceeded' END AS reason FROM events GROUP BY 1""")
 def _(t):
-    q = t.events.groupBy("user_id").agg(F.sum("value").alias("used")).withColumn("quota", F.when(F.col("user_id") % 4 == 0, 0).otherwise(2500))
-    ok = (F.col("quota") == 0) | (F.col("used") < F.col("quota"))
-    return q.select("user_id", F.round("used", 4).alias("usage"), ok.alias("allowed"), F.when(~ok, "quota_exceeded").alias("reason"))
+    quotas = t.events.select("user_id", F.when(F.col("user_id") % 4 == 0, 0).otherwise(2500).alias("quota")).distinct()
+    return op.quota_check(t.events, quotas, "user_id", "value").withColumn("usage", F.round("usage", 4))
 
 
 @query("metric_rollup", "SELECT event_type || ':' || (user_id % 3) AS metric, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 2) AS mean FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy(F.concat("event_type", F.lit(":"), F.col("user_id") % 3).alias("metric")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 2).alias("mean"))
+    out = op.metric_rollup(t.events.withColumn("team", F.col("user_id") % 3), ["event_type", "team"], "value")
+    return out.withColumns({"total": F.round("total", 4), "mean": F.round("mean", 2)})
 
 
 @query("sync_stats", "SELECT event_type AS phase, count_if(user_id % 3 = 0) AS indexed, count_if(user_id % 3 = 1) AS skipped, count_if(user_id % 3 = 2) AS failed FROM events GROUP BY 1")
 def _(t):
     o = F.element_at(F.array(*map(F.lit, ["indexed", "skipped", "failed"])), (F.col("user_id") % 3 + 1).cast("int"))
-    return t.events.select(F.col("event_type").alias("phase"), o.alias("o")).groupBy("phase").pivot("o", ["indexed", "skipped", "failed"]).count().na.fill(0)
+    return op.sync_stats(t.events.withColumn("o", o), "event_type", "o")
 
 
 @query("distinct_workspaces", "SELECT DISTINCT user_id FROM events")
 def _(t):
-    return t.events.select("user_id").distinct()
+    return op.distinct_values(t.events, "user_id")
 
 
 # ---- windows ----
@@ -460,11 +481,9 @@ def _(t):
 
 @query("graph_page", "SELECT * FROM (SELECT 'node' AS kind, c_name AS id FROM customer ORDER BY c_name LIMIT 50) UNION ALL SELECT * FROM (SELECT 'edge', c_custkey || '-' || c_nationkey AS k FROM customer ORDER BY k LIMIT 100)")
 def _(t):
-    nodes = t.customer.select(F.lit("node").alias("kind"), F.col("c_name").alias("id")).orderBy("id").limit(50)
-    edges = t.customer.select(F.lit("edge").alias("kind"), F.concat_ws("-", "c_custkey", "c_nationkey").alias("id")).orderBy("id").limit(100)
-    return nodes.unionByName(edges)
+    return op.graph_page(t.customer.select(F.col("c_name").alias("id")), t.customer.select(F.concat_ws("-", "c_custkey", "c_nationkey").alias("id")))
 
 
 @query("distinct_tuples", "SELECT DISTINCT 'p' || l_partkey || ' SUPPLIED_BY s' || l_suppkey AS tuple FROM lineitem ORDER BY 1 LIMIT 25")
 def _(t):
-    return t.lineitem.select(F.concat(F.lit("p"), F.col("l_partkey"), F.lit(" SUPPLIED_BY s"), F.col("l_suppkey")).alias("tuple")).distinct().orderBy("tuple").limit(25)
+    return op.distinct_tuples(t.lineitem.select(F.concat(F.lit("p"), F.col("l_partkey")).alias("source_id"), F.lit("SUPPLIED_BY").alias("edge_type"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("target_id")))

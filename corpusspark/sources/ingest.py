@@ -43,7 +43,8 @@ def normalize_threads(deliveries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A delivery with a workspace and a message list is an envelope that every provider may send; else the
     provider's own form is read: its body, its comment and its comments become messages, in this order."""
-    p = deliveries.withColumn("p", F.from_json("payload", PAYLOAD))
+    # As a generator's output the parsed payload is worked out once, however often its fields are named below.
+    p = deliveries.select("*", F.explode(F.array(F.from_json("payload", PAYLOAD))).alias("p"))
     f = lambda x: F.col(f"p.{x}")
     has = F.size("p.messages") > 0
     user_default = F.when(F.col("provider") == "zendesk", "Agent/Customer").when(F.col("provider") == "email", "Sender").otherwise("Unknown")

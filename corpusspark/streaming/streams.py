@@ -30,59 +30,111 @@ def high_water(events: DataFrame, keys: list[str], ts: str, order: str) -> DataF
     return events.withColumn("_mark", mark).filter(F.col("_mark").isNull() | (F.col(ts) > F.col("_mark"))).drop("_mark")
 
 
-def stream_high_water(events: DataFrame, keys: list[str], ts: str, order: str) -> DataFrame:
-    """A stream's events that are later than the last accepted one under their keys (late and equal ones go)."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def _expiring(events: DataFrame, ts: str, forget: str | None):
+    """The stream with a watermark, the kind of timeout, and what keeps a key's state until ``forget`` after its
+    last event; without it state is kept for ever."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    if forget is None:
+        return events, GroupStateTimeout.NoTimeout, lambda state, micros: None
+    span = int(pd.Timedelta(forget).total_seconds() * 1000)
+
+    def keep(state, micros: int) -> None:
+        state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs()) + span)
+
+    return events.withWatermark(ts, forget), GroupStateTimeout.EventTimeTimeout, keep
+
+
+def stream_high_water(events: DataFrame, keys: list[str], ts: str, order: str, forget: str | None = None) -> DataFrame:
+    """A stream's events that are later than the last accepted one under their keys (late and equal ones go). A
+    key without events for ``forget`` of event time begins anew."""
+    from pyspark.sql.streaming.state import GroupState
 
     columns = events.columns
+    events, timeout, keep = _expiring(events, ts, forget)
 
     def accept(key: tuple, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         mark = state.get[0] if state.exists else -1
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")  # one trigger's
         micros = rows[ts].astype("datetime64[us]").astype("int64")
         ahead = micros.cummax().shift(fill_value=mark).clip(lower=mark)
         good = rows[micros > ahead]
         if len(rows):
             state.update((int(max(mark, micros.max())),))
+            keep(state, int(max(mark, micros.max())))
         yield good[columns]
 
-    return events.groupBy(*keys).applyInPandasWithState(accept, events.schema, "mark long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(*keys).applyInPandasWithState(accept, events.schema, "mark long", "append", timeout)
+
 
+class Lease:
+    """A key's row in the ledger: its status, and when a pending one runs out (None: never)."""
+
+    def __init__(self, status: str | None = None, until: int | None = None):
+        self.status, self.until = status, until
+
+    def request(self, kind: str | None, at: int, micros: int) -> str:
+        """What becomes of a request, and the row after it. acquire: a key that is new is acquired, one whose pending
+        lease ran out is reacquired, others replay. complete and fail end a lease; release makes it pending again.
+        These three change nothing for a key that isn't there."""
+        if kind in (None, "acquire"):
+            if self.status is None or (self.status == "pending" and self.until is not None and at >= self.until):
+                was, self.status, self.until = self.status, "pending", at + micros
+                return "acquired" if was is None else "reacquired"
+            return "replay"
+        if self.status is None:
+            return "unknown"
+        self.status = {"complete": "completed", "fail": "failed", "release": "pending"}[kind]
+        self.until = at + micros if kind == "release" else self.until
+        return {"complete": "completed", "fail": "failed", "release": "released"}[kind]
+
+
+def lease_decisions(requests: DataFrame, key: str, at: str, order: str, seconds: int, kind: str | None = None) -> DataFrame:
+    """Batch twin of stream_lease: key, order, decision. Requests come sorted by key and order to a task, which
+    reads them batch by batch and carries one lease along, so a key may have any number of requests."""
+    kinds = dict(requests.dtypes)
+    rows = requests.select(F.col(key).alias("k"), F.col(order).alias("o"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"))
+    rows = rows.repartition("k").sortWithinPartitions("k", "o")
 
-def lease_decisions(requests: DataFrame, key: str, at: str, order: str, seconds: int) -> DataFrame:
-    """Batch twin of stream_lease without completions: a request acquires a key that is new or whose last lease
-    ran out, and replays else. A lease runs from its acquisition, so decisions follow each other."""
-    rows = requests.select(key, F.struct(F.col(order).alias("o"), F.col(at).cast("timestamp").alias("t")).alias("r")).groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rs"))  # one key's
-    start = F.struct(F.lit(None).cast("timestamp").alias("until"), F.array().cast("array<struct<o:bigint,d:string>>").alias("out"))
+    def run(batches):
+        last, lease = None, Lease()
+        for pdf in batches:
+            out = []
+            for k, t, what in zip(pdf["k"].tolist(), pdf["t"].tolist(), pdf["kind"].tolist(), strict=True):
+                if last is None or k != last[0]:
+                    last, lease = (k,), Lease()
+                out.append(lease.request(what, t, seconds * 1_000_000))
+            yield pd.DataFrame({key: pdf["k"], order: pdf["o"], "decision": out})
 
-    def step(s, r):
-        fresh, free = s["until"].isNull(), r["t"] >= s["until"]
-        d = F.when(fresh, "acquired").when(free, "reacquired").otherwise("replay")
-        return F.struct(F.when(fresh | free, r["t"] + F.expr(f"interval {seconds} seconds")).otherwise(s["until"]).alias("until"), F.array_append(s["out"], F.struct(r["o"].cast("long").alias("o"), d.alias("d"))).alias("out"))
+    return rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, decision string")
 
-    return rows.select(key, F.inline(F.aggregate("rs", start, step)["out"])).select(key, F.col("o").alias(order), F.col("d").alias("decision"))
 
+def stream_lease(requests: DataFrame, key: str, at: str, order: str, seconds: int, kind: str | None = None, forget: str | None = None) -> DataFrame:
+    """A decision for each request on a stream; see ``Lease``. A key without requests for ``forget`` of event time
+    is forgotten."""
+    from pyspark.sql.streaming.state import GroupState
 
-def stream_lease(requests: DataFrame, key: str, at: str, order: str, seconds: int) -> DataFrame:
-    """A decision for each request on a stream: acquired, reacquired after expiry, or replay."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    requests, timeout, keep = _expiring(requests, at, forget)
 
     def decide(k: tuple, batches, state: GroupState):
-        until = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
-        out = []
-        for t in rows[at].astype("datetime64[us]").astype("int64"):
-            if until is None or t >= until:
-                out.append("acquired" if until is None else "reacquired")
-                until = int(t) + seconds * 1_000_000
-            else:
-                out.append("replay")
-        if until is not None:
-            state.update((until,))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        lease = Lease(*state.get) if state.exists else Lease()
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")  # one trigger's
+        times = rows[at].astype("datetime64[us]").astype("int64").tolist()
+        whats = rows[kind].tolist() if kind else [None] * len(rows)
+        out = [lease.request(what, t, seconds * 1_000_000) for what, t in zip(whats, times, strict=True)]
+        if lease.status is not None:
+            state.update((lease.status, lease.until))
+            keep(state, max(times))
         yield pd.DataFrame({key: [k[0]] * len(out), order: rows[order], "decision": out})
 
     kinds = dict(requests.dtypes)
-    return requests.groupBy(key).applyInPandasWithState(decide, f"{key} {kinds[key]}, {order} {kinds[order]}, decision string", "until long", "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy(key).applyInPandasWithState(decide, f"{key} {kinds[key]}, {order} {kinds[order]}, decision string", "status string, until long", "append", timeout)
 
 
 def latest_status(events: DataFrame, key: str, status: str, order: str) -> DataFrame:

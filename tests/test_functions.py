@@ -31,7 +31,7 @@ def test_null_part_keeps_its_separator(spark):
     assert a == one(spark, F.sha2(F.lit("a::b"), 256))
 
 
-@pytest.mark.parametrize(("raw", "want"), [("PostgreSQL Primary", "postgresql_db"), ("k8s cluster", "kubernetes"), ("Stripe Payments", "stripe_api"), ("  ", "unnamed_entity"), ("My Team!", "my_team")])
+@pytest.mark.parametrize(("raw", "want"), [("PostgreSQL Primary", "postgresql_db"), ("k8s cluster", "kubernetes"), ("Stripe Payments", "stripe_api"), ("  ", "unnamed_entity"), ("My Team!", "my_team"), ("k8s-cluster", "kubernetes"), ("postgresql.primary", "postgresql_db"), ("S3-bucket", "s3_storage"), ("GitHub/CI", "gh_ci")])
 def test_canonical(spark, raw, want):
     assert one(spark, fn.canonical_entity(F.lit(raw))) == want
 

@@ -136,3 +136,62 @@ def test_shortest_path_has_no_bound(spark):
     chain = spark.createDataFrame([(k, k + 1, k) for k in range(66)], "src long, dst long, seq long").coalesce(1).cache()
     assert chain.count() == 66
     assert g.shortest_path(chain, 0, 66).first()[0] == list(range(67))
+
+
+def test_chunks_of_a_long_text_without_breaks():
+    import time
+
+    began = time.time()
+    chunks = doc.chunk_text("a" * 4_000_000, 3000, 250)
+    assert time.time() - began < 3 and chunks[-1][3] == 4_000_000 and all(c[3] - c[2] <= 3000 for c in chunks)
+
+
+@pytest.mark.parametrize("block", [1, 3, 2000])
+def test_search_in_blocks(spark, monkeypatch, block):
+    from corpusspark.operators import retrieval as ret
+
+    monkeypatch.setattr(ret, "query_blocks", lambda q, most=block, f=ret.query_blocks: f(q, block))
+    r = random.Random(2)
+    vectors = [[r.gauss(0, 1) for _ in range(5)] for _ in range(40)] + [[0.0] * 5, [1.0, 2.0], None, []]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id long, embedding array<float>")
+    asked = rows.filter("id % 4 = 0").withColumnRenamed("id", "query_id")
+
+    def cosine(a, b):
+        n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b, strict=True)) / n if n else 0.0
+
+    got = {(x.query_id, x["rank"]): (x.id, round(x.similarity, 4)) for x in ret.vector_topk_many(rows, asked, 3, 0.1, others=True).collect()}
+    want = {}
+    for q in range(0, len(vectors), 4):
+        near = [(-cosine(vectors[q], v), i) for i, v in enumerate(vectors) if vectors[q] and v and i != q and len(v) == len(vectors[q])]
+        for k, (s, i) in enumerate(sorted((s, i) for s, i in near if -s > 0.1)[:3], 1):
+            want[q, k] = i
+    assert {k: v[0] for k, v in got.items()} == want
+    names = spark.createDataFrame([("n1", "alpha"), ("n2", "beta"), ("n3", "")], "id string, name string")
+    texts = spark.createDataFrame([(1, "what of ALPHA"), (2, "bet"), (3, ""), (4, "see n3"), (5, None)], "query_id int, query string")
+    assert {tuple(x) for x in ret.name_match(texts, names).collect()} == {(1, "n1"), (2, "n2"), (4, "n3")}
+    assert ret.name_match(texts.limit(0), names).count() == 0 and ret.vector_topk_many(rows, asked.limit(0), 3).count() == 0
+
+
+def test_lease_goes_on_across_batches(spark):
+    from corpusspark.streaming.streams import lease_decisions
+
+    ops = [("a", 1, 0, "complete"), ("a", 2, 0, "acquire"), ("a", 3, 5, "acquire"), ("a", 4, 11, "acquire"), ("a", 5, 12, "complete"), ("a", 6, 99, "acquire"), ("a", 7, 100, "release"), ("a", 8, 105, "acquire"), ("a", 9, 110, "acquire"), ("a", 10, 111, "fail"), ("a", 11, 999, "acquire"), ("b", 12, 0, "acquire")]
+    rows = spark.createDataFrame(ops, "k string, o long, s long, what string").withColumn("t", F.timestamp_seconds("s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = [r.decision for r in lease_decisions(rows, "k", "t", "o", 10, "what").orderBy("o").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == ["unknown", "acquired", "replay", "reacquired", "completed", "replay", "released", "replay", "reacquired", "failed", "replay", "acquired"]
+
+
+def test_a_run_left_in_the_middle_goes_on(spark):
+    kind = "workspace_id string, repository string, kind string, status string, updated_at timestamp, phase string, completed_phases array<string>"
+    import datetime as d
+
+    at = d.datetime(2024, 1, 1)
+    state = rel.sync_state(spark.createDataFrame([("w", "a", "incremental", "running", at, "issues", ["tree"])], kind), spark.createDataFrame([("w", "b", "incremental", "completed", at, "issues", ["tree"]), ("w", "a", "initial", "running", at, "tree", [])], kind))
+    asked = spark.createDataFrame([("w", "a", True), ("w", "b", True), ("w", "c", True), ("w", "a", False)], "workspace_id string, repository string, incremental boolean")
+    got = {(r.repository, r.since, r.phase, tuple(r.completed_phases)) for r in rel.sync_since(state, asked, F.lit("2024-02-01").cast("timestamp")).collect()}
+    assert got == {("a", at, "issues", ("tree",)), ("b", at, None, ()), ("c", d.datetime(2024, 1, 31), None, ()), ("a", None, "tree", ())}

@@ -48,6 +48,15 @@ def test_lease(spark):
     assert sorted(got.select("user_id", "event_id", "decision").collect()) == sorted(want.select("user_id", "event_id", "decision").collect())
 
 
+def test_state_is_forgotten(spark):
+    e = events(spark)
+    got = drain(spark, st.stream_lease(landed(spark, e), "user_id", "ts", "event_id", 3600, forget="90 days"), "lf")
+    want = st.lease_decisions(e, "user_id", "ts", "event_id", 3600)
+    assert sorted(got.select("event_id", "decision").collect()) == sorted(want.select("event_id", "decision").collect())
+    high = drain(spark, st.stream_high_water(landed(spark, e), ["user_id"], "ts", "event_id", forget="90 days"), "hf")
+    assert ids(high) == ids(st.high_water(e, ["user_id"], "ts", "event_id"))
+
+
 def test_rate_quota(spark):
     e = events(spark)
     got = drain(spark, st.stream_rate_quota(landed(spark, e), "event_type", "ts", 2, "1 day"), "rq", "append")
