@@ -37,9 +37,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 ESCAPED = "▁"
 UNITS = re.compile(" +[^ ]*")
-#: Units whose segmentation a worker remembers before it starts anew, and bytes of text it takes at once.
-REMEMBERED = 300_000
+#: Units whose segmentation a task remembers before it starts anew, and bytes of text it takes at once.
+REMEMBERED = 150_000
 CHUNK = 1_000_000
+#: Pieces that are decoded at once.
+DECODED = 400_000
+#: Bits of the tables that tell which hashes can be a piece, or the beginning of one.
+TABLE_BITS = 22
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float, bool]]:
@@ -70,6 +74,11 @@ class Lattice:
         if (np.diff(keys[order]) == 0).any():
             raise ValueError("two pieces have the same hash")
         self.keys = keys[order]
+        # Tables of the low bits of the hashes of all pieces, and of all their beginnings: most substrings need no search.
+        self.can_be, self.can_begin = (np.zeros(1 << TABLE_BITS, dtype=bool) for _ in range(2))
+        self.can_be[self._low(self.keys)] = True
+        begin = {p[:k] for p, _, _ in usable for k in range(1, len(p))}
+        self.can_begin[self._low(np.array([self._hash(np.frombuffer(p.encode("utf-32-le"), dtype=np.uint32)) for p in begin] or [0], dtype=U64))] = True
         self.scores = np.array([s for _, s, _ in usable], dtype=kind)[order]
         self.ids = np.array([i for _, _, i in usable], dtype=np.int64)[order]
         self.clear()
@@ -82,6 +91,10 @@ class Lattice:
         self.begin = np.zeros(1, dtype=np.int64)  # where a unit's ids begin, and the end
         self.ranked: dict[int, list] = {}
 
+    @staticmethod
+    def _low(hashed: np.ndarray) -> np.ndarray:
+        return (hashed & U64((1 << TABLE_BITS) - 1)).astype(np.int64)
+
     @staticmethod
     def _hash(codes: np.ndarray) -> int:
         h = 0
@@ -99,17 +112,26 @@ class Lattice:
         local = np.arange(total) - offset[unit]
         room = lengths[unit] - local
         # Edges: (start, length, score, id). A character without a piece has an edge of its own with id -1.
-        run, found = np.zeros(total, dtype=U64), []
+        run, alive, found = codes + U64(1), np.arange(total), []
         for n in range(1, min(self.longest, int(lengths.max())) + 1):
-            alive = np.flatnonzero(room >= n)
-            run[alive] = run[alive] * U64(0x100000001B3) + codes[alive + n - 1] + U64(1)
-            h = mix(run[alive])
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
-            found.append((alive[hit], np.full(int(hit.sum()), n), self.scores[at[hit]], self.ids[at[hit]]))
+            if n > 1:
+                more = room[alive] >= n
+                alive = alive[more]
+                run = run[more] * U64(0x100000001B3) + codes[alive + n - 1] + U64(1)
+            h = mix(run)
+            low = self._low(h)
+            maybe = np.flatnonzero(self.can_be[low])
+            at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+            hit = self.keys[at] == h[maybe]
+            own = alive[maybe[hit]]
+            found.append((own, np.full(len(own), n), self.scores[at[hit]], self.ids[at[hit]]))
             if n == 1:
-                lone = alive[~hit]
+                lone = np.ones(total, dtype=bool)
+                lone[own] = False
+                lone = np.flatnonzero(lone)
                 found.append((lone, np.ones(len(lone), dtype=np.int64), np.full(len(lone), self.unknown, dtype=self.scores.dtype), np.full(len(lone), -1)))
+            on = self.can_begin[low]
+            alive, run = alive[on], run[on]
         start, size, score, ident = (np.concatenate(x) for x in zip(*found, strict=True))
         # Nodes: each unit has one more than it has characters.
         forward = np.full(total + len(units), -(2**62) if self.exact else -np.inf, dtype=self.scores.dtype)
@@ -215,18 +237,6 @@ class Lattice:
         return self.ranked[k]
 
 
-_shared: dict[int, Lattice] = {}
-
-
-def shared_lattice(vocab: list[tuple[str, float, bool]]) -> Lattice:
-    """One lattice for all tasks that a worker process runs in turn."""
-    key = hash(tuple((p, str(s)) for p, s, _ in vocab))
-    if key not in _shared:
-        _shared.clear()
-        _shared[key] = Lattice(vocab)
-    return _shared[key]
-
-
 def split_units(text: str) -> list[str]:
     """The text's units with escaped spaces; the model puts a space before the text."""
     if not text:
@@ -297,7 +307,7 @@ def encode(docs: DataFrame, carry: list[str], text: str = "text", n: int = N_BES
     schema = T.StructType([*docs.select(*carry).schema.fields, *ENCODED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = shared_lattice(state.value)
+        lattice = Lattice(state.value)  # one a task: what it has learned is given back at its end
         for batch in batches:
             offsets = utf8(batch.column(batch.num_columns - 1))[1]
             at = 0
@@ -321,14 +331,51 @@ def decode_ids(piece_bytes: list[bytes], ids: list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+class Decoder:
+    """Texts of many lists of ids at once."""
+
+    def __init__(self, piece_bytes: list[bytes]):
+        self.raw = piece_bytes
+        plain = [x.replace(ESCAPED.encode(), b" ") for x in piece_bytes]
+        self.data = np.frombuffer(b"".join(plain), dtype=np.uint8)
+        self.size = np.array([len(x) for x in plain], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def texts(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts of the lists that begin at ``at``, with the end."""
+        size = self.size[ids]
+        stop = np.concatenate(([0], np.cumsum(size)))
+        data = self.data[np.repeat(self.begin[ids] - stop[:-1], size) + np.arange(stop[-1])]
+        offsets = stop[at]
+        # The space that the model puts before a text goes.
+        some = np.flatnonzero(offsets[1:] > offsets[:-1])
+        keep = np.ones(len(data), dtype=bool)
+        keep[offsets[some][data[offsets[some]] == 32]] = False
+        kept = np.concatenate(([0], np.cumsum(keep)))
+        out = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(kept[offsets].astype(np.int32)), pa.py_buffer(data[keep])])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            return pa.array([decode_ids(self.raw, ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+        return out
+
+
 def decode(encoded: DataFrame, vocab: list | None = None) -> DataFrame:
     """``encoded`` with a column ``decoded`` made from ids."""
     raw = [bytes([int(p[3:5], 16)]) if byte else b"" if s != s else p.encode() for p, s, byte in vocab or vocabulary()]
     state = encoded.sparkSession.sparkContext.broadcast(raw)
 
-    @F.pandas_udf("string")
-    def text_of(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: decode_ids(state.value, x.tolist()))
+    @F.arrow_udf("string")
+    def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoder = Decoder(state.value)
+        for lists in batches:
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            ids, parts, at = lists.values.to_numpy(zero_copy_only=False), [], 0
+            while at < len(lists):
+                stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + DECODED, "right")) - 1)
+                parts.append(decoder.texts(ids[offsets[at]:offsets[stop]], offsets[at:stop + 1] - offsets[at]))
+                at = stop
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return encoded.withColumn("decoded", text_of("ids"))
 
