@@ -1,8 +1,13 @@
 """Quality rules: counts of words, symbols, repeated lines and windows, and perplexity bands by language.
 
 A document fails if it has under MIN_WORDS words or over half of its words in repeated windows, or if
-its perplexity under its language's model (see ``perplexity``) lies outside the band that all documents
-of the language set: the median plus or minus so many times its distance to the quartile on that side.
+its perplexity (see ``perplexity``) lies outside its language's band. Documents fall into two folds by a
+hash of their text, so that copies stay together; each is scored by its language's model of the other
+fold, which has not seen it. The logarithm of a perplexity spreads around its language's median as
+one over the root of the words; a language's band is the median plus or minus LOWER or UPPER times the
+distance to the quartile on that side, of deviations scaled by that root, so that short and long texts
+are judged alike. Median and quartiles are those of the different texts that pass the rules. A language
+whose other fold is empty has no model, and its documents no perplexity: the rules alone judge these.
 
 Edge cases: null text has no words; null lang is a language of its own; an empty table gives no rows.
 Documents that repeat a row get the same verdict. ``keep`` carries all columns, whatever their names.
@@ -14,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusspark.llm import perplexity as lm
@@ -24,8 +29,8 @@ from corpusspark.llm.textops import _SPACE, chunks, hashes, utf8, words
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 WINDOW = 3
-#: Distance from the median to the band's ends, in distances from median to quartile.
-LOWER, UPPER = 10.0, 10.0
+#: Distance from the median to the band's ends, in distances from median to quartile: about three deviations.
+LOWER, UPPER = 4.5, 4.5
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -83,12 +88,18 @@ def base_counts(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _model_key(lang: str, fold: Column) -> Column:
+    return F.concat(fold.cast("string"), F.lit(":"), F.coalesce(lang, F.lit(lm.NO_LANG)))
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the hash of the text, the base counts and the perplexity of every row."""
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit(lm.NO_LANG)).alias("lang"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    model, top = lm.fit(docs)
+    """doc_id, lang, the hash of the text, the base counts and the perplexity of every row, as a written table."""
+    spark = docs.sparkSession
+    fold = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2))
+    model, seen = lm.fit(docs.select(_model_key("lang", fold).alias("lang"), "text"))
+    rows = docs.select("doc_id", _model_key("lang", 1 - fold).alias("lang"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     fits = model.count() <= lm.MODEL_ENTRIES
-    state = docs.sparkSession.sparkContext.broadcast(lm.packed(model) if fits else [])
+    state = spark.sparkContext.broadcast(lm.packed(model) if fits else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = lm.load(state.value)
@@ -102,41 +113,34 @@ def measure(docs: DataFrame) -> DataFrame:
                     ["doc_id", "lang", "text_hash", *BASE, "ppl"],
                 )
 
-    scored = rows.mapInArrow(run, SCORES)
-    return scored if fits else score_by_join(scored, rows, top)
-
-
-def score_by_join(scored: DataFrame, rows: DataFrame, top: DataFrame) -> DataFrame:
-    """Perplexities where the model is too large to send around: the texts' counted n-grams meet it in a join.
-
-    The model must have been fitted on these rows, so that all their n-grams of highest order are in ``top``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                gram, n = np.unique(lm.grams([text])[0], return_counts=True)
-                same = lambda c, size=len(gram), k=k: pa.array([batch.column(c)[k].as_py()] * size, batch.schema.field(c).type)
-                yield pa.RecordBatch.from_arrays([same("lang"), same("text_hash"), pa.array(gram.astype(np.int64)), pa.array(n)], ["lang", "text_hash", "gram", "n"])
-
-    own = rows.filter("text != ''").dropDuplicates(["lang", "text_hash"]).select("lang", "text_hash", "text")
-    own = own.mapInArrow(run, "lang string, text_hash long, gram long, n long")
-    total = own.join(top.hint("merge"), ["lang", "gram"]).groupBy("lang", "text_hash").agg(F.exp(-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("ppl"))
-    return scored.drop("ppl").join(total.hint("merge"), ["lang", "text_hash"], "left")
+    scored = materialise(rows.mapInArrow(run, SCORES), "scored")
+    state.destroy()  # executors' workers give the model back
+    if not fits:
+        texts = rows.filter("text != ''").dropDuplicates(["lang", "text_hash"])
+        # The n-grams that a model judges are those that the other fold's was made from.
+        other = F.concat((1 - F.substring("lang", 1, 1).cast("int")).cast("string"), F.substring("lang", 2, 1 << 30))
+        total = lm.perplexities_by_join(texts, "text_hash", seen.withColumn("lang", other), model)
+        scored = scored.drop("ppl").join(total.hint("merge"), ["lang", "text_hash"], "left")
+    return scored.withColumn("lang", F.substring("lang", 3, 1 << 30))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, the base counts, ppl, base_failed and kept for every row of doc_id, lang and text."""
-    scored = materialise(measure(docs), "scored")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed)
-    q = F.percentile_approx("ppl", [0.25, 0.5, 0.75], 10000)
-    bands = scored.filter("not base_failed and ppl is not null").groupBy("lang").agg(q.alias("q")).select(
-        "lang", (F.col("q")[1] - LOWER * (F.col("q")[1] - F.col("q")[0])).alias("low"), (F.col("q")[1] + UPPER * (F.col("q")[2] - F.col("q")[1])).alias("high")
-    )  # one row a language
-    bands = materialise(bands, "bands")
-    judged = scored.join(F.broadcast(bands) if bands.count() <= BROADCAST_ROWS else bands.hint("merge"), "lang", "left")
-    inside = F.coalesce((F.col("ppl") >= F.col("low")) & (F.col("ppl") <= F.col("high")), F.lit(False))
-    return judged.select("doc_id", "text_hash", *BASE, "ppl", "low", "high", "base_failed", (~F.col("base_failed") & inside).alias("kept"))
+    scored = measure(docs).withColumn("base_failed", failed)
+    log = F.log("ppl")
+    texts = scored.filter("not base_failed and ppl is not null").groupBy("lang", "text_hash").agg(F.min("ppl").alias("ppl"), F.min("n_words").alias("n_words"))
+    texts = materialise(texts, "texts")
+    middle = materialise(texts.groupBy("lang").agg(F.percentile_approx(log, 0.5, 10000).alias("middle")), "middle")
+    few = middle.count() <= BROADCAST_ROWS  # one row a language
+    of = lambda one: F.broadcast(one) if few else one.hint("merge")
+    off = (log - F.col("middle")) * F.sqrt("n_words")
+    width = texts.join(of(middle), "lang").groupBy("lang").agg(F.percentile_approx(off, [0.25, 0.75], 10000).alias("q"), F.first("middle").alias("middle"))
+    bands = materialise(width.select("lang", "middle", (F.col("q")[0] * LOWER).alias("under"), (F.col("q")[1] * UPPER).alias("over")), "bands")
+    judged = scored.join(of(bands), "lang", "left")
+    inside = F.coalesce(off.between(F.col("under") - 1e-9, F.col("over") + 1e-9), F.lit(True))
+    end = lambda c: F.exp(F.col("middle") + F.col(c) / F.sqrt(F.greatest("n_words", F.lit(1)))).alias
+    return judged.select("doc_id", "text_hash", *BASE, "ppl", end("under")("low"), end("over")("high"), "base_failed", (~F.col("base_failed") & inside).alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
