@@ -27,6 +27,9 @@ prefixes share c tokens can have c and what lies beyond a prefix in common at mo
 little they aren't compared. Nor are sets whose parity bitmaps differ in too many bits: tokens flip one of
 64 WORDS bits, so at least as many tokens as bits are in one set alone. All comparisons are exact. Every stage is a table in the shared folder.
 
+Equal sets are known by their digest, and represented by the smallest doc_id that has one. Where several
+sets have the same such doc_id, all but one get a number that is no doc_id; the sets of one doc_id are linked.
+
 Edge cases: a null or empty text has no shingles and is alone; fewer than k words are one shingle; rows
 with the same doc_id are one document of possibly several sets; a null doc_id is linked with nothing and
 has a null component. An empty table gives no rows. Other columns are carried by ``keep_one`` only.
@@ -54,6 +57,8 @@ POOL, POOL_DEVIATIONS, POOL_MORE = 1.2, 2.5, 6
 WORDS = 8
 #: Tokens of a size band for each sub-class of frequent tokens.
 PER_CLASS = 12
+#: Members of a bucket that meet all of its others in one task.
+SPLIT = 1000
 
 
 class Threshold:
@@ -116,8 +121,8 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.n
 
 
 def index_tokens(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """doc_id, n, two halves of the set's digest, its index tokens in order, how many of them
-    are the first, and its parity bitmap."""
+    """doc_id, the text's hash, n, two halves of the set's digest, its index tokens in order, how many of
+    them are the first, and its parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,25 +145,42 @@ def index_tokens(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
                 at = np.concatenate(([0], np.cumsum(size)))
                 pick = np.repeat(begin[:-1] - at[:-1], size) + np.arange(at[-1])
                 pool = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(token[pick]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), pa.array(n), *map(pa.array, halves), pool, pa.array(own), bits], ["doc_id", "n", "d1", "d2", "pool", "own", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), batch.column("th").slice(i, len(n)), pa.array(n), *map(pa.array, halves), pool, pa.array(own), bits], ["doc_id", "th", "n", "d1", "d2", "pool", "own", "bits"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, pool array<long>, own long, bits array<long>")
+    return _rows(docs).mapInArrow(run, "doc_id long, th long, n long, d1 long, d2 long, pool array<long>, own long, bits array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, n and the sorted tokens, as bytes, of the documents with these ids."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    near = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge")
-    rows = rows.join(near, "doc_id", "left_semi")
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, token, begin in _sets(batch, k):
-                own = [token[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(own)), pa.array(np.diff(begin)), pa.array(own, pa.binary())], ["doc_id", "n", "tokens"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, tokens binary")
+class Source:
+    """Where the full sets come from: the documents, and, if a doc_id occurs more than once, the doc_id and text
+    of each class."""
+
+    def __init__(self, docs: DataFrame, k: int, classes: DataFrame | None):
+        self.docs, self.k, self.classes = docs, k, classes
+
+    def full_sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """id, n and the sorted tokens, as bytes, of the classes with these ids, as a written table."""
+        rows, k = _rows(self.docs), self.k
+        few = ids.count() <= BROADCAST_ROWS
+        if self.classes is None:
+            ids = ids.select(F.col("id").alias("doc_id"))
+            rows = rows.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi").withColumn("id", F.col("doc_id"))
+        else:
+            ids = ids.join(self.classes.hint("merge"), "id")
+            rows = rows.join(F.broadcast(ids) if few else ids.hint("merge"), ["doc_id", "th"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, token, begin in _sets(batch, k):
+                    own = [token[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, len(own)), pa.array(np.diff(begin)), pa.array(own, pa.binary())], ["id", "n", "tokens"])
+
+        out = rows.select("id", "text").mapInArrow(run, "id long, n long, tokens binary")
+        return materialise(out if self.classes is None else out.dropDuplicates(["id"]), name)
 
 
 def signatures(token: np.ndarray, count: np.ndarray, n: int, t: Threshold) -> np.ndarray:
@@ -193,7 +215,7 @@ def signatures(token: np.ndarray, count: np.ndarray, n: int, t: Threshold) -> np
     return np.concatenate(out)
 
 
-def index(docs: DataFrame, reps: DataFrame, k: int, t: Threshold) -> DataFrame:
+def index(source: Source, reps: DataFrame, t: Threshold) -> DataFrame:
     """sig, id, short, most: the signatures that representatives (id, n, own, pool) may share, whether a set
     needs frequent tokens, and how many of its tokens another such set may have."""
     tokens = reps.select("id", "n", "own", F.posexplode("pool").alias("pos", "token"))
@@ -206,28 +228,28 @@ def index(docs: DataFrame, reps: DataFrame, k: int, t: Threshold) -> DataFrame:
         "all_often": F.sum(F.when(F.col("pos") < F.col("own"), F.col("often")).otherwise(0)).over(own), "need": need,
     }).withColumn("short", F.col("own") - F.col("all_often") < F.col("need"))
     met = materialise(met.filter("short or often = 0").select("id", "n", "token", "short", (F.col("pos") - F.col("before")).alias("rank"), "often", "need", (F.col("pos") < F.col("own")).alias("first")), "met", free=True)
-    few = reps.filter(F.col("own") < need).select(F.col("id").alias("doc_id"))
-    short = materialise(met.filter("short").select(F.col("id").alias("doc_id")).union(few).distinct(), "short")
+    few = reps.filter(F.col("own") < need).select("id")
+    short = materialise(met.filter("short").select("id").union(few).distinct(), "short")
     # Rare tokens: of other sets their prefix, of short sets all that may be in another's prefix.
     single = met.filter("often = 0 and (short or (first and rank < need))").select(F.col("token").alias("sig"), "id", "short", F.col("n").alias("most"))
-    sets = materialise(full_sets(docs, short, k), "short_sets")
+    sets = source.full_sets(short, "short_sets")
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc_id, raw in zip(pdf["doc_id"], pdf["tokens"], strict=True):
+            for own, raw in zip(pdf["id"], pdf["tokens"], strict=True):
                 token = np.frombuffer(raw, dtype=np.int64)
-                yield pd.DataFrame({"doc_id": np.full(len(token), doc_id), "n": len(token), "token": token})
+                yield pd.DataFrame({"id": np.full(len(token), own), "n": len(token), "token": token})
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc_id, n, token, count in zip(pdf["doc_id"], pdf["n"], pdf["token"], pdf["count"], strict=True):
+            for own, n, token, count in zip(pdf["id"], pdf["n"], pdf["token"], pdf["count"], strict=True):
                 sig = np.unique(signatures(np.asarray(token, dtype=np.int64), np.asarray(count, dtype=np.int64), int(n), t))
-                yield pd.DataFrame({"sig": sig, "id": np.full(len(sig), doc_id), "most": np.full(len(sig), len(token))})
+                yield pd.DataFrame({"sig": sig, "id": np.full(len(sig), own), "most": np.full(len(sig), len(token))})
 
-    rows = sets.mapInPandas(spread, "doc_id long, n long, token long")
+    rows = sets.mapInPandas(spread, "id long, n long, token long")
     common = materialise(rows.groupBy("token").count().filter("count > 1"), "common", free=True)
     rows = rows.join(common.hint("merge"), "token")
-    rows = rows.groupBy("doc_id", "n").agg(F.collect_list(F.struct("token", "count")).alias("c")).select("doc_id", "n", "c.token", "c.count")  # one set
+    rows = rows.groupBy("id", "n").agg(F.collect_list(F.struct("token", "count")).alias("c")).select("id", "n", "c.token", "c.count")  # one set
     pairs = materialise(rows.mapInPandas(sign, "sig long, id long, most long"), "combinations", free=True)
     most = pairs.groupBy("id").agg(F.max("most").alias("m"))
     # A set with too many tokens of its own has no partner among the short ones, but may have one among the others.
@@ -236,18 +258,18 @@ def index(docs: DataFrame, reps: DataFrame, k: int, t: Threshold) -> DataFrame:
 
 
 class Sets:
-    """The full sets of the documents compared so far."""
+    """The full sets of the classes compared so far."""
 
-    def __init__(self, docs: DataFrame, k: int):
-        self.docs, self.k, self.known = docs, k, None
+    def __init__(self, source: Source):
+        self.source, self.known = source, None
 
     def of(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if self.known is not None:
-            ids = ids.join(self.known.select("doc_id").hint("merge"), "doc_id", "left_anti")
+            ids = ids.join(self.known.select("id").hint("merge"), "id", "left_anti")
         ids = materialise(ids, "compared")
         if self.known is None or ids.head(1):
-            new = materialise(full_sets(self.docs, ids, self.k), "full_sets")
+            new = self.source.full_sets(ids, "full_sets")
             self.known = new if self.known is None else self.known.unionByName(new)
         return self.known
 
@@ -268,8 +290,8 @@ def verified(pairs: DataFrame, known: Sets, t: Threshold) -> DataFrame:
     blocks = max(1, known.known.count() // BLOCK)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     pairs = pairs.withColumn("g", F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b")))
-    wanted = pairs.select("g", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    rows = wanted.join(sets.select("doc_id", "tokens").hint("merge"), "doc_id").select("g", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
+    wanted = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = wanted.join(sets.select("id", "tokens").hint("merge"), "id").select("g", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
     rows = rows.unionByName(pairs.select("g", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens")))
     rows = rows.repartition("g").sortWithinPartitions("g", "kind")
 
@@ -331,18 +353,46 @@ def _label_of(rows: DataFrame, label: DataFrame, column: str, out: str) -> DataF
     return rows.join(named.hint("merge"), column, "left").withColumn(out, F.coalesce(out, column))
 
 
+def _own_ids(classes: DataFrame) -> DataFrame:
+    """Written classes with an id that no other has: the doc_id, or where another class has that too, a number
+    outside the doc_ids."""
+    first = classes.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    low, high = classes.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()  # once for all, as the table is written
+    fresh = F.lit(low - 1) - number if low > -(1 << 61) else F.lit(high + 1) + number
+    same = F.col("f").isNull() | (F.struct("d1", "d2") == F.col("f"))
+    met = join_per_key(classes, materialise(first, "first"), ["doc_id"], "c", "left")
+    return materialise(met.withColumn("id", F.when(same, F.col("doc_id")).otherwise(fresh)).drop("f", "c"), "numbered")
+
+
+def _same_documents(some: DataFrame, repeats: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links a, b between the classes of one doc_id, for written rows, doc_ids that occur more than once, and classes."""
+    named = materialise(classes.select("d1", "d2", "w", "id"), "named")
+    several = repeats.filter("lo != hi").select("doc_id", "c", "lo.d1", "lo.d2")
+    several = join_per_key(materialise(several, "several"), named, ["d1", "d2"], "w").select("doc_id", "c", F.col("id").alias("a"))
+    rows = join_per_key(some.select("doc_id", "d1", "d2"), materialise(several, "several"), ["doc_id"], "c").select("a", "d1", "d2").distinct()
+    return join_per_key(materialise(rows, "rows"), named, ["d1", "d2"], "w").filter("a != id").select("a", F.col("id").alias("b")).distinct()
+
+
 def link(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of doc_id and text."""
     every = materialise(index_tokens(docs, k, t), "sets")
     some = every.filter("n > 0 and doc_id is not null")
-    classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "own", "pool", "bits")).alias("r"), F.count(F.lit(1)).alias("w"))
-    classes = materialise(classes.select("d1", "d2", "w", F.col("r.doc_id").alias("id"), F.col("r.n").alias("n"), F.col("r.own").alias("own"), F.col("r.pool").alias("pool"), F.col("r.bits").alias("bits")), "classes", free=True)
-    sigs = index(docs, classes.select("id", "n", "own", "pool"), k, t)
+    classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th", "n", "own", "pool", "bits")).alias("r"), F.count(F.lit(1)).alias("w"))
+    classes = materialise(classes.select("d1", "d2", "w", "r.*").withColumn("id", F.col("doc_id")), "classes", free=True)
+    digest = F.struct("d1", "d2")
+    repeats = some.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    repeats = materialise(repeats, "repeats", free=True)
+    several = bool(repeats.head(1))
+    if several:
+        classes = _own_ids(classes)
+    source = Source(docs, k, classes.select("id", "doc_id", "th") if several else None)
+    sigs = index(source, classes.select("id", "n", "own", "pool"), t)
     sigs = materialise(sigs.join(classes.select("id", "n").hint("merge"), "id"), "signatures", free=True)
     me = F.struct("id", "n", "short", "most")
     buckets = materialise(sigs.groupBy("sig").agg(F.min(me).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
     members = materialise(join_per_key(sigs, buckets, ["sig"], "c"), "members", free=True)
-    sets = Sets(docs, k)
+    sets = Sets(source)
 
     def may(n: str, short: str, most: str, m: str, m_short: str, m_most: str, shared: str | None = None) -> str:
         """SQL: whether two sets may be linked, by their sizes, their common tokens at most, and their shared buckets."""
@@ -363,15 +413,23 @@ def link(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     # Last, all that share a bucket and are in different components.
     named = materialise(_label_of(members.select("sig", "id", "n", "short", "most"), label, "id", "l"), "named", free=True)
     mixed = named.groupBy("sig").agg(F.min("l").alias("l0"), F.max("l").alias("l1"), F.count(F.lit(1)).alias("c")).filter("l0 != l1")
-    mixed = materialise(join_per_key(named, materialise(mixed.select("sig", "c"), "mixed"), ["sig"], "c").drop("c").join(classes.select("id", "bits").hint("merge"), "id"), "mixed_members", free=True)
-    other = mixed.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("short").alias("sa"), F.col("most").alias("ma"), F.col("l").alias("la"), F.col("bits").alias("b"))
-    rest = mixed.alias("x").join(other.hint("merge").alias("y"), F.expr(f"x.sig = y.sig and a < id and la != l and {may('n', 'short', 'most', 'na', 'sa', 'ma')} and {t.alike('n', 'na', 'bits', 'y.b')}"))
+    mixed = join_per_key(named, materialise(mixed.select("sig", "c"), "mixed"), ["sig"], "c").join(classes.select("id", "bits").hint("merge"), "id")
+    mixed = materialise(mixed.withColumn("parts", F.expr(f"cast(1 + c div {SPLIT} as int)")).drop("c"), "mixed_members", free=True)
+    # A large bucket is cut in parts: each member is in one, and meets the members of all.
+    one = mixed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    other = mixed.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("short").alias("sa"), F.col("most").alias("ma"), F.col("l").alias("la"), F.col("bits").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rest = one.alias("x").join(other.hint("merge").alias("y"), F.expr(f"x.sig = y.sig and x.part = y.part and a < id and la != l and {may('n', 'short', 'most', 'na', 'sa', 'ma')} and {t.alike('n', 'na', 'bits', 'y.b')}"))
     rest = rest.select("a", "id", "n", "na", "short", "sa").groupBy("a", F.col("id").alias("b"), "n", "na", (F.col("short") | F.col("sa")).alias("either")).agg(F.count(F.lit(1)).alias("shared"))
     rest = materialise(rest.filter(f"either or {t.possible('shared', 'n', 'na')}").select("a", "b"), "pairs", free=True)
     label = _merge(label, verified(rest, sets, t))
 
-    named = _label_of(classes.select("d1", "d2", "w", "id"), label, "id", "component_id").select("d1", "d2", "w", "component_id")
-    known = join_per_key(every.filter("n > 0 and doc_id is not null"), materialise(named, "component"), ["d1", "d2"], "w")
+    if several:
+        label = _merge(label, _same_documents(some, repeats, classes))
+    named = materialise(_label_of(classes.select("d1", "d2", "w", "id", "doc_id"), label, "id", "component_id"), "component")
+    if several:  # the smallest number of a component may be no doc_id
+        least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c"))
+        named = materialise(join_per_key(named, materialise(least, "least"), ["component_id"], "c").withColumn("component_id", F.col("least")), "component")
+    known = join_per_key(some, named.select("d1", "d2", "w", "component_id"), ["d1", "d2"], "w")
     alone = every.filter("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     out = union_all([x.select("doc_id", F.col("n").alias("n_shingles"), "component_id") for x in (known, alone)])
     return out

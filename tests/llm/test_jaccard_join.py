@@ -115,3 +115,35 @@ def test_shingles_are_those_of_a_loop(texts, k):
     token, owner = shingles(hashes(data, starts, ends, lower=True), row, k)
     for i, t in enumerate(texts):
         assert len(set(token[owner == i].tolist())) == len(shingle_set(t, k))
+
+
+def test_one_document_of_several_texts(spark):
+    r = random.Random(5)
+    a, b = ([f"w{r.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+    near = lambda x, k: " ".join([*x[:k], "other", *x[k + 1:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 3)), (4, near(a, 70)), (3, near(b, 5)), (5, near(b, 60)), (6, near(b, 61)), (9, "all by itself in here now")]
+    rows += [(0, "shared text of some words"), (7, "shared text of some words"), (7, "and another text of it"), (8, "and another text of it")]
+    got = {(x.doc_id, x.component_id) for x in op.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, op.Threshold(85, 100)).collect()}
+    assert got == {*((k, 1) for k in (1, 2, 3, 4, 5, 6)), (9, 9), (0, 0), (7, 0), (8, 0)}
+    kept = op.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 4, op.Threshold(85, 100))
+    assert sorted(x.doc_id for x in kept.collect()) == [0, 1, 1, 9]
+
+
+def test_many_texts_of_one_document(spark, monkeypatch):
+    """A hot doc_id whose texts are all of a kind, with large buckets cut in parts."""
+    monkeypatch.setattr(op, "SPLIT", 3)
+    monkeypatch.setattr(op, "BROADCAST_ROWS", 0)
+    rows = [(i if i % 3 else 1, t) for i, t in corpus(6) if shingle_set(t, 4)]
+    got = {x.doc_id: x.component_id for x in op.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, op.Threshold(85, 100)).collect()}
+    apart = brute([((i, n), t) for n, (i, t) in enumerate(rows)], 4, 85, 100)
+    top = {i: i for i, _ in rows}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for (i, _), (_, (j, _)) in apart.items():
+        x, y = find(i), find(j)
+        top[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in top}
