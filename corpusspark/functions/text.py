@@ -94,11 +94,11 @@ def source_key(workspace: Column, source: Column, external_id: Column) -> Column
 
 def canonical_entity(name: Column) -> Column:
     """The alias's target by slug, else by the name with a space for every mark, else the slug."""
-    kept = F.regexp_replace(F.lower(clean(name)), r"[^a-z0-9\s_-]", "")
-    slug = F.regexp_replace(kept, r"\s+", "_")
     table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    spaced = F.regexp_replace(F.lower(clean(name)), "[^a-z0-9]", " ")
-    return F.coalesce(table[slug], table[spaced], blank(slug), F.lit("unnamed_entity"))
+    # Each step is bound to a variable, so that it is worked out once.
+    forms = lambda low: F.struct(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\s_-]", ""), r"\s+", "_").alias("slug"), F.regexp_replace(low, "[^a-z0-9]", " ").alias("spaced"))
+    resolved = lambda f: F.coalesce(table[f["slug"]], table[f["spaced"]], blank(f["slug"]), F.lit("unnamed_entity"))
+    return F.get(F.transform(F.transform(F.array(F.lower(clean(name))), forms), resolved), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -28,10 +28,12 @@ def entity_rollup(mentions: DataFrame) -> DataFrame:
 
 
 def relationship_rollup(rels: DataFrame) -> DataFrame:
-    """rels: workspace_id, source, target, type -> counted edges between different canonical entities."""
-    keyed = rels.select("workspace_id", canonical_entity(F.col("source")).alias("source_id"), canonical_entity(F.col("target")).alias("target_id"), F.upper("type").alias("type"))
+    """rels: workspace_id, source, target, type -> counted edges between different canonical entities. Equal rows are
+    counted first, so that their names are resolved once."""
+    rows = rels.groupBy("workspace_id", "source", "target", F.upper("type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    keyed = rows.select("workspace_id", canonical_entity(F.col("source")).alias("source_id"), canonical_entity(F.col("target")).alias("target_id"), "type", "n")
     keyed = keyed.filter("source_id != target_id and source_id != 'unnamed_entity' and target_id != 'unnamed_entity'")
-    out = keyed.groupBy("workspace_id", "source_id", "target_id", "type").agg(F.count(F.lit(1)).alias("times_seen"))
+    out = keyed.groupBy("workspace_id", "source_id", "target_id", "type").agg(F.sum("n").alias("times_seen"))
     return out.withColumns({"confidence": confidence(F.col("times_seen")), "projectable": F.col("type").isin(EDGE_TYPES)})
 
 
