@@ -40,8 +40,24 @@ def test_no_copies_and_no_rows(spark):
     assert op.groups(df.limit(0)).count() == 0
 
 
-def test_shuffled_bitmap_gives_the_same(spark, monkeypatch):
-    df = spark.createDataFrame(ROWS, "doc_id long, text string")
-    want = sorted(map(str, op.groups(df).collect()))
-    monkeypatch.setattr(op, "BITMAP_ROWS", 0)
+def test_filter_in_chunks_gives_the_same(spark, monkeypatch):
+    rows = [(k, f"text {k // 3 if k % 7 == 0 else k}") for k in range(400)] + ROWS
+    df = spark.createDataFrame([(*x, "s") for x in rows], "doc_id long, text string, _slot string")
+    want, kept = sorted(map(str, op.groups(df).collect())), sorted(map(str, op.deduplicate(df).collect()))
+    monkeypatch.setattr(op, "CHUNK_PIECES", 1)
+    monkeypatch.setattr(op, "BITS_PER_SLOT", 1 << 13)  # many pieces
+    monkeypatch.setattr(op, "KEEPERS", 0)
+    assert op.Filter(df.selectExpr("sha(text) as _digest")).pieces > 1
     assert sorted(map(str, op.groups(df).collect())) == want
+    assert sorted(map(str, op.deduplicate(df).collect())) == kept
+    by_text = {}
+    for i, t in rows:
+        if i is not None:
+            by_text[norm(t)] = min(i, by_text.get(norm(t), i))
+    assert len(kept) == len(by_text)
+
+
+def test_few_unique_rows_seem_repeated(spark):
+    df = spark.range(20_000).selectExpr("unhex(sha2(cast(id as string), 256)) as _digest", "id as _id").union(spark.range(50).selectExpr("unhex(sha2('same', 256))", "-id"))
+    maybe, others = op.Filter(df).split(df)
+    assert maybe.filter("_id > 0").count() < 300 and maybe.filter("_id < 0").count() == 49 and others.count() + maybe.count() == 20_050
