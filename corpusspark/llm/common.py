@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -11,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusspark.operators.lineage import shared_dir
+
 #: White space of the word and normalisation rules, as a Java and RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
 #: At most this many keys of a join are sent to every executor as heavy keys.
@@ -24,12 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Tests without one get a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+    """This application's folder in the one that driver and executors share."""
+    return f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
