@@ -1,8 +1,10 @@
 """Main-text extraction from HTML pages.
 
-A page is cut into flat text blocks. Each has its word count and link density, those of the blocks
-before and after it, and what kind of element it stands in; a decision tree, trained when the
-operator starts on the small labelled table below, keeps or drops it.
+A page is cut into flat text blocks. A block's features are its own words and link density, those of the blocks
+before and after it, whether it ends a sentence or is a heading, and what it stands in: an element for the
+article, one for something else, or one whose class, id or role names something else, surely or perhaps. A
+decision tree keeps or drops it; it is trained when the operator starts, on the blocks of the labelled pages in
+``html_pages``.
 
 Edge cases: null or empty html gives empty text; markup that is cut off or not closed is read as far
 as it goes; raw text of scripts and styles ends at its own end tag or the page's end; blocks without
@@ -21,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusspark.llm.common import table
+from corpusspark.llm.html_pages import PAGES, written_out
 
-RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|math|title|video|audio"
+RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|title|video|audio"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-z][^\s/>]*)((?:"[^"<]*"|'[^'<]*'|[^'">])*+)>|<[a-z/!?][^>]*(?:>|\Z)|[^<]+|<""",
@@ -36,7 +39,7 @@ CONTAINERS = frozenset(
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre br hr figcaption address summary caption legend option label".split())
 BOILER_TAGS = frozenset("head nav header footer aside form menu dialog button fieldset".split())
 MAIN_TAGS = frozenset(("article", "main"))
-#: Parts of class, id and role values that mark an element as not the article.
+#: Names in class, id and role values of elements that are not the article.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr "
     "notice notices alert newsletter subscribe subscription signup sidebar sidebars aside nav navbar navigation menu menus breadcrumb "
@@ -44,47 +47,21 @@ HINTS = frozenset(
     "recommended recommendations popup modal overlay widget widgets login toolbar pagination pager copyright skip search contentinfo "
     "complementary dialog form toc outbrain taboola teaser legal".split()
 )
+#: Of these, names that an article's own parts have too.
+UNSURE = frozenset("alert notice notices legal search copyright header toc discussion responses form banner".split())
+#: What may stand beside a name without changing what it says; another word makes it unsure: share-price.
+PARTS = frozenset(
+    "box bar list links link block wrapper wrap container section area widget inner outer banner unit slot panel post posts item items content top bottom left right main "
+    "site page global primary secondary button buttons icons icon group row col nav menu form signup policy thread feed body text title heading "
+    "stories articles".split()
+)
 COMMENT_HINTS = frozenset("comment comments disqus reply replies respond responses discussion related teaser ad ads advert sponsored".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "main", "page_has_main", "heading")
-#: Blocks labelled by hand (1: article): the features in order, then the label. Fixed training data.
-LABELLED = [
-    # inside <article> or <main>
-    (9, 0.0, 4, 1.0, 60, 0.0, 0, 1, 1, 1, 1), (60, 0.0, 9, 0.0, 80, 0.0, 0, 1, 1, 0, 1), (1, 0.0, 40, 0.0, 55, 0.0, 0, 1, 1, 0, 1),
-    (3, 0.0, 1, 0.0, 2, 0.0, 0, 1, 1, 0, 1), (120, 0.05, 60, 0.0, 14, 0.0, 0, 1, 1, 0, 1), (14, 0.3, 120, 0.05, 9, 0.0, 0, 1, 1, 0, 1),
-    (6, 0.0, 14, 0.3, 90, 0.0, 0, 1, 1, 1, 1), (90, 0.0, 6, 0.0, 12, 1.0, 0, 1, 1, 0, 1), (25, 0.4, 30, 0.0, 30, 0.0, 0, 1, 1, 0, 1),
-    (4, 0.5, 30, 0.0, 30, 0.0, 0, 1, 1, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 0, 1),
-    (3, 1.0, 2, 1.0, 4, 1.0, 0, 1, 1, 0, 0), (2, 1.0, 80, 0.0, 3, 1.0, 0, 1, 1, 0, 0), (5, 1.0, 3, 1.0, 0, 0.0, 0, 1, 1, 0, 0),
-    (1, 1.0, 50, 0.0, 0, 0.0, 0, 1, 1, 0, 0), (8, 0.95, 60, 0.0, 7, 1.0, 0, 1, 1, 0, 0),
-    # inside menus, headers, footers, sidebars, notices, adverts, forms, comments
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0, 0), (12, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 0, 0), (40, 0.0, 60, 0.0, 30, 0.0, 1, 0, 1, 0, 0),
-    (80, 0.0, 70, 0.0, 0, 0.0, 1, 1, 1, 0, 0), (15, 0.1, 90, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 40, 0.0, 1, 0, 0, 1, 0),
-    (30, 0.0, 3, 0.0, 50, 0.0, 1, 1, 1, 0, 0), (6, 0.0, 200, 0.0, 30, 0.0, 1, 1, 1, 1, 0), (150, 0.0, 6, 0.0, 0, 0.0, 1, 0, 0, 0, 0),
-    # beside the article of a page that marks it
-    (20, 0.0, 5, 1.0, 9, 0.0, 0, 0, 1, 0, 0), (60, 0.0, 90, 0.0, 4, 1.0, 0, 0, 1, 0, 0), (4, 1.0, 60, 0.0, 3, 1.0, 0, 0, 1, 0, 0),
-    (5, 0.0, 90, 0.0, 20, 0.0, 0, 0, 1, 1, 0), (3, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 0, 0), (150, 0.0, 2, 0.0, 2, 0.0, 0, 0, 1, 0, 0),
-    # pages that mark no article: words and links decide
-    (80, 0.0, 9, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (45, 0.1, 80, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 1),
-    (8, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 70, 0.0, 80, 0.0, 0, 0, 0, 1, 1),
-    (30, 0.2, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (12, 0.0, 30, 0.0, 25, 0.0, 0, 0, 0, 0, 1), (100, 0.15, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 1),
-    (3, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (25, 0.0, 4, 1.0, 40, 0.0, 0, 0, 0, 0, 1),
-    (2, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (4, 1.0, 3, 1.0, 60, 0.0, 0, 0, 0, 0, 0), (20, 0.9, 15, 0.8, 10, 1.0, 0, 0, 0, 0, 0),
-    (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 1, 0), (7, 0.3, 80, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
-    (3, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0, 0, 0), (35, 0.7, 60, 0.0, 40, 0.8, 0, 0, 0, 0, 0), (6, 1.0, 60, 0.0, 5, 1.0, 0, 0, 0, 0, 0),
-]
-
-
-def varied(rows: list[tuple]) -> list[tuple]:
-    """The rows, and for pages that mark their article also rows with longer blocks and neighbours, which don't change the label."""
-    out = list(rows)
-    for w, l, wb, lb, wa, la, aside, main, has_main, heading, label in rows:
-        if has_main or aside:
-            out += [(w * k, l, wb * b, lb, wa * a, la, aside, main, has_main, heading, label) for k in (1, 5, 25) for b in (0, 1, 10) for a in (0, 1, 10)]
-    return out
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "sentence", "heading", "other", "unsure", "main", "page_has_main")
 
 
-def train(rows: list[tuple], depth: int = 7):
+def train(rows: list[tuple], depth: int = 12):
     """A CART tree: (feature, threshold, left, right) or a share of ones. Gini impurity; of equal splits
     the first feature, then the smallest threshold."""
     data = np.array(rows, dtype=float)
@@ -116,37 +93,46 @@ def classify(tree, row: tuple) -> bool:
     return tree >= 0.5
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element's class, id or role says that it isn't the article, or that it is."""
-    aside = main = False
+def _marks(tag: str, attributes: str) -> tuple[int, bool]:
+    """What an element's class, id or role says: 2 for surely not the article, 1 for perhaps not, 0; and whether
+    that it is the article."""
+    other, main = 0, False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        parts = re.split(r"[^a-z]+", value)
         if name == "role" and value == "main" or name == "itemprop" and value == "articlebody":
             main = True
         elif tag in MAIN_TAGS:
-            aside |= not COMMENT_HINTS.isdisjoint(parts)
-        elif tag not in ("html", "body"):
-            aside |= not HINTS.isdisjoint(parts)
-    return aside, main
+            other = max(other, 2 * (not COMMENT_HINTS.isdisjoint(re.split(r"[^a-z]+", value))))
+        elif tag not in ("html", "body") and name != "itemprop":
+            for one in value.split():
+                parts = [x for x in re.split(r"[^a-z]+", one) if x]
+                named = HINTS.intersection(parts)
+                if named:
+                    sure = not named <= UNSURE and all(x in HINTS or x in PARTS for x in parts)
+                    other = max(other, 2 if sure else 1)
+    return other, main
 
 
 def blocks(page: str) -> list[dict]:
-    """The page's text blocks in order, with text, words, links, aside, main and heading."""
+    """The page's text blocks in order: text, words, links, what they stand in, heading, and whether they are
+    labelled as kept."""
     out: list[dict] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
-    in_link = hinted = heading = False
+    # Open containers: tag, how surely not the article, whether the article; and how many there are of each tag.
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    opened: dict[str, int] = {}
+    in_link = heading = keep = False
+    hint = 0
 
     def close() -> None:
-        nonlocal parts, link_parts, hinted, heading
+        nonlocal parts, link_parts, hint, heading, keep
         if parts:
             words = entities.unescape("".join(parts)).split()
             if words:
                 linked = len(entities.unescape(" ".join(link_parts)).split()) if link_parts else 0
-                out.append({"text": " ".join(words), "words": len(words), "links": min(1.0, linked / len(words)), "aside": stack[-1][1] or hinted, "main": stack[-1][2], "heading": heading})
-        parts, link_parts, hinted, heading = [], [], False, False
+                out.append({"text": " ".join(words), "words": len(words), "links": min(1.0, linked / len(words)), "other": max(stack[-1][1], hint), "main": stack[-1][2], "heading": heading, "keep": keep})
+        parts, link_parts, hint, heading, keep = [], [], 0, False, False
 
     for m in TOKEN.finditer(page):
         tag = m[3]
@@ -167,39 +153,58 @@ def blocks(page: str) -> list[dict]:
         if tag in CONTAINERS:
             in_link = False
             if m[2]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if opened.get(tag):
+                    while stack[-1][0] != tag:
+                        opened[stack.pop()[0]] -= 1
+                    opened[stack.pop()[0]] -= 1
             elif not m[4].endswith("/"):
-                _, aside, main = stack[-1]
-                own_aside, own_main = _marks(tag, m[4]) if m[4] else (False, False)
-                boiler = tag in BOILER_TAGS and not (tag == "header" and main)
                 if tag == "body":  # a head that isn't closed ends here
                     del stack[1:]
-                    aside = main = False
+                    opened.clear()
+                _, other, main = stack[-1]
+                own, own_main = _marks(tag, m[4]) if m[4] else (0, False)
                 if tag == "header" and main:
-                    own_aside = False
-                stack.append((tag, aside or boiler or own_aside, main or own_main or tag in MAIN_TAGS))
+                    own = 0
+                elif tag in BOILER_TAGS:
+                    own = 2
+                stack.append((tag, max(other, own), main or own_main or tag in MAIN_TAGS))
+                opened[tag] = opened.get(tag, 0) + 1
         elif not m[2]:
             heading = tag in HEADINGS
             if m[4]:
-                hinted = _marks(tag, m[4])[0]
+                hint = _marks(tag, m[4])[0]
+        if not m[2] and m[4]:
+            keep = bool(_KEEP.search(m[4]))
     close()
     return out
 
 
+_KEEP = re.compile(r"\bkeep\b")
+_NONE = {"words": 0, "links": 0.0}
+
+
+def rows_of(found: list[dict]) -> list[tuple]:
+    """The FEATURES of a page's blocks."""
+    has_main = any(b["main"] and b["other"] < 2 for b in found)
+    out = []
+    for k, b in enumerate(found):
+        before, after = found[k - 1] if k else _NONE, found[k + 1] if k + 1 < len(found) else _NONE
+        out.append((b["words"], b["links"], before["words"], before["links"], after["words"], after["links"], b["text"][-1] in ".!?…:;\"”»)", b["heading"], b["other"] == 2, b["other"] == 1, b["main"], has_main))
+    return out
+
+
+def labelled(pages: list[str] = PAGES) -> list[tuple]:
+    """The labelled table: the features of all blocks of the pages, and whether each is kept."""
+    out = []
+    for page in pages:
+        found = blocks(written_out(page))
+        out += [(*row, b["keep"]) for row, b in zip(rows_of(found), found, strict=True)]
+    return out
+
+
 def main_text(page: str, tree) -> str:
     found = blocks(page)
-    has_main = any(b["main"] and not b["aside"] for b in found)
-    kept = []
-    none = {"words": 0, "links": 0.0}
-    for k, b in enumerate(found):
-        before, after = found[k - 1] if k else none, found[k + 1] if k + 1 < len(found) else none
-        row = (b["words"], b["links"], before["words"], before["links"], after["words"], after["links"], b["aside"], b["main"], has_main, b["heading"])
-        if classify(tree, row):
-            kept.append(b["text"])
-    return " ".join(kept)
+    return " ".join(b["text"] for b, row in zip(found, rows_of(found), strict=True) if classify(tree, row))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -207,7 +212,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = train(varied(LABELLED))
+        tree = train(labelled())
         for pdf in batches:
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": [main_text(x, tree) for x in pdf["html"]]})
 
