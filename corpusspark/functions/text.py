@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -186,22 +188,57 @@ BLOCKED_V4 = [
 ]
 
 
-def in_cidr(ip: Column, cidr: str) -> Column:
-    """Whether an IPv4 address lies in a range; a malformed address or range never fits, ``*`` always does."""
+def ipv6(text: Column) -> Column:
+    """The address as eight numbers; null if it isn't one. Its last two groups may be written as an IPv4 address."""
+    tail = F.regexp_extract(text, r"^.*:(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    number = ipv4(tail)
+    hexed = F.concat(F.regexp_replace(text, r"\d{1,3}(?:\.\d{1,3}){3}$", ""), F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(0xFFFF)))
+    sides = F.split(F.when(tail == "", text).otherwise(hexed), "::", -1)
+    groups = lambda side: F.when(F.coalesce(side, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
+    given = F.size(left) + F.size(right)
+    fits = (F.size(sides) == 1) & (given == 8) | (F.size(sides) == 2) & (given < 8)
+    good = fits & F.forall(F.concat(left, right), lambda x: F.regexp_like(x, F.lit("^[0-9A-Fa-f]{1,4}$")))
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), right)
+    return F.when(good, F.transform(every, lambda x: F.conv(x, 16, 10).cast("int")))
+
+
+def in_cidr(ip: Column, cidr: str) -> Column | None:
+    """Whether an address lies in a range of its kind; a malformed address never does, ``*`` always fits. A bare
+    address is a range of one; an IPv6 address that maps an IPv4 one is that. None for a malformed range."""
     if cidr == "*":
         return F.lit(True)
     base, _, bits = cidr.partition("/")
-    octets = base.split(".")
-    if len(octets) != 4 or not all(x.isdigit() and int(x) < 256 for x in octets) or (bits and not (bits.isdigit() and int(bits) <= 32)):
-        return F.lit(False)
-    start, shift = int.from_bytes(bytes(map(int, octets)), "big"), 32 - int(bits or 32)
-    return F.coalesce(F.shiftright(ipv4(ip), shift) == (start >> shift), F.lit(False))
+    try:
+        if bits and not bits.isdigit() or cidr.endswith("/"):
+            return None
+        net = ipaddress.ip_network(cidr, strict=False)
+    except ValueError:
+        return None
+    six = ipv6(F.trim(ip))
+    mapped = F.forall(F.slice(six, 1, 5), lambda x: x == 0) & (F.get(six, F.lit(5)) == 0xFFFF)
+    if net.version == 4:
+        number = F.coalesce(ipv4(F.trim(ip)), F.when(mapped, F.get(six, F.lit(6)).cast("long") * 65536 + F.get(six, F.lit(7))))
+        shift = 32 - net.prefixlen
+        return F.coalesce(F.shiftright(number, shift) == (int(net.network_address) >> shift), F.lit(False))
+    want, whole, rest = net.network_address.packed, net.prefixlen // 16, net.prefixlen % 16
+    of = lambda k: int.from_bytes(want[2 * k:2 * k + 2], "big")
+    inside = six.isNotNull() & ~mapped
+    for k in range(whole):
+        inside = inside & (F.get(six, F.lit(k)) == of(k))
+    if rest:
+        inside = inside & (F.shiftright(F.get(six, F.lit(whole)), 16 - rest) == (of(whole) >> 16 - rest))
+    return F.coalesce(inside, F.lit(False))
 
 
 def cidr_allow(ip: Column, ranges: list[str]) -> Column:
+    """Whether a range fits, up to the first malformed one: a list with an error in it admits nothing more."""
     out = F.lit(False)
     for r in ranges:
-        out = out | in_cidr(ip, r)
+        fits = in_cidr(ip, r.strip())
+        if fits is None:
+            break
+        out = out | fits
     return out
 
 

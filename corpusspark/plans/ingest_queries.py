@@ -335,6 +335,14 @@ def _(t):
     return t.events.select("event_id", fn.cidr_allow(_ip(t.events), ["192.168.0.0/21", "8.9.0.0/16", "nonsense/8"]).alias("allowed"))
 
 
+@query("cidr_allow_v6", """
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN event_id % 256 < 128 WHEN event_id % 7 = 1 THEN false ELSE event_id * 37 % 65536 < 4096 END AS allowed FROM events""")
+def _(t):
+    e = F.col("event_id")
+    ip = F.when(e % 7 == 0, F.concat(F.lit("::ffff:192.168.1."), e % 256)).when(e % 7 == 1, F.concat(F.lit("2001:db8::1."), e % 10)).otherwise(F.concat(F.lit("2001:DB8:"), F.hex(e * 37 % 65536), F.lit("::"), F.hex(e % 65536)))
+    return t.events.select("event_id", fn.cidr_allow(ip, ["192.168.1.0/25", " 2001:db8::/36", "2001:db8::/129", "::/0"]).alias("allowed"))
+
+
 @query("blocked_ip", f"SELECT event_id, ip = 'bad' OR starts_with(ip, '192.168.') AS blocked FROM ({_IP_SQL})")
 def _(t):
     return t.events.select("event_id", fn.blocked_ip(_ip(t.events)).alias("blocked"))
@@ -355,6 +363,20 @@ def _(t):
     return t.part.select("p_partkey", rows_to_text(F.array(F.lit("name"), F.lit(" "), F.lit("type"), F.lit("size")), F.array(F.col("p_name"), F.col("p_brand"), F.lit(""), F.col("p_size").cast("string")), F.col("p_partkey")).alias("line"))
 
 
+# A sheet for each brand; rows of odd parts lack a cell, every third has one too many.
+@query("sheet_to_markdown", """
+SELECT p_brand AS sheet, '## Table from Section: [' || p_brand || ']' || chr(10) || '| part | size |' || chr(10) || '| --- | --- |' || chr(10)
+ || string_agg('| ' || p_partkey || ' | ' || CASE WHEN p_partkey % 2 = 1 THEN '' ELSE p_size::VARCHAR END || ' |', chr(10) ORDER BY p_partkey) AS markdown FROM part GROUP BY 1""")
+def _(t):
+    from corpusspark.operators.documents import sheet_to_markdown
+
+    k = F.col("p_partkey")
+    cells = F.when(k % 2 == 1, F.array(k.cast("string"))).when(k % 3 == 0, F.array(k.cast("string"), F.col("p_size").cast("string"), F.lit("more"))).otherwise(F.array(F.concat(F.lit(" "), k), F.col("p_size").cast("string")))
+    head = t.part.select(F.col("p_brand").alias("sheet"), F.lit(-1).cast("long").alias("n"), F.array(F.lit("part "), F.lit("size")).alias("cells")).distinct()
+    rows = head.unionByName(t.part.select(F.col("p_brand").alias("sheet"), k.cast("long").alias("n"), cells.alias("cells"))).unionByName(head.withColumns({"n": F.lit(-2).cast("long"), "cells": F.array().cast("array<string>")}))
+    return sheet_to_markdown(rows, [], "sheet", "n", "cells")
+
+
 @query("tabular_to_markdown", """
 SELECT p_partkey, 'Parts' || chr(10) || '| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | ' || p_size || ' |' || chr(10) || 'end' AS markdown, 1 AS tables FROM part""")
 def _(t):

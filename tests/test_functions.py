@@ -38,6 +38,9 @@ def test_canonical(spark, raw, want):
 
 @pytest.mark.parametrize(("ip", "ranges", "want"), [
     ("192.168.0.255", ["192.168.0.0/24"], True), ("192.168.1.0", ["192.168.0.0/24"], False), ("1.2.3.4", ["0.0.0.0/0"], True), ("1.2.3.4", ["1.2.3.4/32"], True),
+    ("2001:db8::1", ["2001:db8::/32"], True), ("2001:db9::1", ["2001:db8::/32"], False), ("2001:db8::1", ["2001:db8::/129"], False), ("2001:db8::1", ["0.0.0.0/0"], False), ("fe80::1", ["fe80::1/128"], True),
+    ("2001:db8::1", ["::/0"], True), ("::ffff:192.168.1.100", ["192.168.1.0/24"], True), ("::ffff:10.0.0.5", ["192.168.1.0/24"], False), ("2001:db8::1.5", ["2001:db8::1"], False), ("1:2:3:4:5:6:7:8", ["1:2:3::/48"], True),
+    ("1:2:3:4:5:6:7", ["::/0"], False), (":::", ["::/0"], False), ("::", ["::/0"], True), ("1.2.3.4", ["::/0"], False), ("10.1.1.1", ["bad/99", "10.0.0.0/8"], False), (" 10.1.1.1 ", ["10.0.0.0/8"], True), ("1::2::3", ["::/0"], False),
     ("1.2.3.4", ["1.2.3.4/33", "x/8"], False), ("999.1.1.1", ["0.0.0.0/0"], False), ("::1", ["0.0.0.0/0"], False), ("whatever", ["*"], True),
 ])
 def test_cidr(spark, ip, ranges, want):
