@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -188,60 +189,84 @@ BLOCKED_V4 = [
 ]
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ipv6(text: Column) -> Column:
     """The address as eight numbers; null if it isn't one. Its last two groups may be written as an IPv4 address."""
-    tail = F.regexp_extract(text, r"^.*:(\d{1,3}(?:\.\d{1,3}){3})$", 1)
-    number = ipv4(tail)
-    hexed = F.concat(F.regexp_replace(text, r"\d{1,3}(?:\.\d{1,3}){3}$", ""), F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(0xFFFF)))
-    sides = F.split(F.when(tail == "", text).otherwise(hexed), "::", -1)
+    v4 = r"\d{1,3}(?:\.\d{1,3}){3}$"
+    tail = lambda n: F.concat(F.regexp_replace(text, v4, ""), F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(0xFFFF)))
+    plain = F.when(F.regexp_like(text, F.lit(":" + v4)), _once(ipv4(F.regexp_extract(text, v4, 0)), tail)).otherwise(text)
     groups = lambda side: F.when(F.coalesce(side, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(side, ":", -1))
-    left, right = groups(F.get(sides, F.lit(0))), groups(F.get(sides, F.lit(1)))
-    given = F.size(left) + F.size(right)
-    fits = (F.size(sides) == 1) & (given == 8) | (F.size(sides) == 2) & (given < 8)
-    good = fits & F.forall(F.concat(left, right), lambda x: F.regexp_like(x, F.lit("^[0-9A-Fa-f]{1,4}$")))
-    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), right)
-    return F.when(good, F.transform(every, lambda x: F.conv(x, 16, 10).cast("int")))
-
-
-def in_cidr(ip: Column, cidr: str) -> Column | None:
-    """Whether an address lies in a range of its kind; a malformed address never does, ``*`` always fits. A bare
-    address is a range of one; an IPv6 address that maps an IPv4 one is that. None for a malformed range."""
-    if cidr == "*":
-        return F.lit(True)
-    base, _, bits = cidr.partition("/")
-    try:
-        if bits and not bits.isdigit() or cidr.endswith("/"):
-            return None
-        net = ipaddress.ip_network(cidr, strict=False)
-    except ValueError:
-        return None
-    six = ipv6(F.trim(ip))
-    mapped = F.forall(F.slice(six, 1, 5), lambda x: x == 0) & (F.get(six, F.lit(5)) == 0xFFFF)
+
+    def every(x: Column) -> Column:
+        given = F.size(x["left"]) + F.size(x["right"])
+        fits = (x["sides"] == 1) & (given == 8) | (x["sides"] == 2) & (given < 8)
+        filled = F.concat(x["left"], F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - given)), x["right"])
+        good = fits & F.forall(F.concat(x["left"], x["right"]), lambda g: F.regexp_like(g, F.lit("^[0-9A-Fa-f]{1,4}$")))
+        return F.when(good, F.transform(filled, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    parted = lambda sides: F.struct(F.size(sides).alias("sides"), groups(F.get(sides, F.lit(0))).alias("left"), groups(F.get(sides, F.lit(1))).alias("right"))
+    return _once(_once(F.split(plain, "::", -1), parted), every)
+
+
+def _in_network(address: Column, net: ipaddress.IPv4Network | ipaddress.IPv6Network) -> Column:
+    """Whether an address (v4: a number, v6: eight numbers; one of them or none) lies in a range of its kind."""
     if net.version == 4:
-        number = F.coalesce(ipv4(F.trim(ip)), F.when(mapped, F.get(six, F.lit(6)).cast("long") * 65536 + F.get(six, F.lit(7))))
         shift = 32 - net.prefixlen
-        return F.coalesce(F.shiftright(number, shift) == (int(net.network_address) >> shift), F.lit(False))
+        return F.coalesce(F.shiftright(address["v4"], shift) == (int(net.network_address) >> shift), F.lit(False))
     want, whole, rest = net.network_address.packed, net.prefixlen // 16, net.prefixlen % 16
     of = lambda k: int.from_bytes(want[2 * k:2 * k + 2], "big")
-    inside = six.isNotNull() & ~mapped
+    inside = address["v6"].isNotNull()
     for k in range(whole):
-        inside = inside & (F.get(six, F.lit(k)) == of(k))
+        inside = inside & (F.get(address["v6"], F.lit(k)) == of(k))
     if rest:
-        inside = inside & (F.shiftright(F.get(six, F.lit(whole)), 16 - rest) == (of(whole) >> 16 - rest))
+        inside = inside & (F.shiftright(F.get(address["v6"], F.lit(whole)), 16 - rest) == (of(whole) >> 16 - rest))
     return F.coalesce(inside, F.lit(False))
 
 
+def _network(cidr: str) -> ipaddress.IPv4Network | ipaddress.IPv6Network | None:
+    """A range, a bare address being a range of one; None for a malformed one."""
+    _, slash, bits = cidr.partition("/")
+    try:
+        return ipaddress.ip_network(cidr, strict=False) if not slash or bits.isdigit() else None
+    except ValueError:
+        return None
+
+
 def cidr_allow(ip: Column, ranges: list[str]) -> Column:
-    """Whether a range fits, up to the first malformed one: a list with an error in it admits nothing more."""
-    out = F.lit(False)
-    for r in ranges:
-        fits = in_cidr(ip, r.strip())
-        if fits is None:
+    """Whether one of the ranges has the address; ``*`` has all. A malformed address is in no other, and a malformed
+    range ends the list: a list with an error in it admits nothing more. An IPv6 address that maps an IPv4 one is
+    that one."""
+    nets: list = []
+    for r in map(str.strip, ranges):
+        net = r if r == "*" else _network(r)
+        if net is None:
             break
-        out = out | fits
-    return out
+        nets.append(net)
+
+    def fits(address: Column) -> Column:
+        out = F.lit(False)
+        for net in nets:
+            out = out | (F.lit(True) if net == "*" else _in_network(address, net))
+        return out
+
+    text = F.trim(ip)
+    mapped = lambda six: F.forall(F.slice(six, 1, 5), lambda x: x == 0) & (F.get(six, F.lit(5)) == 0xFFFF)
+    low = lambda six: F.get(six, F.lit(6)).cast("long") * 65536 + F.get(six, F.lit(7))
+    both = lambda six: F.struct(F.coalesce(ipv4(text), F.when(mapped(six), low(six))).alias("v4"), F.when(~mapped(six), six).alias("v6"))
+    return _once(_once(ipv6(text), both), fits)
 
 
 def blocked_ip(ip: Column) -> Column:
     """Malformed addresses are blocked."""
-    return ipv4(ip).isNull() | cidr_allow(ip, BLOCKED_V4)
+
+    def blocked(address: Column) -> Column:
+        out = address["v4"].isNull()
+        for r in BLOCKED_V4:
+            out = out | _in_network(address, _network(r))
+        return out
+
+    return _once(F.struct(ipv4(ip).alias("v4")), blocked)
