@@ -1,17 +1,20 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
-Documents are counted into cells of source, language and topic. Raking finds a factor for each source,
+A document's topic is that of the nearest centroid, in a space of hashed words, of the documents that have a
+topic label: each document gets one from its own text. Documents are counted into cells of source, language
+and topic. Raking finds a factor for each source,
 language and topic so that the weighted tokens have the target share in every margin. Sources may be
 many: their factors stay in Spark, one row a source, and a sweep is one aggregation over these rows;
-languages and topics are few (checked), and their factors are values in the plan. A document's
+languages and topics are mostly few, and their factors then are values in the plan; with over MOST_PAIRS pairs
+of them all factors are columns of the cells and a sweep is a join for each axis. A document's
 inclusion probability is kappa times its cell's weight, with kappa such that the expected tokens are
 ``keep`` of all; where that is over 1, the cells under 1 are raked again until the expected tokens drawn
 have the target margins. A value with fewer tokens than its target is drawn whole and the others share
 what it lacks; ``margins`` lists targets and expected shares. Documents are drawn by a hash of their id, text and a seed, so a task that
 runs again draws the same.
 
-Edge cases: null source and language count as ''; a document without topic has topic ``none``; texts
-without words weigh nothing but are drawn with their cell's probability; repeated rows are drawn alike;
+Edge cases: null source and language count as ''; a text without words, or any where no document with words
+has a label, has topic ``none``; texts without words weigh nothing but are drawn with their cell's probability; repeated rows are drawn alike;
 margins that cannot all be met are approached for SWEEPS sweeps. An empty table gives no rows.
 """
 
@@ -26,7 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusspark.llm.common import BROADCAST_ROWS, SPACE, batches_of, fresh, join_per_key, materialise, small_or_hinted, table, union_all
+from corpusspark.llm.common import BROADCAST_ROWS, batches_of, fresh, join_per_key, materialise, small_or_hinted, table, union_all
+from corpusspark.llm.textops import U64, chunks, hashes, utf8, words
 
 #: Target shares are proportional to tokens to these powers: below 1 lifts what is rare.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
@@ -41,11 +45,9 @@ DRIVER_CELLS = 100_000
 MOST_PAIRS = 20_000
 SEED = 17
 AXES = ["source", "lang", "topic"]
-
-
-def n_tokens(text: Column) -> Column:
-    """Words of a text, as its weight."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
+#: Slots of the space of hashed words, and the most topics that have a centroid: those with the most labels.
+SLOTS, MOST_TOPICS = 512, 2000
+NO_TOPIC = "none"
 
 
 def topics_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,15 +57,79 @@ def topics_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_axes(docs: DataFrame, topics: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with the three axes and the tokens under names that clash with none of its own."""
-    name = {x: fresh(docs.columns, f"_{x}") for x in [*AXES, "tokens", "vec"]}
-    topics = materialise(topics.select(F.col("_vec").alias(name["vec"]), F.col("_topic").alias(name["topic"])), "topics")
-    out = docs.join(small_or_hinted(topics, topics.count()), F.col("doc_id") == F.col(name["vec"]), "left").drop(name["vec"])
+def word_vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(unit vectors of dampened counts of hashed words, words) of some texts after the others."""
+    data, offsets = utf8(column)
+    for i, j, part, at in chunks(data, offsets, 300_000):
+        starts, ends, row = words(part, at)
+        slot = row * SLOTS + (hashes(part, starts, ends, lower=True) & U64(SLOTS - 1)).astype(np.int64)
+        x = np.log1p(np.bincount(slot, minlength=(j - i) * SLOTS).reshape(j - i, SLOTS)).astype(np.float32)
+        yield x / np.maximum(1e-9, np.sqrt((x * x).sum(axis=1, keepdims=True))), np.bincount(row, minlength=j - i)
+
+
+class Topics:
+    """Names in order, and their centroids as unit vectors."""
+
+    def __init__(self, names: list[str], centroids: np.ndarray):
+        self.names, self.centroids = names, centroids
+
+    def of(self, column: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Topic and words of each text; of equally near centroids the first."""
+        best, count = [], []
+        for x, n in word_vectors(column):
+            near = np.round(x @ self.centroids.T, 5).argmax(axis=1) if self.names else np.zeros(len(n), dtype=np.int64)
+            best.append(np.where((n > 0) & bool(self.names), near, len(self.names)))
+            count.append(n)
+        names = pa.array([*self.names, NO_TOPIC])
+        return names.take(pa.array(np.concatenate(best or [np.zeros(0, dtype=np.int64)]))), pa.array(np.concatenate(count or [np.zeros(0, dtype=np.int64)]))
+
+
+def fit_topics(docs: DataFrame, labels: DataFrame) -> Topics:
+    """Centroids of the labelled documents: labels has _vec (a doc_id) and _topic. What reaches the driver is at most
+    MOST_TOPICS times SLOTS numbers."""
+    labels = materialise(labels.select("_vec", "_topic"), "labels")
+    most = labels.groupBy("_topic").count().orderBy(F.desc("count"), "_topic").limit(MOST_TOPICS).select("_topic")
+    rows = docs.select(F.col("doc_id").alias("_vec"), "text").filter("text is not null").join(small_or_hinted(labels, labels.count()), "_vec").join(F.broadcast(most), "_topic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            topics, at = np.array(batch.column("_topic").to_pylist(), dtype=object), 0
+            for x, n in word_vectors(batch.column("text")):
+                own = topics[at:at + len(n)]
+                at += len(n)
+                for t in set(own.tolist()):
+                    sums[t] = sums.get(t, 0) + x[own == t].sum(axis=0, dtype=np.float64)
+        for t, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([t] * SLOTS), pa.array(np.arange(SLOTS)), pa.array(v)], ["topic", "slot", "x"])
+
+    found = rows.select("_topic", "text").mapInArrow(run, "topic string, slot long, x double").groupBy("topic", "slot").agg(F.sum("x").alias("x")).filter("x > 0").toArrow()
+    names = sorted(set(found.column("topic").to_pylist()))
+    centroids = np.zeros((len(names), SLOTS))
+    if names:
+        place = {t: k for k, t in enumerate(names)}
+        centroids[[place[t] for t in found.column("topic").to_pylist()], found.column("slot").to_numpy()] = found.column("x").to_numpy()
+        centroids /= np.sqrt((centroids * centroids).sum(axis=1, keepdims=True))
+        centroids -= centroids.mean(axis=0) if len(names) > 1 else 0  # what all topics share tells nothing
+        centroids /= np.maximum(1e-9, np.sqrt((centroids * centroids).sum(axis=1, keepdims=True)))
+    return Topics(names, np.round(centroids, 6).astype(np.float32))
+
+
+def with_axes(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the three axes, the words and a hash of the text under names that clash with none of its own."""
+    name = {x: fresh(docs.columns, f"_{x}") for x in [*AXES, "tokens", "hash", "own"]}
+    state = docs.sparkSession.sparkContext.broadcast(fit_topics(docs, labels))
+
+    @F.arrow_udf("struct<topic:string,tokens:long>")
+    def topic_and_words(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(state.value.of(texts), ["topic", "tokens"])
+
+    own = name.pop("own")
+    out = docs.withColumn(own, topic_and_words(F.coalesce("text", F.lit(""))))
     out = out.withColumns({
         name["source"]: F.coalesce("source", F.lit("")), name["lang"]: F.coalesce("lang", F.lit("")),
-        name["topic"]: F.coalesce(name["topic"], F.lit("none")), name["tokens"]: n_tokens(F.col("text")),
-    })
+        name["topic"]: F.col(f"{own}.topic"), name["tokens"]: F.col(f"{own}.tokens"), name["hash"]: F.xxhash64("text"),
+    }).drop(own)
     return out, name
 
 
@@ -86,7 +152,9 @@ def rake(cells: DataFrame, powers: dict[str, float] | None = None, given: dict[s
     for x in ("lang", "topic"):
         few[x] = dict(goal[x].limit(MOST_PAIRS + 1).collect())
     if len(few["lang"]) * len(few["topic"]) > MOST_PAIRS:
-        raise ValueError(f"more than {MOST_PAIRS} pairs of language and topic")
+        share = cells.filter("tokens > 0").withColumns({"x": F.col("tokens") / F.lit(float(total)), "w": F.lit(1.0)})
+        done = rake_by_joins(share, {x: goal[x].withColumnRenamed("share", "goal") for x in AXES}, SWEEPS)
+        return cells.join(done.select(*AXES, F.col("w").alias("weight")).hint("merge"), AXES, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     langs, topics = sorted(few["lang"]), sorted(few["topic"])
     place = lambda names, c: F.create_map(*[y for k, n in enumerate(names) for y in (F.lit(n), F.lit(k))])[F.col(c)]
     parts = cells.filter("tokens > 0").groupBy("source").agg(
@@ -119,6 +187,25 @@ def rake(cells: DataFrame, powers: dict[str, float] | None = None, given: dict[s
     return cells.join(own.hint("merge"), "source", "left").withColumn("weight", F.coalesce(weight, F.lit(1.0))).drop("a")
 
 
+def rake_by_joins(cells: DataFrame, goals: dict[str, DataFrame], sweeps: int, cut: bool = False) -> DataFrame:
+    """``cells`` (the axes, x, w) with w such that the sums of x w, or with ``cut`` of x times the lesser of 1 and w,
+    are the goals (value, goal) in every margin. Nothing of it is collected, so axes may have any number of values."""
+    size = F.when(F.col("w") < 1, F.col("x") * F.col("w")) if cut else F.col("x") * F.col("w")
+    full = F.when(F.col("w") >= 1, F.col("x")) if cut else F.lit(0.0)
+    cells = materialise(cells, "swept")
+    for _ in range(sweeps):
+        for axis in AXES:
+            sums = cells.groupBy(F.col(axis).alias("value")).agg(F.coalesce(F.sum(size), F.lit(0.0)).alias("free"), F.coalesce(F.sum(full), F.lit(0.0)).alias("full"), F.count(F.lit(1)).alias("n"))
+            left = F.col("goal") - F.col("full")
+            f = F.when((left > 0) & (F.col("free") > 0), left / F.col("free")).when(left > 0, 1.0).otherwise(F.col("goal") / (F.col("full") + F.col("free")))
+            factor = materialise(sums.join(goals[axis].select("value", "goal").hint("merge"), "value").select(F.col("value").alias(axis), "n", f.alias("f")), "factors")
+            cells = materialise(join_per_key(cells, factor, [axis], "n").withColumn("w", F.col("w") * F.col("f")).drop("n", "f"), "swept")
+            moved = factor.agg(F.max(F.abs(F.log("f"))).alias("m")).first()[0] if axis == AXES[0] else max(moved, factor.agg(F.max(F.abs(F.log("f")))).first()[0])
+        if moved < 1e-5:
+            break
+    return cells
+
+
 def kappa(rows: DataFrame, keep: float) -> float:
     """The factor with which min(1, factor times weight) draws ``keep`` of the tokens; rows have tokens above 0."""
     total, low, high, n = rows.agg(F.sum("tokens"), F.min("weight"), F.max("weight"), F.count(F.lit(1))).first()
@@ -166,7 +253,11 @@ def rake_bounded(cells: DataFrame, keep: float, powers: dict[str, float]) -> Dat
     the factors of the others meet what remains. The set of cells at 1 is found anew in each sweep."""
     total = float(cells.agg(F.sum("tokens")).first()[0])
     goal = {x: attainable(cells, x, powers[x], keep) for x in AXES}
-    few = {x: {r["value"]: r["goal"] for r in goal[x].collect()} for x in ("lang", "topic")}  # checked by rake
+    goal = {x: materialise(goal[x], "goals") for x in AXES}
+    if goal["lang"].count() * goal["topic"].count() > MOST_PAIRS:
+        share = cells.withColumns({"x": F.col("tokens") / F.lit(total), "w": F.col("weight")})
+        return rake_by_joins(share, goal, BOUNDED_SWEEPS, cut=True).withColumn("probability", F.least(F.lit(1.0), F.col("w"))).drop("x", "w")
+    few = {x: {r["value"]: r["goal"] for r in goal[x].collect()} for x in ("lang", "topic")}
     names = {"l": sorted(few["lang"]), "t": sorted(few["topic"])}
     aims = {"l": np.array([few["lang"][x] for x in names["l"]]), "t": np.array([few["topic"][x] for x in names["t"]])}
     place = lambda k, c: F.create_map(*[y for j, n in enumerate(names[k]) for y in (F.lit(n), F.lit(j))])[F.col(c)]
@@ -260,9 +351,12 @@ def margins(cells: DataFrame, keep: float = KEEP, powers: dict[str, float] | Non
     return union_all(out)
 
 
-def plan(docs: DataFrame, topics: DataFrame, keep: float = KEEP, seed: int = SEED, powers: dict[str, float] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with axes, tokens, weight, probability and whether each row is drawn; and the added names."""
-    rows, name = with_axes(docs, topics)
+def plan(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int = SEED, powers: dict[str, float] | None = None, narrow: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with axes, tokens, weight, probability and whether each row is drawn; and the added names. ``narrow``
+    leaves the text out, and works each one out once."""
+    rows, name = with_axes(docs, labels)
+    if narrow:
+        rows = materialise(rows.drop("text"), "axes")
     cells = rows.groupBy(*[F.col(name[x]).alias(x) for x in AXES]).agg(F.sum(name["tokens"]).alias("tokens"), F.count(F.lit(1)).alias("docs"))
     cells = materialise(cells, "cells")
     cells = materialise(calibrate(materialise(rake(cells, powers), "raked"), keep, powers), "calibrated")
@@ -271,19 +365,19 @@ def plan(docs: DataFrame, topics: DataFrame, keep: float = KEEP, seed: int = SEE
     own = cells.select(*[F.col(x).alias(name[x]) for x in AXES], *[F.col(x).alias(name[x]) for x in ("weight", "probability", "docs")])
     keys = [name[x] for x in AXES]
     out = rows.join(F.broadcast(own), keys) if own.count() <= BROADCAST_ROWS // 10 else join_per_key(rows, own, keys, name["docs"])
-    draw = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.xxhash64("doc_id", name["hash"], F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return out.withColumn(name["drawn"], draw < F.col(name["probability"])), name
 
 
-def mix(docs: DataFrame, topics: DataFrame, keep: float = KEEP) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that are drawn."""
-    rows, name = plan(docs, topics, keep)
+    rows, name = plan(docs, labels, keep)
     return rows.filter(name["drawn"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rows, name = plan(docs, topics_of(spark, sf_dir))
+    rows, name = plan(docs, topics_of(spark, sf_dir), narrow=True)
     return rows.select(
         "doc_id", *[F.col(name[x]).alias(x) for x in AXES], F.col(name["tokens"]).alias("n_tokens"),
         F.round(name["weight"], 6).alias("weight"), F.round(name["probability"], 6).alias("probability"), F.col(name["drawn"]).alias("kept"),

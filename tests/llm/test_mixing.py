@@ -70,8 +70,9 @@ def test_edges(spark, monkeypatch):
     monkeypatch.setattr("corpusspark.llm.common.BROADCAST_ROWS", 0)
     assert op.mix(df, topics, 1.0).count() == 15
     monkeypatch.setattr(op, "MOST_PAIRS", 1)
-    with pytest.raises(ValueError):
-        op.mix(df, topics)
+    monkeypatch.setattr(op, "SWEEPS", 1)
+    monkeypatch.setattr(op, "BOUNDED_SWEEPS", 1)
+    assert op.mix(df, topics, 1.0).count() == 15 and op.mix(df, topics).columns == df.columns
 
 
 def test_margins_are_met_where_cells_are_cut_at_one(spark):
@@ -92,3 +93,43 @@ def test_value_with_too_few_tokens_is_drawn_whole(spark):
     assert small.target > small.goal and abs(small.goal - 10 / 2010 / 0.7) < 1e-4
     assert all(abs(r.drawn - r.goal) < 1e-4 for r in rows.values())
     assert cells.filter("source = 'b' and probability < 0.999").count() == 0
+
+
+def test_many_pairs_give_the_same(spark, monkeypatch):
+    df, _ = table(spark, 3)
+    few = {(r.source, r.lang, r.topic): (r.weight, r.probability) for r in op.calibrate(op.materialise(op.rake(df), "raked"), 0.6).collect()}
+    monkeypatch.setattr(op, "MOST_PAIRS", 1)
+    monkeypatch.setattr(op, "SWEEPS", 5)
+    monkeypatch.setattr(op, "BOUNDED_SWEEPS", 5)
+    many = {(r.source, r.lang, r.topic): (r.weight, r.probability) for r in op.calibrate(op.materialise(op.rake(df), "raked"), 0.6).collect()}
+    assert few.keys() == many.keys()
+    assert all(abs(a / b - 1) < 2e-2 for k in few for a, b in zip(few[k], many[k], strict=True))
+
+
+def test_topics_come_from_the_texts(spark):
+    r = np.random.default_rng(4)
+    bags = {"ta": "sun moon star sky light".split(), "tb": "soup bread salt oven dough".split(), "tc": "goal ball team match win".split()}
+    rows = [(k, " ".join(r.choice(bags[t], 12)), t) for k in range(90) for t in [["ta", "tb", "tc"][k % 3]]]
+    df = spark.createDataFrame([(*x, "en", "s") for x in rows], "doc_id long, text string, true string, lang string, source string")
+    labels = df.filter("doc_id < 30").select(F.col("doc_id").alias("_vec"), F.col("true").alias("_topic"))
+    out, name = op.with_axes(df, labels)
+    assert out.filter(F.col(name["topic"]) != F.col("true")).count() == 0 and out.filter(F.col(name["tokens"]) != 12).count() == 0
+
+
+def test_sampled_margins(spark):
+    """What is drawn meets the targets as nearly as its number allows."""
+    rows = op.op1_mixing(spark, "/root/testdata/sf0.01").collect()
+    drawn = [r for r in rows if r.kept]
+    total, of = sum(r.n_tokens for r in rows), sum(r.n_tokens for r in drawn)
+    assert {r.topic for r in rows} <= {f"t{k}" for k in range(10)} | {"none"} and sum(r.topic == "none" for r in rows) == sum(r.n_tokens == 0 for r in rows)
+    for axis in op.AXES:
+        all_of, part = {}, {}
+        for r in rows:
+            all_of[r[axis]] = all_of.get(r[axis], 0) + r.n_tokens
+        for r in drawn:
+            part[r[axis]] = part.get(r[axis], 0) + r.n_tokens
+        power = {k: v ** op.POWERS[axis] for k, v in all_of.items() if v}
+        for k, v in power.items():
+            goal = min(v / sum(power.values()), all_of[k] / total / op.KEEP)
+            spread = 4 * sum(r.n_tokens**2 * r.probability * (1 - r.probability) for r in rows if r[axis] == k) ** 0.5 / of
+            assert abs(part.get(k, 0) / of - goal) < spread + 0.02
