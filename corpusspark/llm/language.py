@@ -6,8 +6,9 @@ N-grams are hashed to DIMENSIONS slots. Nyström landmarks turn the kernel into
 one-versus-rest ridge regression on them scores the languages. A batch of texts is scored by two
 matrix products: presence times landmarks, then kernel values times the regression.
 
-The model learns from a bounded sample: up to PER_LANGUAGE labelled texts of each language, taken by
-the order of a hash of doc_id, of which up to LANDMARKS in all are landmarks.
+The model learns from a bounded sample: up to PER_LANGUAGE labelled texts of each of the MOST_LANGUAGES most
+frequent languages, taken by the order of a hash of doc_id and text. Of these LANDMARKS, or LEAST_LANDMARKS of
+each language if that is more, are landmarks. A rarer language is never predicted.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; equal scores go to the first
 language by name; with no labelled text every prediction is ``und``; a null lang teaches nothing. Each
@@ -28,11 +29,11 @@ from corpusspark.llm.common import table
 from corpusspark.llm.textops import U64, mix
 
 ORDERS = (1, 2, 3, 4)
-DIMENSIONS = 1 << 14
+DIMENSIONS = 1 << 15
 PER_LANGUAGE = 150
-LANDMARKS = 256
+LANDMARKS, LEAST_LANDMARKS = 256, 4
 RIDGE = 0.1
-#: Languages that one model may tell apart.
+#: Languages that one model tells apart.
 MOST_LANGUAGES = 300
 #: Code points whose n-grams are hashed at once.
 CHUNK = 400_000
@@ -109,7 +110,7 @@ def fit(presences: np.ndarray, langs: list[str]) -> Model:
     languages = sorted(set(langs))
     if not languages:
         return Model(np.zeros((0, DIMENSIONS), dtype=np.float32), [], np.zeros((0, 0)))
-    landmarks = presences[:LANDMARKS]
+    landmarks = presences[:max(LANDMARKS, LEAST_LANDMARKS * len(languages))]
     own = kernel(landmarks, landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh(own)
     good = values > 1e-6 * values.max()
@@ -129,15 +130,15 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
     """Presence rows and languages of the training sample, alternating between languages."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    most = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    sizes = {r["lang"]: r["count"] for r in most.collect()}
     if not sizes:
         return np.zeros((0, DIMENSIONS), dtype=np.float32), []
     # A share of each language that gives somewhat more than its part of the sample; the rest is cut below.
-    rank = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
-    most = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1, (1.4 * PER_LANGUAGE + 30) / n) * (1 << 30)))])
-    near = labelled.filter(rank < most[F.col("lang")]).select("lang", rank.alias("rank"), "text")
+    rank = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 40))
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1, (1.4 * PER_LANGUAGE + 30) / n) * (1 << 40)))])
+    # Repeated rows have one hash: once each, so that not all of them come at once.
+    near = labelled.filter(rank < share[F.col("lang")]).select("lang", rank.alias("rank"), "text").dropDuplicates(["lang", "rank"])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -160,7 +161,7 @@ def train(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score for every row. The model has at most LANDMARKS rows of DIMENSIONS slots (4 MB)."""
+    """doc_id, lang_pred and score for every row. Its landmarks are sent to executors as bits, 1 MB for LANDMARKS."""
     packed = np.packbits(model.landmarks.astype(bool), axis=1)
     state = docs.sparkSession.sparkContext.broadcast((packed, model.languages, model.weights))
 

@@ -18,6 +18,36 @@ def test_kernel_counts_shared_grams():
     assert np.abs(op.kernel(x, x) - want).max() < 0.02  # slots may be shared
 
 
+def test_ridge_against_the_whole_kernel():
+    """With every text a landmark, the features give kernel ridge regression itself."""
+    r = np.random.default_rng(3)
+    bags = {"a": "lorem ipsum dolor sit amet".split(), "b": "quick brown foxes jump over".split(), "c": "ein zwei drei vier fünf".split()}
+    langs = [x for _ in range(12) for x in bags] + ["a"] * 5
+    texts = [" ".join(r.choice(bags[x], 6)) + f" {k}x" for k, x in enumerate(langs)]
+    x = op.presence_matrix(texts)
+    model = op.fit(x, langs)
+    k = op.kernel(x, x).astype(np.float64)
+    w = np.array([1 / langs.count(v) for v in langs])
+    y = np.where(np.array(langs)[:, None] == np.array(sorted(bags))[None, :], 1.0, -1.0)
+    want = k @ np.linalg.solve(w[:, None] * k + op.RIDGE / len(langs) * np.eye(len(langs)), w[:, None] * y)
+    assert np.abs(model.kernel(x) @ model.weights - want).max() < 2e-3
+
+
+def test_every_language_has_landmarks(monkeypatch):
+    monkeypatch.setattr(op, "LANDMARKS", 3)
+    langs = [f"l{k}" for _ in range(5) for k in range(9)]
+    x = op.presence_matrix([chr(97 + int(v[1])) * 3 + chr(107 + int(v[1])) for v in langs])
+    model = op.fit(x, langs)
+    assert len(model.landmarks) == 4 * 9 and model.predict(["aaak", "cccm", "iiis"])[0] == ["l0", "l2", "l8"]
+
+
+def test_rare_languages_and_hot_rows(spark, monkeypatch):
+    monkeypatch.setattr(op, "MOST_LANGUAGES", 2)
+    rows = [(1, "hello there my friend", "en")] * 500 + [(k, f"hallo mein freund {k}", "de") for k in range(20)] + [(99, "uno", "es")]
+    got = op.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(got[1]) == ["de"] * 20 + ["en"]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = op.op4_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
