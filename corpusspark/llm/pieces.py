@@ -9,6 +9,10 @@ with the forward scores as exact heuristic, yields its segmentations from best t
 N best segmentations take their deviations from the N - 1 occurrences of units with the smallest loss
 of their second best, and only those units are searched; sums of losses are merged by a heap.
 
+A model whose pieces come from merges encodes by the order of its merges, which need not give the largest sum.
+``encode`` also returns that encoding, as ``ids``; the lattice's best is ``best_ids``. Merges stay within units
+too, so each new unit is merged once.
+
 Scores are integers in the models used here and are kept as such where they are, so sums are exact.
 Characters without a piece become their UTF-8 bytes' pieces, at the model's lowest score less 10.
 
@@ -22,6 +26,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,15 +36,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusspark.llm.common import table
-from corpusspark.llm.textops import U64, mix, utf8
+from corpusspark.llm.textops import U64, give_back, mix, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 ESCAPED = "▁"
 UNITS = re.compile(" +[^ ]*")
 #: Units whose segmentation a task remembers before it starts anew, and bytes of text it takes at once.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
+#: New units whose lattices are searched at once.
+LEARNED = 8_000
 CHUNK = 1_000_000
+#: Units that are merged as one text.
+JOINED = 100
 #: Pieces that are decoded at once.
 DECODED = 400_000
 #: Bits of the tables that tell which hashes can be a piece, or the beginning of one.
@@ -58,10 +67,24 @@ def vocabulary(path: str = MODEL) -> list[tuple[str, float, bool]]:
     return out
 
 
+def model_bytes(path: str = MODEL) -> bytes:
+    """The model as it is sent to executors, which need no file of it."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path).serialized_model_proto()
+
+
 class Lattice:
-    """Segmentation of units by one vocabulary; remembers what it has worked out."""
+    """Segmentation of units by one vocabulary; remembers what it has worked out. With the model's bytes also the
+    segmentation that its merges give."""
+
+    def __init__(self, vocab: list[tuple[str, float, bool]], model: bytes | None = None):
+        self.merges = None
+        if model is not None:
+            import sentencepiece
 
-    def __init__(self, vocab: list[tuple[str, float, bool]]):
+            self.merges = sentencepiece.SentencePieceProcessor(model_proto=model)
+            self.spaced = np.array([p.startswith(ESCAPED) for p, _, _ in vocab])
         usable = [(p, int(s) if s == int(s) else s, i) for i, (p, s, byte) in enumerate(vocab) if s == s and not byte]
         self.exact = all(isinstance(s, int) for _, s, _ in usable)
         kind = np.int64 if self.exact else np.float64
@@ -89,6 +112,7 @@ class Lattice:
         self.loss = np.zeros(0)  # of the second best; none: infinity
         self.flat = np.zeros(0, dtype=np.int32)  # ids of the best segmentations one after the other
         self.begin = np.zeros(1, dtype=np.int64)  # where a unit's ids begin, and the end
+        self.merged, self.merged_begin = self.flat, self.begin  # the same for the merges' segmentations
         self.ranked: dict[int, list] = {}
 
     @staticmethod
@@ -180,6 +204,10 @@ class Lattice:
             repeats[lone] = [len(x) for x in own]
             idents, owner = np.repeat(idents, repeats), np.repeat(owner, repeats)
             idents[np.flatnonzero(idents < 0)] = [x for y in own for x in y]
+        if self.merges:
+            sizes, ids = self._merge(units)
+            self.merged_begin = np.concatenate((self.merged_begin, self.merged_begin[-1] + np.cumsum(sizes)))
+            self.merged = np.concatenate((self.merged, ids))
         base = len(self.best)
         self.known.update(zip(units, range(base, base + len(units)), strict=True))
         self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.bincount(owner, minlength=len(units)))))
@@ -187,11 +215,30 @@ class Lattice:
         self.best = np.concatenate((self.best, forward[roots + lengths]))
         self.loss = np.concatenate((self.loss, loss))
 
-    def paths(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _merge(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each unit by the model's merges, and the ids one after the other."""
+        flat = lambda x: np.fromiter(chain.from_iterable(x), dtype=np.int32)
+        # Units of one space and a word go to the model JOINED at a time: a piece with the space begins each.
+        lone = np.array([len(u) > 1 and u.find(ESCAPED, 1) < 0 for u in units])
+        words = [u[1:] for u, x in zip(units, lone, strict=True) if x]
+        ids = flat(self.merges.encode([" ".join(words[k:k + JOINED]) for k in range(0, len(words), JOINED)], num_threads=1))
+        sizes = np.zeros(len(units), dtype=np.int64)
+        sizes[lone] = np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
+        if lone.all():
+            return sizes, ids
+        # The model puts one space before a text itself; of a single one it makes nothing.
+        others = [x or [self.pieces[ESCAPED][1]] for x in self.merges.encode([u[1:].replace(ESCAPED, " ") for u, x in zip(units, lone, strict=True) if not x], num_threads=1)]
+        sizes[~lone] = [len(x) for x in others]
+        out, mine = np.empty(int(sizes.sum()), dtype=np.int32), np.repeat(lone, sizes)
+        out[mine], out[~mine] = ids, flat(others)
+        return sizes, out
+
+    def paths(self, own: np.ndarray, merged: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ids of known units one after the other, and where each unit's begin, with the end."""
-        sizes = self.begin[own + 1] - self.begin[own]
+        flat, begin = (self.merged, self.merged_begin) if merged else (self.flat, self.begin)
+        sizes = begin[own + 1] - begin[own]
         at = np.concatenate(([0], np.cumsum(sizes)))
-        return self.flat[np.repeat(self.begin[own] - at[:-1], sizes) + np.arange(at[-1])], at
+        return flat[np.repeat(begin[own] - at[:-1], sizes) + np.arange(at[-1])], at
 
     def _fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in char.encode("utf-8", "surrogatepass"))
@@ -269,45 +316,46 @@ def n_best(lattice: Lattice, units: list[str], own: np.ndarray, n: int) -> list[
 
 EDIT = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 ALTERNATIVE = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("edits", T.ArrayType(EDIT))])
-ENCODED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()), T.StructField("alternatives", T.ArrayType(ALTERNATIVE))]
+ENCODED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("best_ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()), T.StructField("alternatives", T.ArrayType(ALTERNATIVE))]
 
 
-def encode_texts(lattice: Lattice, texts: list[str], n: int) -> list[tuple[np.ndarray, float, list[dict]]]:
-    """(ids, score, alternatives) of each text."""
+def encode_texts(lattice: Lattice, texts: list[str], n: int) -> list[tuple[np.ndarray, float, list[dict], np.ndarray]]:
+    """(best ids, score, alternatives, ids by merges) of each text."""
     if len(lattice.known) > REMEMBERED:
         lattice.clear()
     split = [split_units(t) for t in texts]
     every = [u for units in split for u in units]
     new = list(dict.fromkeys(u for u, k in zip(every, map(lattice.known.get, every), strict=True) if k is None))
-    for at in range(0, len(new), 15_000):
-        lattice.learn(new[at:at + 15_000])
+    for at in range(0, len(new), LEARNED):
+        lattice.learn(new[at:at + LEARNED])
     known = np.fromiter(map(lattice.known.__getitem__, every), dtype=np.int64, count=len(every))
     ids, at = lattice.paths(known)
+    merged, merged_at = lattice.paths(known, merged=True) if lattice.merges else (ids, at)
     out, first = [], 0
     for units in split:
         if not units:
-            out.append((np.zeros(0, dtype=np.int32), 0.0, []))
+            out.append((np.zeros(0, dtype=np.int32), 0.0, [], np.zeros(0, dtype=np.int32)))
             continue
         last = first + len(units)
         own, begin = known[first:last], at[first]
         score, others = lattice.best[own].sum(), []
         for loss, edits in n_best(lattice, units, own, n) if n > 1 else ():
             others.append({"score": float(score - loss), "edits": [{"start": int(at[first + p] - begin), "end": int(at[first + p + 1] - begin), "ids": own_ids} for p, own_ids in sorted(edits)]})
-        out.append((ids[begin:at[last]], float(score), others))
+        out.append((ids[begin:at[last]], float(score), others, merged[merged_at[first]:merged_at[last]]))
         first = last
     return out
 
 
-def encode(docs: DataFrame, carry: list[str], text: str = "text", n: int = N_BEST, vocab: list | None = None) -> DataFrame:
-    """The carried columns with ids and score of the best segmentation, and the next n - 1 as scores and
-    edits of it: pieces start to end of the best are replaced by ids."""
+def encode(docs: DataFrame, carry: list[str], text: str = "text", n: int = N_BEST, model: str = MODEL) -> DataFrame:
+    """The carried columns with the model's own ids; best_ids and score of the best segmentation, and the next n - 1
+    as scores and edits of it: pieces start to end of the best are replaced by ids."""
     spark = docs.sparkSession
-    state = spark.sparkContext.broadcast(vocab or vocabulary())
+    state = spark.sparkContext.broadcast((vocabulary(model), model_bytes(model)))
     rows = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("_encoded_text"))
     schema = T.StructType([*docs.select(*carry).schema.fields, *ENCODED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(state.value)  # one a task: what it has learned is given back at its end
+        lattice = Lattice(*state.value)  # one a task: what it has learned is given back at its end
         for batch in batches:
             offsets = utf8(batch.column(batch.num_columns - 1))[1]
             at = 0
@@ -315,12 +363,15 @@ def encode(docs: DataFrame, carry: list[str], text: str = "text", n: int = N_BES
                 stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
                 part = batch.slice(at, stop - at)
                 done = encode_texts(lattice, part.column(part.num_columns - 1).to_pylist(), n)
-                sizes = np.concatenate(([0], np.cumsum([len(x[0]) for x in done]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([x[0] for x in done]).astype(np.int32)))
+                lists = lambda k, done=done: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x[k]) for x in done]))).astype(np.int32)), pa.array(np.concatenate([x[k] for x in done]).astype(np.int32)))
                 edit = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ids", pa.list_(pa.int32()))])
                 others = pa.array([x[2] for x in done], pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(edit))])))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, pa.array([x[1] for x in done]), others], names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists(3), lists(0), pa.array([x[1] for x in done]), others], names=[f.name for f in schema.fields])
                 at = stop
+            del done, others, part, batch
+            give_back()
+        lattice.clear()
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -360,9 +411,9 @@ class Decoder:
         return out
 
 
-def decode(encoded: DataFrame, vocab: list | None = None) -> DataFrame:
+def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
     """``encoded`` with a column ``decoded`` made from ids."""
-    raw = [bytes([int(p[3:5], 16)]) if byte else b"" if s != s else p.encode() for p, s, byte in vocab or vocabulary()]
+    raw = [bytes([int(p[3:5], 16)]) if byte else b"" if s != s else p.encode() for p, s, byte in vocabulary(model)]
     state = encoded.sparkSession.sparkContext.broadcast(raw)
 
     @F.arrow_udf("string")
@@ -370,28 +421,31 @@ def decode(encoded: DataFrame, vocab: list | None = None) -> DataFrame:
         decoder = Decoder(state.value)
         for lists in batches:
             offsets = lists.offsets.to_numpy().astype(np.int64)
-            ids, parts, at = lists.values.to_numpy(zero_copy_only=False), [], 0
+            flat, parts, at = lists.values.to_numpy(zero_copy_only=False), [], 0
             while at < len(lists):
                 stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + DECODED, "right")) - 1)
-                parts.append(decoder.texts(ids[offsets[at]:offsets[stop]], offsets[at:stop + 1] - offsets[at]))
+                parts.append(decoder.texts(flat[offsets[at]:offsets[stop]], offsets[at:stop + 1] - offsets[at]))
                 at = stop
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+            del parts, lists, flat
+            give_back()
 
-    return encoded.withColumn("decoded", text_of("ids"))
+    return encoded.withColumn("decoded", text_of(ids))
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's best segmentation as count, score and digest, whether it decodes to the text, and the
-    losses and edits of its next best ones."""
+    """Every document's own encoding and best segmentation as counts and digests, whether the best decodes to the
+    text, its score, and the losses and edits of its next best ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # The model reads its escape character as a space, so a text with one decodes to a text with spaces.
     docs = docs.withColumn("text_sha256", F.sha2(F.translate("text", ESCAPED, " "), 256))
-    return report(decode(encode(docs, ["doc_id", "text_sha256"])))
+    return report(decode(encode(docs, ["doc_id", "text_sha256"]), "best_ids"))
 
 
 def report(done: DataFrame) -> DataFrame:
     return done.select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        "doc_id", F.size("best_ids").cast("long").alias("n_pieces"), "score", F.sha2(F.array_join("best_ids", " "), 256).alias("ids_sha256"),
+        F.size("ids").cast("long").alias("n_merged"), F.xxhash64("ids").alias("merged_hash"),
         (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"),
         F.transform("alternatives", lambda a: F.col("score") - a["score"]).alias("losses"), F.to_json("alternatives.edits").alias("edits"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+
+
+def give_back() -> None:
+    """Hands a worker's freed memory back to the system. Workers go on to the next stage's tasks, and what the
+    allocators keep of one stage would be missing in the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's, where it has one
+    if trim:
+        trim(0)
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -40,7 +40,7 @@ def test_n_best():
     r = random.Random(1)
     for _ in range(150):
         text = "".join(r.choice("thea n\nö☃ ") for _ in range(r.randint(1, 9)))
-        (ids, score, others), = op.encode_texts(LATTICE, [text], 4)
+        (ids, score, others, _), = op.encode_texts(LATTICE, [text], 4)
         want = every(text)[:4]
         assert [w[0] for w in want] == [score, *(o["score"] for o in others)]
         scores = dict(map(lambda w: (tuple(w[1]), w[0]), every(text)))
@@ -55,12 +55,12 @@ def test_n_best():
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.characters(blacklist_categories=["Cs"], blacklist_characters=op.ESCAPED), max_size=60))
 def test_round_trip(text):
-    (ids, _, _), = op.encode_texts(LATTICE, [text], 2)
+    (ids, _, _, _), = op.encode_texts(LATTICE, [text], 2)
     assert op.decode_ids(RAW, ids.tolist()) == text
 
 
 def test_long_word():
-    (ids, _, others), = op.encode_texts(LATTICE, ["abcdefg" * 2000], 2)
+    (ids, _, others, _), = op.encode_texts(LATTICE, ["abcdefg" * 2000], 2)
     assert op.decode_ids(RAW, ids.tolist()) == "abcdefg" * 2000 and len(others) == 1
 
 
@@ -69,5 +69,18 @@ def test_rows(spark):
     df = op.decode(op.encode(spark.createDataFrame(rows, "doc_id long, text string, ids string"), ["doc_id", "text"]))
     got = df.collect()
     assert [r.decoded for r in got] == [r[1] or "" for r in rows]
-    assert got[1].ids == [] and got[1].alternatives == [] and got[0].ids == got[3].ids
+    assert got[1].ids == got[1].best_ids == [] and got[1].alternatives == [] and got[0].ids == got[3].ids
     assert op.encode(spark.createDataFrame([], "doc_id long, text string"), ["doc_id"]).count() == 0
+
+
+def test_own_ids_are_the_models(spark):
+    """Against the library's encoding of whole texts."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=op.MODEL)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(-1, "  two  spaces   here "), (-2, " "), (-3, "a\n\nb\t☃ö漢"), (-4, "x" * 3000), (-5, op.ESCAPED + "a" + op.ESCAPED)]
+    docs = docs.union(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = op.encode(docs, ["doc_id", "text"]).collect()
+    assert len(got) > 150 and all(r.ids == model.encode(r.text or "") for r in got)
+    assert all(op.decode_ids(RAW, r.best_ids) == (r.text or "").replace(op.ESCAPED, " ") for r in got)
