@@ -1,6 +1,6 @@
 """A character n-gram language model with modified Kneser-Ney smoothing, counted by Spark.
 
-N-grams of ORDER characters are packed into one integer (12 bits a character). Tasks count those of
+N-grams of ORDER characters are packed into one integer (12 bits a symbol; most characters are one). Tasks count those of
 their rows and Spark adds up the counts of all documents, one model for each value of ``lang``, which may
 be a language or a language and a fold; lower orders are continuation counts of the order above.
 Probabilities are made by joins and windows over the count tables. The finished model is kept in arrays
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusspark.llm.common import join_per_key, materialise, union_all
-from corpusspark.llm.textops import U64, mix
+from corpusspark.llm.textops import U64, give_back, mix
 
 ORDER = 5
 BITS = 12
@@ -29,21 +29,32 @@ MODEL_ENTRIES = 8_000_000
 #: N-grams of one range of hashes, on average.
 SHARD = 100_000
 #: Distinct n-grams that a task holds before it hands on what it has counted.
-HELD = 1_500_000
+HELD = 1_000_000
 CHUNK = 400_000
 PAD, SPACE, END = 0, 1, 2
+#: Characters from here on are two symbols, a quotient and a rest, so that each has its own.
+PLAIN, BASE = 1984, 1055
 NO_LANG = ""
 
 
 def code_points(text: str) -> np.ndarray:
-    """Lower-cased characters as numbers under 2**BITS: white space runs as one, digits alike, rare characters folded."""
+    """Lower-cased characters as symbols under 2**BITS: white space runs as one, digits alike, characters from PLAIN
+    on as two symbols."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     space = (codes <= 32) & ((codes == 32) | (codes >= 9) & (codes <= 13))
-    codes = np.where(space, SPACE, np.where((codes >= 48) & (codes <= 57), 48, codes))
-    codes = np.where(codes >= 1 << BITS, (1 << BITS - 1) + codes % (1 << BITS - 1), np.where(codes <= END, np.where(space, SPACE, 3), codes))
+    codes = np.where(space, SPACE, np.where((codes >= 48) & (codes <= 57), 48, np.where(codes <= END, 3, codes)))
     keep = np.ones(len(codes), dtype=bool)
     keep[1:] = ~(space[1:] & space[:-1])
-    return codes[keep]
+    codes = codes[keep]
+    far = codes >= PLAIN
+    if far.any():
+        own = codes[far]
+        last = np.cumsum(1 + far) - 1  # the place of each character's last symbol
+        out = np.empty(len(codes) + len(own), dtype=np.int64)
+        out[last] = np.where(far, PLAIN + codes % BASE, codes)
+        out[last[far] - 1] = PLAIN + BASE + own // BASE
+        return out
+    return codes
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,14 +110,16 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
                 for a, b in text_runs(own):
                     held.setdefault(lang, []).append(np.unique(grams(own[a:b])[0], return_counts=True))
-                    if len(held[lang]) >= 12:
+                    if len(held[lang]) >= 8:
                         merged(lang)
             if sum(len(k) for x in held.values() for k, _ in x) > HELD:
                 for lang in list(held):
                     merged(lang)
                 if sum(len(k) for x in held.values() for k, _ in x) > HELD:
                     yield from flush()
+            give_back()
         yield from flush()
+        give_back()
 
     rows = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).filter("text != ''")
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusspark.llm import perplexity as lm
 from corpusspark.llm.common import BROADCAST_ROWS, fresh, materialise, table
-from corpusspark.llm.textops import _SPACE, chunks, hashes, utf8, words
+from corpusspark.llm.textops import _SPACE, chunks, give_back, hashes, utf8, words
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -112,6 +112,9 @@ def measure(docs: DataFrame) -> DataFrame:
                     [batch.column(c) for c in ("doc_id", "lang", "text_hash")] + [pa.array(counts[:, k]) for k in range(len(BASE))] + [pa.array(ppl, from_pandas=True)],
                     ["doc_id", "lang", "text_hash", *BASE, "ppl"],
                 )
+            give_back()
+        del arrays
+        give_back()
 
     scored = materialise(rows.mapInArrow(run, SCORES), "scored")
     state.destroy()  # executors' workers give the model back

@@ -45,6 +45,15 @@ def test_probabilities_add_up(spark, docs):
         assert abs(np.exp(arrays.logp(context | chars)).sum() - 1) < 1e-3
 
 
+@given(st.text(max_size=30), st.text(max_size=30))
+def test_symbols_tell_all_characters_apart(a, b):
+    norm = lambda t: re.sub("[0-9]", "0", re.sub(r"[ \t-\r]+", " ", re.sub("[\0-\2]", "\3", t.lower())))
+    x, y = lm.code_points(a), lm.code_points(b)
+    assert (norm(a) == norm(b)) == (x.tolist() == y.tolist()) and x.max(initial=0) < 1 << lm.BITS
+    far = lm.code_points("漢字字\U0010ffff")
+    assert len(far) == 8 and len(set(zip(far[::2].tolist(), far[1::2].tolist(), strict=True))) == 3 and far.max() < 1 << lm.BITS
+
+
 class Plain:
     """Modified Kneser-Ney by its formulas, from dictionaries of tuples of code points."""
 
