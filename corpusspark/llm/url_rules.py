@@ -60,11 +60,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", page_id: s
 
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("_n"))
     rows = url_parts(rows)
-    expressions = [
-        F.when(F.length("path") >= chars, F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, chars)))
-        for labels, chars in shapes
-    ]
-    spread = rows.withColumn("_expr", F.explode_outer(F.array_distinct(F.array_compact(F.array(*expressions)))) if shapes else F.lit(None).cast("string"))
+    # The shapes are one constant of the plan, however many they are: at most labels of a host times lengths of a path.
+    every = F.array(*[F.struct(F.lit(labels).alias("labels"), F.lit(chars).alias("chars")) for labels, chars in shapes])
+    ending = lambda s: F.call_function("substring_index", F.col("host"), F.lit("."), -s["labels"])
+    expressions = F.transform(F.filter(every, lambda s: s["chars"] <= F.length("path")), lambda s: F.concat(ending(s), F.call_function("substring", F.col("path"), F.lit(1), s["chars"])))
+    spread = rows.withColumn("_expr", F.explode_outer(F.array_distinct(expressions)) if shapes else F.lit(None).cast("string"))
     spread = spread.withColumn("_own", F.sha2("_expr", 256)).withColumn("_key", F.substring("_own", 1, PREFIX_HEX))
     if rules.count() <= broadcast_rules:
         met = spread.join(F.broadcast(keyed), "_key", "left")

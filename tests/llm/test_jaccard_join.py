@@ -147,3 +147,15 @@ def test_many_texts_of_one_document(spark, monkeypatch):
         x, y = find(i), find(j)
         top[max(x, y)] = min(x, y)
     assert got == {i: find(i) for i in top}
+
+
+def test_very_long_texts(spark):
+    r = random.Random(7)
+    base = [f"w{r.randrange(3000)}" for _ in range(60_000)]
+    near = list(base)
+    for k in range(0, 60_000, 2000):
+        near[k] = "other"
+    far = list(base[:30_000]) + [f"v{k}" for k in range(30_000)]
+    rows = [(3, " ".join(base)), (5, " ".join(near)), (8, " ".join(far)), (9, "x" * 2_000_000)]
+    got = {x.doc_id: x.component_id for x in op.link(spark.createDataFrame(rows, "doc_id long, text string"), 5, op.Threshold(80, 100)).collect()}
+    assert got == {3: 3, 5: 3, 8: 8, 9: 9}

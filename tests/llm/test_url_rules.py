@@ -30,7 +30,8 @@ def judged(spark, rules, **more):
 
 def test_rules(spark):
     odd = [("example.com", "/e", "block"), ("example.com", "", "allow"), ("example.com", "/en/", "allow")]
-    for rules in (op.RULES, op.RULES + odd, []):
+    many = [("com", "/" + "p" * k, "block") for k in range(400)] + [("x." * k + "org", "/en/", "block") for k in range(30)]
+    for rules in (op.RULES, op.RULES + odd, [], op.RULES + many):
         want = sorted(((k, *brute(u, rules)) for k, u in enumerate(URLS) for _ in range(2)), key=repr)
         assert judged(spark, rules) == want
         assert judged(spark, rules, broadcast_rules=-1) == want
