@@ -28,9 +28,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusspark.llm.common import BROADCAST_ROWS, batches_of, fresh, join_per_key, materialise, small_or_hinted, table, union_all
-from corpusspark.llm.textops import U64, chunks, hashes, utf8, words
+from corpusspark.llm.textops import U64, chunks, give_back, hashes, utf8, words
 
 #: Target shares are proportional to tokens to these powers: below 1 lifts what is rare.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
@@ -81,6 +82,7 @@ class Topics:
             best.append(np.where((n > 0) & bool(self.names), near, len(self.names)))
             count.append(n)
         names = pa.array([*self.names, NO_TOPIC])
+        give_back()
         return names.take(pa.array(np.concatenate(best or [np.zeros(0, dtype=np.int64)]))), pa.array(np.concatenate(count or [np.zeros(0, dtype=np.int64)]))
 
 
@@ -115,22 +117,20 @@ def fit_topics(docs: DataFrame, labels: DataFrame) -> Topics:
     return Topics(names, np.round(centroids, 6).astype(np.float32))
 
 
-def with_axes(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with the three axes, the words and a hash of the text under names that clash with none of its own."""
-    name = {x: fresh(docs.columns, f"_{x}") for x in [*AXES, "tokens", "hash", "own"]}
-    state = docs.sparkSession.sparkContext.broadcast(fit_topics(docs, labels))
+def with_axes(docs: DataFrame, topics: Topics, narrow: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the three axes, the words and a hash of the text under names that clash with none of its own;
+    ``narrow``: without the text."""
+    name = {x: fresh(docs.columns, f"_{x}") for x in [*AXES, "tokens", "hash"]}
+    state = docs.sparkSession.sparkContext.broadcast(topics)
+    rows = docs.withColumns({name["source"]: F.coalesce("source", F.lit("")), name["lang"]: F.coalesce("lang", F.lit("")), name["hash"]: F.xxhash64("text")})
+    kept = [f for f in rows.schema.fields if not (narrow and f.name == "text")]
 
-    @F.arrow_udf("struct<topic:string,tokens:long>")
-    def topic_and_words(texts: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(state.value.of(texts), ["topic", "tokens"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*own, *state.value.of(batch.column("text"))], [*(f.name for f in kept), name["topic"], name["tokens"]])
 
-    own = name.pop("own")
-    out = docs.withColumn(own, topic_and_words(F.coalesce("text", F.lit(""))))
-    out = out.withColumns({
-        name["source"]: F.coalesce("source", F.lit("")), name["lang"]: F.coalesce("lang", F.lit("")),
-        name["topic"]: F.col(f"{own}.topic"), name["tokens"]: F.col(f"{own}.tokens"), name["hash"]: F.xxhash64("text"),
-    }).drop(own)
-    return out, name
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(name["topic"], T.StringType()), T.StructField(name["tokens"], T.LongType())])), name
 
 
 def targets(cells: DataFrame, axis: str, power: float) -> DataFrame:
@@ -354,12 +354,15 @@ def margins(cells: DataFrame, keep: float = KEEP, powers: dict[str, float] | Non
 def plan(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int = SEED, powers: dict[str, float] | None = None, narrow: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with axes, tokens, weight, probability and whether each row is drawn; and the added names. ``narrow``
     leaves the text out, and works each one out once."""
-    rows, name = with_axes(docs, labels)
+    topics = fit_topics(docs, labels)
+    rows, name = with_axes(docs, topics, narrow=True)
     if narrow:
-        rows = materialise(rows.drop("text"), "axes")
+        rows = materialise(rows, "axes")
     cells = rows.groupBy(*[F.col(name[x]).alias(x) for x in AXES]).agg(F.sum(name["tokens"]).alias("tokens"), F.count(F.lit(1)).alias("docs"))
     cells = materialise(cells, "cells")
     cells = materialise(calibrate(materialise(rake(cells, powers), "raked"), keep, powers), "calibrated")
+    if not narrow:
+        rows, name = with_axes(docs, topics)
     for x in ("weight", "probability", "drawn", "docs"):
         name[x] = fresh(rows.columns, f"_{x}")
     own = cells.select(*[F.col(x).alias(name[x]) for x in AXES], *[F.col(x).alias(name[x]) for x in ("weight", "probability", "docs")])

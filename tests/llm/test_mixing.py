@@ -112,7 +112,7 @@ def test_topics_come_from_the_texts(spark):
     rows = [(k, " ".join(r.choice(bags[t], 12)), t) for k in range(90) for t in [["ta", "tb", "tc"][k % 3]]]
     df = spark.createDataFrame([(*x, "en", "s") for x in rows], "doc_id long, text string, true string, lang string, source string")
     labels = df.filter("doc_id < 30").select(F.col("doc_id").alias("_vec"), F.col("true").alias("_topic"))
-    out, name = op.with_axes(df, labels)
+    out, name = op.with_axes(df, op.fit_topics(df, labels))
     assert out.filter(F.col(name["topic"]) != F.col("true")).count() == 0 and out.filter(F.col(name["tokens"]) != 12).count() == 0
 
 
