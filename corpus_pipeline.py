@@ -30,9 +30,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and the losses of the next best segmentations."""
+    """Token ids by the model's own merges; score and pieces of the best segmentation, and the losses of the next best."""
     done = pieces.encode(docs, ["doc_id", "lang", "source"])
-    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", F.transform("alternatives", lambda a: F.col("score") - a["score"]).alias("losses"))
+    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", F.size("best_ids").cast("long").alias("n_best_pieces"), F.transform("alternatives", lambda a: F.col("score") - a["score"]).alias("losses"))
 
 
 STAGES = [
@@ -45,6 +45,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of documents: doc_id, lang, source, token ids and scores of what is left."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
