@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusspark.llm import chat, dedup_exact, html_text, jaccard_join, language, mixing, pieces, pii, quality, token_align, url_rules, word_runs
+from corpusspark.llm import chat, dedup_exact, html_text, jaccard_join, language, mixing, pieces, pii, quality, token_align, toxicity, url_rules, word_runs
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_pii_spans": pii.op8_pii_spans,
         "op9_pieces": pieces.op9_pieces,
         "op10_main_text": html_text.op10_main_text,
+        "op11_toxicity": toxicity.op11_toxicity,
         "op12_token_align": token_align.op12_token_align,
         "op13_word_runs": word_runs.op13_word_runs,
     }
