@@ -170,32 +170,49 @@ def keys_of(words: list[tuple[str, str]]) -> tuple[set[str], Counter]:
     return different, count
 
 
-def lexicon_of(counts: dict[str, tuple[int, int, float]], toxic: float, clean: float) -> dict[str, float]:
-    """Entries and weights. counts: of each key the toxic rows, and the different words of toxic and of clean rows;
+def _evidence(toxic: float, clean: float) -> Column:
+    """Whether a key's counts (rows and words of toxic rows, words of clean ones: r, t, c) make it an entry."""
+    r, t, c = map(F.col, "rtc")
+    expected = F.greatest((t + c) * toxic / max(toxic + clean, 1), F.lit(1e-9))
+    ratio = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+    return (r >= LEAST_ROWS) & (ratio >= LEAST_RATIO) & (t * F.log(t / expected) - (t - expected) >= LEAST_EVIDENCE)
+
+
+def _lexicons(counted: DataFrame) -> list[dict[str, float]]:
+    """The lexicons of the whole sample and of each half. counted: as from ``_count_keys``."""
+    counted = materialise(counted, "counted")
+    whole = counted.filter("key = ''").select("half", "toxic", "words").collect()  # four rows
+    out = []
+    for halves in ([0, 1], [0], [1]):
+        toxic, clean = (sum(r["words"] for r in whole if r["toxic"] == k and r["half"] in halves) for k in (1, 0))
+        of = lambda c, k: F.sum(F.when(F.col("toxic") == k, F.col(c)).otherwise(0))
+        keys = counted.filter((F.col("key") != "") & F.col("half").isin(halves)).groupBy("key").agg(of("n", 1).alias("r"), of("words", 1).alias("t"), of("words", 0).alias("c"))
+        rows = keys.filter(_evidence(toxic, clean)).toArrow().to_pydict()
+        out.append(lexicon_of(dict(zip(rows["key"], zip(rows["t"], rows["c"], strict=True), strict=True)), toxic, clean))
+    return out
+
+
+def lexicon_of(counts: dict[str, tuple[int, int]], toxic: float, clean: float) -> dict[str, float]:
+    """Entries and weights. counts: the different words of toxic and of clean rows for each key with enough evidence;
     toxic and clean: all different words of each kind."""
 
     def ratio(t: float, c: float) -> float:
         return math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
 
-    def good(rows: int, t: float, c: float) -> bool:
-        expected = (t + c) * toxic / max(toxic + clean, 1)
-        return rows >= LEAST_ROWS and ratio(t, c) >= LEAST_RATIO and t * math.log(t / expected) - (t - expected) >= LEAST_EVIDENCE
-
     below: dict[str, int] = {}
-    for k, (_, t, _) in counts.items():
+    for k, (t, _) in counts.items():
         below[k[:-1]] = max(below.get(k[:-1], 0), t)
     # Of openings that mean the same words, the longest.
-    own = {k: v for k, v in counts.items() if good(*v) and below.get(k, 0) < 0.9 * v[1]}
+    own = {k: v for k, v in counts.items() if below.get(k, 0) < 0.9 * v[0]}
     kept: dict[str, str | None] = {}
     for k in sorted(own, key=lambda k: (len(k), k)):
         above = next((k[:n] for n in range(len(k) - 1, 1, -1) if k[:n] in kept), None)
-        if above is None or ratio(*own[k][1:]) > ratio(*own[above][1:]) + 1:
+        if above is None or ratio(*own[k]) > ratio(*own[above]) + 1:
             kept[k] = above
-    left = {k: [own[k][1], own[k][2]] for k in kept}
+    left = {k: list(own[k]) for k in kept}
     for k, above in kept.items():
         if above is not None:
-            left[above][0] -= own[k][1]
-            left[above][1] -= own[k][2]
+            left[above] = [x - y for x, y in zip(left[above], own[k], strict=True)]
     weight = {k: ratio(max(t, 0), max(c, 0)) for k, (t, c) in left.items()}
     return {k: round(min(w, MOST_WEIGHT), 4) for k, w in weight.items() if w >= LEAST_RATIO}
 
@@ -291,22 +308,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         always = 1.0 if weight.get(1) else 0.0
         return Model(Lexicon({}), np.array([30.0 if always else -30.0, 0.0, 0.0]))
     spark = rows.sparkSession
-    toxic_keys = _count_keys(rows.filter("toxic = 1"), None).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= (LEAST_ROWS + 1) // 2)
-    only = {r["key"] for r in toxic_keys.orderBy(F.desc("n"), "key").limit(MOST_KEYS).collect()} - {""}
-    counted = _count_keys(rows, only).collect()
-    lexicons = []
-    for halves in ({0, 1}, {0}, {1}):
-        counts: dict[str, list] = {}
-        for r in counted:
-            if r["half"] in halves:
-                own = counts.setdefault(r["key"], [0, 0, 0.0])
-                if r["toxic"]:
-                    own[0] += r["n"]
-                    own[1] += r["words"]
-                else:
-                    own[2] += r["words"]
-        _, toxic, clean = counts.pop("", [0, 0, 0.0])
-        lexicons.append(lexicon_of({k: tuple(v) for k, v in counts.items() if v[0]}, toxic, clean))
+    toxic_keys = _count_keys(rows.filter("toxic = 1"), None).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_ROWS)
+    only = set(toxic_keys.orderBy(F.desc("n"), "key").limit(MOST_KEYS).select("key").toArrow().column("key").to_pylist()) - {""}
+    lexicons = _lexicons(_count_keys(rows, only))
     exceptions = _exceptions(rows, lexicons[0], weight)
     state = spark.sparkContext.broadcast((lexicons, exceptions))
 

@@ -49,10 +49,12 @@ def test_matching_against_the_loop():
         assert lexicon.matches(words) == loop(words, terms, exceptions)
 
 
-def test_choice_of_entries():
-    counts = {f" {w[:n]}": (60, 60, 0.0) for w in ("grumble",) for n in range(3, 8)} | {" grumble ": (60, 60, 0.0)}
-    counts |= {" blo": (80, 90, 900.0), " bloat": (40, 40, 1.0), " blo ": (1, 1, 5.0), " rare ": (3, 3, 0.0), " common ": (90, 90, 9000.0)}
-    chosen = tx.lexicon_of(counts, 1000, 100_000)
+def test_choice_of_entries(spark):
+    counts = {f" {w[:n]}": (60, 60, 0) for w in ("grumble",) for n in range(3, 8)} | {" grumble ": (60, 60, 0)}
+    counts |= {" blo": (80, 90, 900), " bloat": (40, 40, 1), " blo ": (1, 1, 5), " rare ": (3, 3, 0), " common ": (90, 90, 9000)}
+    rows = [(h, 1, k, r - r // 2 if h else r // 2, t - t // 2 if h else t // 2) for k, (r, t, c) in counts.items() for h in (0, 1)]
+    rows += [(0, 0, k, 1, c) for k, (r, t, c) in counts.items()] + [(0, 1, "", 200, 1000), (1, 1, "", 0, 0), (0, 0, "", 900, 100_000), (1, 0, "", 0, 0)]
+    chosen = tx._lexicons(spark.createDataFrame(rows, "half int, toxic int, key string, n long, words long"))[0]
     assert set(chosen) == {" grumble ", " blo", " bloat"}
     assert chosen[" grumble "] >= chosen[" bloat"] > chosen[" blo"] > 0
 
