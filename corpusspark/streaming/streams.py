@@ -24,10 +24,11 @@ def first_deliveries(events: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def high_water(events: DataFrame, keys: list[str], ts: str, order: str) -> DataFrame:
-    """Batch twin of stream_high_water: events later than all that arrived before them under their keys."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.max(ts).over(before)
-    return events.withColumn("_mark", mark).filter(F.col("_mark").isNull() | (F.col(ts) > F.col("_mark"))).drop("_mark")
+    """Batch twin of stream_high_water: events later than all that arrived before them under their keys. A key with all
+    events is in as many tasks as there are."""
+    from corpusspark.streaming.prefix import running
+
+    return running(events, keys, order, _mark=F.col(ts)).filter(F.col("_mark").isNull() | (F.col(ts) > F.col("_mark"))).drop("_mark")
 
 
 def _expiring(events: DataFrame, ts: str, forget: str | None):
