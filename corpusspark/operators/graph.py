@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusspark.functions.text import canonical_entity, cosine, time_decay
-from corpusspark.operators.lineage import cut
+from corpusspark.operators.lineage import BROADCAST_ROWS, Levels, cut, sized
 from corpusspark.operators.relational import EDGE_TYPES, confidence, edge_valid_at, role_visible
 
 
@@ -62,28 +62,92 @@ def project_graph(rels: DataFrame) -> dict[str, DataFrame]:
     return {"nodes": edges.select(F.col("source_id").alias("id")).union(edges.select("target_id")).distinct(), "edges": edges}
 
 
+#: Starts and targets of one vertex that meet in one task; a vertex with more is dealt to several.
+MEET = 1000
+
+
+def _split(counts: DataFrame, own: str, other: str, rows: DataFrame, by: str) -> DataFrame:
+    """rows (via and others) with the block of their via that they belong to, ``i`` by the side ``own`` and ``j`` by
+    ``other``: each row is in one block of its own side and in all of the other's. counts: of vertices with more than
+    MEET rows on a side, the blocks of each."""
+    met = rows.join(sized(counts), "via", "left")
+    mine, others = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+    return met.withColumn("mine", F.pmod(F.xxhash64(by), mine).cast("int")).withColumn("others", F.explode(F.sequence(F.lit(0), (others - 1).cast("int")))).drop(own, other)
+
+
 def two_hop(edges: DataFrame, starts: DataFrame, at, role: str | None = None, nodes: DataFrame | None = None) -> DataFrame:
-    """start, node, depth, edge_type: neighbours either way at depth 1, and along outgoing edges at depth 2, each
-    once. edges: source_id, target_id, edge_type, valid_from, valid_until, allowed_roles. With nodes (id,
-    allowed_roles), those that the role may not see are neither returned nor walked through."""
-    live = edges.filter(edge_valid_at(F.col("valid_from"), F.col("valid_until"), at) & role_visible(F.col("allowed_roles"), role)).select("source_id", "target_id", "edge_type")
-    seen = (lambda df: df.join(nodes.filter(role_visible(F.col("allowed_roles"), role)).select(F.col("id").alias("node")), "node", "left_semi")) if nodes is not None else (lambda df: df)
-    out = starts.join(live, F.col("start") == F.col("source_id")).select("start", F.col("target_id").alias("node"), F.lit(1).alias("depth"), "edge_type", "source_id", "target_id")
-    into = starts.join(live, F.col("start") == F.col("target_id")).select("start", F.col("source_id").alias("node"), F.lit(1).alias("depth"), "edge_type", "source_id", "target_id")
-    one = seen(out.unionByName(into).filter("node != start"))
-    hop = one.select("start", F.col("node").alias("via")).distinct()
-    two = hop.join(live, F.col("via") == F.col("source_id")).select("start", F.col("target_id").alias("node"), F.lit(2).alias("depth"), "edge_type", "source_id", "target_id")
-    both = one.unionByName(seen(two.filter("node != start")))
-    first = both.groupBy("start", "node").agg(F.min(F.struct("depth", "edge_type", "source_id", "target_id")).alias("e"))
-    return first.select("start", "node", "e.depth", "e.edge_type", "e.source_id", "e.target_id")
+    """start, node, depth, edge_type, source_id, target_id: neighbours either way at depth 1, and along outgoing edges
+    at depth 2, each once: by the least depth, then by the first edge. edges: source_id, target_id, edge_type,
+    valid_from, valid_until, allowed_roles. With nodes (id, allowed_roles), those that the role may not see are neither
+    started from, returned nor walked through.
+
+    Edges are numbered in their order first, so that steps carry a start, a vertex and one number, whose least is kept
+    before the edge's columns are joined. Vertices with many starts and targets are dealt to blocks of both."""
+    live = edges.filter(edge_valid_at(F.col("valid_from"), F.col("valid_until"), at) & role_visible(F.col("allowed_roles"), role)).select("source_id", "target_id", "edge_type").distinct()
+    starts = starts.select("start").distinct()
+    if nodes is not None:
+        seen = cut(nodes.filter(role_visible(F.col("allowed_roles"), role)).select("id").distinct())
+        n = seen.count()
+        for c in ("source_id", "target_id"):
+            live = live.join(sized(seen.withColumnRenamed("id", c), n), c, "left_semi")
+        starts = starts.join(sized(seen.withColumnRenamed("id", "start"), n), "start", "left_semi")
+    live = cut(live.orderBy("edge_type", "source_id", "target_id").withColumn("edge", F.monotonically_increasing_id()))
+    own = cut(starts)
+    own = sized(own)
+    out = live.join(own, F.col("start") == F.col("source_id")).select("start", F.col("target_id").alias("node"), "edge")
+    into = live.join(own, F.col("start") == F.col("target_id")).select("start", F.col("source_id").alias("node"), "edge")
+    one = cut(out.unionByName(into).filter("node != start").groupBy("start", "node").agg(F.min("edge").alias("edge")))
+    ways = one.select("start", F.col("node").alias("via"))
+    targets = live.select(F.col("source_id").alias("via"), F.col("target_id").alias("node"), "edge")
+    blocks = lambda df, name: df.groupBy("via").count().filter(F.col("count") > MEET).select("via", F.ceil(F.col("count") / MEET).cast("int").alias(name))
+    hubs = cut(blocks(ways, "a").join(blocks(targets, "b"), "via", "full"))
+    left = _split(hubs, "a", "b", ways, "start").withColumnsRenamed({"mine": "i", "others": "j"})
+    right = _split(hubs, "b", "a", targets, "node").withColumnsRenamed({"mine": "j", "others": "i"})
+    two = left.join(right.hint("merge"), ["via", "i", "j"]).filter("node != start").groupBy("start", "node").agg(F.min("edge").alias("edge"))
+    # The depth is above an edge's number.
+    far = F.lit(1 << 62)
+    best = one.unionByName(two.withColumn("edge", F.col("edge").bitwiseOR(far))).groupBy("start", "node").agg(F.min("edge").alias("best"))
+    best = best.select("start", "node", F.when(F.col("best") >= far, 2).otherwise(1).alias("depth"), F.col("best").bitwiseAND(F.bitwise_not(far)).alias("edge"))
+    return best.join(sized(live), "edge").select("start", "node", "depth", "edge_type", "source_id", "target_id")
+
+
+def closed(mapping: DataFrame) -> DataFrame:
+    """duplicate, canonical of a mapping (duplicate, canonical) followed to its end. Of several canonicals of one the
+    least counts. Where duplicates form a cycle its least member is canonical for all others, and isn't in the result.
+
+    Pointers are doubled until none points to a duplicate, or until they would be longer than any path: then those left
+    lead into cycles, whose least member is the least on the way from where they point."""
+    m = mapping.filter("duplicate != canonical").groupBy("duplicate").agg(F.min("canonical").alias("canonical"))
+    m = cut(m.withColumn("least", F.col("canonical")))
+    n, rounds = m.count(), 0
+    step = lambda df: df.select(F.col("duplicate").alias("canonical"), F.col("canonical").alias("next"), F.col("least").alias("l"))
+    while True:
+        # Only where canonicals are duplicates themselves is there anything to follow.
+        onward = cut(step(m).join(m.select("canonical").distinct().hint("merge"), "canonical", "left_semi"))
+        if not onward.head(1):
+            return m.select("duplicate", "canonical")
+        if 1 << rounds > n:
+            break
+        met = m.join(sized(onward), "canonical", "left")
+        m = cut(met.select("duplicate", F.coalesce("next", "canonical").alias("canonical"), F.least("least", "l").alias("least")))
+        rounds += 1
+    # Pointers into a cycle: what they point to is in it, and its own pointer has gone all around.
+    met = m.join(sized(onward), "canonical", "left")
+    return cut(met.select("duplicate", F.coalesce("l", "canonical").alias("canonical")).filter("duplicate != canonical"))
 
 
 def merge_nodes(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> dict[str, DataFrame]:
-    """Nodes and edges after each duplicate (mapping: duplicate, canonical) became its canonical node."""
-    m = mapping.select("duplicate", "canonical")
-    end = lambda df, c: df.join(m.withColumnRenamed("duplicate", c), c, "left").withColumn(c, F.coalesce("canonical", c)).drop("canonical")
-    moved = end(end(edges, "source_id"), "target_id").filter("source_id != target_id").dropDuplicates(["source_id", "target_id", "edge_type"])
-    return {"nodes": nodes.join(m.select(F.col("duplicate").alias("id")), "id", "left_anti"), "edges": moved}
+    """nodes and edges after each duplicate (mapping: duplicate, canonical; chains are followed, see ``closed``) became
+    its canonical node, and moved: the number of edges that got another end. Edges between what became one node go, and
+    of edges that became equal one stays."""
+    m = closed(mapping)
+    small = m.count() <= BROADCAST_ROWS
+    of = lambda df: F.broadcast(df) if small else df.hint("merge")
+    end = lambda df, c: df.join(of(m.withColumnRenamed("duplicate", c)), c, "left").withColumn("_moved", F.col("_moved") | F.col("canonical").isNotNull()).withColumn(c, F.coalesce("canonical", c)).drop("canonical")
+    all_edges = end(end(edges.withColumn("_moved", F.lit(False)), "source_id"), "target_id").select(*edges.columns, "_moved")
+    merged = all_edges.drop("_moved").filter("source_id != target_id").dropDuplicates(["source_id", "target_id", "edge_type"])
+    gone = of(m.select(F.col("duplicate").alias("id")))
+    return {"nodes": nodes.join(gone, "id", "left_anti"), "edges": merged, "moved": all_edges.agg(F.count_if("_moved").alias("moved"))}
 
 
 #: Parts that a workspace's entities of one type are dealt to; each mention meets every part.
@@ -113,53 +177,119 @@ def best_entity_match(candidates: DataFrame) -> DataFrame:
 # ---- iterative ----
 
 
+#: A vertex with over 1/HEAVY of all edges (and 1000) is heavy: there are at most 2 * HEAVY of them.
+HEAVY = 10_000
+
+
+def _to_least(edges: DataFrame, total: int) -> DataFrame:
+    """(other, least) for each edge (u, v): v with the least of u and its neighbours. The least of a heavy vertex goes
+    to where its edges lie; other vertices' edges meet theirs by a shuffle."""
+    least = cut(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("least"), F.count(F.lit(1)).alias("n")))
+    most = max(total // HEAVY, 1000)
+    heavy, light = least.filter(F.col("n") > most).drop("n"), least.filter(F.col("n") <= most).drop("n")
+    rest = edges.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(light.hint("merge"), "u")
+    return edges.join(F.broadcast(heavy), "u").unionByName(rest)
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """id, component: the smallest vertex that each reaches over edges (src, dst), either way."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    ids = both.select(F.col("src").alias("id"))
-    label = (ids if nodes is None else ids.union(nodes.select("id"))).distinct().withColumn("component", F.col("id"))
-    both, label = cut(both), cut(label)
-    while True:
-        near = both.join(label, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("near"))
-        least = label.join(near, "id", "left").select("id", F.least("component", "near").alias("to"), "component")
-        # The label of the label: chains get shorter by half.
-        jump = least.select(F.col("id").alias("to"), F.col("to").alias("top"))
-        new = cut(least.join(jump, "to", "left").select("id", F.least("to", "top").alias("component"), (F.least("to", "top") != F.col("component")).alias("moved")))
-        label = new.select("id", "component")
-        if not new.filter("moved").head(1):
-            return label
+    """id, component: the smallest vertex that each reaches over edges (src, dst), either way.
+
+    Alternates two steps until nothing changes, in about the logarithm of the longest path: each vertex's larger
+    neighbours are tied to the least vertex near it (large star), then each vertex's smaller neighbours are tied to the
+    least of them (small star). Edges are contracted in every step, equal ones become one, and in the end each vertex
+    is tied to its component alone. Heavy vertices are kept apart, so that the component that all end in is no join
+    key."""
+    pair = edges.filter("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    alone = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
+    alone = alone if nodes is None else alone.union(nodes.select("id"))
+    pair = cut(pair)
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    was = mark(pair)
+    while was[0]:
+        both = pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _to_least(both, 2 * was[0]).filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        large = cut(large.filter("u != v"))
+        near = _to_least(large, large.count())
+        tied = near.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(near.select("u", F.col("least").alias("v")))
+        pair = cut(tied.filter("u != v").distinct())
+        now = mark(pair)
+        if now == was:
+            break
+        was = now
+    found = pair.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return alone.distinct().join(found.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def node_depth(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """id, depth: the fewest edges (src to dst) from a root."""
+    """id, depth: the fewest edges (src to dst) from a root. Each depth is written once, when it is found; a frontier
+    that is small goes to where the edges lie."""
     edges = cut(edges.select("src", "dst").distinct())
-    seen = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
-    while True:
-        depth += 1
-        nxt = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        nxt = cut(nxt.withColumn("depth", F.lit(depth)))
-        if not nxt.head(1):
-            return seen
-        seen, frontier = cut(seen.unionByName(nxt)), nxt
+    levels = Levels(edges.sparkSession, f"id {dict(edges.dtypes)['src']}")
+    n = levels.add(roots.select(F.col("id").cast(dict(edges.dtypes)["src"]).alias("id")).distinct())
+    while n:
+        frontier = sized(levels.read(len(levels.sizes) - 1), n)
+        near = edges.join(frontier, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        n = levels.add(near.join(levels.read().select("id").hint("merge"), "id", "left_anti"))
+    return levels.read().select("id", F.col("level").alias("depth"))
+
+
+#: Rows of levels that a path is read from at once.
+PATH_ROWS = 10_000
 
 
 def shortest_path(edges: DataFrame, start, end) -> DataFrame:
     """path: an array from start to end with the fewest edges, of these the first by edge order (seq); one empty
-    array if there is none, [start] if start is end. edges: src, dst, seq."""
-    spark, edges = edges.sparkSession, cut(edges.select("src", "dst", "seq"))
-    kind = dict(edges.dtypes)["src"]
-    seen = cut(spark.range(1).select(F.lit(start).cast(kind).alias("id"), F.array(F.lit(start).cast(kind)).alias("path"), F.array().cast("array<long>").alias("via")))
-    frontier = seen
-    while not seen.filter(F.col("id") == end).head(1):
-        step = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("via", F.col("seq").cast("long")).alias("via"))
-        first = step.groupBy("id").agg(F.min_by("path", "via").alias("path"), F.min("via").alias("via"))
-        frontier = cut(first.join(seen.select("id"), "id", "left_anti"))
-        if not frontier.head(1):
+    array if there is none, [start] if start is end. edges: src, dst, seq.
+
+    Two frontiers grow, the smaller one at a time: from the end backwards, where each vertex keeps a pointer to the next
+    on its first way to the end, and from the start forwards. Where they meet, pointers go on backwards through what the
+    forward one has seen. The path is walked along the pointers at the end: a row a level comes to the driver."""
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
+    edges = cut(edges.filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.min("seq").alias("seq")))
+    as_table = lambda path: spark.range(1).select(F.lit(path).cast(f"array<{kind}>").alias("path"))
+    if start == end:
+        return as_table([start])
+    one = lambda x: spark.range(1).select(F.lit(x).cast(kind).alias("id"))
+    after, before = Levels(spark, f"id {kind}"), Levels(spark, f"id {kind}, next {kind}")
+    sizes = [after.add(one(start)), before.add(one(end).withColumn("next", F.lit(None).cast(kind)))]
+
+    def pointers(n: int) -> DataFrame:
+        """Vertices with an edge to the last level of ``before``, and the first such edge's other end."""
+        last = sized(before.read(len(before.sizes) - 1).select(F.col("id").alias("dst")), n)
+        return edges.join(last, "dst").groupBy(F.col("src").alias("id")).agg(F.min_by("dst", F.struct("seq", "dst")).alias("next"))
+
+    while True:
+        if not all(sizes):
+            return as_table([])
+        if sizes[1] <= sizes[0]:
+            found = pointers(sizes[1]).join(before.read().select("id").hint("merge"), "id", "left_anti")
+            sizes[1] = before.add(found)
+        else:
+            last = sized(after.read(len(after.sizes) - 1), sizes[0])
+            near = edges.join(last, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+            sizes[0] = after.add(near.join(after.read().select("id").hint("merge"), "id", "left_anti"))
+        tip = before.read(len(before.sizes) - 1).join(after.read(len(after.sizes) - 1).hint("merge"), "id", "left_semi")
+        if tip.head(1):
             break
-        seen = cut(seen.unionByName(frontier))
-    found = seen.filter(F.col("id") == end).select("path")
-    return spark.range(1).select("id").join(found, F.lit(True), "left").select(F.coalesce("path", F.array().cast(f"array<{kind}>")).alias("path"))
+    # Backwards from where they met, among what the forward frontier has seen, level by level.
+    meet = before.add(tip)
+    skip = len(before.sizes) - 2  # the level that the meeting vertices repeat
+    for k in range(len(after.sizes) - 2, -1, -1):
+        meet = before.add(pointers(meet).join(sized(after.read(k), after.sizes[k]), "id", "left_semi"))
+    order = [k for k in range(len(before.sizes) - 1, -1, -1) if k != skip]
+    path, at = [start], 0
+    while at < len(order) - 1:
+        own, rows = [order[at]], before.sizes[order[at]]
+        while at + len(own) < len(order) and rows + before.sizes[order[at + len(own)]] <= PATH_ROWS:
+            rows += before.sizes[order[at + len(own)]]
+            own.append(order[at + len(own)])
+        here = before.read().filter(F.col("level").isin(own))
+        following = {(r["level"], r["id"]): r["next"] for r in (here if len(own) > 1 else here.filter(F.col("id") == F.lit(path[-1]).cast(kind))).collect()}
+        for k in own:
+            if k != order[-1]:
+                path.append(following[k, path[-1]])
+        at += len(own)
+    return as_table(path)
 
 
 def peel(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -191,15 +321,32 @@ def is_acyclic(edges: DataFrame) -> DataFrame:
     return rest.agg((F.count(F.lit(1)) == 0).alias("acyclic"))
 
 
-def graph_context(queries: DataFrame, nodes: DataFrame, edges: DataFrame, at, role: str | None = None, entities: int = 3, per: int = 25, most: int = 25) -> DataFrame:
-    """query_id, tuple_rank, tuple, weight: what the graph says about the entities a query names: the first few by
-    id, the first of what is near each by depth and id, and of the different tuples the first. nodes: id, name,
-    created_at (may be null: new). A tuple's weight is the decay of the node that it leads to."""
+def graph_matches(queries: DataFrame, nodes: DataFrame, role: str | None = None, entities: int = 3) -> DataFrame:
+    """query_id, node_id, hit: the first few nodes that a query is about, of those that the role may see: first the one
+    whose id is the query's canonical name (after the workspace, where the query has one), then those that are named,
+    by id."""
     from corpusspark.operators.relational import top_per_group
     from corpusspark.operators.retrieval import name_match
 
-    hits = top_per_group(name_match(queries, nodes), ["query_id"], [F.asc("node_id")], entities).withColumnRenamed("rank", "hit")
-    reach = two_hop(edges, hits.select(F.col("node_id").alias("start")).distinct(), at, role)
+    seen = nodes.filter(role_visible(F.col("allowed_roles"), role)) if "allowed_roles" in nodes.columns else nodes
+    own = canonical_entity(F.col("query"))
+    own = F.concat_ws(":", "workspace_id", own) if "workspace_id" in queries.columns else own
+    asked = queries.filter(F.trim(F.coalesce("query", F.lit(""))) != "").select("query_id", own.alias("id"), canonical_entity(F.col("query")).alias("name")).filter("name != 'unnamed_entity'")
+    exact = asked.select("query_id", "id").join(seen.select("id").hint("merge"), "id").select("query_id", F.col("id").alias("node_id"), F.lit(0).alias("how"))
+    named = name_match(queries, seen).withColumn("how", F.lit(1))
+    hits = exact.unionByName(named).groupBy("query_id", "node_id").agg(F.min("how").alias("how"))
+    return top_per_group(hits, ["query_id"], [F.asc("how"), F.asc("node_id")], entities).select("query_id", "node_id", F.col("rank").alias("hit"))
+
+
+def graph_context(queries: DataFrame, nodes: DataFrame, edges: DataFrame, at, role: str | None = None, entities: int = 3, per: int = 25, most: int = 25) -> DataFrame:
+    """query_id, tuple_rank, tuple, weight: what the graph says about the entities that a query names (see
+    ``graph_matches``), the first of what is near each by depth and id, and of the different tuples the first. nodes: id,
+    name, created_at (may be null: new) and, if given, allowed_roles: a node that the role may not see is neither
+    matched, walked through nor shown. A tuple's weight is the decay of the node that it leads to."""
+    from corpusspark.operators.relational import top_per_group
+
+    hits = cut(graph_matches(queries, nodes, role, entities))
+    reach = two_hop(edges, hits.select(F.col("node_id").alias("start")), at, role, nodes if "allowed_roles" in nodes.columns else None)
     reach = top_per_group(reach, ["start"], [F.asc("depth"), F.asc("node")], per).withColumnRenamed("rank", "place")
     about = nodes.select(F.col("id").alias("node"), "name", "created_at")
     weight = F.coalesce(time_decay(F.col("created_at"), at), F.lit(1.0))
@@ -208,3 +355,13 @@ def graph_context(queries: DataFrame, nodes: DataFrame, edges: DataFrame, at, ro
     facts = hits.select("query_id", "hit", F.col("node_id").alias("start")).join(reach.select("start", "place", text.alias("tuple"), "weight").hint("merge"), "start")
     facts = facts.groupBy("query_id", "tuple").agg(F.min(F.struct("hit", "place")).alias("first"), F.max("weight").alias("weight"))
     return top_per_group(facts, ["query_id"], [F.asc("first"), F.asc("tuple")], most).select("query_id", F.col("rank").alias("tuple_rank"), "tuple", "weight")
+
+
+# Fixed value: what stands above a context's tuples.
+CONTEXT_TITLE = "[Knowledge Graph Context (Temporal Decay Filtered)]:"
+
+
+def context_text(context: DataFrame) -> DataFrame:
+    """query_id, text of ``graph_context``'s rows (few a query): a title and a line for each tuple."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("tuple_rank", "tuple"))), lambda x: F.concat(F.lit("  - "), x["tuple"]))
+    return context.groupBy("query_id").agg(F.concat(F.lit(CONTEXT_TITLE + "\n"), F.array_join(lines, "\n")).alias("text"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +28,36 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+#: A table of at most this many counted narrow rows may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its rows are few (counted, so it should be written), else for a shuffle join."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df.hint("merge")
+
+
+class Levels:
+    """Tables of one schema written one after another and read as one, each with its number as ``level``. A level is
+    written once and never again; its rows are counted as they are written."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.sizes = spark, schema, []
+        self.path = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+
+    def add(self, df: DataFrame) -> int:
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/level={len(self.sizes)}")
+        self.sizes.append(seen.get["n"])
+        return self.sizes[-1]
+
+    def read(self, level: int | None = None) -> DataFrame:
+        """All levels, or one (without its number)."""
+        if level is not None:
+            return self.spark.read.schema(self.schema).parquet(f"{self.path}/level={level}")
+        return self.spark.read.schema(f"{self.schema}, level int").option("basePath", self.path).parquet(self.path)
+

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusspark.operators import documents as doc
 from corpusspark.operators import graph as g
 from corpusspark.operators import retrieval as ret
-from corpusspark.operators.lineage import shared_dir
+from corpusspark.operators.lineage import cut, shared_dir
 from corpusspark.plans.registry import Tables, query
 from corpusspark.streaming import streams as st
 
@@ -117,31 +117,59 @@ def _(t):
     return g.two_hop(_two_hop(t), starts, F.lit("2000-01-01").cast("timestamp"), "member").select("start", "node", "depth", "edge_type")
 
 
-@query("graph_context", _HOP.format(edges=_EDGES, starts="SELECT DISTINCT id AS start FROM h").replace("WITH e AS", """
-WITH nodes AS (SELECT 'n' || n_nationkey AS id, n_name AS name, TIMESTAMP '1999-12-01' AS at FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, TIMESTAMP '1999-11-11' FROM supplier),
- bq AS (SELECT item_id, 'what of nation_' || item_id % 25 || ' today' AS q FROM benchmark),
- h AS (SELECT item_id AS query_id, id, row_number() OVER (PARTITION BY item_id ORDER BY id) AS hit FROM bq JOIN nodes ON contains(q, lower(name)) OR contains(lower(name), q) OR contains(q, id) QUALIFY hit <= 3),
+def _context_sql() -> str:
+    """Suppliers that end in 4 and the nation 7 are hidden; every third query is a nation's name alone, which is canonical."""
+    hop = _HOP.format(edges=_EDGES, starts="SELECT DISTINCT id AS start FROM h").replace("src NOT LIKE 'c%'", "src NOT LIKE 'c%' AND src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)", 1)
+    return hop.replace("WITH e AS", """
+WITH all_nodes AS (SELECT 'n' || n_nationkey AS id, n_name AS name, TIMESTAMP '1999-12-01' AS at FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, TIMESTAMP '1999-11-11' FROM supplier),
+ gone AS (SELECT id FROM all_nodes WHERE id LIKE 's%4' OR id = 'n7'), nodes AS (SELECT * FROM all_nodes WHERE id NOT IN (SELECT id FROM gone)),
+ bq AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 's' || item_id % 10 ELSE 'what of nation_' || item_id % 25 || ' today' END AS q FROM benchmark),
+ m AS (SELECT item_id AS query_id, id, 1 AS how FROM bq JOIN nodes ON contains(q, lower(name)) OR contains(lower(name), q) OR contains(q, id) UNION ALL SELECT item_id, id, 0 FROM bq JOIN nodes ON q = id),
+ h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY min(how), id) AS hit FROM m GROUP BY 1, 2 QUALIFY hit <= 3),
  e AS""", 1) + """,
  u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY depth, type, src, dst) AS k FROM b WHERE node <> start) WHERE k = 1),
  p AS (SELECT u.*, row_number() OVER (PARTITION BY start ORDER BY depth, node) AS place FROM u QUALIFY place <= 25),
  f AS (SELECT query_id, hit, place, start, type, coalesce(n.name, node) AS name, coalesce(exp(-ln(2.0) / 30 * date_diff('day', n.at, TIMESTAMP '2000-01-01')), 1.0) AS weight FROM h JOIN p ON h.id = p.start LEFT JOIN nodes n ON n.id = p.node),
- g AS (SELECT query_id, printf('(%s) -> [%s] -> (%s) (decayScore: %.2f)', start, type, name, weight) AS tuple, min((hit, place)) AS first, max(weight) AS weight FROM f GROUP BY 1, 2)
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY first, tuple))::INT AS tuple_rank, tuple, round(weight, 6) AS weight FROM g QUALIFY tuple_rank <= 25""")
+ g AS (SELECT query_id, printf('(%s) -> [%s] -> (%s) (decayScore: %.2f)', start, type, name, weight) AS tuple, min((hit, place)) AS first, max(weight) AS weight FROM f GROUP BY 1, 2),
+ r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY first, tuple))::INT AS tuple_rank, tuple, round(weight, 6) AS weight FROM g QUALIFY tuple_rank <= 25)
+SELECT * FROM r UNION ALL SELECT query_id, 0, '[Knowledge Graph Context (Temporal Decay Filtered)]:' || chr(10) || string_agg('  - ' || tuple, chr(10) ORDER BY tuple_rank), NULL FROM r GROUP BY 1"""
+
+
+@query("graph_context", _context_sql())
 def _(t):
+    """The tuples, and with rank 0 the text block of each query."""
+    hidden = F.array(F.lit("admin"))
     nodes = t.nation.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.col("n_name").alias("name"), F.lit("1999-12-01").cast("timestamp").alias("created_at")).unionByName(
         t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.lit("1999-11-11").cast("timestamp").alias("created_at"))
     )
-    qs = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(F.lit("what of "), F.lit("NATION_"), F.col("item_id") % 25, F.lit(" today")).alias("query"))
-    return g.graph_context(qs, nodes, _two_hop(t), F.lit("2000-01-01").cast("timestamp"), "member").withColumn("weight", F.round("weight", 6))
+    # Parts and regions are nodes without a name; their ids match no query.
+    ends = _two_hop(t).select(F.col("source_id").alias("id")).union(_two_hop(t).select("target_id")).distinct().join(nodes.select("id").hint("merge"), "id", "left_anti")
+    shown = nodes.withColumn("allowed_roles", F.when(F.col("id").like("s%4") | (F.col("id") == "n7"), hidden))
+    k = F.col("item_id")
+    text = F.when(k % 3 == 0, F.concat(F.lit("S"), k % 10)).otherwise(F.concat(F.lit("what of NATION_"), k % 25, F.lit(" today")))
+    qs = t.benchmark.select(k.alias("query_id"), text.alias("query"))
+    matched = g.graph_context(qs, shown.unionByName(ends.select("id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("array<string>").alias("allowed_roles"))), _two_hop(t), F.lit("2000-01-01").cast("timestamp"), "member")
+    rows = cut(matched.withColumn("weight", F.round("weight", 6)))
+    block = g.context_text(rows).select("query_id", F.lit(0).alias("tuple_rank"), F.col("text").alias("tuple"), F.lit(None).cast("double").alias("weight"))
+    return rows.unionByName(block)
+
+
+# Suppliers are merged along chains (2 to 1 to 0 of each ten) and in cycles (5 to 6 to 5, of which 5 stays).
+_MERGED = "CASE WHEN {c} NOT LIKE 's%' THEN {c} WHEN substr({c}, 2)::INT % 10 IN (1, 2) THEN 's' || substr({c}, 2)::INT // 10 * 10 WHEN substr({c}, 2)::INT % 10 = 6 THEN 's' || (substr({c}, 2)::INT - 1) ELSE {c} END"
 
 
 @query("merge_nodes", f"""
-WITH m AS (SELECT src, dst, type FROM ({_EDGES})), f AS (SELECT CASE WHEN src LIKE 's%' AND substr(src, 2)::INT % 10 = 1 THEN 's' || (substr(src, 2)::INT - 1) ELSE src END AS source_id, CASE WHEN dst LIKE 's%' AND substr(dst, 2)::INT % 10 = 1 THEN 's' || (substr(dst, 2)::INT - 1) ELSE dst END AS target_id, type AS edge_type FROM m)
-SELECT DISTINCT * FROM f WHERE source_id <> target_id""")
+WITH m AS (SELECT src, dst, type FROM ({_EDGES})), f AS (SELECT {_MERGED.format(c="src")} AS source_id, {_MERGED.format(c="dst")} AS target_id, type AS edge_type, src, dst FROM m), n AS (SELECT 's' || s_suppkey AS id FROM supplier)
+SELECT DISTINCT 'edge' AS kind, source_id, target_id, edge_type FROM f WHERE source_id <> target_id
+UNION ALL SELECT 'node', id, NULL, NULL FROM n WHERE {_MERGED.format(c="id")} = id UNION ALL SELECT 'moved', count(*)::VARCHAR, NULL, NULL FROM f WHERE source_id <> src OR target_id <> dst""")
 def _(t):
+    """kind (edge, node, moved) and what is left, with the number of edges that moved."""
     e = _edges(t).select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.col("type").alias("edge_type"))
-    m = t.supplier.filter("s_suppkey % 10 = 1").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("duplicate"), F.concat(F.lit("s"), F.col("s_suppkey") - 1).alias("canonical"))
-    return g.merge_nodes(t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id")), e, m)["edges"]
+    k, name = F.col("s_suppkey"), lambda c: F.concat(F.lit("s"), c)
+    m = t.supplier.select(name(k).alias("duplicate"), F.when((k % 10).isin(1, 2, 6), name(k - 1)).when(k % 10 == 5, name(k + 1)).alias("canonical")).filter("canonical is not null")
+    out, none = g.merge_nodes(t.supplier.select(name(k).alias("id")), e, m), F.lit(None).cast("string")
+    one = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("source_id"), none.alias("target_id"), none.alias("edge_type"))
+    return out["edges"].select(F.lit("edge").alias("kind"), "source_id", "target_id", "edge_type").unionByName(one("node", out["nodes"], "id")).unionByName(one("moved", out["moved"], "moved"))
 
 
 @query("connected_components", f"""
