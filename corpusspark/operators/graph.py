@@ -5,10 +5,15 @@ count; no vertex, edge or component is collected."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusspark.functions.text import canonical_entity, cosine, time_decay
+from corpusspark.functions.text import canonical_entity, time_decay
 from corpusspark.operators.lineage import BROADCAST_ROWS, Levels, cut, sized
 from corpusspark.operators.relational import EDGE_TYPES, confidence, edge_valid_at, role_visible
 
@@ -150,22 +155,122 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> dict[
     return {"nodes": nodes.join(gone, "id", "left_anti"), "edges": merged, "moved": all_edges.agg(F.count_if("_moved").alias("moved"))}
 
 
-#: Parts that a workspace's entities of one type are dealt to; each mention meets every part.
-PARTS = 16
+#: Vectors of one cell that one task compares, with as many mentions.
+CELL = 2000
+#: The most pivots, which are known to all tasks.
+PIVOTS = 256
+
+
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Angles between rows of both, which have norm 1."""
+    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
+
+
+def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, rows of norm 1) of a batch's vectors; null, zero and partly null ones are left out."""
+    column = batch.column("embedding")
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    for n in sorted(set(sizes.tolist()) - {0}):
+        at = np.flatnonzero(sizes == n)
+        x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
+        norm = np.sqrt((x * x).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        yield n, at[good], x[good] / norm[good, None]
+
+
+def _pivots(registry: DataFrame, rows: int) -> dict[int, np.ndarray]:
+    """Some of the registry's vectors by length: about one for CELL of them, at most PIVOTS together."""
+    k = min(PIVOTS, -(-rows // CELL))
+    batch = registry.select(F.col("entity_id").cast("string").alias("id"), "embedding").filter("size(embedding) > 0").orderBy(F.xxhash64("id"), "id").limit(k).toArrow().combine_chunks().to_batches()
+    return {n: x for b in batch for n, _, x in _by_size(b)}
 
 
 def entity_duplicates(mentions: DataFrame, registry: DataFrame, candidate: float = 0.85, accept: float = 0.92) -> DataFrame:
-    """mention_id, entity_id, similarity, accepted: the same lower-cased name (1.0), else the most similar entity
-    of the mention's workspace and type. mentions: mention_id, name, type, workspace_id, embedding; registry
-    the same with entity_id. Comparisons stay within a workspace and type."""
-    named = mentions.join(registry.select("entity_id", F.lower("name").alias("low"), "workspace_id"), (F.lower(mentions["name"]) == F.col("low")) & (mentions["workspace_id"] == registry["workspace_id"]))
+    """mention_id, entity_id, similarity, accepted: the same lower-cased name (1.0), else the most similar entity of the
+    mention's workspace and type, if its cosine is at least ``candidate`` (over 0). mentions: mention_id, name, type,
+    workspace_id, embedding; registry the same with entity_id. See ``near_entities`` for the search."""
+    low = registry.select("entity_id", F.lower("name").alias("low"), F.col("workspace_id").alias("w"))
+    named = mentions.join(low.hint("merge"), (F.lower("name") == F.col("low")) & (F.col("workspace_id") == F.col("w")))
     exact = named.groupBy("mention_id").agg(F.min("entity_id").alias("entity_id")).withColumn("similarity", F.lit(1.0))
-    other = registry.select("entity_id", F.col("embedding").alias("e"), F.col("workspace_id").alias("w"), F.col("type").alias("t"))
-    other = other.withColumn("part", F.pmod(F.xxhash64("entity_id"), F.lit(PARTS)).cast("int"))
-    asked = mentions.join(exact.hint("merge"), "mention_id", "left_anti").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    near = asked.join(other.hint("merge"), (F.col("workspace_id") == F.col("w")) & (F.col("type") == F.col("t")) & (F.col("p") == F.col("part")))
-    near = near.select("mention_id", "entity_id", F.round(cosine(F.col("embedding"), F.col("e")), 6).alias("similarity")).filter(F.col("similarity") >= candidate)
-    return exact.unionByName(best_entity_match(near)).withColumn("accepted", F.col("similarity") >= accept)
+    near, _ = near_entities(mentions.join(exact.hint("merge"), "mention_id", "left_anti"), registry, candidate)
+    return exact.unionByName(near).withColumn("accepted", F.col("similarity") >= accept)
+
+
+def near_entities(mentions: DataFrame, registry: DataFrame, candidate: float) -> tuple[DataFrame, DataFrame]:
+    """(mention_id, entity_id, similarity of the most similar entity; cells: what was compared and what there was).
+
+    An exact index over angles. Each entity belongs to the nearest of some pivots; a cell is the entities of a workspace,
+    a type and a pivot, with its least and greatest angle to the pivot. By the triangle inequality no entity within the
+    angle of ``candidate`` can be in a cell whose range of angles is further than that from the mention's own, nor in
+    one whose pivot is more than twice that further than the mention's nearest pivot. Of a mention only its id and
+    angles meet the cells' ranges; its vector goes to the cells that are left. Cells of more than CELL entities, and of
+    more than CELL mentions, are dealt to several tasks, which multiply matrices."""
+    if candidate <= 0:
+        raise ValueError("candidate must be over 0")
+    reach = float(np.arccos(min(1.0, candidate - 1e-6))) + 1e-6
+    kinds = dict(mentions.dtypes) | dict(registry.dtypes)
+    keys = ["workspace_id", "type"]
+    group = f"workspace_id {kinds['workspace_id']}, type {kinds['type']}"
+    mentions, registry = cut(mentions.select("mention_id", *keys, "embedding")), registry.select("entity_id", *keys, "embedding")
+    pivots = _pivots(registry, registry.count())
+
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, at, x in _by_size(batch):
+                if n in pivots:
+                    angles = _angles(x, pivots[n])
+                    nearest = angles.argmin(axis=1)
+                    angle = angles[np.arange(len(x)), nearest]
+                else:
+                    nearest, angle = np.full(len(x), -1), np.zeros(len(x))
+                own = batch.take(pa.array(at))
+                columns = [own.column(c) for c in ("entity_id", *keys)] + [pa.array(np.full(len(x), n, dtype=np.int32)), pa.array(nearest.astype(np.int32)), pa.array(angle), own.column("embedding")]
+                yield pa.RecordBatch.from_arrays(columns, ["entity_id", *keys, "n", "pivot", "angle", "embedding"])
+
+    def to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, at, x in _by_size(batch):
+                if n in pivots:
+                    angles = _angles(x, pivots[n])
+                    row, pivot = np.nonzero(angles <= angles.min(axis=1, keepdims=True) + 2 * reach)
+                    angle = angles[row, pivot]
+                else:
+                    row, pivot, angle = np.arange(len(x)), np.full(len(x), -1), np.zeros(len(x))
+                own = batch.take(pa.array(at[row]))
+                columns = [own.column(c) for c in ("mention_id", *keys)] + [pa.array(np.full(len(row), n, dtype=np.int32)), pa.array(pivot.astype(np.int32)), pa.array(angle)]
+                yield pa.RecordBatch.from_arrays(columns, ["mention_id", *keys, "n", "pivot", "angle"])
+
+    cell = [*keys, "n", "pivot"]
+    placed = cut(registry.mapInArrow(to_cells, f"entity_id {kinds['entity_id']}, {group}, n int, pivot int, angle double, embedding {dict(registry.dtypes)['embedding']}"))
+    ranges = cut(placed.groupBy(*cell).agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("entities")))
+    asked = mentions.mapInArrow(to_pivots, f"mention_id {kinds['mention_id']}, {group}, n int, pivot int, angle double")
+    near = (F.col("angle") >= F.col("low") - reach) & (F.col("angle") <= F.col("high") + reach)
+    asked = cut(asked.join(sized(ranges), cell).filter(near).select("mention_id", *cell))
+    counts = cut(asked.groupBy(*cell).agg(F.count(F.lit(1)).alias("mentions")))
+    cells = ranges.join(sized(counts), cell, "left").fillna(0, ["mentions"])
+    parts = cut(cells.filter("mentions > 0").select(*cell, F.ceil(F.col("entities") / CELL).cast("int").alias("e"), F.ceil(F.col("mentions") / CELL).cast("int").alias("m")))
+    few = sized(parts)
+    part = lambda of, by: F.pmod(F.xxhash64(by), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = asked.join(few, cell).withColumn("mp", part("m", "mention_id")).withColumn("ep", every("e")).drop("e", "m").join(mentions.select("mention_id", "embedding").hint("merge"), "mention_id")
+    right = placed.drop("angle").join(few, cell).withColumn("ep", part("e", "entity_id")).withColumn("mp", every("m")).drop("e", "m")
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        schema = pa.schema([a.schema.field("mention_id"), b.schema.field("entity_id"), ("similarity", pa.float64())])
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        unit = lambda t: next(x for _, _, x in _by_size(t.combine_chunks().to_batches()[0]))
+        score = np.round(unit(a) @ unit(b).T, 6)
+        # Of equally similar ones the smallest id.
+        order = pc.sort_indices(b.column("entity_id")).to_numpy()
+        best = order[score[:, order].argmax(axis=1)]
+        most = score[np.arange(len(best)), best]
+        good = np.flatnonzero(most >= candidate)
+        return pa.table([a.column("mention_id").take(pa.array(good)), b.column("entity_id").take(pa.array(best[good])), pa.array(most[good])], schema=schema)
+
+    tasks = [*cell, "ep", "mp"]
+    found = left.groupBy(*tasks).cogroup(right.groupBy(*tasks)).applyInArrow(compare, f"mention_id {kinds['mention_id']}, entity_id {kinds['entity_id']}, similarity double")
+    return best_entity_match(found), cells
 
 
 def best_entity_match(candidates: DataFrame) -> DataFrame:
@@ -185,6 +290,8 @@ def _to_least(edges: DataFrame, total: int) -> DataFrame:
     """(other, least) for each edge (u, v): v with the least of u and its neighbours. The least of a heavy vertex goes
     to where its edges lie; other vertices' edges meet theirs by a shuffle."""
     least = cut(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("least"), F.count(F.lit(1)).alias("n")))
+    if total <= BROADCAST_ROWS or least.count() <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(least.drop("n")), "u")
     most = max(total // HEAVY, 1000)
     heavy, light = least.filter(F.col("n") > most).drop("n"), least.filter(F.col("n") <= most).drop("n")
     rest = edges.join(F.broadcast(heavy.select("u")), "u", "left_anti").join(light.hint("merge"), "u")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusspark.functions.text import cosine
-from corpusspark.operators.lineage import cut
+from corpusspark.operators.lineage import Levels
 from corpusspark.operators.relational import allowed, rank_fusion, role_visible, top_per_group
 
 
@@ -23,33 +24,38 @@ def vector_topk(rows: DataFrame, query: list[float], k: int, threshold: float =
     return scored.filter(keep).orderBy(F.desc("similarity"), key).limit(k)
 
 
-#: Queries that are sent to all executors at once.
-BLOCK = 2000
+#: Queries, and characters of queries, that are sent to all executors at once.
+BLOCK, BLOCK_CHARACTERS = 2000, 1_000_000
 
 
-def query_blocks(queries: DataFrame, most: int = BLOCK) -> Iterator[DataFrame]:
-    """The queries (query_id) dealt by hash to blocks of about ``most``; together they are all of them."""
-    blocks = -(-queries.count() // most)
+def query_blocks(queries: DataFrame, most: int | None = None) -> Iterator[DataFrame]:
+    """The queries (query_id) dealt by hash to blocks of about BLOCK, and of about BLOCK_CHARACTERS if they have texts
+    (``_q``); together they are all of them."""
+    n = queries.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.length("_q")) if "_q" in queries.columns else F.lit(0)).alias("c")).first()
+    blocks = max(-(-n["n"] // (most or BLOCK)), -(-(n["c"] or 0) // BLOCK_CHARACTERS))
     for k in range(blocks):
         yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
 
 
-def _block_topk(rows: DataFrame, queries: DataFrame, k: int, threshold: float, key: str, others: bool) -> DataFrame:
-    """Each task's best k rows for each of one block's queries, by matrix products of batches."""
+def _block_topk(rows: DataFrame, queries: DataFrame, k: int, threshold: float, key: str, others: bool):
+    """Each task's best k rows for each of one block's queries, by matrix products of batches; and the broadcast
+    block."""
     block = queries.toArrow()
     asked = block.column("query_id").combine_chunks()
-    vectors = block.column("embedding").to_pylist()
+    sizes = pc.list_value_length(block.column("embedding")).to_numpy()
+    groups = {}
+    for n in sorted(set(sizes.tolist()) - {0}):
+        own = np.flatnonzero(sizes == n)
+        q = block.column("embedding").take(pa.array(own)).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), n)
+        groups[n] = (own, q, np.sqrt((q * q).sum(axis=1)))
     kinds = dict(rows.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
-    state = rows.sparkSession.sparkContext.broadcast((asked, vectors))
+    state = rows.sparkSession.sparkContext.broadcast((asked, groups))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, vectors = state.value
-        by_size = {n: [j for j, v in enumerate(vectors) if len(v) == n] for n in {len(v) for v in vectors} - {0}}
+        asked, groups = state.value
         for batch in batches:
             sizes = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
-            for n, own in by_size.items():
-                q = np.array([vectors[j] for j in own], dtype=np.float64)
-                q_norm = np.sqrt((q * q).sum(axis=1))
+            for n, (own, q, q_norm) in groups.items():
                 place = np.flatnonzero(sizes == n)
                 for at in range(0, len(place), 500):
                     here = place[at:at + 500]
@@ -58,7 +64,7 @@ def _block_topk(rows: DataFrame, queries: DataFrame, k: int, threshold: float, k
                     norms = np.sqrt((x * x).sum(axis=1))[:, None] * q_norm[None, :]
                     score = np.round(np.where(norms > 0, x @ q.T / np.where(norms > 0, norms, 1), 0.0), 6)
                     r, c = np.nonzero(score > threshold)
-                    found = pa.table({"query_id": asked.take(pa.array(np.array(own, dtype=np.int64)[c])), key: part.column(key).take(pa.array(r)), "similarity": score[r, c]})
+                    found = pa.table({"query_id": asked.take(pa.array(own[c])), key: part.column(key).take(pa.array(r)), "similarity": score[r, c]})
                     if others:
                         found = found.filter(pc.not_equal(found.column(key), found.column("query_id")))
                     found = found.to_pandas().sort_values(["query_id", "similarity", key], ascending=[True, False, True])
@@ -66,20 +72,22 @@ def _block_topk(rows: DataFrame, queries: DataFrame, k: int, threshold: float, k
                     yield from pa.Table.from_pandas(found, schema=pa.schema([("query_id", asked.type), (key, batch.schema.field(key).type), ("similarity", pa.float64())]), preserve_index=False).to_batches()
 
     whole = rows.filter(F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull())).select(key, "embedding")
-    return whole.mapInArrow(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, similarity double")
+    return whole.mapInArrow(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, similarity double"), state
 
 
 def vector_topk_many(rows: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, key: str = "id", others: bool = False) -> DataFrame:
     """query_id, id, similarity, rank for any number of queries (query_id, embedding): all rows meet one block of
-    queries after another, and each batch hands on its k best a query. ``others``: not the row that has the query's
-    own id. Only similarities over the threshold count, which must not be negative."""
-    found = None
+    queries after another, each batch hands on its k best a query, and a block's k best are written before the next
+    block is sent. ``others``: not the row that has the query's own id. Only similarities over the threshold count,
+    which must not be negative."""
+    kinds = dict(rows.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+    schema = f"query_id {kinds['query_id']}, {key} {kinds[key]}, similarity double, rank int"
+    out = Levels(rows.sparkSession, schema)
     for block in query_blocks(queries.filter("embedding is not null").filter(F.forall("embedding", lambda v: v.isNotNull())).select("query_id", "embedding")):
-        part = _block_topk(rows, block, k, threshold, key, others)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = rows.join(queries.select("query_id").limit(0).hint("broadcast"), F.lit(False)).select("query_id", key, F.lit(0.0).alias("similarity"))
-    return top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc(key)], k)
+        found, state = _block_topk(rows, block, k, threshold, key, others)
+        out.add(top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc(key)], k).select("query_id", key, "similarity", "rank"))
+        state.destroy()
+    return out.read().drop("level") if out.sizes else rows.sparkSession.createDataFrame([], schema)
 
 
 def similar_sops(rows: DataFrame, query: list[float], workspace, k: int = 5, threshold: float = 0.75, key: str = "id") -> DataFrame:
@@ -139,21 +147,84 @@ def hybrid_search(rows: DataFrame, vector: list[float], phrase: str, limit: int
     return rerank(shown, phrase, limit, key)
 
 
+class Phrases:
+    """Lower-cased queries, indexed in flat arrays for both tests: an automaton finds those within a name, and the sorted
+    suffixes of all queries, one text after another, those that a name is within."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.whole = "\0".join(texts) + "\0"
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])
+        self.suffixes = suffix_array(self.whole)
+
+    def automaton(self):
+        import ahocorasick
+
+        own, out = {}, ahocorasick.Automaton()
+        for k, t in enumerate(self.texts):
+            own.setdefault(t, []).append(k)
+        for t, places in own.items():
+            out.add_word(t, places)
+        out.make_automaton()
+        return out
+
+    def having(self, word: str) -> np.ndarray:
+        """Places of the queries that have a word, which isn't empty."""
+        start = lambda i: self.whole[i:i + len(word)]
+        low = bisect.bisect_left(self.suffixes, word, key=start)
+        high = bisect.bisect_right(self.suffixes, word, lo=low, key=start)
+        return np.unique(self.owner[self.suffixes[low:high]])
+
+
+def suffix_array(text: str) -> np.ndarray:
+    """Places of all suffixes in their order, by doubling of what they are compared by."""
+    _, rank = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_inverse=True)
+    rank, size, n = rank.astype(np.int64), 1, len(text)
+    while size < n and rank.max() < n - 1:
+        after = np.zeros(n, dtype=np.int64)
+        after[:n - size] = rank[size:] + 1
+        _, rank = np.unique(rank * (n + 1) + after, return_inverse=True)
+        size *= 2
+    return np.argsort(rank, kind="stable")
+
+
 def name_match(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """query_id, node_id where a query has a node's name or id, or a name has the query. All nodes meet one block of
-    queries after another."""
-    name, out = F.lower(F.col("name")), None
-    hit = ((name != "") & (F.contains(F.col("_q"), name) | F.contains(name, F.col("_q")))) | ((F.col("id") != "") & F.contains(F.col("_q"), F.lower("id")))
+    """query_id, node_id where a query has a node's name or id, or a name has the query; in any case, and nothing that is
+    empty counts. Queries are indexed in blocks by number and size; nodes pass by each block in Arrow batches, and its
+    matches are written before the next block is sent. The names are never sent anywhere."""
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "node_id": dict(nodes.dtypes)["id"]}
+    schema = ", ".join(f"{c} {kind}" for c, kind in kinds.items())
+    spark = nodes.sparkSession
+    out = Levels(spark, schema)
     for block in query_blocks(queries.select("query_id", F.lower("query").alias("_q")).filter("_q != ''")):
-        part = nodes.join(F.broadcast(block), hit).select("query_id", F.col("id").alias("node_id"))
-        out = part if out is None else out.unionByName(part)
-    return queries.limit(0).select("query_id", F.lit(None).cast(dict(nodes.dtypes)["id"]).alias("node_id")) if out is None else out
+        asked = block.toArrow()
+        if not asked.num_rows:
+            continue
+        state = spark.sparkContext.broadcast((asked.column("query_id").combine_chunks(), Phrases(asked.column("_q").to_pylist())))
+
+        def run(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            ids, phrases = state.value
+            automaton = phrases.automaton()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part, rows, hits = batch.slice(at, 1000), [], []
+                    for k, (name, word) in enumerate(zip(part.column("name").to_pylist(), part.column("word").to_pylist(), strict=True)):
+                        own = {q for w in (name, word) if w for q in phrases.having(w).tolist()}
+                        if name:
+                            own.update(q for _, places in automaton.iter(name) for q in places)
+                        rows += [k] * len(own)
+                        hits += sorted(own)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(hits, pa.int64())), part.column("id").take(pa.array(rows, pa.int64()))], ["query_id", "node_id"])
+
+        out.add(nodes.select("id", F.lower("name").alias("name"), F.lower(F.col("id").cast("string")).alias("word")).mapInArrow(run, schema))
+        state.destroy()
+    return out.read().drop("level") if out.sizes else spark.createDataFrame([], schema)
 
 
 def conflict_candidates(rows: DataFrame, queries: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
     """query_id, id, origin: the most similar other rows, or the newest others of the workspace for queries without
     one. rows: id, workspace_id, created_at, embedding; queries: query_id, workspace_id, embedding."""
-    near = cut(vector_topk_many(rows, queries, k, threshold, others=True).select("query_id", "id", F.lit("vector").alias("origin")))
+    near = vector_topk_many(rows, queries, k, threshold, others=True).select("query_id", "id", F.lit("vector").alias("origin"))
     rest = queries.join(near.select("query_id").distinct().hint("merge"), "query_id", "left_anti").select("query_id", "workspace_id")
     newest = top_per_group(rows.select("id", "workspace_id", "created_at"), ["workspace_id"], [F.desc("created_at"), F.asc("id")], k + 1)
     picked = rest.join(newest.drop("rank").hint("merge"), "workspace_id").filter("id != query_id")  # k + 1 rows a workspace

@@ -93,11 +93,25 @@ class Lease:
         return {"complete": "completed", "fail": "failed", "release": "released"}[kind]
 
 
+#: Requests of one key that one task decides about; a key with more is decided about by all tasks.
+HOT_KEY = 1_000_000
+
+
 def lease_decisions(requests: DataFrame, key: str, at: str, order: str, seconds: int, kind: str | None = None) -> DataFrame:
     """Batch twin of stream_lease: key, order, decision. Requests come sorted by key and order to a task, which
-    reads them batch by batch and carries one lease along, so a key may have any number of requests."""
+    reads them batch by batch and carries one lease along. Those of keys with over HOT_KEY requests are decided about in
+    many tasks (see ``leases``), with the same results."""
+    from corpusspark.operators.lineage import cut, sized
+    from corpusspark.streaming.leases import decisions
+
     kinds = dict(requests.dtypes)
     rows = requests.select(F.col(key).alias("k"), F.col(order).alias("o"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"))
+    hot = cut(rows.groupBy("k").count().filter(F.col("count") > HOT_KEY).select(F.col("k").alias("h")))
+    split = None
+    if hot.head(1):
+        hot = sized(hot)
+        split = decisions(rows.join(hot, F.col("k").eqNullSafe(F.col("h"))).drop("h"), seconds * 1_000_000).select(F.col("k").alias(key), F.col("o").alias(order), "decision")
+        rows = rows.join(hot, F.col("k").eqNullSafe(F.col("h")), "left_anti")
     rows = rows.repartition("k").sortWithinPartitions("k", "o")
 
     def run(batches):
@@ -110,7 +124,8 @@ def lease_decisions(requests: DataFrame, key: str, at: str, order: str, seconds:
                 out.append(lease.request(what, t, seconds * 1_000_000))
             yield pd.DataFrame({key: pdf["k"], order: pdf["o"], "decision": out})
 
-    return rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, decision string")
+    out = rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, decision string")
+    return out if split is None else out.unionByName(split)
 
 
 def stream_lease(requests: DataFrame, key: str, at: str, order: str, seconds: int, kind: str | None = None, forget: str | None = None) -> DataFrame:

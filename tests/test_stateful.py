@@ -139,3 +139,21 @@ def test_high_water_in_many_tasks(spark):
             want.append(r.event_id)
             mark = r.ts
     assert sorted(r.event_id for r in st.high_water(e, ["one"], "ts", "event_id").collect()) == want
+
+
+@pytest.mark.parametrize("kinds", [None, "acquire acquire acquire acquire complete fail release release"])
+def test_hot_keys_leases(spark, monkeypatch, kinds):
+    """Decisions of many tasks are those of one task that carries the lease along."""
+    import random
+
+    r = random.Random(8)
+    rows, t = [], 0
+    for k in range(400):
+        t += r.choice([0, 1, 2, 5, -6, 30])
+        rows.append((r.choice("aab"), k, t, r.choice((kinds or "acquire").split())))
+    df = spark.createDataFrame(rows, "k string, o long, t long, kind string").withColumn("t", F.timestamp_seconds("t"))
+    kind = "kind" if kinds else None
+    want = sorted(map(tuple, st.lease_decisions(df, "k", "t", "o", 10, kind).collect()))
+    monkeypatch.setattr(st, "HOT_KEY", 150)  # a is hot, b isn't
+    assert sorted(map(tuple, st.lease_decisions(df, "k", "t", "o", 10, kind).collect())) == want
+    assert len({d for _, _, d in want}) >= 3
