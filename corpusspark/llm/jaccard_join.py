@@ -179,6 +179,7 @@ class Source:
                 for i, token, begin in _sets(batch, k):
                     own = [token[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, len(own)), pa.array(np.diff(begin)), pa.array(own, pa.binary())], ["id", "n", "tokens"])
+                give_back()
 
         out = rows.select("id", "text").mapInArrow(run, "id long, n long, tokens binary")
         return materialise(out if self.classes is None else out.dropDuplicates(["id"]), name)
@@ -240,12 +241,14 @@ def index(source: Source, reps: DataFrame, t: Threshold) -> DataFrame:
             for own, raw in zip(pdf["id"], pdf["tokens"], strict=True):
                 token = np.frombuffer(raw, dtype=np.int64)
                 yield pd.DataFrame({"id": np.full(len(token), own), "n": len(token), "token": token})
+            give_back()
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for own, n, token, count in zip(pdf["id"], pdf["n"], pdf["token"], pdf["count"], strict=True):
                 sig = np.unique(signatures(np.asarray(token, dtype=np.int64), np.asarray(count, dtype=np.int64), int(n), t))
                 yield pd.DataFrame({"sig": sig, "id": np.full(len(sig), own), "most": np.full(len(sig), len(token))})
+            give_back()
 
     rows = sets.mapInPandas(spread, "id long, n long, token long")
     common = materialise(rows.groupBy("token").count().filter("count > 1"), "common", free=True)
@@ -314,6 +317,8 @@ def verified(pairs: DataFrame, known: Sets, t: Threshold) -> DataFrame:
                     found.append((int(a), int(b)))
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
+        held = {}
+        give_back()
 
     with batches_of(pairs.sparkSession, BATCH):
         return materialise(rows.mapInPandas(run, "a long, b long"), "linked", free=True)
