@@ -44,6 +44,14 @@ PAGES = [
     """<table><tr><td><a>[1-]</a><br><a>[2-]</a><br><a>[1-]</a><br><a>[2-]</a></td><td><h1 keep>[4-]</h1><p keep>[38]</p><p keep>[52]</p><p keep>[10]</p><p keep>[41]</p></td><td><a>[6-]</a><br><a>[5-]</a></td></tr><tr><td>[5-]</td></tr></table>""",
     # a short page
     """<body><div><a>[1-]</a> <a>[1-]</a></div><h1 keep>[3-]</h1><p keep>[24]</p><p keep>[13]</p></body>""", """<body><p keep>[30]</p></body>""", """<p keep>[12]</p><p keep>[25]</p><p keep>[18]</p>""", """<body><p keep>[3-]</p></body>""",
+    # lists, talk, tables and verse between long texts of pages without marks
+    """<body><div><a>[1-]</a> <a>[2-]</a></div><h1 keep>[5-]</h1><p keep>[55]</p><ul><li keep>[3-]<li keep>[2-]<li keep>[6-]<li keep>[4-]<li keep>[1-]</ul><p keep>[48]</p><div><a>[3-]</a></div><div>[4-]</div></body>""",
+    """<body><p><a>[2-]</a> <a>[1-]</a></p><p>[3-]</p><p keep>[62]</p><p keep>[4]</p><p keep>[3]</p><p keep>[6]</p><p keep>[2]</p><p keep>[1]</p><p keep>[5]</p><p keep>[70]</p><p><a>[2-]</a></p><p>[3-]</p></body>""",
+    """<body><div><a>[3-]</a></div><h2 keep>[4-]</h2><p keep>[35]</p><table><tr><td keep>[1-]<td keep>[2-]<tr><td keep>[1-]<td keep>[3-]<tr><td keep>[2-]<td keep>[1-]</table><p keep>[41]</p><p><a>[4-]</a></p><p><a>[1-]</a></p></body>""",
+    """<body><div><a>[1-]</a> | <a>[1-]</a></div><p keep>[28]</p><p keep>[6-]</p><p keep>[5-]</p><p keep>[7-]</p><p keep>[6]</p><h3 keep>[2-]</h3><dl><dt keep>[1-]<dd keep>[8]<dt keep>[1-]<dd keep>[5-]</dl><p keep>[33]</p><p>[2-] <a>[5-]</a></p></body>""",
+    # verse and short pages with a menu, whole
+    """<body><div><a>[1-]</a> <a>[1-]</a></div><h1 keep>[2-]</h1><p keep>[6-]</p><p keep>[7-]</p><p keep>[5-]</p><p keep>[6]</p><div><a>[2-]</a></div></body>""",
+    """<body><p><a>[2-]</a></p><p><a>[1-]</a></p><h2 keep>[1-]</h2><p keep>[5]</p><p keep>[3]</p><p><a>[1-]</a></p></body>""",
     # link lists and teasers only
     """<body><ul><li><a>[5-]</a><li><a>[6-]</a><li><a>[4-]</a><li><a>[7-]</a></ul><p>[3-]</p><p><a>[8-]</a></p><div><a>[9-]</a> [2-]</div><p><a>[3-]</a></p></body>""",
     # notices, banners and dialogs around a text without marks

@@ -1,10 +1,12 @@
 """Main-text extraction from HTML pages.
 
 A page is cut into flat text blocks. A block's features are its own words and link density, those of the blocks
-before and after it, whether it ends a sentence or is a heading, and what it stands in: an element for the
-article, one for something else, or one whose class, id or role names something else, surely or perhaps. A
-decision tree keeps or drops it; it is trained when the operator starts, on the blocks of the labelled pages in
-``html_pages``.
+before and after it, whether long blocks stand before and after it (so that a list, a table's cells, talk or verse are
+judged by what they stand between, however many short blocks there are), whether it ends a sentence or is a heading,
+what it stands in (an element for the article, one for something else, or one whose class, id or role names something
+else, surely or perhaps), and whether the page has a long block. A decision tree keeps or drops it; it is trained when the operator starts, on the blocks of
+the labelled pages in ``html_pages``. On a page without links and without elements for something else nothing is
+dropped.
 
 Edge cases: null or empty html gives empty text; markup that is cut off or not closed is read as far
 as it goes; raw text of scripts and styles ends at its own end tag or the page's end; blocks without
@@ -58,7 +60,12 @@ PARTS = frozenset(
 COMMENT_HINTS = frozenset("comment comments disqus reply replies respond responses discussion related teaser ad ads advert sponsored".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "sentence", "heading", "other", "unsure", "main", "page_has_main")
+#: Words of a block that is text by its length alone.
+LONG = 15
+FEATURES = (
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "sentence", "heading", "other", "unsure", "main", "page_has_main",
+    "long_before", "long_after", "page_has_long",
+)
 
 
 def train(rows: list[tuple], depth: int = 12):
@@ -183,13 +190,27 @@ _KEEP = re.compile(r"\bkeep\b")
 _NONE = {"words": 0, "links": 0.0}
 
 
+def _after_long(found: list[dict]) -> list[bool]:
+    """Whether a long block of text comes before each block."""
+    out, seen = [], False
+    for b in found:
+        out.append(seen)
+        seen = seen or b["words"] >= LONG and b["links"] < 0.5 and b["other"] < 2
+    return out
+
+
 def rows_of(found: list[dict]) -> list[tuple]:
     """The FEATURES of a page's blocks."""
     has_main = any(b["main"] and b["other"] < 2 for b in found)
+    long_before, long_after = _after_long(found), _after_long(found[::-1])[::-1]
+    has_long = any(b["words"] >= LONG and b["other"] < 2 for b in found)
     out = []
     for k, b in enumerate(found):
         before, after = found[k - 1] if k else _NONE, found[k + 1] if k + 1 < len(found) else _NONE
-        out.append((b["words"], b["links"], before["words"], before["links"], after["words"], after["links"], b["text"][-1] in ".!?…:;\"”»)", b["heading"], b["other"] == 2, b["other"] == 1, b["main"], has_main))
+        out.append((
+            b["words"], b["links"], before["words"], before["links"], after["words"], after["links"], b["text"][-1] in ".!?…:;\"”»)", b["heading"], b["other"] == 2, b["other"] == 1, b["main"], has_main,
+            long_before[k], long_after[k], has_long,
+        ))
     return out
 
 
@@ -204,6 +225,8 @@ def labelled(pages: list[str] = PAGES) -> list[tuple]:
 
 def main_text(page: str, tree) -> str:
     found = blocks(page)
+    if not any(b["links"] or b["other"] or b["main"] for b in found):
+        return " ".join(b["text"] for b in found)
     return " ".join(b["text"] for b, row in zip(found, rows_of(found), strict=True) if classify(tree, row))
 
 

@@ -44,13 +44,32 @@ def test_held_out_blocks():
     assert right >= 0.95 * len(table)
 
 
+#: Pages without article or main whose short blocks are text; blocks with ``keep`` belong to it.
+UNMARKED = [
+    """<body><div><a>[1-]</a> <a>[1-]</a></div><h1 keep>[4-]</h1><p keep>[44]</p><ul><li keep>[2-]<li keep>[5-]<li keep>[3-]<li keep>[4-]</ul><p keep>[52]</p><div><a>[2-]</a></div></body>""",
+    """<body><p><a>[1-]</a></p><p keep>[80]</p><p keep>[3]</p><p keep>[5]</p><p keep>[2]</p><p keep>[4]</p><p keep>[66]</p><p><a>[3-]</a></p></body>""",
+    """<body><div><a>[2-]</a></div><p keep>[50]</p><table><tr><td keep>[1-]<td keep>[1-]<td keep>[2-]<tr><td keep>[1-]<td keep>[2-]<td keep>[1-]</table><p keep>[39]</p><div><a>[2-]</a></div></body>""",
+    """<p keep>[40]</p><ul><li keep>[2-]<li keep>[5-]<li keep>[3-]<li keep>[4-]</ul><p keep>[52]</p>""", """<p keep>[40]</p><p keep>[2-]</p><p keep>[2-]</p><p keep>[2-]</p><p keep>[30]</p>""",
+    """<h1 keep>[1-]</h1><p keep>[2]</p>""", """<body><p keep>[5-]</p><p keep>[6-]</p><p keep>[5-]</p><p keep>[7]</p></body>""", """<div keep>[5-]<br>[6-]<br>[5-]<br>[7]</div>""",
+]
+
+
+@pytest.mark.parametrize("page", UNMARKED)
+def test_unmarked_pages_come_out_whole(page):
+    """Against a loop that knows the labels: what isn't a link stays."""
+    found = op.blocks(op.written_out(page))
+    want = [b["text"] for b in found if b["links"] < 1]
+    assert op.main_text(op.written_out(page), TREE) == " ".join(want)
+    assert all(b["keep"] for b in found if b["links"] < 1) or "<br>" in page
+
+
 def _used(tree):
     return {tree[0]} | _used(tree[2]) | _used(tree[3]) if isinstance(tree, tuple) else set()
 
 
 def test_words_and_neighbours_decide():
     assert {"words", "links", "links_before", "words_after"} & {op.FEATURES[k] for k in _used(TREE)} >= {"links", "words_after"}
-    without = [(*[0 if op.FEATURES[k].startswith(("words_", "links_")) else x for k, x in enumerate(row[:-1])], row[-1]) for row in op.labelled()]
+    without = [(*[0 if op.FEATURES[k].startswith(("words_", "links_", "long_")) else x for k, x in enumerate(row[:-1])], row[-1]) for row in op.labelled()]
     blind = op.train(without)
     assert sum(op.classify(blind, row[:-1]) != row[-1] for row in without) > 3  # neighbours are needed
 
