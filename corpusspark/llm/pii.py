@@ -1,11 +1,13 @@
 """Personal data in text: four fixed patterns and a semi-Markov conditional random field.
 
-The field scores whole candidate segments, of one to MAX_TOKENS tokens, by features of the segment as a unit
-(its shape, digits, check sums, the words before it) and the change from the last entity's kind to its own. A
+The field scores whole candidate segments by features of the segment as a unit (its shape, digits, check sums, the
+words before it) and the change from the last entity's kind to its own. A segment of up to NEAR tokens may end
+anywhere; a longer one, of any length, begins and ends with a run without white space, and what comes before its last
+run has at most BEFORE code points, so that candidates are in proportion to the text and no value is cut. A
 dynamic programme over segment ends and last kinds picks boundaries and kinds with the highest joint score.
 It is trained once when the operator starts, by maximum likelihood, on sentences generated from the rules in
-``training_sentences``. A run of letters and digits is one token, and so is a long run that also has ``-_+/=``,
-so a secret may be of any length. An entity has a digit, an ``@``, a form of address or a word for a street,
+``training_sentences``. A run of letters and digits is one token, and so is a long run that also has ``-_+/=``.
+An entity has a digit, an ``@``, a form of address or a word for a street,
 so only the surroundings of these are decoded.
 
 The patterns' spans always stay; a segment of the field is added where it overlaps none of them.
@@ -83,7 +85,9 @@ _WORDS = "|".join(sorted(f(w) for w in TITLES | STREETS for f in (str.capitalize
 #: A long run with a digit is one token; so is a run of letters and digits.
 TOKEN = re.compile(r"(?=[A-Za-z_+/-]{0,200}[0-9])[A-Za-z0-9_+/-]{20,}={0,2}|[^\W_]+|\s+|.", re.S)
 TRIGGER, NAMED = re.compile("[0-9@]"), re.compile(rf"(?:{_WORDS})(?![^\W_])")
-MAX_TOKENS = 14
+#: Tokens of a segment that may end anywhere, and code points before the last run of a longer one.
+NEAR, BEFORE = 14, 64
+_OPENING, _CLOSING = frozenset("\"'([{<"), frozenset(".,;:!?=\"')]}>")
 #: Code points around what may be an entity that are decoded with it.
 AROUND = 48
 #: An added segment must be better than no entity by this log score.
@@ -149,6 +153,45 @@ class Text:
         """A lower-case word that no entity goes across."""
         return self.shapes[k] == "a" and not self.named[k] and CUES.get(self.low[k]) != "secret"
 
+    def _stops(self, s: int, e: int) -> bool:
+        """Whether no segment from s goes over token e - 1: a new line, or a plain word after white space."""
+        last = self.tokens[e - 1]
+        return "\n" in last or last[0].isspace() and self._plain(s) or e - s > 1 and self._plain(e - 1) and self.tokens[e - 2][0].isspace()
+
+    def _over(self, e: int) -> bool:
+        """Whether nothing but closing signs comes before the next white space."""
+        while e < len(self.tokens) and self.tokens[e] in _CLOSING:
+            e += 1
+        return e == len(self.tokens) or self.tokens[e][0].isspace() or self.tokens[e] == "&" and "=" in self.tokens[e + 1:e + 5]
+
+    def _ends(self, s: int) -> Iterator[int]:
+        """Where a segment from s may end."""
+        n = len(self.tokens)
+        for e in range(s + 1, min(n, s + NEAR) + 1):
+            if self._stops(s, e):
+                return
+            yield e
+        if s and not self.tokens[s - 1][0].isspace() and self.tokens[s - 1] not in _OPENING:
+            return
+        e, before = s + NEAR, sum(map(len, self.tokens[s:s + NEAR]))
+        while e < n and before <= BEFORE:
+            run = e  # from the end of a run, or within the one that the near segments reached
+            while e < n and not self.tokens[e][0].isspace():
+                if self._stops(s, e + 1):
+                    return
+                e += 1
+            if e > run:
+                tight = e
+                while tight > s + NEAR and self.tokens[tight - 1] in _CLOSING:
+                    tight -= 1
+                yield from sorted({tight, e} - set(range(s + NEAR + 1)))
+            before += sum(map(len, self.tokens[run:e]))
+            while e < n and self.tokens[e][0].isspace():
+                if self._stops(s, e + 1):
+                    return
+                before += len(self.tokens[e])
+                e += 1
+
     def lattice(self, features: Features) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
         """Starts, ends and features of all segments that may be an entity."""
         starts, ends, rows, n = [], [], [], len(self.tokens)
@@ -156,10 +199,7 @@ class Text:
             first = self.tokens[s]
             if not (first[0].isalnum() or first in "+(" or len(first) > 1) or first[0].isspace() or s and self.shapes[s] == "a" and self._plain(s) and self.tokens[s - 1][-1].isalnum():
                 continue
-            for e in range(s + 1, min(n, s + MAX_TOKENS) + 1):
-                last = self.tokens[e - 1]
-                if "\n" in last or last[0].isspace() and self._plain(s) or e - s > 1 and self._plain(e - 1) and self.tokens[e - 2][0].isspace():
-                    break
+            for e in self._ends(s):
                 if self.seen[e] > self.seen[s] and (names := self.features(s, e)):
                     starts.append(s)
                     ends.append(e)
@@ -201,13 +241,15 @@ class Text:
                 names.append("dialled" + "+" * (text[0] == "+"))
         elif re.fullmatch(r"[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,4})?", text):
             names.append("ibanlike")
+            more = e + 1 < len(self.tokens) and after == " " and re.fullmatch("[A-Z0-9]{1,4}", self.tokens[e + 1])
+            names.append("iban-more" if more else "iban-end")
         if len(own) == 1 and letters and digits and len(text) >= 16:
             names.append("long-mix" + ("-hex" if shapes[0][0] == "x" else "-upper" if text.isupper() else ""))
         if re.match(r"(?:AKIA|ASIA|gh[a-z]_|sk-|xox[a-z]-|eyJ)[A-Za-z0-9_-]{12}", text):
             names.append("issued" + "-whole" * (len(own) == 1))
         keyed = re.fullmatch(r"""(?:[A-Za-z]+[_ -])?([A-Za-z]+)\s*[=:]\s*(["']?)([^\s=:,;"']{6,})(["']?)""", text)
         if keyed and CUES.get(keyed[1].lower()) == "secret":
-            names.append("keyed" + ("" if keyed[2] == keyed[4] else "-half") + ("-whole" if side(before) != "w" and before not in "_-" and after not in "_-\"'" else "-part"))
+            names.append("keyed" + ("" if keyed[2] == keyed[4] else "-half") + ("-whole" if side(before) != "w" and before not in "_-" and self._over(e) else "-part"))
             names.append("value:" + ("mixed" if re.search("[0-9]", keyed[3]) and re.search("[A-Za-z]", keyed[3]) else "plain"))
         elif "=" in text or ":" in text:
             names.append("other-key")
@@ -251,11 +293,15 @@ def training_sentences(n: int = 600, seed: int = 7) -> list[list[tuple[str, str]
 
     def iban() -> str:
         t = r.choice(["DE", "FR", "ES", "GB", "IT"]) + d(2) + d(r.choice([16, 18, 20]))
+        if r.random() < 0.4:  # letters, and up to 34 characters
+            upper = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(k))
+            t = upper(2) + d(2) + upper(4) + "".join(r.choice([d(1), d(1), d(1), upper(1)]) for _ in range(r.randint(8, 26)))
         return t if r.random() < 0.5 else " ".join(t[k:k + 4] for k in range(0, len(t), 4))
 
     def value() -> str:
         size = r.choice([8, 12, 16, 20, 24, 32, 40, 48, 64, 96, 128])
-        return r.choice([lambda: mixed(size, hexa), lambda: mixed(size, hexa), lambda: mixed(size, both), lambda: mixed(size, both + "-_")])()
+        signs = lambda: mixed(min(size, 40), both + "!#$%&*@^~?+-_.")
+        return r.choice([lambda: mixed(size, hexa), lambda: mixed(size, hexa), lambda: mixed(size, both), lambda: mixed(size, both + "-_"), signs])()
 
     def keyed() -> str:
         key, quote = r.choice(["password", "passwd", "token", "api_key", "secret", "pwd", "key", "api-key", "Token", "PASSWORD"]), r.choice(["", "", '"', "'"])

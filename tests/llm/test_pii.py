@@ -154,3 +154,21 @@ def test_rows(spark):
     mail = [("email", 0, 6), ("email", 11, 17)]
     assert got == [(1, mail), (1, mail), (2, []), (3, []), (None, [("ip", 0, 8)])]
     assert op.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("IBAN MT84 MALT 0110 0001 2345 MTLC AST0 01S is mine", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"), ("pay to LC55 HEMM 0001 0001 0012 0012 0002 3015, he said", "LC55 HEMM 0001 0001 0012 0012 0002 3015"),
+    ("password: Tr0ub4dor&3!x#9$Q@7zZ*1", "password: Tr0ub4dor&3!x#9$Q@7zZ*1"), ("we set password: Tr0ub4dor&3!x#9$Q@7zZ*1 and then left", "password: Tr0ub4dor&3!x#9$Q@7zZ*1"),
+    ("token=" + "aB3$xY9!" * 40 + "z. The end", "token=" + "aB3$xY9!" * 40 + "z"),
+])
+def test_long_entities_are_whole(field, text, want):
+    _, spans = op.find_spans(text, field)
+    covered = max(((e - s, text[s:e]) for _, s, e in spans), default=(0, ""))[1]
+    assert want.endswith(covered) and len(covered) >= len(want.split(": ")[-1])
+
+
+def test_candidates_grow_with_the_text(field):
+    """Many tokens without white space, and many short runs, take time in proportion."""
+    for unit in ("a.1-", "A1 ", "7 ", "(x1) ", "k=1;"):
+        n = [len(list(op.Text(unit * k).lattice(field.features)[0])) for k in (200, 400)]
+        assert n[1] <= 2.2 * n[0] + 60
