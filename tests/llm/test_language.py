@@ -42,10 +42,33 @@ def test_every_language_has_landmarks(monkeypatch):
 
 
 def test_rare_languages_and_hot_rows(spark, monkeypatch):
-    monkeypatch.setattr(op, "MOST_LANGUAGES", 2)
     rows = [(1, "hello there my friend", "en")] * 500 + [(k, f"hallo mein freund {k}", "de") for k in range(20)] + [(99, "uno", "es")]
     got = op.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert sorted(got[1]) == ["de"] * 20 + ["en"]
+    assert sorted(got[1]) == ["de"] * 20 + ["en", "es"]
+    monkeypatch.setattr(op, "SAMPLE_ROWS", 6)  # two of each
+    got = op.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(got[1]) == ["de"] * 2 + ["en", "es"]
+
+
+def test_200_languages_in_bounded_memory(spark):
+    """Every one of many languages is learned and told apart; the driver holds bits, not numbers."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 1000)]
+    rows = []
+    for k in range(200):
+        words = ["".join(r.choice(letters[5 * k:5 * k + 5], 3)) for _ in range(12)]
+        rows += [(k * 100 + j, " ".join(r.choice(words, 8)), f"l{k:03}") for j in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    model = op.train(docs.filter("doc_id % 100 < 15"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("peak MB:", peak >> 20)
+    assert len(model.languages) == 200 and peak < 500 << 20  # spread out, the sample alone has 400 MB
+    got = op.identify(docs.filter("doc_id % 100 >= 15"), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(x.lang == x.lang_pred for x in got) / len(got) > 0.97
 
 
 def test_held_out_accuracy(spark):
