@@ -102,23 +102,34 @@ def execution_gate(calls: DataFrame, approvals: DataFrame) -> DataFrame:
 
 
 def policy_audit(steps: DataFrame) -> DataFrame:
-    """Per plan_id: flags, highest risk and whether a human must approve. steps: plan_id, query, trust_role,
-    step_number, action, target_system, parameters (JSON), risk_level, human_gate."""
+    """Per plan_id: flags, highest risk, whether a human must approve, and the reasons by step and rule (reasons). steps:
+    plan_id, query, trust_role, step_number, action, target_system, parameters (JSON), risk_level, human_gate."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     action, target = low(F.col("action")), low(F.col("target_system"))
     any_of = lambda c, *words: F.regexp_like(c, F.lit("|".join(words)))
+    # What a reason says.
+    said = [
+        F.lit("Policy Trigger: Financial refund action detected. Human manager approval required."),
+        F.concat(F.lit('Policy Trigger: Direct database mutation action "'), text("action"), F.lit('" on '), text("target_system"), F.lit(". Human manager approval required.")),
+        F.concat(F.lit('Policy Trigger: Security critical credential/permission modification "'), text("action"), F.lit('".')),
+        F.concat(F.lit("Policy Trigger: Step "), text("step_number"), F.lit(' explicitly marked with risk level "'), F.coalesce(F.nullif("risk_level", F.lit("")), F.lit("High")), F.lit('".')),
+    ]
     rules = [
         (any_of(F.concat(action, low(F.col("parameters")), low(F.col("query"))), "refund"), F.lit(3)),
         (any_of(target, "postgres", "database") & any_of(action, "delete", "drop", "mutate", "update"), F.lit(3)),
         (any_of(action, "secret", "credential", "revoke", "elevate"), F.lit(4)),
         (F.col("risk_level").isin("High", "Critical") | F.coalesce("human_gate", F.lit(False)), F.when(F.col("risk_level") == "Critical", 4).otherwise(3)),
     ]
-    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("rule"), r.alias("risk"))) for k, (c, r) in enumerate(rules, 1)]))
+    hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("rule"), r.alias("risk"), t.alias("text"))) for k, ((c, r), t) in enumerate(zip(rules, said, strict=True), 1)]))
+    told = F.when(F.size("hits") > 0, F.struct("step_number", F.col("hits")["rule"].alias("rules"), F.col("hits")["text"].alias("texts")))
     judged = steps.withColumn("hits", hits).groupBy("plan_id").agg(
         F.sum(F.size("hits")).alias("flags"), F.max(F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform("hits", lambda h: h["risk"])), F.lit(1)))).alias("rank"),
-        F.bool_or(F.coalesce(F.col("trust_role") == "admin", F.lit(False))).alias("admin"),
+        F.bool_or(F.coalesce(F.col("trust_role") == "admin", F.lit(False))).alias("admin"), F.array_sort(F.collect_list(told)).alias("told"),  # one plan's steps
     )
-    return judged.select("plan_id", "flags", F.element_at(F.array(*map(F.lit, RISKS)), F.col("rank").cast("int")).alias("risk_level"), ((F.col("flags") > 0) & ~(F.col("admin") & (F.col("rank") < 4))).alias("requires_human_approval"))
+    reasons = F.flatten(F.transform("told", lambda x: x["texts"])).alias("reasons")
+    risk = F.element_at(F.array(*map(F.lit, RISKS)), F.col("rank").cast("int")).alias("risk_level")
+    return judged.select("plan_id", "flags", risk, ((F.col("flags") > 0) & ~(F.col("admin") & (F.col("rank") < 4))).alias("requires_human_approval"), reasons)
 
 
 def role_clearance(role: Column, required: Column, sensitivity: Column, clearance: Column) -> Column:
@@ -310,6 +321,26 @@ def confidence(n: Column) -> Column:
     return F.least(F.lit(0.95), F.lit(0.7) + 0.05 * (n - 1))
 
 
+def sop_dashboard(sops: DataFrame, approvals: DataFrame, runs: DataFrame, threads: DataFrame, at: Column, days: int = 7) -> DataFrame:
+    """workspace_id, breakdown, value, n of each workspace: procedures by status, category and risk (Low without one), all
+    and stale ones, approvals that are pending, runs of the last days, and threads by source. sops: id, workspace_id,
+    status, category, risk_level, is_stale; approvals: sop_id, status; runs: sop_id, created_at; threads: workspace_id,
+    source. Approvals and runs are counted by procedure before they meet the procedures."""
+    own = sops.withColumn("risk_level", F.coalesce("risk_level", F.lit("Low")))
+    one = lambda df, name, value: df.groupBy("workspace_id").agg(value.alias("n")).select("workspace_id", F.lit(name).alias("breakdown"), F.lit(None).cast("string").alias("value"), "n")
+    out = [own.groupBy("workspace_id", c).agg(F.count(F.lit(1)).alias("n")).select("workspace_id", F.lit(c).alias("breakdown"), F.col(c).alias("value"), "n") for c in ("status", "category", "risk_level")]
+    out += [one(own, "total", F.count(F.lit(1))), one(own, "stale", F.count_if(F.coalesce("is_stale", F.lit(False))))]
+    of = own.select(F.col("id").alias("sop_id"), "workspace_id").hint("merge")
+    per = lambda df: df.groupBy("sop_id").agg(F.count(F.lit(1)).alias("k")).join(of, "sop_id")
+    out.append(one(per(approvals.filter("status = 'pending'")), "pending_approvals", F.sum("k")))
+    out.append(one(per(runs.filter(F.col("created_at") >= at - F.expr(f"interval {days} days"))), "recent_executions", F.sum("k")))
+    out.append(threads.groupBy("workspace_id", "source").agg(F.count(F.lit(1)).alias("n")).select("workspace_id", F.lit("source").alias("breakdown"), F.col("source").alias("value"), "n"))
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return whole
+
+
 def period_cost(usage: DataFrame, at: str, cost: str, by: list[str], units: tuple[str, ...] = ("hour", "day", "month")) -> DataFrame:
     """unit, period (epoch seconds of its start), the columns of ``by`` and the cost, for each unit of time. Rows are
     counted by the shortest unit first; longer ones add these up."""

@@ -56,6 +56,19 @@ def _(t):
     return a.select("p_partkey", "a.title", "a.trigger", F.size(steps).alias("n_steps"), F.array_join(steps["target_system"], ",").alias("systems"), F.array_join(F.array_compact(steps["condition"]), ",").alias("condition"), F.size(F.filter(steps, lambda s: s["approval"])).alias("approvals"))
 
 
+# Procedures that lack something: an id, a title, a trigger, steps, a step's number or action.
+@query("procedure_errors", """
+SELECT p_partkey, concat_ws('|', CASE WHEN p_partkey % 2 = 0 THEN 'AST missing required property "id".' END, CASE WHEN p_partkey % 3 = 0 THEN 'AST missing required property "title".' END, CASE WHEN p_partkey % 5 = 0 THEN 'AST missing required property "triggerCondition".' END,
+ CASE WHEN p_partkey % 7 = 0 THEN 'AST must contain at least one step in "steps" array.' END, CASE WHEN p_partkey % 7 > 0 AND p_partkey % 11 = 0 THEN 'Step at index 1 missing "stepNumber".' END,
+ CASE WHEN p_partkey % 7 > 0 AND p_partkey % 13 = 0 THEN 'Step ' || CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 2 END || ' missing "action" description.' END) AS errors FROM part""")
+def _(t):
+    k = F.col("p_partkey")
+    ast = doc.procedure_ast(F.concat(F.lit("# Fix "), F.col("p_name"), F.lit("\n1. Tell Slack\n2. Done\n")))
+    changed = F.transform(ast["steps"], lambda s, i: F.struct(F.when((i != 1) | (k % 11 != 0), s["step_number"]).alias("step_number"), F.when((i != 1) | (k % 13 != 0), s["action"]).alias("action")))
+    whole = F.struct(F.when(k % 2 != 0, k.cast("string")).alias("id"), F.when(k % 3 != 0, ast["title"]).alias("title"), F.when(k % 5 != 0, ast["trigger"]).alias("trigger"), F.when(k % 7 != 0, changed).alias("steps"))
+    return t.part.select("p_partkey", F.array_join(doc.ast_errors(whole), "|").alias("errors"))
+
+
 def _incoming(t: Tables):
     return t.documents.select(F.lit("w").alias("workspace_id"), "source", F.col("doc_id").cast("string").alias("external_id"), "text", F.array(F.lit("member")).alias("roles"))
 
@@ -83,6 +96,28 @@ def _(t):
     return doc.reembed_stale(chunks, now, doc.hashing_embedder(), "hash", "1", 32).select("chunk_id", "reason", "outcome")
 
 
+# Chunks that are stale for each of the reasons, counted, with those in quarantine; the second page begins after 99.
+@query("reembed_outcomes", """
+WITH c AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s', '', 'g') = '' AS bare, CASE WHEN doc_id % 13 = 0 THEN 'force' WHEN doc_id % 9 = 0 THEN 'missing_embedding' WHEN doc_id % 5 = 0 THEN 'model_mismatch' WHEN doc_id % 7 = 0 THEN 'version_mismatch' WHEN doc_id % 11 = 0 THEN 'content_hash_mismatch' END AS reason FROM documents),
+ o AS (SELECT doc_id, reason, CASE WHEN bare THEN 'invalid' WHEN doc_id % 10 = 0 THEN 'raced' ELSE 'embedded' END AS outcome FROM c WHERE reason IS NOT NULL), p AS (SELECT * FROM o WHERE doc_id > 99 ORDER BY doc_id LIMIT 20)
+SELECT 'all' AS page, NULL AS chunk_id, reason, outcome, count(*) AS n FROM o GROUP BY 3, 4 UNION ALL SELECT 'all', doc_id, reason, outcome, NULL FROM o WHERE outcome <> 'embedded' UNION ALL SELECT 'second', NULL, reason, outcome, count(*) FROM p GROUP BY 3, 4""")
+def _(t):
+    k = F.col("doc_id")
+    own = F.sha2("text", 256)
+    vector = F.array_repeat(F.lit(0.5).cast("float"), 32)
+    chunks = t.documents.select(
+        k.alias("chunk_id"), F.col("text").alias("content"), F.when(k % 11 == 0, "old").otherwise(own).alias("content_hash"), F.when(k % 9 != 0, vector).alias("embedding"),
+        F.when(k % 5 == 0, "older").otherwise("hash").alias("embedding_model"), F.when(k % 7 == 0, "0").otherwise("1").alias("embedding_version"),
+    )
+    now = t.documents.select(k.alias("chunk_id"), F.when(k % 10 == 0, "changed").otherwise(F.col("text")).alias("content"), F.when(k % 11 == 0, "old").otherwise(own).alias("content_hash"))
+    force = F.col("chunk_id") % 13 == 0
+    _, bad, counts = doc.reembed_pages(chunks, now, doc.hashing_embedder(), "hash", "1", 32, force)
+    _, _, second = doc.reembed_pages(chunks, now, doc.hashing_embedder(), "hash", "1", 32, force, 20, 99)
+    none = F.lit(None).cast("long")
+    row = lambda df, page: df.select(F.lit(page).alias("page"), none.alias("chunk_id"), "reason", "outcome", "n")
+    return row(counts, "all").unionByName(bad.select(F.lit("all").alias("page"), "chunk_id", "reason", "outcome", none.alias("n"))).unionByName(row(second, "second"))
+
+
 # ---- graph ----
 
 _EDGES = """SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'IN' AS type FROM nation UNION SELECT 'c' || c_custkey, 'n' || c_nationkey, 'OF' FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey, 'OF' FROM supplier

@@ -112,8 +112,12 @@ def _(t):
 
 @query("policy_audit", """
 WITH s AS (SELECT l_orderkey, l_partkey % 6 AS a, l_linenumber AS n, l_orderkey % 3 = 0 AS adm, l_suppkey % 10 AS r FROM lineitem),
- f AS (SELECT *, (a = 0)::INT AS f1, (a = 1)::INT AS f2, (a = 2)::INT AS f3, (r < 2)::INT AS f4, greatest(CASE WHEN a IN (0, 1) THEN 3 ELSE 1 END, CASE WHEN a = 2 THEN 4 ELSE 1 END, CASE r WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END) AS k FROM s)
-SELECT l_orderkey AS plan_id, sum(f1 + f2 + f3 + f4)::BIGINT AS flags, ['Low', 'Medium', 'High', 'Critical'][max(k)] AS risk_level, sum(f1 + f2 + f3 + f4) > 0 AND NOT (bool_or(adm) AND max(k) < 4) AS requires_human_approval FROM f GROUP BY 1""")
+ f AS (SELECT *, (a = 0)::INT AS f1, (a = 1)::INT AS f2, (a = 2)::INT AS f3, (r < 2)::INT AS f4, greatest(CASE WHEN a IN (0, 1) THEN 3 ELSE 1 END, CASE WHEN a = 2 THEN 4 ELSE 1 END, CASE r WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END) AS k FROM s),
+ g AS (SELECT *, list_concat(list_concat(CASE WHEN f1 = 1 THEN [1] ELSE [] END, CASE WHEN f2 = 1 THEN [2] ELSE [] END), list_concat(CASE WHEN f3 = 1 THEN [3] ELSE [] END, CASE WHEN f4 = 1 THEN [4] ELSE [] END)) AS rules,
+  concat_ws('|', CASE WHEN f1 = 1 THEN 'Policy Trigger: Financial refund action detected. Human manager approval required.' END, CASE WHEN f2 = 1 THEN 'Policy Trigger: Direct database mutation action "Drop rows" on Postgres. Human manager approval required.' END,
+  CASE WHEN f3 = 1 THEN 'Policy Trigger: Security critical credential/permission modification "Rotate SECRET".' END, CASE WHEN f4 = 1 THEN 'Policy Trigger: Step ' || n || ' explicitly marked with risk level "' || CASE r WHEN 0 THEN 'Critical' ELSE 'Low' END || '".' END) AS told FROM f)
+SELECT l_orderkey AS plan_id, sum(f1 + f2 + f3 + f4)::BIGINT AS flags, ['Low', 'Medium', 'High', 'Critical'][max(k)] AS risk_level, sum(f1 + f2 + f3 + f4) > 0 AND NOT (bool_or(adm) AND max(k) < 4) AS requires_human_approval,
+ coalesce(string_agg(told, '|' ORDER BY n, rules, told) FILTER (told <> ''), '') AS reasons FROM g GROUP BY 1""")
 def _(t):
     a, r = F.col("l_partkey") % 6, F.col("l_suppkey") % 10
     steps = t.lineitem.select(
@@ -121,7 +125,7 @@ def _(t):
         F.when(a == 0, "Issue Refund").when(a == 1, "Drop rows").when(a == 2, "Rotate SECRET").otherwise("look").alias("action"), F.when(a == 1, "Postgres").otherwise("Slack").alias("target_system"), F.lit("{}").alias("parameters"),
         F.when(r == 0, "Critical").otherwise("Low").alias("risk_level"), (r == 1).alias("human_gate"),
     )
-    return op.policy_audit(steps)
+    return op.policy_audit(steps).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 @query("role_clearance", """
@@ -282,6 +286,29 @@ def _(t):
     return doc.cascade_delete(gone, c.select("doc_id", "chunk_index"), c.select("doc_id", "claim_id"), cites)["citations"].select("sop_id", "claim_id")
 
 
+# Evidence of claims, also from the next document's chunk; documents divisible by 3 go.
+@query("cascade_delete_evidence", f"""
+WITH c AS (SELECT doc_id, claim_id, chunk_index, pos FROM ({_CLAIMS})), e AS (SELECT claim_id, doc_id, CASE WHEN pos % 4 = 0 THEN doc_id + 1 ELSE doc_id END AS source, chunk_index FROM c), k AS (SELECT DISTINCT doc_id, chunk_index FROM c)
+SELECT 'evidence' AS kind, claim_id AS id, source || '/' || chunk_index AS chunk_id FROM e WHERE doc_id % 3 <> 0 AND source % 3 <> 0 AND EXISTS (SELECT 1 FROM k WHERE k.doc_id = source AND k.chunk_index = e.chunk_index)
+UNION ALL SELECT 'chunk', doc_id || '/' || chunk_index, NULL FROM k WHERE doc_id % 3 <> 0 UNION ALL SELECT 'claim', claim_id, NULL FROM c WHERE doc_id % 3 <> 0""")
+def _(t):
+    c = _claims(t)
+    place = lambda d: F.concat_ws("/", d, F.col("chunk_index"))
+    source = F.when(F.col("seq") % 4 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
+    evidence = c.select("claim_id", source.alias("doc_id"), place(source).alias("chunk_id"))
+    chunks = c.select("doc_id", place(F.col("doc_id")).alias("chunk_id")).distinct()
+    out = doc.cascade_delete(t.documents.filter("doc_id % 3 = 0").select("doc_id"), chunks, c.select("doc_id", "claim_id"), c.select(F.lit(1).alias("sop_id"), "claim_id").limit(0), evidence)
+    none = F.lit(None).cast("string").alias("chunk_id")
+    rows = out["evidence"].select(F.lit("evidence").alias("kind"), F.col("claim_id").alias("id"), "chunk_id")
+    return rows.unionByName(out["chunks"].select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id"), none)).unionByName(out["claims"].select(F.lit("claim").alias("kind"), F.col("claim_id").alias("id"), none))
+
+
+@query("claims_backfill_pending", "SELECT source AS workspace_id, count_if(doc_id % 5 < 3) AS pending, count_if(doc_id % 5 >= 3) AS given_up FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 3 <> 0 GROUP BY 1")
+def _(t):
+    docs = _backfill_docs(t).join(t.documents.select("doc_id", F.col("source").alias("workspace_id")), "doc_id")
+    return doc.claims_backfill_pending(docs)
+
+
 @query("explicit_grants", """
 SELECT doc_id FROM labels WHERE toxic = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0""")
 def _(t):
@@ -388,6 +415,25 @@ def _(t):
     return out.select("breakdown", F.coalesce("o_orderstatus", "o_orderpriority").alias("value"), "n", "stale")
 
 
+@query("sop_dashboard", """
+WITH s AS (SELECT p_partkey AS id, p_partkey % 4 AS ws, ['draft', 'active'][p_partkey % 2 + 1] AS status, p_brand AS category, CASE WHEN p_size % 3 <> 0 THEN ['High', 'Critical'][p_size % 2 + 1] END AS risk, p_size % 5 = 0 AS stale FROM part),
+ a AS (SELECT l_partkey AS sop, l_returnflag AS st FROM lineitem), r AS (SELECT l_partkey AS sop, l_shipdate AS day FROM lineitem), t AS (SELECT user_id % 4 AS ws, event_type AS src FROM events)
+SELECT ws AS workspace_id, 'status' AS breakdown, status AS value, count(*) AS n FROM s GROUP BY 1, 3 UNION ALL SELECT ws, 'category', category, count(*) FROM s GROUP BY 1, 3 UNION ALL SELECT ws, 'risk_level', coalesce(risk, 'Low'), count(*) FROM s GROUP BY 1, 3
+UNION ALL SELECT ws, 'total', NULL, count(*) FROM s GROUP BY 1 UNION ALL SELECT ws, 'stale', NULL, count_if(stale) FROM s GROUP BY 1
+UNION ALL SELECT ws, 'pending_approvals', NULL, count(*) FROM a JOIN s ON sop = id WHERE st = 'N' GROUP BY 1 UNION ALL SELECT ws, 'recent_executions', NULL, count(*) FROM r JOIN s ON sop = id WHERE day >= TIMESTAMP '1996-06-08' - INTERVAL 7 DAY GROUP BY 1
+UNION ALL SELECT ws, 'source', src, count(*) FROM t GROUP BY 1, 3""")
+def _(t):
+    p, k = F.col("p_size"), F.col("p_partkey")
+    sops = t.part.select(
+        k.alias("id"), (k % 4).alias("workspace_id"), F.when(k % 2 == 0, "draft").otherwise("active").alias("status"), F.col("p_brand").alias("category"),
+        F.when(p % 3 != 0, F.when(p % 2 == 0, "High").otherwise("Critical")).alias("risk_level"), (p % 5 == 0).alias("is_stale"),
+    )
+    approvals = t.lineitem.select(F.col("l_partkey").alias("sop_id"), F.when(F.col("l_returnflag") == "N", "pending").otherwise("approved").alias("status"))
+    runs = t.lineitem.select(F.col("l_partkey").alias("sop_id"), F.col("l_shipdate").cast("timestamp").alias("created_at"))
+    threads = t.events.select((F.col("user_id") % 4).alias("workspace_id"), F.col("event_type").alias("source"))
+    return op.sop_dashboard(sops, approvals, runs, threads, F.lit("1996-06-08").cast("timestamp"))
+
+
 _USAGE = "SELECT user_id::VARCHAR AS ws, CASE WHEN event_id % 2 = 0 THEN event_type ELSE split_part('llm:p' || event_id % 3 || ':m', ':', 2) END AS provider, event_type AS resource, value FROM events"
 
 
