@@ -43,3 +43,30 @@ def test_stages(spark):
     assert all(pieces.decode_ids(piece_bytes, r.ids) == before[r.doc_id].text for r in encoded.collect())
     assert encoded.count() == mixed.count() > 0
     assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).select("doc_id").collect()} == set(rows(mixed))
+
+
+def test_odd_rows_through_all_stages(spark):
+    """Nulls in any column, empty and repeated rows, and extra columns with names that operators use themselves."""
+    from pyspark.sql import functions as F
+
+    docs = table(spark, FOLDER, "documents")
+    some = docs.filter("doc_id < 80")
+    odd = some.filter("doc_id < 3").unionByName(some.filter("doc_id = 4")).unionByName(some.filter("doc_id = 4"))  # repeated rows
+    for column in docs.columns:
+        odd = odd.unionByName(some.filter("doc_id between 5 and 7").withColumn(column, F.lit(None).cast(dict(docs.dtypes)[column])))
+    odd = odd.unionByName(some.filter("doc_id = 8").withColumn("text", F.lit(""))).unionByName(some.filter("doc_id = 9").withColumn("text", F.lit(" \n\t ")))
+    extra = {"_topic": "t", "tokens": "x", "ppl": "p", "kept": "k", "text_hash": "h", "th": "y", "ID": "i", "_hash": "z", "group_size": "g", "keep_id": "q", "n": "n"}
+    rows = some.unionByName(odd).withColumns({k: F.lit(v) for k, v in extra.items()})
+    out = rows
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        new = materialise(stage(spark, out, FOLDER), "odd")
+        assert k == len(corpus_pipeline.STAGES) - 1 or new.columns == rows.columns, name
+        assert 0 < new.count() <= out.count(), name
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert new.filter("text is null or trim(text) = ''").count() == 0
+            assert {tuple(r) for r in new.select(*extra).distinct().collect()} == {tuple(extra.values())}
+        out = new
+    none = rows.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        none = materialise(stage(spark, none, FOLDER), "none")
+        assert none.count() == 0, name
