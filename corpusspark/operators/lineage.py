@@ -22,11 +22,24 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, removed when Spark ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _remove_at_end(spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df`` in the shared folder."""
+    """A reliable checkpoint of ``df`` in the shared folder, removed when Spark ends."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
+        _remove_at_end(df.sparkSession, sc.getCheckpointDir())
     return df.checkpoint()
 
 
@@ -45,9 +58,7 @@ class Levels:
 
     def __init__(self, spark: SparkSession, schema: str):
         self.spark, self.schema, self.sizes = spark, schema, []
-        self.path = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
-        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+        self.path = scratch(spark, "levels")
 
     def add(self, df: DataFrame) -> int:
         seen = Observation()

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpusspark.operators import documents as doc
 from corpusspark.operators import graph as g
 from corpusspark.operators import retrieval as ret
-from corpusspark.operators.lineage import cut, shared_dir
+from corpusspark.operators.lineage import cut, scratch
 from corpusspark.plans.registry import Tables, query
 from corpusspark.streaming import streams as st
 
@@ -441,7 +439,7 @@ def _(t):
 @query("stream_incremental_sync", "SELECT event_type, 2 - event_id % 2 AS run, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1, 2")
 def _(t):
     """Events land in two parts in the shared folder; a run after each takes what is new."""
-    base = f"{shared_dir(t.spark)}/sync-{uuid.uuid4().hex}"
+    base = scratch(t.spark, "sync")
     for run in (1, 2):
         t.events.filter(F.col("event_id") % 2 == 2 - run).write.mode("append").parquet(f"{base}/in")
         st.incremental_sync(t.spark, f"{base}/in", t.events.schema, f"{base}/cursor", lambda df, _, run=run: df.withColumn("run", F.lit(run)).write.mode("append").parquet(f"{base}/out"))

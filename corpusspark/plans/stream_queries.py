@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from corpusspark.operators.lineage import shared_dir
+from corpusspark.operators.lineage import scratch
 from corpusspark.plans.registry import Tables, query
 from corpusspark.sources import connector as cn
 from corpusspark.streaming import ledger as lg
@@ -14,14 +12,6 @@ from corpusspark.streaming import stateful as sf
 from corpusspark.streaming import streams as st
 
 
-def _folder(t: Tables, name: str) -> str:
-    """A folder of this run, removed when Spark ends."""
-    path = f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
-    jvm_path = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
 # Documents land whole, then changes of them: every fifth is new, every seventh goes, every eleventh is as before.
 @query("connector_objects", """
 WITH a AS (SELECT doc_id, lang, source FROM documents),
@@ -31,7 +21,7 @@ WITH a AS (SELECT doc_id, lang, source FROM documents),
 SELECT external_id, change AS what FROM d WHERE change IS NOT NULL UNION ALL SELECT * FROM acl""")
 def _(t):
     """external_id and what: a change after the first batch, or an entry of the access list as it is now."""
-    path, k = _folder(t, "landing"), F.col("doc_id")
+    path, k = scratch(t.spark, "landing"), F.col("doc_id")
     who = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("id"))
     objects = t.documents.select(
         "doc_id", k.cast("string").alias("external_id"), F.lit("document").alias("type"), F.col("source").alias("title"), "text", F.lit("1").alias("version"), F.lit("upsert").alias("change"),
@@ -54,7 +44,7 @@ def _(t):
 WITH k AS (SELECT *, sha256(user_id || ':' || event_type || ':' || event_id % 300) AS dedupe_key FROM events)
 SELECT dedupe_key, arg_min(event_id, (event_id % 2 = 0, event_id)) AS event_id, min(event_id % 2 = 0)::INT AS batch FROM k GROUP BY 1""")
 def _(t):
-    base = _folder(t, "ledger")
+    base = scratch(t.spark, "ledger")
     rows = t.events.select(F.sha2(F.concat_ws(":", "user_id", "event_type", F.col("event_id") % 300), 256).alias("dedupe_key"), "event_id")
     for run in (1, 0):
         part = rows.filter(F.col("event_id") % 2 == run)
