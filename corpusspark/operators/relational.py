@@ -176,7 +176,7 @@ def sop_validate(responses: DataFrame, response: str, least: float = 0.4) -> Dat
     risk = F.coalesce("p.risk_level", F.lit("Low"))
     gate = F.coalesce("p.requires_human_gate", risk.isin("High", "Critical"))
     fits = F.coalesce(F.col("p.category").isin(CATEGORIES) & risk.isin(RISKS) & (F.col("p.title") != ""), F.lit(False))
-    return p.select(*responses.columns, "p.title", "p.category", risk.alias("risk_level"), gate.alias("requires_human_gate"), (fits & F.coalesce(F.col("p.is_valid_sop") & (F.col("p.confidence") >= least), F.lit(False))).alias("accepted"))
+    return p.select(*responses.columns, "p.title", "p.trigger_condition", "p.category", risk.alias("risk_level"), gate.alias("requires_human_gate"), (fits & F.coalesce(F.col("p.is_valid_sop") & (F.col("p.confidence") >= least), F.lit(False))).alias("accepted"))
 
 
 # Openings of answers without claims.

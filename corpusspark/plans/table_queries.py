@@ -191,12 +191,49 @@ def _(t):
     return op.sop_validate(_sop_responses(t), "response").select("thread_id", "accepted", "risk_level", "requires_human_gate")
 
 
+_CLAIMS = """SELECT source AS workspace_id, doc_id, doc_id || '-' || (p - 1) AS claim_id, ((p - 1) // 5)::INT AS chunk_index, x AS claim_text, (length(x) * 7 + doc_id) % 100 / 100 AS confidence, (p - 1) AS pos, length(x) AS chars
+ FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), '. ')) AS x, generate_subscripts(string_split(coalesce(text, ''), '. '), 1) AS p FROM documents)"""
+
+
 @query("thread_to_sop", f"SELECT thread_id, CASE WHEN NOT accepted THEN 'no_sop' WHEN regexp_extract(title, '[0-9]+')::INT < 40 THEN 'sop_linked' ELSE 'sop_created' END AS outcome, CASE WHEN accepted THEN title END AS sop_title FROM ({_SOP})")
 def _(t):
     known = t.benchmark.filter("item_id < 40").select(F.concat(F.lit("SOP "), F.col("item_id")).alias("title"))
     return doc.thread_to_sop(t.documents.select(F.col("doc_id").alias("thread_id")), _sop_responses(t), known)
 
 
+def number_embedder(texts: list[str]) -> list[list[float] | None]:
+    """A vector by the number after the first word: one of sixteen axes; none for multiples of 50."""
+    out = []
+    for x in texts:
+        n = int(x.split(":")[0].split()[1])
+        out.append(None if n % 50 == 0 else [float(k == n % 16) for k in range(16)])
+    return out
+
+
+# Known procedures: 'sop 0' to 'sop 19' by title, and 'Other 20' to 'Other 24', which are like those of the same axis.
+@query("threads_to_sops", f"""
+WITH s AS (SELECT *, regexp_extract(title, '[0-9]+')::INT AS n FROM ({_SOP})),
+ o AS (SELECT thread_id, CASE WHEN NOT accepted THEN 'no_sop' WHEN n < 20 OR n % 50 <> 0 AND n % 16 BETWEEN 4 AND 8 THEN 'sop_linked' WHEN n % 50 = 0 THEN 'failed' ELSE 'sop_created' END AS outcome,
+  CASE WHEN NOT accepted THEN NULL WHEN n < 20 THEN 'k' || n WHEN n % 50 <> 0 AND n % 16 BETWEEN 4 AND 8 THEN 'k' || (n % 16 + 16) WHEN n % 50 <> 0 THEN sha256('w:sop:' || thread_id) END AS sop_id FROM s),
+ c AS (SELECT doc_id, claim_id, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, claim_id) AS r FROM ({_CLAIMS}))
+SELECT 'outcome' AS kind, thread_id, outcome AS what, sop_id FROM o UNION ALL SELECT 'citation', thread_id, NULL, sop_id FROM o WHERE sop_id IS NOT NULL
+UNION ALL SELECT 'citation', thread_id, claim_id, sop_id FROM o JOIN c ON doc_id = thread_id WHERE sop_id IS NOT NULL AND r <= 3 UNION ALL SELECT 'version', NULL, '1', sop_id FROM o WHERE outcome = 'sop_created'
+UNION ALL SELECT 'sop', thread_id, title || '/Draft/' || risk_level, sop_id FROM o JOIN s USING (thread_id) WHERE outcome = 'sop_created'""")
+def _(t):
+    n = t.benchmark.sparkSession.range(25).select(F.col("id").alias("n"))
+    known = n.select(
+        F.concat(F.lit("k"), "n").alias("sop_id"), F.lit("w").alias("workspace_id"), F.concat(F.when(F.col("n") < 20, "SOP ").otherwise("Other "), "n").alias("title"),
+        F.when(F.col("n") >= 20, F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: (k == F.col("n") % 16).cast("float"))).alias("embedding"),
+    )
+    threads = t.documents.select(F.col("doc_id").alias("thread_id"), F.lit("w").alias("workspace_id"))
+    out = doc.threads_to_sops(threads, _sop_responses(t), known, _claims(t), number_embedder, top=3)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = out["outcomes"].select(F.lit("outcome").alias("kind"), "thread_id", F.col("outcome").alias("what"), "sop_id")
+    rows = rows.unionByName(out["citations"].select(F.lit("citation").alias("kind"), "thread_id", F.col("claim_id").alias("what"), "sop_id"))
+    rows = rows.unionByName(out["versions"].select(F.lit("version").alias("kind"), none("long").alias("thread_id"), F.col("version").cast("string").alias("what"), "sop_id"))
+    return rows.unionByName(out["sops"].select(F.lit("sop").alias("kind"), F.col("source_doc_id").alias("thread_id"), F.concat_ws("/", "title", "status", "risk_level").alias("what"), "sop_id"))
+
+
 def _judgements(t: Tables):
     k = F.col("doc_id")
     js = F.to_json(F.struct((k % 5).cast("int").alias("total_claims"), F.when(k % 3 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("unsupported_claims")))
@@ -232,8 +269,6 @@ def _claims(t: Tables):
     return s.select("workspace_id", "doc_id", F.concat_ws("-", "doc_id", "pos").alias("claim_id"), F.floor(F.col("pos") / 5).cast("int").alias("chunk_index"), "claim_text", ((F.length("claim_text") * 7 + F.col("doc_id")) % 100 / 100).alias("confidence"), F.col("pos").cast("int").alias("char_start"), (F.col("pos") + F.length("claim_text")).cast("int").alias("char_end"), F.col("pos").alias("seq"))
 
 
-_CLAIMS = """SELECT source AS workspace_id, doc_id, doc_id || '-' || (p - 1) AS claim_id, ((p - 1) // 5)::INT AS chunk_index, x AS claim_text, (length(x) * 7 + doc_id) % 100 / 100 AS confidence, (p - 1) AS pos, length(x) AS chars
- FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), '. ')) AS x, generate_subscripts(string_split(coalesce(text, ''), '. '), 1) AS p FROM documents)"""
 _TOP = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, claim_id) AS rank FROM ({_CLAIMS})) WHERE rank <= 5"
 
 
