@@ -43,6 +43,18 @@ def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Texts that cross to a Python worker at once.
+TEXT_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on at most TEXT_ROWS rows of the session cross to a Python worker at once: Arrow's buffers of 10,000
+    texts, which the JVM's and the worker's allocators keep, would be tens of MB for each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > TEXT_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, TEXT_ROWS)
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """While it lasts, so many rows cross to a Python worker at once: for rows that may be large."""

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusspark.llm.common import BROADCAST_ROWS, batches_of, join_per_key, materialise, table, union_all
+from corpusspark.llm.common import BROADCAST_ROWS, batches_of, join_per_key, materialise, table, text_batches, union_all
 from corpusspark.llm.textops import U64, chunks, give_back, hashes, mix, shingles, utf8, words
 
 #: Sets that have a token among their index tokens, from which it counts as frequent.
@@ -148,6 +148,7 @@ def index_tokens(docs: DataFrame, k: int, t: Threshold) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), batch.column("th").slice(i, len(n)), pa.array(n), *map(pa.array, halves), pool, pa.array(own), bits], ["doc_id", "th", "n", "d1", "d2", "pool", "own", "bits"])
             give_back()
 
+    text_batches(docs.sparkSession)
     return _rows(docs).mapInArrow(run, "doc_id long, th long, n long, d1 long, d2 long, pool array<long>, own long, bits array<long>")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusspark.llm.common import BROADCAST_ROWS, batches_of, fresh, join_per_key, materialise, small_or_hinted, table, union_all
+from corpusspark.llm.common import BROADCAST_ROWS, batches_of, fresh, join_per_key, materialise, small_or_hinted, table, text_batches, union_all
 from corpusspark.llm.textops import U64, chunks, give_back, hashes, utf8, words
 
 #: Target shares are proportional to tokens to these powers: below 1 lifts what is rare.
@@ -120,6 +120,7 @@ def fit_topics(docs: DataFrame, labels: DataFrame) -> Topics:
 def with_axes(docs: DataFrame, topics: Topics, narrow: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the three axes, the words and a hash of the text under names that clash with none of its own;
     ``narrow``: without the text."""
+    text_batches(docs.sparkSession)
     name = {x: fresh(docs.columns, f"_{x}") for x in [*AXES, "tokens", "hash"]}
     state = docs.sparkSession.sparkContext.broadcast(topics)
     rows = docs.withColumns({name["source"]: F.coalesce("source", F.lit("")), name["lang"]: F.coalesce("lang", F.lit("")), name["hash"]: F.xxhash64("text")})

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusspark.llm.common import join_per_key, materialise, union_all
+from corpusspark.llm.common import join_per_key, materialise, text_batches, union_all
 from corpusspark.llm.textops import U64, give_back, mix
 
 ORDER = 5
@@ -121,6 +121,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         yield from flush()
         give_back()
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).filter("text != ''")
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusspark.llm.common import table
+from corpusspark.llm.common import table, text_batches
 from corpusspark.llm.textops import U64, give_back, mix, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -350,6 +350,7 @@ def encode(docs: DataFrame, carry: list[str], text: str = "text", n: int = N_BES
     """The carried columns with the model's own ids; best_ids and score of the best segmentation, and the next n - 1
     as scores and edits of it: pieces start to end of the best are replaced by ids."""
     spark = docs.sparkSession
+    text_batches(spark)
     state = spark.sparkContext.broadcast((vocabulary(model), model_bytes(model)))
     rows = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("_encoded_text"))
     schema = T.StructType([*docs.select(*carry).schema.fields, *ENCODED])
