@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,12 +24,31 @@ def first_deliveries(events: DataFrame, key: str, order: str) -> DataFrame:
     return events.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
 
 
+#: Rows of one key that one task works through in order; a key with more is worked out by all tasks.
+HOT_KEY = 1_000_000
+
+
+def _apart(rows: DataFrame, keys: list[str]) -> tuple[DataFrame | None, DataFrame]:
+    """(the rows of keys with over HOT_KEY rows, None if there are none; the others)."""
+    from corpusspark.operators.lineage import cut, sized
+
+    hot = cut(rows.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).count().filter(F.col("count") > HOT_KEY).drop("count"))
+    if not hot.head(1):
+        return None, rows
+    same, hot = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]), sized(hot)
+    return rows.join(hot, same, "left_semi"), rows.join(hot, same, "left_anti")
+
+
 def high_water(events: DataFrame, keys: list[str], ts: str, order: str) -> DataFrame:
-    """Batch twin of stream_high_water: events later than all that arrived before them under their keys. A key with all
-    events is in as many tasks as there are."""
+    """Batch twin of stream_high_water: events later than all that arrived before them under their keys. A hot key's
+    events are in as many tasks as there are (see ``prefix``)."""
     from corpusspark.streaming.prefix import running
 
-    return running(events, keys, order, _mark=F.col(ts)).filter(F.col("_mark").isNull() | (F.col(ts) > F.col("_mark"))).drop("_mark")
+    hot, rest = _apart(events, keys)
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rest.withColumn("_mark", F.max(ts).over(before))
+    out = out if hot is None else out.unionByName(running(hot, keys, order, _mark=F.col(ts)))
+    return out.filter(F.col("_mark").isNull() | (F.col(ts) > F.col("_mark"))).drop("_mark")
 
 
 def _expiring(events: DataFrame, ts: str, forget: str | None):
@@ -93,25 +113,16 @@ class Lease:
         return {"complete": "completed", "fail": "failed", "release": "released"}[kind]
 
 
-#: Requests of one key that one task decides about; a key with more is decided about by all tasks.
-HOT_KEY = 1_000_000
-
-
 def lease_decisions(requests: DataFrame, key: str, at: str, order: str, seconds: int, kind: str | None = None) -> DataFrame:
     """Batch twin of stream_lease: key, order, decision. Requests come sorted by key and order to a task, which
     reads them batch by batch and carries one lease along. Those of keys with over HOT_KEY requests are decided about in
     many tasks (see ``leases``), with the same results."""
-    from corpusspark.operators.lineage import cut, sized
     from corpusspark.streaming.leases import decisions
 
     kinds = dict(requests.dtypes)
     rows = requests.select(F.col(key).alias("k"), F.col(order).alias("o"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"))
-    hot = cut(rows.groupBy("k").count().filter(F.col("count") > HOT_KEY).select(F.col("k").alias("h")))
-    split = None
-    if hot.head(1):
-        hot = sized(hot)
-        split = decisions(rows.join(hot, F.col("k").eqNullSafe(F.col("h"))).drop("h"), seconds * 1_000_000).select(F.col("k").alias(key), F.col("o").alias(order), "decision")
-        rows = rows.join(hot, F.col("k").eqNullSafe(F.col("h")), "left_anti")
+    hot, rows = _apart(rows, ["k"])
+    split = None if hot is None else decisions(hot, seconds * 1_000_000).select(F.col("k").alias(key), F.col("o").alias(order), "decision")
     rows = rows.repartition("k").sortWithinPartitions("k", "o")
 
     def run(batches):

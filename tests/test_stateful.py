@@ -131,7 +131,8 @@ def test_large_batches_shuffle(spark, monkeypatch):
     assert lg.append_once(e.limit(0), 2, path, "event_id").count() == 0
 
 
-def test_high_water_in_many_tasks(spark):
+def test_high_water_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(st, "HOT_KEY", 50)
     e = events(spark).withColumn("ts", F.col("ts") - F.make_interval(hours=(F.col("event_id") * 7 % 100).cast("int"))).withColumn("one", F.lit("k"))
     rows, mark, want = sorted(e.collect(), key=lambda r: r.event_id), None, []
     for r in rows:
