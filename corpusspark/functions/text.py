@@ -95,6 +95,11 @@ def source_key(workspace: Column, source: Column, external_id: Column) -> Column
     return F.concat_ws(":", workspace, source, external_id)
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is bound to a variable, so that it is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def canonical_entity(name: Column) -> Column:
     """The alias's target by slug, else by the name with a space for every mark, else the slug."""
     table = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])

@@ -51,6 +51,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt to all cores by its keys: the scan of a small file is one task, whatever is worked out from its rows."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 #: A table of at most this many counted narrow rows may be broadcast.
 BROADCAST_ROWS = 1_000_000
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusspark.operators import documents as doc
 from corpusspark.operators import graph as g
 from corpusspark.operators import retrieval as ret
-from corpusspark.operators.lineage import cut, scratch
+from corpusspark.operators.lineage import cut, scratch, spread
 from corpusspark.plans.registry import Tables, query
 from corpusspark.streaming import streams as st
 
@@ -49,7 +49,7 @@ def _(t):
 SELECT p_partkey, 'Fix ' || p_name AS title, 'part ' || p_brand || ' fails' AS trigger, 3 AS n_steps, 'Slack,Postgres,Internal' AS systems, 'size > ' || p_size AS condition, 1 AS approvals FROM part""")
 def _(t):
     md = F.concat(F.lit("# Fix "), F.col("p_name"), F.lit("\nTrigger: part "), F.col("p_brand"), F.lit(" fails\n- part_id: string (the part)\n1. Tell Slack\n 2. Delete from Postgres if size > "), F.col("p_size"), F.lit(", then stop\n3. Done\n"))
-    a = t.part.select("p_partkey", doc.procedure_ast(md).alias("a"))
+    a = spread(t.part, "p_partkey").select("p_partkey", doc.procedure_ast(md).alias("a"))
     steps = F.col("a.steps")
     return a.select("p_partkey", "a.title", "a.trigger", F.size(steps).alias("n_steps"), F.array_join(steps["target_system"], ",").alias("systems"), F.array_join(F.array_compact(steps["condition"]), ",").alias("condition"), F.size(F.filter(steps, lambda s: s["approval"])).alias("approvals"))
 

@@ -1,5 +1,6 @@
 """Steps that are cut for large tables give what plain ones give."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusspark.operators import graph as g
@@ -19,3 +20,47 @@ def test_two_hop_by_lists_and_numbers(spark, monkeypatch):
     monkeypatch.setattr(g, "FEW_STARTS", 0)
     monkeypatch.setattr(g, "MEET", 2)
     assert see() == want
+
+
+@pytest.mark.parametrize("name", ["procedure_ast", "procedure_errors", "tabular_to_markdown"])
+def test_small_files_fill_all_cores(spark, name):
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_best_match_in_blocks(spark, monkeypatch):
+    """Not with itself, by group, the smallest id of equal ones; bad vectors have 0."""
+    rows = [(0, 1, [1.0, 0.0]), (1, 1, [2.0, 0.0]), (2, 1, [3.0, 0.0]), (3, 1, [0.0, 0.0]), (4, 2, [1.0, 1.0]), (5, 2, None), (6, 2, [-1.0, -1.0]), (7, 3, [1.0]), (8, None, [1.0]), (9, None, [1.0])]
+    e = spark.createDataFrame(rows, "id int, label int, embedding array<float>")
+    want = {(0, 1, 1.0), (1, 0, 1.0), (2, 0, 1.0), (3, 0, 0.0), (4, 5, 0.0), (5, 4, 0.0), (6, 5, 0.0)}
+    for cell in (2000, 1):
+        monkeypatch.setattr(g, "CELL", cell)
+        found = g.block_matches(e.withColumnRenamed("id", "mention_id"), e.withColumnRenamed("id", "entity_id"), "label")
+        assert {(r.mention_id, r.entity_id, abs(r.similarity)) for r in g.best_entity_match(found).collect()} == want
+
+
+def test_rejected_triples_need_no_names(spark):
+    rows = [(" ", "System", "owns", "b", "Role"), ("A b", "System", "owns", "c", "Role"), ("a B", "System", "OWNS ", "c", "Role"), ("a", "Thing", "owns", "c", "Role"), ("a", "System", "likes", None, "Role")]
+    out = g.persist_triples(spark.createDataFrame(rows, "subject string, subject_type string, predicate string, object string, object_type string"))
+    bad = out["rejected"].groupBy("reason").count()
+    assert {tuple(r) for r in bad.collect()} == {("bad_subject_type", 1), ("bad_predicate", 1)}
+    assert "lower" not in bad._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in out["edges"].collect()} == {("unnamed_entity", "b", "OWNS"), ("a_b", "c", "OWNS")}
+
+
+def test_acyclic_with_null_ends(spark):
+    acyclic = lambda rows: g.is_acyclic(spark.createDataFrame(rows, "src string, dst string")).first()[0]
+    assert acyclic([(None, "a"), ("a", "b"), ("b", None)])
+    assert not acyclic([(None, "a"), ("a", "b"), ("b", "a"), ("b", "c")])
+
+
+def test_components_by_hash_or_by_name(spark, monkeypatch):
+    edges = spark.createDataFrame([("d", "c"), ("c", "b"), ("x", "y"), ("z", "z"), ("y", None)], "src string, dst string")
+    want = {("b", "b"), ("c", "b"), ("d", "b"), ("x", "x"), ("y", "x"), ("z", "z"), (None, None)}
+    see = lambda: {tuple(r) for r in g.connected_components(edges).collect()}
+    plan = []
+    contract = g._contract
+    monkeypatch.setattr(g, "_contract", lambda e: plan.append(dict(e.dtypes)["src"]) or contract(e))
+    assert see() == want and plan == ["bigint"]
+    monkeypatch.setattr(g, "HEAVY", 2)
+    monkeypatch.setattr(g, "BROADCAST_ROWS", 0)
+    assert see() == want
