@@ -381,6 +381,7 @@ def _(t):
 SELECT p_partkey, 'Parts' || chr(10) || '| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | ' || p_size || ' |' || chr(10) || 'end' AS markdown, 1 AS tables FROM part""")
 def _(t):
     from corpusspark.operators.documents import tabular_to_markdown
+    from corpusspark.operators.lineage import spread
 
     md, n = tabular_to_markdown(F.concat(F.lit("Parts \nname\tsize\n"), F.col("p_name"), F.lit("   "), F.col("p_size"), F.lit("\nend")))
-    return t.part.select("p_partkey", md.alias("markdown"), n.alias("tables"))
+    return spread(t.part, "p_partkey").select("p_partkey", md.alias("markdown"), n.alias("tables"))
