@@ -61,10 +61,11 @@ SELECT p_partkey, concat_ws('|', CASE WHEN p_partkey % 2 = 0 THEN 'AST missing r
  CASE WHEN p_partkey % 7 > 0 AND p_partkey % 13 = 0 THEN 'Step ' || CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 2 END || ' missing "action" description.' END) AS errors FROM part""")
 def _(t):
     k = F.col("p_partkey")
-    ast = doc.procedure_ast(F.concat(F.lit("# Fix "), F.col("p_name"), F.lit("\n1. Tell Slack\n2. Done\n")))
+    parsed = spread(t.part, "p_partkey").select("p_partkey", doc.procedure_ast(F.concat(F.lit("# Fix "), F.col("p_name"), F.lit("\n1. Tell Slack\n2. Done\n"))).alias("ast"))
+    ast = F.col("ast")
     changed = F.transform(ast["steps"], lambda s, i: F.struct(F.when((i != 1) | (k % 11 != 0), s["step_number"]).alias("step_number"), F.when((i != 1) | (k % 13 != 0), s["action"]).alias("action")))
     whole = F.struct(F.when(k % 2 != 0, k.cast("string")).alias("id"), F.when(k % 3 != 0, ast["title"]).alias("title"), F.when(k % 5 != 0, ast["trigger"]).alias("trigger"), F.when(k % 7 != 0, changed).alias("steps"))
-    return t.part.select("p_partkey", F.array_join(doc.ast_errors(whole), "|").alias("errors"))
+    return parsed.select("p_partkey", F.array_join(doc.ast_errors(whole), "|").alias("errors"))
 
 
 def _incoming(t: Tables):
