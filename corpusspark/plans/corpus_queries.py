@@ -247,7 +247,7 @@ WITH RECURSIVE e AS (SELECT 'as is' AS graph, src, dst FROM ({_EDGES}) UNION SEL
  r(graph, a, b) AS (SELECT graph, src, dst FROM e UNION SELECT r.graph, a, dst FROM r JOIN e ON b = src AND r.graph = e.graph)
 SELECT graph, NOT bool_or(a = b) AS acyclic FROM r GROUP BY 1""")
 def _(t):
-    e = _edges(t).select("src", "dst")
+    e = _edge_rows(t).select("src", "dst")
     back = t.nation.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n")).select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n").alias("dst"))
     named = lambda df, name: df.select(F.lit(name).alias("graph"), "acyclic")
     return named(g.is_acyclic(e), "as is").unionByName(named(g.is_acyclic(e.unionByName(back)), "with edges back"))
