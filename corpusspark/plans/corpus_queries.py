@@ -304,11 +304,8 @@ def _(t):
 WITH n AS (SELECT a.vec_id AS mention_id, b.vec_id AS entity_id, {_COS_AB} AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 SELECT mention_id, entity_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY similarity DESC, entity_id) AS k FROM n) WHERE k = 1""")
 def _(t):
-    from corpusspark.functions.text import cosine
-
-    a = t.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("mention_id"), "label", F.col("embedding").alias("x"))
-    n = t.embeddings.join(F.broadcast(a) if a.count() <= 100_000 else a.hint("merge"), "label").filter("mention_id != vec_id")
-    return g.best_entity_match(n.select("mention_id", F.col("vec_id").alias("entity_id"), F.round(cosine(F.col("embedding"), F.col("x")), 6).alias("similarity")))
+    e = t.embeddings.select("vec_id", "label", "embedding")
+    return g.best_entity_match(g.block_matches(e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "mention_id"), e.withColumnRenamed("vec_id", "entity_id"), "label"))
 
 
 # ---- retrieval ----
