@@ -215,7 +215,7 @@ WITH RECURSIVE e AS (SELECT src, dst FROM ({_EDGES})), b AS (SELECT * FROM e UNI
  r(id, c) AS (SELECT DISTINCT dst, dst FROM e WHERE dst LIKE 'r%' UNION SELECT b.dst, r.c FROM r JOIN b ON r.id = b.src)
 SELECT DISTINCT id, min(id) OVER (PARTITION BY c) AS component FROM r""")
 def _(t):
-    return g.connected_components(_edges(t))
+    return g.connected_components(_edge_rows(t))
 
 
 @query("node_depth", f"""

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusspark.operators import graph as g
+from corpusspark.plans import QUERIES
 
 
 def test_two_hop_by_lists_and_numbers(spark, monkeypatch):
