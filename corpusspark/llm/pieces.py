@@ -29,8 +29,8 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,11 +42,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 ESCAPED = "▁"
 UNITS = re.compile(" +[^ ]*")
-#: Units whose segmentation a task remembers before it starts anew, and bytes of text it takes at once.
-REMEMBERED = 100_000
+#: Units whose segmentation a task remembers before it forgets rare ones, and bytes of text it takes at once.
+REMEMBERED = 60_000
 #: New units whose lattices are searched at once.
-LEARNED = 8_000
-CHUNK = 1_000_000
+LEARNED = 2_000
+CHUNK = 500_000
 #: Units that are merged as one text.
 JOINED = 100
 #: Pieces that are decoded at once.
@@ -76,15 +76,11 @@ def model_bytes(path: str = MODEL) -> bytes:
 
 class Lattice:
     """Segmentation of units by one vocabulary; remembers what it has worked out. With the model's bytes also the
-    segmentation that its merges give."""
+    segmentation that its merges give. Pickled without what it remembers, so that tasks need not build its tables."""
 
     def __init__(self, vocab: list[tuple[str, float, bool]], model: bytes | None = None):
-        self.merges = None
-        if model is not None:
-            import sentencepiece
-
-            self.merges = sentencepiece.SentencePieceProcessor(model_proto=model)
-            self.spaced = np.array([p.startswith(ESCAPED) for p, _, _ in vocab])
+        self.model = model
+        self.spaced = np.array([p.startswith(ESCAPED) for p, _, _ in vocab])
         usable = [(p, int(s) if s == int(s) else s, i) for i, (p, s, byte) in enumerate(vocab) if s == s and not byte]
         self.exact = all(isinstance(s, int) for _, s, _ in usable)
         kind = np.int64 if self.exact else np.float64
@@ -104,10 +100,26 @@ class Lattice:
         self.can_begin[self._low(np.array([self._hash(np.frombuffer(p.encode("utf-32-le"), dtype=np.uint32)) for p in begin] or [0], dtype=U64))] = True
         self.scores = np.array([s for _, s, _ in usable], dtype=kind)[order]
         self.ids = np.array([i for _, _, i in usable], dtype=np.int64)[order]
+        self._load()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in REMEMBERS}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._load()
+
+    def _load(self) -> None:
+        self.merges = None
+        if self.model is not None:
+            import sentencepiece
+
+            self.merges = sentencepiece.SentencePieceProcessor(model_proto=self.model)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())  # units by number, see ``split_units``
+        self.used = np.zeros(0, dtype=np.int64)  # how often each was found
         self.best = np.zeros(0, dtype=self.scores.dtype)  # score of the best segmentation, by unit
         self.loss = np.zeros(0)  # of the second best; none: infinity
         self.flat = np.zeros(0, dtype=np.int32)  # ids of the best segmentations one after the other
@@ -115,6 +127,15 @@ class Lattice:
         self.merged, self.merged_begin = self.flat, self.begin  # the same for the merges' segmentations
         self.ranked: dict[int, list] = {}
 
+    def forget(self) -> None:
+        """Leaves the units found more than once, at most half of REMEMBERED: most units of a text are found only there."""
+        least = max(2, np.partition(self.used, -(REMEMBERED // 2))[-(REMEMBERED // 2)] + 1 if len(self.used) > REMEMBERED // 2 else 0)
+        keep = np.flatnonzero(self.used >= least)
+        self.flat, self.begin, self.merged, self.merged_begin = *self.paths(keep), *self.paths(keep, merged=True)
+        self.known, self.used, self.best, self.loss = self.known.take(pa.array(keep)), self.used[keep], self.best[keep], self.loss[keep]
+        place = dict(zip(keep.tolist(), range(len(keep)), strict=True))
+        self.ranked = {place[k]: v for k, v in self.ranked.items() if k in place}
+
     @staticmethod
     def _low(hashed: np.ndarray) -> np.ndarray:
         return (hashed & U64((1 << TABLE_BITS) - 1)).astype(np.int64)
@@ -126,10 +147,26 @@ class Lattice:
             h = (h * 0x100000001B3 + c + 1) & (2**64 - 1)
         return int(mix(np.array([h], dtype=U64))[0])
 
-    def learn(self, units: list[str]) -> None:
+    def number(self, units: pa.Array) -> np.ndarray:
+        """The numbers of different units; new ones are learned."""
+        found = pc.index_in(units, value_set=self.known)
+        if found.null_count:
+            new = units.filter(found.is_null())
+            for at in range(0, len(new), LEARNED):
+                self.learn(new[at:at + LEARNED])
+            places = np.arange(len(self.known), len(self.known) + len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.used = np.concatenate((self.used, np.zeros(len(new), dtype=np.int64)))
+            out = found.fill_null(0).to_numpy().astype(np.int64)
+            out[found.is_null().to_numpy(zero_copy_only=False)] = places
+            return out
+        return found.to_numpy().astype(np.int64)
+
+    def learn(self, units: pa.Array) -> None:
         """Forward scores, best paths and second-best losses of new units, all at once."""
-        lengths = np.array([len(u) for u in units])
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64)
+        text = "".join(pc.binary_join_element_wise(ESCAPED, pc.replace_substring(units, " ", ESCAPED), "").to_pylist())
+        lengths = pc.utf8_length(units).to_numpy().astype(np.int64) + 1
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(U64)
         total = len(codes)
         offset = np.concatenate(([0], np.cumsum(lengths)))
         unit = np.repeat(np.arange(len(units)), lengths)
@@ -208,26 +245,27 @@ class Lattice:
             sizes, ids = self._merge(units)
             self.merged_begin = np.concatenate((self.merged_begin, self.merged_begin[-1] + np.cumsum(sizes)))
             self.merged = np.concatenate((self.merged, ids))
-        base = len(self.best)
-        self.known.update(zip(units, range(base, base + len(units)), strict=True))
         self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.bincount(owner, minlength=len(units)))))
         self.flat = np.concatenate((self.flat, idents.astype(np.int32)))
         self.best = np.concatenate((self.best, forward[roots + lengths]))
         self.loss = np.concatenate((self.loss, loss))
 
-    def _merge(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _merge(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each unit by the model's merges, and the ids one after the other."""
         flat = lambda x: np.fromiter(chain.from_iterable(x), dtype=np.int32)
         # Units of one space and a word go to the model JOINED at a time: a piece with the space begins each.
-        lone = np.array([len(u) > 1 and u.find(ESCAPED, 1) < 0 for u in units])
-        words = [u[1:] for u, x in zip(units, lone, strict=True) if x]
-        ids = flat(self.merges.encode([" ".join(words[k:k + JOINED]) for k in range(0, len(words), JOINED)], num_threads=1))
+        lone = pc.and_not(pc.not_equal(units, ""), pc.match_substring(units, " "))
+        words = units.filter(lone)
+        lone = lone.to_numpy(zero_copy_only=False)
+        cuts = pa.array(np.append(np.arange(0, len(words), JOINED), len(words)).astype(np.int32))
+        joined = pc.binary_join(pa.ListArray.from_arrays(cuts, words), " ").to_pylist()
+        ids = flat(self.merges.encode(joined, num_threads=1))
         sizes = np.zeros(len(units), dtype=np.int64)
         sizes[lone] = np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
         if lone.all():
             return sizes, ids
         # The model puts one space before a text itself; of a single one it makes nothing.
-        others = [x or [self.pieces[ESCAPED][1]] for x in self.merges.encode([u[1:].replace(ESCAPED, " ") for u, x in zip(units, lone, strict=True) if not x], num_threads=1)]
+        others = [x or [self.pieces[ESCAPED][1]] for x in self.merges.encode(units.filter(pa.array(~lone)).to_pylist(), num_threads=1)]
         sizes[~lone] = [len(x) for x in others]
         out, mine = np.empty(int(sizes.sum()), dtype=np.int32), np.repeat(lone, sizes)
         out[mine], out[~mine] = ids, flat(others)
@@ -272,10 +310,10 @@ class Lattice:
                 tick += 1
                 heapq.heappush(heap, (-(forward[s] + score + done), tick, s, done + score, ((s, i), tail)))
 
-    def top(self, k: int, unit: str, n: int) -> list[tuple[float, list[int]]]:
+    def top(self, k: int, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a known unit as (loss, ids), the best first."""
         if k not in self.ranked or len(self.ranked[k]) < n:
-            out = []
+            out, unit = [], ESCAPED + self.known[k].as_py().replace(" ", ESCAPED)
             for score, ids in self.segmentations(unit):
                 out.append((int(self.best[k]) - score if self.exact else float(self.best[k]) - score, ids))
                 if len(out) == n:
@@ -284,24 +322,45 @@ class Lattice:
         return self.ranked[k]
 
 
-def split_units(text: str) -> list[str]:
-    """The text's units with escaped spaces; the model puts a space before the text."""
-    if not text:
-        return []
-    text = text.replace(ESCAPED, " ")  # as the model reads it
-    if "  " in text or text[0] == " ":
-        return [u.replace(" ", ESCAPED) for u in UNITS.findall(" " + text)]
-    return [ESCAPED + w for w in text.split(" ")]
-
-
-def n_best(lattice: Lattice, units: list[str], own: np.ndarray, n: int) -> list[tuple[float, list[tuple[int, list[int]]]]]:
+#: What a lattice works out and does not hand on.
+REMEMBERS = {"merges", "known", "used", "best", "loss", "flat", "begin", "merged", "merged_begin", "ranked"}
+
+
+def split_units(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different units of texts, the place among these of each unit, and where each text's units begin, with the
+    end. The model puts a space before a text; units are told without their first space."""
+    texts = pc.replace_substring(texts.cast(pa.string()).fill_null(""), ESCAPED, " ")  # as the model reads it
+    odd = pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " "))
+    plain = pc.split_pattern(pc.if_else(pc.or_(odd, pc.equal(texts, "")), None, texts), " ")
+    sizes = pc.list_value_length(plain).fill_null(0).to_numpy().astype(np.int64)
+    units, mine = plain.flatten(), None
+    if pc.any(odd).as_py():
+        others = [[u[1:] for u in UNITS.findall(" " + t)] for t in texts.filter(odd).to_pylist()]
+        odd = odd.to_numpy(zero_copy_only=False)
+        sizes[odd] = [len(x) for x in others]
+        mine, many = np.repeat(odd, sizes), len(units)
+        units = pa.concat_arrays([units, pa.array(chain.from_iterable(others), units.type)])
+    coded = units.dictionary_encode()
+    places = coded.indices.to_numpy()
+    if mine is not None:
+        own = places
+        places = np.empty(len(own), dtype=own.dtype)
+        places[~mine], places[mine] = own[:many], own[many:]
+    return coded.dictionary, places, np.concatenate(([0], np.cumsum(sizes)))
+
+
+def n_best(lattice: Lattice, own: np.ndarray, n: int) -> list[tuple[float, list[tuple[int, list[int]]]]]:
     """The 2nd to nth best segmentations of a text as (loss, [(unit's place, ids)])."""
-    loss = lattice.loss[own]
-    places = np.argsort(loss, kind="stable")[:n - 1]
-    places = [int(p) for p in places if np.isfinite(loss[p])]
+    loss, places = lattice.loss[own], []
+    while len(places) < min(n - 1, len(own)):  # the first of equal ones
+        p = int(loss.argmin())
+        if not np.isfinite(loss[p]):
+            break
+        places.append(p)
+        loss[p] = np.inf
     if not places:
         return []
-    lists = [lattice.top(int(own[p]), units[p], n) for p in places]
+    lists = [lattice.top(int(own[p]), n) for p in places]
     out, heap, seen = [], [(0, (0,) * len(places))], {(0,) * len(places)}
     while heap and len(out) < n:
         total, picks = heapq.heappop(heap)
@@ -319,30 +378,23 @@ ALTERNATIVE = T.StructType([T.StructField("score", T.DoubleType()), T.StructFiel
 ENCODED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("best_ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()), T.StructField("alternatives", T.ArrayType(ALTERNATIVE))]
 
 
-def encode_texts(lattice: Lattice, texts: list[str], n: int) -> list[tuple[np.ndarray, float, list[dict], np.ndarray]]:
+def encode_texts(lattice: Lattice, texts: pa.Array | list[str], n: int) -> list[tuple[np.ndarray, float, list[dict], np.ndarray]]:
     """(best ids, score, alternatives, ids by merges) of each text."""
     if len(lattice.known) > REMEMBERED:
-        lattice.clear()
-    split = [split_units(t) for t in texts]
-    every = [u for units in split for u in units]
-    new = list(dict.fromkeys(u for u, k in zip(every, map(lattice.known.get, every), strict=True) if k is None))
-    for at in range(0, len(new), LEARNED):
-        lattice.learn(new[at:at + LEARNED])
-    known = np.fromiter(map(lattice.known.__getitem__, every), dtype=np.int64, count=len(every))
+        lattice.forget()
+    units, places, cuts = split_units(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    numbers = lattice.number(units)
+    lattice.used[numbers] += np.bincount(places, minlength=len(units))
+    known = numbers[places]
     ids, at = lattice.paths(known)
     merged, merged_at = lattice.paths(known, merged=True) if lattice.merges else (ids, at)
-    out, first = [], 0
-    for units in split:
-        if not units:
-            out.append((np.zeros(0, dtype=np.int32), 0.0, [], np.zeros(0, dtype=np.int32)))
-            continue
-        last = first + len(units)
+    out = []
+    for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         own, begin = known[first:last], at[first]
         score, others = lattice.best[own].sum(), []
-        for loss, edits in n_best(lattice, units, own, n) if n > 1 else ():
+        for loss, edits in n_best(lattice, own, n) if n > 1 else ():
             others.append({"score": float(score - loss), "edits": [{"start": int(at[first + p] - begin), "end": int(at[first + p + 1] - begin), "ids": own_ids} for p, own_ids in sorted(edits)]})
         out.append((ids[begin:at[last]], float(score), others, merged[merged_at[first]:merged_at[last]]))
-        first = last
     return out
 
 
@@ -351,19 +403,20 @@ def encode(docs: DataFrame, carry: list[str], text: str = "text", n: int = N_BES
     as scores and edits of it: pieces start to end of the best are replaced by ids."""
     spark = docs.sparkSession
     text_batches(spark)
-    state = spark.sparkContext.broadcast((vocabulary(model), model_bytes(model)))
+    state = spark.sparkContext.broadcast(Lattice(vocabulary(model), model_bytes(model)))
     rows = docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("_encoded_text"))
     schema = T.StructType([*docs.select(*carry).schema.fields, *ENCODED])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*state.value)  # one a task: what it has learned is given back at its end
+        lattice = state.value  # one a worker: what a task has learned is given back at its end
+        lattice.clear()
         for batch in batches:
             offsets = utf8(batch.column(batch.num_columns - 1))[1]
             at = 0
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
                 part = batch.slice(at, stop - at)
-                done = encode_texts(lattice, part.column(part.num_columns - 1).to_pylist(), n)
+                done = encode_texts(lattice, part.column(part.num_columns - 1), n)
                 lists = lambda k, done=done: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x[k]) for x in done]))).astype(np.int32)), pa.array(np.concatenate([x[k] for x in done]).astype(np.int32)))
                 edit = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ids", pa.list_(pa.int32()))])
                 others = pa.array([x[2] for x in done], pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(edit))])))

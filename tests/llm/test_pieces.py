@@ -1,5 +1,6 @@
 """Segmentations against all of them, and round trips."""
 
+import pickle
 import random
 
 from hypothesis import given, settings
@@ -84,3 +85,20 @@ def test_own_ids_are_the_models(spark):
     got = op.encode(docs, ["doc_id", "text"]).collect()
     assert len(got) > 150 and all(r.ids == model.encode(r.text or "") for r in got)
     assert all(op.decode_ids(RAW, r.best_ids) == (r.text or "").replace(op.ESCAPED, " ") for r in got)
+
+
+def test_rare_units_are_forgotten_and_frequent_ones_kept(monkeypatch):
+    """With the same results; a lattice is sent with its tables and without what it has learned."""
+    plain, lattice, learned = op.Lattice(VOCAB, op.model_bytes()), op.Lattice(VOCAB, op.model_bytes()), []
+    texts = [f"often  again {k}x often here{k % 3} y " * 2 for k in range(30)] + ["", "  ", "often"]
+    want = op.encode_texts(plain, texts, 3)
+    monkeypatch.setattr(op, "REMEMBERED", 10)
+    monkeypatch.setattr(op, "LEARNED", 3)
+    real = lattice.learn
+    monkeypatch.setattr(lattice, "learn", lambda units: learned.extend(units.to_pylist()) or real(units))
+    got = [x for t in texts for x in op.encode_texts(lattice, [t], 3)]
+    assert [(a.tolist(), s, o, m.tolist()) for a, s, o, m in got] == [(a.tolist(), s, o, m.tolist()) for a, s, o, m in want]
+    assert learned.count("often") == 1 and len(lattice.known) <= 20
+    sent = pickle.loads(pickle.dumps(plain))
+    assert len(plain.known) > 30 and not len(sent.known) and (sent.keys == plain.keys).all()
+    assert op.encode_texts(sent, texts[:1], 3)[0][0].tolist() == want[0][0].tolist()
