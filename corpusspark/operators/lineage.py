@@ -65,6 +65,17 @@ def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df.hint("merge")
 
 
+#: Rows that one task holds while it seeks equal ones.
+UNIQUE_ROWS = 500_000
+
+
+def unique(df: DataFrame, *keys: str) -> DataFrame:
+    """One row of each that keys tell apart. Rows (counted, so ``df`` should be written or read with few steps) are dealt by
+    their keys to as many tasks as UNIQUE_ROWS asks for, so that what a task holds doesn't grow with the table."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // UNIQUE_ROWS))
+    return df.repartition(tasks, *keys).dropDuplicates(list(keys))
+
+
 class Levels:
     """Tables of one schema written one after another and read as one, each with its number as ``level``. A level is
     written once and never again; its rows are counted as they are written."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusspark.operators import documents as doc
 from corpusspark.operators import graph as g
 from corpusspark.operators import retrieval as ret
-from corpusspark.operators.lineage import cut, scratch, spread
+from corpusspark.operators.lineage import cut, scratch, spread, unique
 from corpusspark.plans.registry import Tables, query
 from corpusspark.streaming import streams as st
 
@@ -202,7 +202,7 @@ SELECT DISTINCT 'edge' AS kind, source_id, target_id, edge_type FROM f WHERE sou
 UNION ALL SELECT 'node', id, NULL, NULL FROM n WHERE {_MERGED.format(c="id")} = id UNION ALL SELECT 'moved', count(*)::VARCHAR, NULL, NULL FROM f WHERE source_id <> src OR target_id <> dst""")
 def _(t):
     """kind (edge, node, moved) and what is left, with the number of edges that moved."""
-    e = _edges(t).select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.col("type").alias("edge_type"))
+    e = unique(_edge_rows(t).select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.col("type").alias("edge_type")), "source_id", "target_id", "edge_type")
     k, name = F.col("s_suppkey"), lambda c: F.concat(F.lit("s"), c)
     m = t.supplier.select(name(k).alias("duplicate"), F.when((k % 10).isin(1, 2, 6), name(k - 1)).when(k % 10 == 5, name(k + 1)).alias("canonical")).filter("canonical is not null")
     out, none = g.merge_nodes(t.supplier.select(name(k).alias("id")), e, m), F.lit(None).cast("string")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusspark.operators import graph as g
+from corpusspark.operators import lineage
 from corpusspark.plans import QUERIES
 
 
@@ -65,3 +66,17 @@ def test_components_by_hash_or_by_name(spark, monkeypatch):
     monkeypatch.setattr(g, "HEAVY", 2)
     monkeypatch.setattr(g, "BROADCAST_ROWS", 0)
     assert see() == want
+
+
+def test_merged_edges_are_dealt_by_their_number(spark, monkeypatch):
+    """More edges, more tasks: none holds more with the table. Edges are worked out once."""
+    monkeypatch.setattr(lineage, "UNIQUE_ROWS", 10)
+    rows = [(f"p{k}", f"s{k % 5}", "X", k) for k in range(100)]
+    edges = spark.createDataFrame(rows + rows, "source_id string, target_id string, edge_type string, n int")
+    m = spark.createDataFrame([("s1", "s0"), ("s2", "s1"), ("p7", "s2")], "duplicate string, canonical string")
+    out = g.merge_nodes(spark.createDataFrame([("s0",), ("s1",)], "id string"), edges, m)
+    assert out["edges"].rdd.getNumPartitions() >= 20 and out["edges"].columns == edges.columns
+    of = lambda x: "s0" if x in ("s1", "s2", "p7") else x
+    want = {(of(a), of(b), t, n) for a, b, t, n in rows if of(a) != of(b)}
+    assert sorted(map(tuple, out["edges"].collect())) == sorted(want) and out["moved"].first().moved == 2 * sum(of(a) != a or of(b) != b for a, b, *_ in rows)
+    assert "Join" not in out["moved"]._jdf.queryExecution().optimizedPlan().toString()
