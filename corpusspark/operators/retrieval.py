@@ -172,6 +172,8 @@ class Phrases:
         """Places of the queries that have a word, which isn't empty."""
         start = lambda i: self.whole[i:i + len(word)]
         low = bisect.bisect_left(self.suffixes, word, key=start)
+        if low == len(self.suffixes) or start(self.suffixes[low]) != word:
+            return self.owner[:0]
         high = bisect.bisect_right(self.suffixes, word, lo=low, key=start)
         return np.unique(self.owner[self.suffixes[low:high]])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusspark.operators import documents as doc
 from corpusspark.operators import graph as g
 from corpusspark.operators import retrieval as ret
-from corpusspark.operators.lineage import cut, scratch, spread, unique
+from corpusspark.operators.lineage import cut, scratch, sized, spread, unique
 from corpusspark.plans.registry import Tables, query
 from corpusspark.streaming import streams as st
 
@@ -181,7 +181,7 @@ def _(t):
         t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"), F.lit("1999-11-11").cast("timestamp").alias("created_at"))
     )
     # Parts and regions are nodes without a name; their ids match no query.
-    ends = _two_hop(t).select(F.col("source_id").alias("id")).union(_two_hop(t).select("target_id")).distinct().join(nodes.select("id").hint("merge"), "id", "left_anti")
+    ends = _edge_rows(t).select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(sized(nodes.select("id")), "id", "left_anti")
     shown = nodes.withColumn("allowed_roles", F.when(F.col("id").like("s%4") | (F.col("id") == "n7"), hidden))
     k = F.col("item_id")
     text = F.when(k % 3 == 0, F.concat(F.lit("S"), k % 10)).otherwise(F.concat(F.lit("what of NATION_"), k % 25, F.lit(" today")))

@@ -80,3 +80,24 @@ def test_merged_edges_are_dealt_by_their_number(spark, monkeypatch):
     want = {(of(a), of(b), t, n) for a, b, t, n in rows if of(a) != of(b)}
     assert sorted(map(tuple, out["edges"].collect())) == sorted(want) and out["moved"].first().moved == 2 * sum(of(a) != a or of(b) != b for a, b, *_ in rows)
     assert "Join" not in out["moved"]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_context_passes_all_nodes_few_times(spark, monkeypatch):
+    """What makes the nodes runs once; hops ask only for nodes that are near, whoever is hidden."""
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def name(i):
+        runs.add(1)
+        return f"Pump {i}"
+
+    nodes = spark.range(40).select(F.concat(F.lit("v"), "id").alias("id"), name("id").alias("name"), F.lit(None).cast("timestamp").alias("created_at"), F.when(F.col("id") % 7 == 3, F.array(F.lit("admin"))).alias("allowed_roles"))
+    e = spark.createDataFrame([(f"v{a}", f"v{(a * 3 + b) % 40}", "X") for a in range(40) for b in (1, 2)], "source_id string, target_id string, edge_type string")
+    e = e.select("*", *[F.lit(None).cast("timestamp").alias(c) for c in ("valid_from", "valid_until")], F.lit(None).cast("array<string>").alias("allowed_roles"))
+    q = spark.createDataFrame([(1, "what of pump 5"), (2, "pump 11 now"), (3, "V4")], "query_id int, query string")
+    see = lambda: sorted(map(tuple, g.graph_context(q, nodes, e, F.lit("2024-01-01").cast("timestamp"), "member").collect()))
+    got = see()
+    assert got and {x[0] for x in got} == {1, 2, 3} and runs.value == 40
+    assert not any(f"Pump {k})" in x[2] or f"(v{k})" in x[2] for x in got for k in range(3, 40, 7))
+    monkeypatch.setattr(g, "FEW_STARTS", 0)
+    assert see() == got
