@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Iterator
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusspark.llm.textops import give_back
 from corpusspark.operators.lineage import shared_dir
 
 #: White space of the word and normalisation rules, as a Java and RE2 character class body.
@@ -29,6 +31,37 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}"
 
 
+#: Share of its greatest heap that the driver may hold before it collects garbage, which also makes the heap smaller.
+HEAP_SHARE = 0.5
+
+
+def trim_native(spark: SparkSession) -> bool:
+    """Whether the driver's JVM handed its allocator's free pages back, as ``jcmd PID System.trim_native_heap`` does;
+    a JVM without that command keeps them."""
+    jvm = spark.sparkContext._jvm
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()  # of a class that only its interface opens
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    given = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke.invoke(server, given)
+    except Py4JJavaError:
+        return False
+    return True
+
+
+def hand_back(spark: SparkSession, collect: bool = False) -> None:
+    """Hands memory that the driver no longer needs back to the system. Plans, events of tasks and compiled code are
+    short-lived, but a heap that grew for them stays, and so do the allocator's pages of each thread; over hundreds of
+    jobs both add up. ``collect`` collects garbage however small the heap is."""
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if collect or runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        jvm.System.gc()
+    trim_native(spark)
+    give_back()  # the driver's Python
+
+
 def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, sizes are known,
     and a lost executor costs no recomputation of what came before. Removed when Spark ends.
@@ -38,8 +71,7 @@ def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     df.write.parquet(path)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    if free:
-        spark.sparkContext._jvm.System.gc()
+    hand_back(spark, collect=free)
     return spark.read.parquet(path)
 
 

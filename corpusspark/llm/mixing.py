@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusspark.llm.common import BROADCAST_ROWS, batches_of, fresh, join_per_key, materialise, small_or_hinted, table, text_batches, union_all
+from corpusspark.llm.common import BROADCAST_ROWS, batches_of, fresh, hand_back, join_per_key, materialise, small_or_hinted, table, text_batches, union_all
 from corpusspark.llm.textops import U64, chunks, give_back, hashes, utf8, words
 
 #: Target shares are proportional to tokens to these powers: below 1 lifts what is rare.
@@ -174,6 +174,7 @@ def rake(cells: DataFrame, powers: dict[str, float] | None = None, given: dict[s
         margin = np.zeros((len(langs), len(topics)))
         for r in seen.collect():
             margin[r["l"], r["t"]] = r["m"]
+        hand_back(cells.sparkSession)
         before = {x: factor[x].copy() for x in factor}
         for _ in range(50):  # the two small margins, on the table of their pairs alone
             factor["l"] = goals["l"] / np.maximum(1e-300, margin @ factor["t"])
