@@ -4,7 +4,7 @@ A text becomes the model's pieces with the largest sum of piece scores. White sp
 the model does; no piece crosses from a character into an escaped space, so a text falls apart into
 units (a run of spaces with the word after it), whose lattices are searched one by one.
 
-Forward: Viterbi scores of all new units of a batch at once, in numpy. Backward: A* from a unit's end,
+Forward: Viterbi scores of a batch's new units, those of similar length at once, in numpy. Backward: A* from a unit's end,
 with the forward scores as exact heuristic, yields its segmentations from best to worst. A text's
 N best segmentations take their deviations from the N - 1 occurrences of units with the smallest loss
 of their second best, and only those units are searched; sums of losses are merged by a heap.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusspark.llm.common import table, text_batches
-from corpusspark.llm.textops import U64, give_back, mix, utf8
+from corpusspark.llm.textops import give_back, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -44,15 +45,16 @@ ESCAPED = "▁"
 UNITS = re.compile(" +[^ ]*")
 #: Units whose segmentation a task remembers before it forgets rare ones, and bytes of text it takes at once.
 REMEMBERED = 60_000
-#: New units whose lattices are searched at once.
-LEARNED = 2_000
 CHUNK = 500_000
+#: New units that are learned at once, and characters whose lattices are searched at once, units filled up to the longest.
+LEARNED = 20_000
+AREA = 20_000
+#: Places for a state's children that are tried at once.
+BLOCK = 256
 #: Units that are merged as one text.
 JOINED = 100
 #: Pieces that are decoded at once.
 DECODED = 400_000
-#: Bits of the tables that tell which hashes can be a piece, or the beginning of one.
-TABLE_BITS = 22
 
 
 def vocabulary(path: str = MODEL) -> list[tuple[str, float, bool]]:
@@ -83,25 +85,55 @@ class Lattice:
         self.spaced = np.array([p.startswith(ESCAPED) for p, _, _ in vocab])
         usable = [(p, int(s) if s == int(s) else s, i) for i, (p, s, byte) in enumerate(vocab) if s == s and not byte]
         self.exact = all(isinstance(s, int) for _, s, _ in usable)
-        kind = np.int64 if self.exact else np.float64
         self.longest = max(len(p) for p, _, _ in usable)
         self.pieces = {p: (s, i) for p, s, i in usable}
         self.unknown = min(s for _, s, _ in usable) - 10
         self.bytes = {int(p[3:5], 16): i for i, (p, _, byte) in enumerate(vocab) if byte}
-        keys = np.array([self._hash(np.frombuffer(p.encode("utf-32-le"), dtype=np.uint32)) for p, _, _ in usable], dtype=U64)
-        order = np.argsort(keys)
-        if (np.diff(keys[order]) == 0).any():
-            raise ValueError("two pieces have the same hash")
-        self.keys = keys[order]
-        # Tables of the low bits of the hashes of all pieces, and of all their beginnings: most substrings need no search.
-        self.can_be, self.can_begin = (np.zeros(1 << TABLE_BITS, dtype=bool) for _ in range(2))
-        self.can_be[self._low(self.keys)] = True
-        begin = {p[:k] for p, _, _ in usable for k in range(1, len(p))}
-        self.can_begin[self._low(np.array([self._hash(np.frombuffer(p.encode("utf-32-le"), dtype=np.uint32)) for p in begin] or [0], dtype=U64))] = True
-        self.scores = np.array([s for _, s, _ in usable], dtype=kind)[order]
-        self.ids = np.array([i for _, _, i in usable], dtype=np.int64)[order]
+        self._grow(usable)
         self._load()
 
+    def _grow(self, usable: list[tuple[str, float, int]]) -> None:
+        """The trie of the pieces as a double array. From a state, a character leads to the state ``step`` of the one plus
+        ``char`` of the other, if ``keys`` of that is the state it comes from; the root is state 0."""
+        after: dict[str, list[str]] = {"": []}
+        for p in sorted({p[:k] for p, _, _ in usable for k in range(1, len(p) + 1)}, key=len):
+            after[p[:-1]].append(p[-1])
+            after[p] = []
+        # Frequent characters have small numbers; 0 is none of the pieces'.
+        alphabet = [c for c, _ in Counter(chain.from_iterable(after.values())).most_common()]
+        number = dict(zip(alphabet, range(1, len(alphabet) + 1), strict=True))
+        self.char = np.zeros(0x110000, dtype=np.int32)
+        self.char[[ord(c) for c in alphabet]] = list(number.values())
+        # A state's children take the first places where all are free; only children fill the gaps. The root's are 1, 2, 3, ...
+        free = np.ones(4 * len(after) + len(alphabet), dtype=bool)
+        free[:len(alphabet) + 1] = False
+        step, first = {"": 0}, len(alphabet) + 1
+        for p in sorted((p for p in after if p and len(after[p]) > 1), key=lambda p: -len(after[p])):
+            own = np.sort([number[c] for c in after[p]])
+            for tried, at in enumerate(range(first, len(free), BLOCK)):
+                if at + BLOCK + len(alphabet) > len(free):
+                    free = np.concatenate((free, np.ones(len(free), dtype=bool)))
+                starts = np.arange(at, at + BLOCK) - own[0]
+                starts = starts[free[starts[:, None] + own].all(axis=1)]
+                if len(starts):
+                    break
+            step[p] = int(starts[0])
+            free[starts[0] + own] = False
+            first += BLOCK * (tried // 2)  # what is nearly full is left to the only children
+        lone = [p for p in after if p and len(after[p]) == 1]
+        step |= {p: gap - number[after[p][0]] for p, gap in zip(lone, np.flatnonzero(free)[:len(lone)].tolist(), strict=True)}
+        size = max(step.values()) + len(alphabet) + 1
+        self.keys, self.step, self.ids = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32), np.full(size, -1, dtype=np.int32)
+        self.scores = np.zeros(size)
+        state = {"": 0}
+        for p, chars in after.items():  # the shorter first
+            for c in chars:
+                state[p + c] = step[p] + number[c]
+                self.keys[state[p + c]] = state[p]
+            self.step[state[p]] = step.get(p, 0)
+        for p, score, i in usable:
+            self.ids[state[p]], self.scores[state[p]] = i, score
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in REMEMBERS}
 
@@ -120,7 +152,7 @@ class Lattice:
     def clear(self) -> None:
         self.known = pa.array([], pa.string())  # units by number, see ``split_units``
         self.used = np.zeros(0, dtype=np.int64)  # how often each was found
-        self.best = np.zeros(0, dtype=self.scores.dtype)  # score of the best segmentation, by unit
+        self.best = np.zeros(0, dtype=np.int64 if self.exact else np.float64)  # score of the best segmentation, by unit
         self.loss = np.zeros(0)  # of the second best; none: infinity
         self.flat = np.zeros(0, dtype=np.int32)  # ids of the best segmentations one after the other
         self.begin = np.zeros(1, dtype=np.int64)  # where a unit's ids begin, and the end
@@ -136,17 +168,6 @@ class Lattice:
         place = dict(zip(keep.tolist(), range(len(keep)), strict=True))
         self.ranked = {place[k]: v for k, v in self.ranked.items() if k in place}
 
-    @staticmethod
-    def _low(hashed: np.ndarray) -> np.ndarray:
-        return (hashed & U64((1 << TABLE_BITS) - 1)).astype(np.int64)
-
-    @staticmethod
-    def _hash(codes: np.ndarray) -> int:
-        h = 0
-        for c in codes.tolist():
-            h = (h * 0x100000001B3 + c + 1) & (2**64 - 1)
-        return int(mix(np.array([h], dtype=U64))[0])
-
     def number(self, units: pa.Array) -> np.ndarray:
         """The numbers of different units; new ones are learned."""
         found = pc.index_in(units, value_set=self.known)
@@ -163,93 +184,98 @@ class Lattice:
         return found.to_numpy().astype(np.int64)
 
     def learn(self, units: pa.Array) -> None:
-        """Forward scores, best paths and second-best losses of new units, all at once."""
-        text = "".join(pc.binary_join_element_wise(ESCAPED, pc.replace_substring(units, " ", ESCAPED), "").to_pylist())
-        lengths = pc.utf8_length(units).to_numpy().astype(np.int64) + 1
-        codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(U64)
-        total = len(codes)
-        offset = np.concatenate(([0], np.cumsum(lengths)))
-        unit = np.repeat(np.arange(len(units)), lengths)
-        local = np.arange(total) - offset[unit]
-        room = lengths[unit] - local
-        # Edges: (start, length, score, id). A character without a piece has an edge of its own with id -1.
-        run, alive, found = codes + U64(1), np.arange(total), []
-        for n in range(1, min(self.longest, int(lengths.max())) + 1):
-            if n > 1:
-                more = room[alive] >= n
-                alive = alive[more]
-                run = run[more] * U64(0x100000001B3) + codes[alive + n - 1] + U64(1)
-            h = mix(run)
-            low = self._low(h)
-            maybe = np.flatnonzero(self.can_be[low])
-            at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
-            hit = self.keys[at] == h[maybe]
-            own = alive[maybe[hit]]
-            found.append((own, np.full(len(own), n), self.scores[at[hit]], self.ids[at[hit]]))
-            if n == 1:
-                lone = np.ones(total, dtype=bool)
-                lone[own] = False
-                lone = np.flatnonzero(lone)
-                found.append((lone, np.ones(len(lone), dtype=np.int64), np.full(len(lone), self.unknown, dtype=self.scores.dtype), np.full(len(lone), -1)))
-            on = self.can_begin[low]
-            alive, run = alive[on], run[on]
-        start, size, score, ident = (np.concatenate(x) for x in zip(*found, strict=True))
-        # Nodes: each unit has one more than it has characters.
-        forward = np.full(total + len(units), -(2**62) if self.exact else -np.inf, dtype=self.scores.dtype)
-        node = start + unit[start]
-        end = node + size
-        depth = local[start] + size
-        # By distance from the unit's start, then by end; of one end, the longest piece first.
-        order = np.argsort((depth * len(forward) + end) * 32 + (31 - size)) if int(lengths.max()) * len(forward) < 2**57 else np.lexsort((-size, end, depth))
-        node, end, depth, score, ident, start = node[order], end[order], depth[order], score[order], ident[order], start[order]
-        roots = offset[:-1] + np.arange(len(units))
-        forward[roots] = 0
-        chosen = np.full(total + len(units), -1)
-        cuts = np.searchsorted(depth, np.arange(1, int(lengths.max()) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = forward[node[a:b]] + score[a:b]
-            heads = np.flatnonzero(np.concatenate(([True], end[a + 1:b] != end[a:b - 1])))
-            top = np.maximum.reduceat(own, heads)
-            at = end[a:b][heads]
-            forward[at] = top
-            best = np.flatnonzero(own == np.repeat(top, np.diff(np.append(heads, b - a))))
-            first = best[np.concatenate(([True], end[a:b][best[1:]] != end[a:b][best[:-1]]))]
-            chosen[at] = a + first
-        # Best paths, from all ends at once.
-        here, alive = roots + lengths, np.arange(len(units))
-        loss = np.full(len(units), np.inf)
-        on_path = np.zeros(total + len(units), dtype=bool)
-        owner, edges = [], []
-        while len(alive):
-            on_path[here[alive]] = True
-            e = chosen[here[alive]]
-            owner.append(alive)
-            edges.append(e)
-            here[alive] = node[e]
-            alive = alive[here[alive] != roots[alive]]
-        owner, edges = np.concatenate(owner), np.concatenate(edges)
-        other = np.flatnonzero(on_path[end])
-        other = other[chosen[end[other]] != other]
-        np.minimum.at(loss, unit[start[other]], (forward[end[other]] - forward[node[other]] - score[other]).astype(float))
-        order = np.argsort(start[edges])  # units lie one after the other
-        owner, edges = owner[order], edges[order]
-        idents, char = ident[edges], codes[start[edges]]
-        lone = np.flatnonzero(idents < 0)
+        """Forward scores, best paths and second-best losses of new units, those of similar length at once."""
+        text = pc.binary_join_element_wise(ESCAPED, pc.replace_substring(units, " ", ESCAPED), "")
+        data, offsets = utf8(text)
+        codes = np.frombuffer(data[offsets[0]:offsets[-1]].tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+        lengths = pc.utf8_length(text).to_numpy().astype(np.int64)
+        offset = np.cumsum(lengths) - lengths
+        order = np.argsort(-lengths, kind="stable")
+        best, loss, parts, at = np.empty(len(units)), np.empty(len(units)), [], 0
+        while at < len(order):
+            own = order[at:at + max(1, AREA // int(lengths[order[at]]))]
+            best[own], loss[own], steps = self._search(codes, offset[own], lengths[own])
+            parts += [(own[u], np.full(len(u), k), ids, ends) for k, (u, ids, ends) in enumerate(steps)]
+            at += len(own)
+        # Paths come from their ends, units in the order of their lengths.
+        owner, step, ids, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+        sizes = np.bincount(owner, minlength=len(units))
+        place = np.cumsum(sizes)[owner] - 1 - step
+        idents = np.empty(len(ids), dtype=np.int32)
+        idents[place] = ids
+        lone = np.flatnonzero(ids < 0)
         if len(lone):
-            own = [self._fallback(chr(c)) for c in char[lone].tolist()]
+            lone = lone[np.argsort(place[lone])]
+            own = [self._fallback(chr(c)) for c in codes[offset[owner[lone]] + ends[lone] - 1].tolist()]
             repeats = np.ones(len(idents), dtype=np.int64)
-            repeats[lone] = [len(x) for x in own]
-            idents, owner = np.repeat(idents, repeats), np.repeat(owner, repeats)
-            idents[np.flatnonzero(idents < 0)] = [x for y in own for x in y]
+            repeats[place[lone]] = [len(x) for x in own]
+            np.add.at(sizes, owner[lone], repeats[place[lone]] - 1)
+            idents = np.repeat(idents, repeats)
+            idents[idents < 0] = [x for y in own for x in y]
         if self.merges:
-            sizes, ids = self._merge(units)
-            self.merged_begin = np.concatenate((self.merged_begin, self.merged_begin[-1] + np.cumsum(sizes)))
-            self.merged = np.concatenate((self.merged, ids))
-        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.bincount(owner, minlength=len(units)))))
-        self.flat = np.concatenate((self.flat, idents.astype(np.int32)))
-        self.best = np.concatenate((self.best, forward[roots + lengths]))
+            merged_sizes, merged = self._merge(units)
+            self.merged_begin = np.concatenate((self.merged_begin, self.merged_begin[-1] + np.cumsum(merged_sizes)))
+            self.merged = np.concatenate((self.merged, merged))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(sizes)))
+        self.flat = np.concatenate((self.flat, idents))
+        self.best = np.concatenate((self.best, best.astype(self.best.dtype)))
         self.loss = np.concatenate((self.loss, loss))
 
+    def _search(self, codes: np.ndarray, offset: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """Of units of similar length, which begin at ``offset`` of ``codes``: score of the best segmentation, loss of the
+        second best, and step by step from the ends the units that go on, the id of their piece (-1: a character without
+        one) and where it ends."""
+        count, high = len(lengths), int(lengths.max())
+        inside = np.arange(high)[:, None] < lengths
+        # By place, then by unit, so that all units' characters of a place are next to each other.
+        chars = np.zeros((high + self.longest, count), dtype=np.int32)
+        chars[:high] = np.where(inside, self.char[codes[np.minimum(offset + np.arange(high)[:, None], len(codes) - 1)]], 0)
+        chars, alive = chars.ravel(), np.flatnonzero(inside)
+        alone = inside.ravel()  # until a piece is found
+        state, found = np.zeros(len(alive), dtype=np.int32), []
+        for n in range(1, min(self.longest, high) + 1):
+            to = self.step[state] + chars[alive + (n - 1) * count]
+            on = np.flatnonzero(self.keys[to] == state)
+            alive, state = alive[on], to[on]
+            hit = np.flatnonzero(self.ids[state] >= 0)
+            if len(hit):
+                found.append((n, alive[hit], state[hit]))
+                if n == 1:
+                    alone[found[0][1]] = False
+            if not len(alive):
+                break
+        # Edges by their ends, the longest first, then by unit.
+        wide = max((n for n, _, _ in found), default=1)
+        score, ident = np.full((high, wide, count), -np.inf), np.empty((high, wide, count), dtype=np.int32)
+        flat_score, flat_ident = score.ravel(), ident.ravel()
+        alone = np.flatnonzero(alone)
+        place = np.arange(high)[:, None] * (wide * count) + np.arange(count)
+        place = place.ravel()
+        cell = place[alone] + (wide - 1) * count
+        flat_score[cell], flat_ident[cell] = self.unknown, -1
+        for n, start, state in found:
+            cell = place[start] + ((n - 1) * wide + wide - n) * count
+            flat_score[cell], flat_ident[cell] = self.scores[state], self.ids[state]
+        forward, loss = np.full((high + 1, count), -np.inf), np.empty((high, count))
+        forward[0], chosen, unit = 0, np.empty((high, count), dtype=np.int64), np.arange(count)
+        with np.errstate(invalid="ignore"):  # beyond a unit's end
+            for end in range(1, high + 1):
+                n = min(end, wide)
+                sums = forward[end - n:end] + score[end - 1, wide - n:]
+                first = sums.argmax(axis=0)
+                forward[end] = top = sums[first, unit]
+                sums[first, unit] = -np.inf
+                chosen[end - 1], loss[end - 1] = n - first, top - sums.max(axis=0)
+        here, least, steps = lengths.copy(), np.full(count, np.inf), []
+        while len(unit):
+            end = here[unit]
+            n = chosen[end - 1, unit]
+            least[unit] = np.minimum(least[unit], loss[end - 1, unit])
+            steps.append((unit, ident[end - 1, wide - n, unit], end))
+            here[unit] = end - n
+            unit = unit[end > n]
+        return forward[lengths, np.arange(count)], least, steps
+
     def _merge(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each unit by the model's merges, and the ids one after the other."""
         flat = lambda x: np.fromiter(chain.from_iterable(x), dtype=np.int32)

@@ -2,7 +2,10 @@
 
 import pickle
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -102,3 +105,42 @@ def test_rare_units_are_forgotten_and_frequent_ones_kept(monkeypatch):
     sent = pickle.loads(pickle.dumps(plain))
     assert len(plain.known) > 30 and not len(sent.known) and (sent.keys == plain.keys).all()
     assert op.encode_texts(sent, texts[:1], 3)[0][0].tolist() == want[0][0].tolist()
+
+
+def test_trie_has_the_pieces_and_their_beginnings_only():
+    states = {"": 0}
+    for p in sorted(LATTICE.pieces, key=len):
+        for k in range(len(p)):
+            to = int(LATTICE.step[states[p[:k]]] + LATTICE.char[ord(p[k])])
+            assert LATTICE.keys[to] == states[p[:k]] and states.setdefault(p[:k + 1], to) == to
+        assert (LATTICE.scores[to], LATTICE.ids[to]) == LATTICE.pieces[p]
+    assert len(set(states.values())) == len(states) == (LATTICE.keys >= 0).sum() + 1
+    assert (LATTICE.ids >= 0).sum() == len(LATTICE.pieces)
+    assert (LATTICE.keys[LATTICE.step] != np.arange(len(LATTICE.step))).all()  # characters of no piece lead nowhere
+
+
+def test_results_do_not_depend_on_what_is_searched_at_once(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice("thea n\nö☃ ") for _ in range(r.randint(0, 90))) for _ in range(60)] + ["there" * 300, "☃" * 40, "", " "]
+    want = [(a.tolist(), s, o) for a, s, o, _ in op.encode_texts(LATTICE, texts, 3)]
+    for area, learned in ((1, 3), (40, 7), (10**6, 10**6)):
+        monkeypatch.setattr(op, "AREA", area)
+        monkeypatch.setattr(op, "LEARNED", learned)
+        LATTICE.clear()
+        assert [(a.tolist(), s, o) for a, s, o, _ in op.encode_texts(LATTICE, texts, 3)] == want
+
+
+def test_new_units_cost_little_more_than_the_librarys_encoding():
+    """CPU time of forward scores, best paths and losses, as a multiple of that of the model's merges of the same units."""
+    r = random.Random(4)
+    parts = ["th", "ed", "re", "tion", "ea", "ble", "on", "ing", "ou", "en", "st", "ha"]
+    units = pa.array(sorted({"".join(r.choice(parts) for _ in range(r.randint(2, 6))) for _ in range(20_000)}))
+    lattice, merging = op.Lattice(VOCAB), op.Lattice(VOCAB, op.model_bytes())
+
+    def cpu(f, *args):
+        begun = time.process_time()
+        f(*args)
+        return time.process_time() - begun
+
+    searched = min(lattice.clear() or cpu(lattice.number, units) for _ in range(3))
+    assert np.isfinite(lattice.loss).any() and searched < 2.2 * min(cpu(merging._merge, units) for _ in range(3))
