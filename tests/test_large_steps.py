@@ -24,6 +24,54 @@ def test_two_hop_by_lists_and_numbers(spark, monkeypatch):
     assert see() == want
 
 
+def _hops(rows, starts):
+    """(start, node) -> least (depth, type, source, target), nulls first."""
+    want = {}
+    for s in starts:
+        one = [(b if a == s else a, (1, t, a, b)) for a, b, t in rows if s in (a, b)]
+        two = [(b, (2, t, a, b)) for v in {n for n, _ in one if n != s} for a, b, t in rows if a == v]
+        for n, x in one + two:
+            if n != s:
+                want[s, n] = min(want.get((s, n), x), x, key=lambda x: (x[0], x[1] is not None, x[1] or "", x[2], x[3]))
+    return want
+
+
+def _edges_of(spark, rows, kind="string"):
+    e = spark.createDataFrame(rows, f"source_id {kind}, target_id {kind}, edge_type string")
+    return e.select("*", *[F.lit(None).cast("timestamp").alias(c) for c in ("valid_from", "valid_until")], F.lit(None).cast("array<string>").alias("allowed_roles"))
+
+
+def test_two_hop_shuffles_nothing_it_reaches(spark, monkeypatch):
+    """Products are reduced where they arise; numbers as ids, loops, equal edges, and types and ends that are null."""
+    rows = [(a, 100 + b, "XY"[b % 2] if (a + b) % 5 else None) for a in range(30) for b in range(20) if (a * 7 + b * 3) % 4]
+    rows += rows[:50] + [(100, 100, "X"), (101, 3, "X"), (3, 101, "W"), (102, 103, None), (None, 104, "X"), (104, None, "X")]
+    starts = [*range(100, 120), 3]
+    monkeypatch.setattr(g, "FEW_STARTS", 0)
+    out = g.two_hop(_edges_of(spark, rows, "int"), spark.createDataFrame([(s,) for s in starts], "start int"), F.lit("2024-01-01").cast("timestamp"))
+    got = [((r.start, r.node), (r.depth, r.edge_type, r.source_id, r.target_id)) for r in out.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == _hops([x for x in rows if None not in x[:2]], starts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")] and "hashpartitioning(start" not in plan
+
+
+def test_two_hop_goes_on_with_a_start(monkeypatch):
+    """A start whose products are more than are reduced at once gives the same rows."""
+    import pyarrow as pa
+
+    via = [f"v{k}" for k in range(12)]
+    others = [[f"s{j}" for j in range(9) if (j + k) % 4] + ([f"v{k - 1}"] if k else []) for k in range(12)]
+    types = [[(j * k) % 3 for j, _ in enumerate(o)] for k, o in enumerate(others)]
+    codes = [[7 if x in ("s1", "s2", "s5") else 6 for x in o] for o in others]
+    batch = pa.RecordBatch.from_pydict({"to": [0] * 12, "part": [0] * 12, "via": via, "others": others, "types": types, "codes": codes})
+    see = lambda: [tuple(r.values()) for b in g._reach(iter([batch])) for r in b.to_pylist()]
+    rows = [(v, x, t) for v, o, k in zip(via, others, types, strict=True) for x, t in zip(o, k, strict=True)]
+    want = {k: x for k, x in _hops([(a, b, str(t)) for a, b, t in rows], ["s1", "s2", "s5"]).items()}
+    for most in (2_000_000, 20, 1):
+        monkeypatch.setattr(g, "PRODUCTS", most)
+        got = see()
+        assert len(got) == len(want) and {(s, n): (d, str(t), a, b) for s, n, d, t, a, b in got} == want
+
+
 @pytest.mark.parametrize("name", ["procedure_ast", "procedure_errors", "tabular_to_markdown"])
 def test_small_files_fill_all_cores(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
