@@ -301,11 +301,11 @@ def _(t):
 
 
 @query("best_entity_match", f"""
-WITH n AS (SELECT a.vec_id AS mention_id, b.vec_id AS entity_id, {_COS_AB} AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+WITH n AS (SELECT a.vec_id AS mention_id, b.vec_id AS entity_id, {_COS_AB} AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
 SELECT mention_id, entity_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY similarity DESC, entity_id) AS k FROM n) WHERE k = 1""")
 def _(t):
     e = t.embeddings.select("vec_id", "label", "embedding")
-    return g.best_entity_match(g.block_matches(e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "mention_id"), e.withColumnRenamed("vec_id", "entity_id"), "label"))
+    return g.best_entity_match(g.block_matches(e.withColumnRenamed("vec_id", "mention_id"), e.withColumnRenamed("vec_id", "entity_id"), "label"))
 
 
 # ---- retrieval ----

@@ -1,5 +1,6 @@
 """Steps that are cut for large tables give what plain ones give."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,37 @@ def test_best_match_in_blocks(spark, monkeypatch):
         assert {(r.mention_id, r.entity_id, abs(r.similarity)) for r in g.best_entity_match(found).collect()} == want
 
 
+def test_best_match_of_every_row(spark):
+    """Each vector with another one of its label has its match, not only some."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "label").collect()
+    many = {}
+    for r in rows:
+        many[r.label] = many.get(r.label, 0) + 1
+    got = QUERIES["best_entity_match"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.mention_id for r in got) == sorted(r.vec_id for r in rows if r.label is not None and many[r.label] > 1)
+    assert len(got) > len(rows) // 2
+
+
+def test_best_match_in_cells_that_grow(spark, monkeypatch):
+    """Cells by the number of pairs, and their scores by pieces, give what all pairs give."""
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(90, 4)), 1).astype(np.float32)
+    x[40:50] = x[:10]
+    size = lambda k: 0 if k % 17 == 3 else 2 if k % 13 == 5 else 4
+    e = spark.createDataFrame([(k, k % 3, x[k, : size(k)].tolist()) for k in range(90)], "id int, label int, embedding array<float>")
+    unit = lambda k: x[k, : size(k)].astype(float) / (np.linalg.norm(x[k, : size(k)].astype(float)) or 1)
+    cosine = lambda a, b: round(float(unit(a) @ unit(b)), 6) if size(a) == size(b) > 0 else 0.0
+    want = {a: max((b for b in range(90) if b != a and b % 3 == a % 3), key=lambda b: (cosine(a, b), -b)) for a in range(90)}
+    monkeypatch.setattr(g, "CELL", 1)
+    for tasks, numbers, scores in ((1, 4_000_000, 1_000_000), (20, 4_000_000, 70), (1, 12, 1)):
+        monkeypatch.setattr(g, "PAIR_TASKS", tasks)
+        monkeypatch.setattr(g, "CELL_NUMBERS", numbers)
+        monkeypatch.setattr(g, "SCORES", scores)
+        found = g.block_matches(e.withColumnRenamed("id", "mention_id"), e.withColumnRenamed("id", "entity_id"), "label")
+        got = {m.mention_id: (m.entity_id, m.similarity) for m in g.best_entity_match(found).collect()}
+        assert got == {a: (b, cosine(a, b)) for a, b in want.items()}
+
+
 def test_rejected_triples_need_no_names(spark):
     rows = [(" ", "System", "owns", "b", "Role"), ("A b", "System", "owns", "c", "Role"), ("a B", "System", "OWNS ", "c", "Role"), ("a", "Thing", "owns", "c", "Role"), ("a", "System", "likes", None, "Role")]
     out = g.persist_triples(spark.createDataFrame(rows, "subject string, subject_type string, predicate string, object string, object_type string"))
